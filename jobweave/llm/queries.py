@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobweave.llm.canon import map_to_canon
 from jobweave.llm.common import table
+from jobweave.llm.consensus import Consensus
 from jobweave.llm.cooccur import associations
 from jobweave.llm.encode import encode_corpus
 from jobweave.llm.leaks import find_leaks
@@ -26,6 +28,23 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify(table(spark, sf_dir, "jobs_clean"), "job_id", TEXTS)
 
 
+def _consensus(spark: SparkSession, sf_dir: str) -> Consensus:
+    gold = table(spark, sf_dir, "gold_jobs")
+    return Consensus(gold, "job_id", "annotated_by", F.col("annotations.skill_id"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).items().filter("probability > 0.5").select(F.col("item").alias("job_id"), F.col("label").alias("skill_id"))
+
+
+def p2_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).annotators()
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consensus(spark, sf_dir).agreement().withColumnRenamed("item", "job_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = associations(table(spark, sf_dir, "jobs_clean"), "extracted_skills", least=5)
     return found.filter("joint < n AND npmi >= 0.3").select(F.col("a").alias("skill_a"), F.col("b").alias("skill_b"))
@@ -44,6 +63,13 @@ def p6_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_sample(table(spark, sf_dir, "role_sample"), "job_id", 0.25, stratum="stratum")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "jobs_clean")
+    places = map_to_canon(jobs.filter("normalized_location IS NULL"), "job_id", "raw_location", table(spark, sf_dir, "canon_locations"), "ref_id", "normalized_location", several=True)
+    titles = map_to_canon(jobs.filter("normalized_job_title IS NULL"), "job_id", "raw_job_title", table(spark, sf_dir, "canon_titles"), "ref_id", "normalized_job_title", title=True)
+    return places.select("job_id", F.lit("raw_location").alias("field"), "ref_id").unionByName(titles.select("job_id", F.lit("raw_job_title").alias("field"), "ref_id"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
