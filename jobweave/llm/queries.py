@@ -12,6 +12,7 @@ from jobweave.llm.common import table
 from jobweave.llm.consensus import Consensus
 from jobweave.llm.cooccur import associations
 from jobweave.llm.encode import encode_corpus
+from jobweave.llm.history import Repeats
 from jobweave.llm.leaks import find_leaks
 from jobweave.llm.lookalikes import unify
 from jobweave.llm.pieces import split_oversized
@@ -45,6 +46,10 @@ def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _consensus(spark, sf_dir).agreement().withColumnRenamed("item", "job_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Repeats(table(spark, sf_dir, "jobs_raw")).pairs().select(F.col("a").alias("raw_id_a"), F.col("b").alias("raw_id_b"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = associations(table(spark, sf_dir, "jobs_clean"), "extracted_skills", least=5)
     return found.filter("joint < n AND npmi >= 0.3").select(F.col("a").alias("skill_a"), F.col("b").alias("skill_b"))
