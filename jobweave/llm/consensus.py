@@ -19,7 +19,7 @@ from jobweave.llm.stable_sample import plain_id
 
 #: Where the types start: the chance to give a label that is due, and one that isn't.
 TYPES = ((0.95, 0.02), (0.8, 0.1), (0.95, 0.5), (0.5, 0.1), (0.5, 0.4))
-ROUNDS = 10
+ROUNDS = 6
 PULL = 10.0  # labels' worth of a type's matrix in each annotator's own
 
 
@@ -69,20 +69,18 @@ class Consensus:
         self.mix = [math.log(1 / len(types))] * len(types)
         prior, params = 0.0, None
         strength = [[[50 * x for x in row] for row in t] for t in self.types]
+        start = [[[50 * x for x in row] for row in t] for t in self.types]
+        names = [(m, z, y) for m in range(len(types)) for z in (0, 1) for y in (0, 1)]
+        columns = {0: {0: "d1", 1: "d0"}, 1: {0: "n1", 1: "n0"}}
         for _ in range(rounds):
             stats = cut(self._stats(prior, params))
-            got = stats.agg(F.sum(F.when(F.col("a") == "", F.col("d1"))).alias("q1"), F.sum(F.when(F.col("a") == "", F.col("d0"))).alias("q0")).first()
-            prior = math.log((got["q1"] or 0.0) + 1) - math.log((got["q0"] or 0.0) + 1)
-            people = stats.filter("a <> ''")
-            r = self._membership(strength)
-            names = [(m, z, y) for m in range(len(types)) for z in (0, 1) for y in (0, 1)]
-            columns = {0: {0: "d1", 1: "d0"}, 1: {0: "n1", 1: "n0"}}
-            sums = people.agg(*[F.sum(r[m] * F.col(columns[z][y])).alias(f"s{m}{z}{y}") for m, z, y in names], *[F.sum(r[m]).alias(f"r{m}") for m in range(len(types))]).first()
-            start = [[[50 * x for x in row] for row in t] for t in ([[g, 1 - g], [b, 1 - b]] for g, b in types)]
+            r, person = self._membership(strength), F.col("a") != ""
+            sums = stats.agg(*[F.sum(F.when(person, r[m] * F.col(columns[z][y]))).alias(f"s{m}{z}{y}") for m, z, y in names], *[F.sum(F.when(person, r[m])).alias(f"r{m}") for m in range(len(types))], F.sum(F.when(~person, F.col("d1"))).alias("q1"), F.sum(F.when(~person, F.col("d0"))).alias("q0")).first()
+            prior = math.log((sums["q1"] or 0.0) + 1) - math.log((sums["q0"] or 0.0) + 1)
             strength = [[[start[m][z][y] + (sums[f"s{m}{z}{y}"] or 0.0) for y in (0, 1)] for z in (0, 1)] for m in range(len(types))]
             held = [(sums[f"r{m}"] or 0.0) + 1.0 for m in range(len(types))]
             self.mix = [_digamma(h) - _digamma(sum(held)) for h in held]
-            params = self._own(people, strength)
+            params = self._own(stats.filter(person), strength)
         self.prior, self.params = prior, params
 
     def _scored(self, prior: float, params: DataFrame | None) -> DataFrame:
@@ -119,7 +117,7 @@ class Consensus:
         pulled = lambda z, y: sum((r[m] * (self.pull * mean[m][z][y]) for m in range(1, len(mean))), r[0] * (self.pull * mean[0][z][y]))
         own = people.select("a", "d1", "d0", "n1", "n0", F.array(*r).alias("r"), (F.col("d1") + pulled(0, 0)).alias("A1"), (F.col("d0") + pulled(0, 1)).alias("A0"), (F.col("n1") + pulled(1, 0)).alias("B1"), (F.col("n0") + pulled(1, 1)).alias("B0"))
         da, db = digamma(F.col("A1") + F.col("A0")), digamma(F.col("B1") + F.col("B0"))
-        return cut(own.select("a", "r", (F.col("A1") / (F.col("A1") + F.col("A0"))).alias("gives_due"), (F.col("B0") / (F.col("B1") + F.col("B0"))).alias("withholds_undue"), (digamma(F.col("A1")) - da).alias("g1"), (digamma(F.col("A0")) - da).alias("h1"), (digamma(F.col("B1")) - db).alias("g0"), (digamma(F.col("B0")) - db).alias("h0")))
+        return own.select("a", "r", (F.col("A1") / (F.col("A1") + F.col("A0"))).alias("gives_due"), (F.col("B0") / (F.col("B1") + F.col("B0"))).alias("withholds_undue"), (digamma(F.col("A1")) - da).alias("g1"), (digamma(F.col("A0")) - da).alias("h1"), (digamma(F.col("B1")) - db).alias("g0"), (digamma(F.col("B0")) - db).alias("h0"))
 
     def items(self) -> DataFrame:
         """(item, label, probability) of every label anybody gave."""

@@ -13,6 +13,7 @@ from jobweave.llm.consensus import Consensus
 from jobweave.llm.cooccur import associations
 from jobweave.llm.encode import encode_corpus
 from jobweave.llm.history import Repeats
+from jobweave.llm.langid import fitted, languages, mislabelled
 from jobweave.llm.leaks import find_leaks
 from jobweave.llm.lookalikes import unify
 from jobweave.llm.pieces import split_oversized
@@ -60,6 +61,16 @@ def p4_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("a").alias("skill_a"), F.col("b").alias("skill_b"), "joint", *[F.round(c, 6).alias(c) for c in ("lift", "npmi", "jaccard")])
 
 
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "jobs_clean").select("job_id", "job_text"), table(spark, sf_dir, "posting_lang")
+    return languages(docs, "job_id", "job_text", fitted(docs, labels, "job_id", "job_text", "lang"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mislabelled(p5_languages(spark, sf_dir), table(spark, sf_dir, "posting_lang"), "job_id", "lang")
+    return found.select("job_id", F.explode("runs").alias("r")).select("job_id", "r.line_from", "r.lang").distinct()
+
+
 def p6_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_sample(table(spark, sf_dir, "gold_jobs"), "job_id", 0.2).select("job_id")
 
