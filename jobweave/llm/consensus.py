@@ -9,8 +9,10 @@ numbers pass through the driver.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +25,9 @@ ROUNDS = 6
 PULL = 10.0  # labels' worth of a type's matrix in each annotator's own
 
 
-def digamma(x: Column) -> Column:
+def digamma(x: np.ndarray) -> np.ndarray:
     up = x + 6
-    return F.log(up) - 1 / (2 * up) - 1 / (12 * up * up) + 1 / (120 * up * up * up * up) - sum(((1 / (x + k)) for k in range(1, 6)), 1 / x)
-
-
-def _digamma(x: float) -> float:
-    s = 0.0
-    while x < 6:
-        s, x = s - 1 / x, x + 1
-    return s + math.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4)
+    return np.log(up) - 1 / (2 * up) - 1 / (12 * up**2) + 1 / (120 * up**4) - sum(1 / (x + k) for k in range(6))
 
 
 def plain_name(c: Column) -> Column:
@@ -64,23 +59,19 @@ class Consensus:
         patterns = patterns.groupBy("p").agg(F.sum("w").cast("double").alias("w")).filter("w > 0")
         cell = F.explode(F.split("p", " ")).alias("c")
         votes = patterns.select("p", "w", cell).select("p", "w", F.expr("substring(c, 1, length(c) - 1)").alias("a"), (F.substring("c", -1, 1) == "+").cast("double").alias("y"))
-        self.votes, self.posts, self.raw_items, self.pull = cut(votes), posts, items, pull
-        self.types = [[[g, 1 - g], [b, 1 - b]] for g, b in types]  # [type][0: due, 1: not due][0: given, 1: withheld]
-        self.mix = [math.log(1 / len(types))] * len(types)
+        self.votes, self.posts, self.raw_items = cut(votes), posts, items
         prior, params = 0.0, None
-        strength = [[[50 * x for x in row] for row in t] for t in self.types]
-        start = [[[50 * x for x in row] for row in t] for t in self.types]
-        names = [(m, z, y) for m in range(len(types)) for z in (0, 1) for y in (0, 1)]
-        columns = {0: {0: "d1", 1: "d0"}, 1: {0: "n1", 1: "n0"}}
+        # Types' matrices as numbers of labels: [type, 0: due or 1: not due, 0: given or 1: withheld].
+        start = 50 * np.array([[[g, 1 - g], [b, 1 - b]] for g, b in types])
+        strength, mix = start, np.log(np.full(len(types), 1 / len(types)))
         for _ in range(rounds):
             stats = cut(self._stats(prior, params))
-            r, person = self._membership(strength), F.col("a") != ""
-            sums = stats.agg(*[F.sum(F.when(person, r[m] * F.col(columns[z][y]))).alias(f"s{m}{z}{y}") for m, z, y in names], *[F.sum(F.when(person, r[m])).alias(f"r{m}") for m in range(len(types))], F.sum(F.when(~person, F.col("d1"))).alias("q1"), F.sum(F.when(~person, F.col("d0"))).alias("q0")).first()
-            prior = math.log((sums["q1"] or 0.0) + 1) - math.log((sums["q0"] or 0.0) + 1)
-            strength = [[[start[m][z][y] + (sums[f"s{m}{z}{y}"] or 0.0) for y in (0, 1)] for z in (0, 1)] for m in range(len(types))]
-            held = [(sums[f"r{m}"] or 0.0) + 1.0 for m in range(len(types))]
-            self.mix = [_digamma(h) - _digamma(sum(held)) for h in held]
-            params = self._own(stats.filter(person), strength)
+            part = stats.mapInPandas(_summed(strength, mix), ", ".join(f"s{i} double" for i in range(5 * len(types) + 2)))
+            sums = np.array([x or 0.0 for x in part.agg(*[F.sum(c).alias(c) for c in part.columns]).first()])
+            prior = float(np.log(sums[-2] + 1) - np.log(sums[-1] + 1))
+            held = sums[: len(types)] + 1
+            strength, mix = start + sums[len(types) : -2].reshape(-1, 2, 2), digamma(held) - digamma(held.sum(keepdims=True))
+            params = stats.filter("a <> ''").mapInPandas(_own(strength, mix, pull), "a string, type int, gives_due double, withholds_undue double, g1 double, h1 double, g0 double, h0 double")
         self.prior, self.params = prior, params
 
     def _scored(self, prior: float, params: DataFrame | None) -> DataFrame:
@@ -100,25 +91,6 @@ class Consensus:
         total = items.agg(F.sum(w * q).alias("d1"), F.sum(w * (1 - q)).alias("d0")).select(F.lit("").alias("a"), "d1", "d0", F.lit(0.0).alias("n1"), F.lit(0.0).alias("n0"))
         return own.unionByName(total)
 
-    def _membership(self, strength: list) -> list[Column]:
-        """The probability of each type, from an annotator's numbers."""
-        logs = []
-        for m, t in enumerate(strength):
-            e = [[_digamma(t[z][y]) - _digamma(t[z][0] + t[z][1]) for y in (0, 1)] for z in (0, 1)]
-            logs.append(F.lit(self.mix[m]) + F.col("d1") * e[0][0] + F.col("d0") * e[0][1] + F.col("n1") * e[1][0] + F.col("n0") * e[1][1])
-        top = F.greatest(*logs)
-        weights = [F.exp(x - top) for x in logs]
-        return [x / sum(weights[1:], weights[0]) for x in weights]
-
-    def _own(self, people: DataFrame, strength: list) -> DataFrame:
-        """Each annotator's matrix: the numbers of their own and PULL labels' worth of their type's; and its expected logarithms."""
-        r = self._membership(strength)
-        mean = [[[t[z][y] / (t[z][0] + t[z][1]) for y in (0, 1)] for z in (0, 1)] for t in strength]
-        pulled = lambda z, y: sum((r[m] * (self.pull * mean[m][z][y]) for m in range(1, len(mean))), r[0] * (self.pull * mean[0][z][y]))
-        own = people.select("a", "d1", "d0", "n1", "n0", F.array(*r).alias("r"), (F.col("d1") + pulled(0, 0)).alias("A1"), (F.col("d0") + pulled(0, 1)).alias("A0"), (F.col("n1") + pulled(1, 0)).alias("B1"), (F.col("n0") + pulled(1, 1)).alias("B0"))
-        da, db = digamma(F.col("A1") + F.col("A0")), digamma(F.col("B1") + F.col("B0"))
-        return own.select("a", "r", (F.col("A1") / (F.col("A1") + F.col("A0"))).alias("gives_due"), (F.col("B0") / (F.col("B1") + F.col("B0"))).alias("withholds_undue"), (digamma(F.col("A1")) - da).alias("g1"), (digamma(F.col("A0")) - da).alias("h1"), (digamma(F.col("B1")) - db).alias("g0"), (digamma(F.col("B0")) - db).alias("h0"))
-
     def items(self) -> DataFrame:
         """(item, label, probability) of every label anybody gave."""
         q = self._scored(self.prior, self.params).groupBy("p").agg(F.first("q").alias("q"))
@@ -127,8 +99,7 @@ class Consensus:
     def annotators(self) -> DataFrame:
         """(annotator, n_items, gives_due, withholds_undue, reliability, type): reliability is gives_due + withholds_undue - 1."""
         n = self.posts.select(F.explode("v.a").alias("a")).groupBy("a").agg(F.count("*").alias("n_items"))
-        kind = (F.array_position("r", F.array_max("r")) - 1).cast("int")
-        return self.params.join(n, "a").select(F.col("a").alias("annotator"), "n_items", "gives_due", "withholds_undue", (F.col("gives_due") + F.col("withholds_undue") - 1).alias("reliability"), kind.alias("type"))
+        return self.params.join(n, "a").select(F.col("a").alias("annotator"), "n_items", "gives_due", "withholds_undue", (F.col("gives_due") + F.col("withholds_undue") - 1).alias("reliability"), "type")
 
     def agreement(self) -> DataFrame:
         """(item, n_annotators, n_labels, agreement): over the labels anybody gave the item, the mean share of pairs of annotators that treat it alike; null for one annotator or no label."""
@@ -136,3 +107,46 @@ class Consensus:
         alike = F.transform("all", lambda l: F.aggregate("v", F.lit(0), lambda s, x: s + F.array_contains(x["s"], l).cast("int")))  # noqa: E741
         share = F.aggregate(F.transform(alike, lambda k: (k * (k - 1) + (n - k) * (n - k - 1)) / (n * (n - 1))), F.lit(0.0), lambda s, x: s + x) / F.size("all")
         return self.posts.select(F.col("j").alias("item"), n.alias("n_annotators"), F.size("all").alias("n_labels"), F.when((n > 1) & (F.size("all") > 0), share).alias("agreement"))
+
+
+def _people(pdf: pd.DataFrame) -> np.ndarray:
+    """[annotator, due or not, given or withheld]"""
+    return pdf[["d1", "d0", "n1", "n0"]].to_numpy(float).reshape(-1, 2, 2)
+
+
+def _membership(n: np.ndarray, strength: np.ndarray, mix: np.ndarray) -> np.ndarray:
+    """[annotator, type]: the probability of each type."""
+    e = digamma(strength) - digamma(strength.sum(2, keepdims=True))
+    logs = mix + np.einsum("azy,mzy->am", n, e)
+    r = np.exp(logs - logs.max(1, keepdims=True))
+    return r / r.sum(1, keepdims=True)
+
+
+def _summed(strength: np.ndarray, mix: np.ndarray):
+    """Per batch of annotators: the types' members, their labels by type, and the items due and not."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            total, people = pdf[pdf.a == ""], pdf[pdf.a != ""]
+            n = _people(people)
+            r = _membership(n, strength, mix)
+            row = np.concatenate([r.sum(0), np.einsum("am,azy->mzy", r, n).ravel(), [total.d1.fillna(0).sum(), total.d0.fillna(0).sum()]])
+            yield pd.DataFrame([row], columns=[f"s{i}" for i in range(len(row))])
+
+    return f
+
+
+def _own(strength: np.ndarray, mix: np.ndarray, pull: float):
+    """Each annotator's matrix, from their own labels and `pull` labels' worth of their type's, and its expected logarithms."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mean = strength / strength.sum(2, keepdims=True)
+        for pdf in batches:
+            n = _people(pdf)
+            r = _membership(n, strength, mix)
+            a = n + pull * np.einsum("am,mzy->azy", r, mean)
+            e = digamma(a) - digamma(a.sum(2, keepdims=True))
+            p = a / a.sum(2, keepdims=True)
+            yield pd.DataFrame({"a": pdf.a, "type": r.argmax(1).astype("int32"), "gives_due": p[:, 0, 0], "withholds_undue": p[:, 1, 1], "g1": e[:, 0, 0], "h1": e[:, 0, 1], "g0": e[:, 1, 0], "h0": e[:, 1, 1]})
+
+    return f
