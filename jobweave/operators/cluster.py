@@ -53,19 +53,25 @@ def davies_bouldin(labelled: DataFrame, label: str = "prediction", features: str
     return float(np.mean([max((spread[a] + spread[b]) / max(float(np.linalg.norm(centre[a] - centre[b])), 1e-12) for b in centre if b != a) for a in centre]))
 
 
-def _lloyd(x: np.ndarray, k: int, r: np.random.Generator, rounds: int = 30) -> np.ndarray:
+def _lloyd(x: np.ndarray, k: int, r: np.random.Generator, starts: int = 5, rounds: int = 30) -> np.ndarray:
+    """Labels of the best of several starts by the sum of squared distances."""
+    return min((_once(x, k, r, rounds) for _ in range(starts)), key=lambda t: t[0])[1]
+
+
+def _once(x: np.ndarray, k: int, r: np.random.Generator, rounds: int) -> tuple[float, np.ndarray]:
     centre = x[[int(r.integers(len(x)))]]
     for _ in range(1, k):
         d = ((x[:, None] - centre[None]) ** 2).sum(2).min(1) if len(x) * len(centre) * x.shape[1] < 5e7 else np.min([((x - c) ** 2).sum(1) for c in centre], 0)
         p = d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x))
         centre = np.vstack([centre, x[int(r.choice(len(x), p=p))]])
     for _ in range(rounds):
-        near = ((x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)).argmin(1)
+        d = (x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)
+        near = d.argmin(1)
         new = np.array([x[near == c].mean(0) if (near == c).any() else centre[c] for c in range(k)])
         if np.allclose(new, centre):
             break
         centre = new
-    return near
+    return float(d.min(1).sum()), near
 
 
 def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
