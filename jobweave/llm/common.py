@@ -33,8 +33,9 @@ def cut(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Even partitions for Python work that would otherwise run in as many tasks as the input has row groups."""
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions for Python work, where the input alone gives fewer than there are cores (as one small file does)."""
     sc = df.sparkSession.sparkContext
-    n = max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *by)
+    if df.rdd.getNumPartitions() >= sc.defaultParallelism:
+        return df
+    return df.repartition(max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

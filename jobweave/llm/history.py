@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.llm import lookalikes
@@ -25,10 +25,14 @@ LEAST_CHARS = 60  # shorter texts say nothing
 RUN = 32  # bytes a match must have to cover anything
 COVERED = 0.68  # share of both texts, by bytes, that matches must cover
 # Stretches by which records are routed: bytes, one in so many places, and the lengths of text for which it holds.
-TIERS = ((112, 4, 320, 1 << 40), (36, 2, 0, 500))
-SHARED = 0.08  # share of a record's sampled places that a pair must have in common
-FEW = 64  # records at one place that are all paired; of more, each is paired with the earliest, then with all accepted ones
+TIERS = ((96, 6, 320, 1 << 40), (36, 2, 0, 500))
+SHARED = 0.10  # share of the sampled places, of the text with more, that a pair must have in common
+# The same for records at crowded places, where long stretches in common say little.
+FINE_TIERS = ((72, 6, 320, 1 << 40), (36, 2, 0, 500))
+FINE_SHARED = 0.18
+FEW = 64  # records at one place that are all paired; of more, each is paired with the earliest, then looked at more finely
 SHARD_PAIRS = 3000
+SENT = 1_000_000  # ids up to which a list of rows, 8 bytes each, is broadcast to pick their texts before these are shuffled
 # Fixed value: query fields of an address that don't tell pages apart.
 INCIDENTAL = r"^(utm_\w+|trk|clk|ref|refid|src|fbclid|gclid|msclkid|mc_[ce]id|session\w*|sid|click_?id|tracking\w*|share\w*)$"
 
@@ -57,7 +61,7 @@ def page(url: Column) -> Column:
 def plain_sql() -> str:
     """DuckDB: table batch (k, v) to (k, v) with v in words: no mark-up, accents, case, look-alikes or punctuation."""
     return rf"""SELECT k, trim(regexp_replace(lower(replace(replace(strip_accents(regexp_replace(coalesce(unified, ''), '<[^<>]{{1,120}}>|&[a-zA-Z]{{2,8}};|&#[0-9]{{1,6}};', ' ', 'g')), 'đ', 'd'), 'Đ', 'd')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS v
-    FROM ({lookalikes.sql("batch", ["k"], "v")})"""
+    FROM ({lookalikes.sql("batch", ["k"], "v", composed=False)})"""
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +75,7 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return b, starts, np.flatnonzero(head & (b != 32) & ((b & 0xC0) != 0x80))
 
 
-def anchors(texts: list[str]) -> list[np.ndarray]:
+def anchors(texts: list[str], tiers: tuple = TIERS) -> list[np.ndarray]:
     """For each text the fingerprints of its stretches at sampled places; equal stretches are sampled alike wherever they stand."""
     if not texts:
         return []
@@ -83,7 +87,7 @@ def anchors(texts: list[str]) -> list[np.ndarray]:
     span = lambda i, n: _mixed((total[i + n] - total[i]) * back[i])
     out: list[list[np.ndarray]] = [[] for _ in texts]
     doc = np.searchsorted(starts, at, "right") - 1
-    for tier, (length, rate, low, high) in enumerate(TIERS):
+    for tier, (length, rate, low, high) in enumerate(tiers):
         ok = (at + length <= starts[doc] + sizes[doc]) & (sizes[doc] >= low) & (sizes[doc] < high)
         i, d = at[ok], doc[ok]
         pick = span(i, 16) % np.uint64(rate) == 0 if length > 16 else np.ones(len(i), bool)
@@ -126,28 +130,20 @@ class Segment:
             out.append(z)
         return Segment(np.append(self.ids, other.ids), *out)
 
-    def hits(self, query: np.ndarray, wanted: np.ndarray, wanted_from: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in query, position in the segment) of all matches between a query's suffixes and the records its text is linked to.
+    def hits(self, query: np.ndarray, doc: np.ndarray, linked: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in query, position in the segment) of all matches between a query's suffixes and the records their text is linked to.
 
-        wanted[wanted_from[d]:wanted_from[d + 1]] are the sorted ids linked to query text d.
+        doc: the text of each suffix; linked[text, record]: whether they are linked, record being number[id's place in ids], or -1.
         """
         lo, hi = np.searchsorted(self.suffixes, query, "left"), np.searchsorted(self.suffixes, query, "right")
         n = hi - lo
         q = np.repeat(np.arange(len(query)), n)
         s = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        if not len(q):
-            return q, s
-        key = doc[q] * np.int64(1 << 20) + np.searchsorted(_known(wanted), self.ids[self.records[s]])
-        all_wanted = np.repeat(np.arange(len(wanted_from) - 1), np.diff(wanted_from)) * np.int64(1 << 20) + np.searchsorted(_known(wanted), wanted)
-        known = np.isin(self.ids[self.records[s]], wanted)
-        ok = known & np.isin(key, all_wanted)
+        record = number[self.records[s]]
+        ok = (record >= 0) & linked[doc[q], record]
         return q[ok], s[ok]
 
 
-def _known(wanted: np.ndarray) -> np.ndarray:
-    return np.unique(wanted)
-
-
 def suffixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first RUN bytes, text, place in it) of the suffixes of at least RUN bytes at word starts."""
     b, starts, at = _joined(texts)
@@ -187,23 +183,27 @@ def covering(batches: list[tuple[list[int], list[str]]], queries: dict[int, list
         for n in range(0, len(asked), 200):
             some = asked[n : n + 200]
             query, doc, place = suffixes([t for _, t, _ in some])
-            wanted = np.concatenate([np.sort(np.array(w, np.int64)) for _, _, w in some])
-            ends = np.append(0, np.cumsum([len(w) for _, _, w in some]))
+            wanted = np.unique(np.concatenate([np.array(w, np.int64) for _, _, w in some]))
+            linked = np.zeros((len(some), len(wanted)), bool)
+            for d, (_, _, w) in enumerate(some):
+                linked[d, np.searchsorted(wanted, w)] = True
             pairs, q_at, s_at = [], [], []
             for g in segments:
-                q, s = g.hits(query, wanted, ends, doc.astype(np.int64))
+                number = np.searchsorted(wanted, g.ids)
+                number[(number == len(wanted)) | (wanted[np.minimum(number, len(wanted) - 1)] != g.ids)] = -1
+                q, s = g.hits(query, doc, linked, number)
                 pairs.append(np.stack([doc[q].astype(np.int64), g.ids[g.records[s]]]))
                 q_at.append(place[q])
                 s_at.append(g.places[s])
             both = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
             if not both.shape[1]:
                 continue
-            kinds, number = np.unique(both, axis=1, return_inverse=True)
-            number = number.ravel()
-            of_q = _covered(number, np.concatenate(q_at), kinds.shape[1])
-            of_s = _covered(number, np.concatenate(s_at), kinds.shape[1])
-            for (d, a), x, y in zip(kinds.T.tolist(), of_q, of_s):
-                later, text, _ = some[d]
+            place_of = both[0] * len(wanted) + np.searchsorted(wanted, both[1])
+            kinds, number = np.unique(place_of, return_inverse=True)
+            of_q = _covered(number, np.concatenate(q_at), len(kinds))
+            of_s = _covered(number, np.concatenate(s_at), len(kinds))
+            for kind, x, y in zip(kinds.tolist(), of_q, of_s):
+                (later, text, _), a = some[kind // len(wanted)], int(wanted[kind % len(wanted)])
                 out.append((a, later, (x + y) / max(1, size[a] + len(text.encode()))))
         while len(segments) > 1 and len(segments[-2].suffixes) <= 2 * len(segments[-1].suffixes):
             last = segments.pop()
@@ -226,56 +226,81 @@ class Repeats:
         self.rows = cut(spread(narrow).mapInArrow(_prepared, "o long, u long, i long, c long, t string, n int, h array<long>"))
         light = self.rows.select("o", "u", "i", "c")
         # A text that several rows share stands for all of them, under its first row.
-        texts = self.rows.filter("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("o", "n", "h")).alias("r")).select("c", "r.*")
-        self.texts = texts
-        self.edges = cut(self._similar(self._routed(texts.select("o", "n", "h"))))
-        self._resolve(light, texts.select("c", F.col("o").alias("first")))
-
-    def _routed(self, texts: DataFrame) -> DataFrame:
-        """(a, b), a < b: first rows of texts to be compared."""
-        places = texts.select("o", "n", F.explode("h").alias("h"))
-        crowd = places.groupBy("h").agg(F.count("*").alias("m"), F.min(F.struct("o", "n")).alias("first")).filter("m > 1")
-        self.places = cut(places.join(crowd, "h"))
-        few = self.places.filter(F.col("m") <= FEW).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("o", "n"))).alias("x"))
+        firsts = cut(light.filter("c IS NOT NULL").groupBy("c").agg(F.min("o").alias("first")))
+        marks = cut(self.rows.filter(F.size("h") > 0).select("o", "n", "h").join(firsts.select(F.col("first").alias("o")), "o", "left_semi"))
+        self.edges = cut(self._similar(self._routed(marks.select("o", "n", F.explode("h").alias("h")))))
+        self._resolve(light, firsts)
+
+    def _routed(self, places: DataFrame) -> DataFrame:
+        """(a, b), a < b: first rows of texts to be compared, from (o, n, h), the sampled places h of n of the text at o."""
+        crowd = places.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
+        shared = cut(places.join(crowd, "h"))
+        crowded = shared.filter(F.col("m") > FEW)
+        crowded = crowded.join(crowded.groupBy("h").agg(F.min(F.struct("o", "n")).alias("first")), "h")
+        crowded = cut(_rarest(crowded, SHARED))
+        self.crowded = crowded.filter("NOT left_out")
+        few = shared.filter(F.col("m") <= FEW).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("o", "n"))).alias("x"))
         pair = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
         pairs = few.select(F.explode(pair).alias("p")).select("p.*")
-        star = self.places.filter((F.col("m") > FEW) & (F.col("o") != F.col("first.o"))).select(F.col("first").alias("a"), F.struct("o", "n").alias("b"))
-        together = pairs.unionByName(star).groupBy(F.col("a.o").alias("a"), F.col("b.o").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("a.n", "b.n")).alias("n"))
-        return together.filter(F.col("k") >= SHARED * F.col("n")).select("a", "b")
+        star = self.crowded.filter(F.col("o") != F.col("first.o")).select(F.col("first").alias("a"), F.struct("o", "n").alias("b"))
+        return _enough(pairs.unionByName(star), crowded, SHARED)
+
+    def _finer(self, accepted: DataFrame) -> DataFrame:
+        """(a, b): texts at crowded places to be compared, one of them at least among the accepted.
+
+        The texts are sampled anew, at shorter stretches, of which a pair must share more. What is crowded with accepted texts even then is paired.
+        """
+        if self.fine is None:
+            ids = cut(self.crowded.select("o").distinct())
+            texts = self._texts(ids, ids.count()).join(ids, "o", "left_semi")
+            places = spread(texts).mapInArrow(_finely, "o long, n int, h long")
+            shared = places.join(places.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "h")
+            self.fine = cut(_rarest(shared, FINE_SHARED))
+        kept = self.fine.filter("NOT left_out")
+        held = kept.join(accepted, "o", "left_semi").select("h", F.struct("o", "n").alias("y"))
+        met = held.join(kept.select("h", F.struct("o", "n").alias("x")), "h").filter("x.o <> y.o")
+        turned = F.col("x.o") < F.col("y.o")
+        both = met.select(F.when(turned, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("b"), "h").distinct()
+        return _enough(both.select("a", "b"), self.fine, FINE_SHARED)
 
     def _similar(self, pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs whose texts cover each other; each shard holds few pairs, however many one record has."""
         pairs = cut(pairs)
-        n = max(1, -(-pairs.count() // SHARD_PAIRS))
+        n_pairs = pairs.count()
+        n = max(1, -(-n_pairs // SHARD_PAIRS))
         heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SHARD_PAIRS)).alias("parts"))
         dealt = pairs.join(heavy, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")), F.lit(n)).alias("shard"))
-        texts = self.rows.filter("c IS NOT NULL").select("o", "t")
+        texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("o")).distinct(), 2 * n_pairs)
         none = F.array().cast("array<long>")
         earlier = dealt.select("shard", F.col("a").alias("o")).distinct().join(texts, "o").select("shard", "o", "t", none.alias("w"))
         later = dealt.groupBy("shard", F.col("b").alias("o")).agg(F.collect_list("a").alias("w")).join(texts, "o").select("shard", "o", "t", "w")
         return earlier.unionByName(later).groupBy("shard").applyInArrow(_compared, "a long, b long, covered double").filter(F.col("covered") >= COVERED).select("a", "b")
 
+    def _texts(self, ids: DataFrame, at_most: int) -> DataFrame:
+        """(o, t) of at least the given rows: of them alone where the list is small enough to send, else of all."""
+        texts = self.rows.filter("c IS NOT NULL").select("o", "t")
+        return texts.join(F.broadcast(ids), "o", "left_semi") if at_most <= SENT else texts
+
     def _resolve(self, light: DataFrame, firsts: DataFrame) -> None:
         """Which rows are accepted. Every link is a group of rows of which each repeats the others; rows without any are accepted."""
         while True:
             self._rounds(light, firsts)
-            # At crowded places each text met the earliest only. Those not linked yet meet the accepted ones, too.
-            crowded = self.places.filter(F.col("m") > FEW)
-            held = self.accepted_texts(firsts)
-            good = crowded.join(held, "o", "left_semi").select("h", F.col("o").alias("a"))
-            met = good.join(crowded.select("h", F.col("o").alias("x"), F.col("first.o").alias("f")), "h").filter("a <> x AND a <> f AND x <> f")
-            met = met.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
+            # At crowded places each text met the earliest only; now those not refused meet the others, too.
+            if self.crowded.isEmpty():
+                return
+            met = self._finer(self.accepted_texts(firsts)).join(self.edges, ["a", "b"], "left_anti")
             if self.met is not None:
                 met = met.join(self.met, ["a", "b"], "left_anti")
             met = cut(met)
             if met.isEmpty():
                 return
-            new = cut(self._similar(met).join(self.edges, ["a", "b"], "left_anti"))
-            self.met = met if self.met is None else cut(self.met.unionByName(met))
+            new = cut(self._similar(met))
             if new.isEmpty():
                 return
+            self.met = met if self.met is None else cut(self.met.unionByName(met))
             self.edges = cut(self.edges.unionByName(new))
 
+    fine: DataFrame | None = None
     met: DataFrame | None = None
 
     def accepted_texts(self, firsts: DataFrame) -> DataFrame:
@@ -283,25 +308,27 @@ class Repeats:
         return self.rows.select("o", "c").filter("c IS NOT NULL").join(self.refused, "o", "left_anti").select("c").distinct().join(firsts, "c").select(F.col("first").alias("o"))
 
     def _rounds(self, light: DataFrame, firsts: DataFrame) -> None:
-        linked = self.edges.select(F.col("a").alias("first"), F.concat_ws("-", "a", "b").alias("g")).unionByName(self.edges.select(F.col("b").alias("first"), F.concat_ws("-", "a", "b").alias("g")))
+        linked = self.edges.select(F.col("a").alias("first"), F.xxhash64("a", "b").alias("g")).unionByName(self.edges.select(F.col("b").alias("first"), F.xxhash64("a", "b").alias("g")))
         by_text = light.filter("c IS NOT NULL").select("o", "c")
         of_edges = by_text.join(firsts.join(linked, "first").select("c", "g"), "c").select("o", "g")
-        keys = [light.filter(f"{k} IS NOT NULL").select("o", F.concat(F.lit(k), F.col(k)).alias("g")) for k in ("u", "i", "c")]
+        keys = [light.filter(f"{k} IS NOT NULL").select("o", F.xxhash64(F.lit(k), k).alias("g")) for k in ("u", "i", "c")]
         groups = of_edges
         for k in keys:
             groups = groups.unionByName(k)
         crowd = groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
         self.groups = cut(groups.join(crowd, "g").select("o", "g"))
-        # status: null open, 1 accepted, 0 refused
-        state = self.groups.select("o").distinct().withColumn("s", F.lit(None).cast("int"))
+        # state: null open, 1 accepted, 0 refused. Groups whose rows are all settled take no part in later rounds.
+        alive, state = self.groups, self.groups.select("o").distinct().withColumn("s", F.lit(None).cast("int"))
         while True:
-            s = self.groups.join(state, "o")
-            lead = s.groupBy("g").agg(F.min(F.when(F.col("s") == 1, F.col("o"))).alias("yes"), F.min(F.when(F.col("s").isNull(), F.col("o"))).alias("open"))
-            seen = s.filter("s IS NULL").join(lead, "g").groupBy("o").agg(F.max(F.coalesce(F.col("yes") < F.col("o"), F.lit(False))).alias("no"), F.min(F.col("open") == F.col("o")).alias("leads"))
+            s = alive.join(state, "o")
+            lead = s.groupBy("g").agg(F.min(F.when(F.col("s") == 1, F.col("o"))).alias("yes"), F.min(F.when(F.col("s").isNull(), F.col("o"))).alias("open")).filter("open IS NOT NULL")
+            alive = cut(s.join(lead, "g"))
+            seen = alive.filter("s IS NULL").groupBy("o").agg(F.max(F.coalesce(F.col("yes") < F.col("o"), F.lit(False))).alias("no"), F.min(F.col("open") == F.col("o")).alias("leads"))
             fresh = seen.select("o", F.when(F.col("no"), 0).when(F.col("leads"), 1).alias("s2"))
             state = cut(state.join(fresh, "o", "left").select("o", F.coalesce("s", "s2").alias("s")))
             if state.filter("s IS NULL").isEmpty():
                 break
+            alive = alive.select("o", "g")
         self.refused = state.filter("s = 0").select("o")
         self.state = state
 
@@ -314,6 +341,35 @@ class Repeats:
         return no.join(yes, "g").filter("a < b").select(F.col("a").bitwiseAND(mask).alias("a"), F.col("b").bitwiseAND(mask).alias("b")).distinct()
 
 
+def _rarest(places: DataFrame, share: float) -> DataFrame:
+    """places (o, n, h, m) with left_out: whether the text can do without the place.
+
+    A pair must share `share` of the places of the text with more. So each may leave out that many of its most crowded places, less one: of
+    those that a pair shares, the rarest is left out by neither.
+    """
+    spared = F.greatest(F.ceil(F.col("n") * share) - 1, F.lit(0))
+    return places.withColumn("left_out", F.row_number().over(Window.partitionBy("o").orderBy(F.desc("m"), "h")) <= spared)
+
+
+def _enough(pairs: DataFrame, places: DataFrame, share: float) -> DataFrame:
+    """(a, b) of the pairs (structs of o and n) that share enough of the places not left out."""
+    together = pairs.groupBy(F.col("a.o").alias("a"), F.col("b.o").alias("b")).agg(F.count("*").alias("k"), F.first("a.n").alias("n_a"), F.first("b.n").alias("n_b"))
+    together = together.filter(F.col("k") >= share / 2 * F.least("n_a", "n_b"))  # before the joins: no more than half can be left out
+    lost = places.filter("left_out").groupBy("o").agg(F.count("*").alias("lost"))
+    for end in ("a", "b"):
+        together = together.join(lost.select(F.col("o").alias(end), F.col("lost").alias(f"lost_{end}")), end, "left")
+    left = [F.col(f"n_{x}") - F.coalesce(f"lost_{x}", F.lit(0)) for x in ("a", "b")]
+    return together.filter(F.col("k") >= share * F.greatest(*left)).select("a", "b")
+
+
+def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in (whole.slice(k, 2000) for k in range(0, whole.num_rows, 2000)):
+            marks = anchors(b.column(1).to_pylist(), FINE_TIERS)
+            sizes = np.array([len(m) for m in marks], np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(marks)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(marks))], ["o", "n", "h"])
+
+
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import duckdb
     import xxhash

@@ -58,7 +58,7 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def sql(source: str, keys: list[str], value: str) -> str:
+def sql(source: str, keys: list[str], value: str, composed: bool = True) -> str:
     """The statement: source's keys, value, and `unified`, the value in its one form (null for null).
 
     * Suspicious values only go through the rewriting; every other value is passed on as it is.
@@ -67,6 +67,7 @@ def sql(source: str, keys: list[str], value: str) -> str:
       neighbouring word is truly of another script; a word with any letter of its own stays as it is.
     * Full-width signs are mapped with full-width letters or digits in the value, or, brackets apart, in a value
       without East Asian script.
+    * composed=False passes values on that are only not composed (NFC), for callers that drop accents anyway.
     """
     like, like_as = CYRILLIC + GREEK + ARMENIAN, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS
     own = f"[^\\P{{L}}\\p{{Latin}}{like}]"  # a letter neither Latin nor a look-alike
@@ -78,10 +79,10 @@ def sql(source: str, keys: list[str], value: str) -> str:
     brackets = "（）［］｛｝｟｠"
     marks = "".join(c for c in WIDE_SIGNS if c not in brackets)
     marks_as = "".join(chr(ord(c) - 0xFEE0) for c in marks)
-    suspicious = "[" + BLANKS + HYPHENS + UNSEEN + COMPAT + WIDE_SIGNS + LATIN + "".join(LIGATURES) + r"\p{M}\p{Cyrillic}\p{Greek}\p{Armenian}]"
+    suspicious = "[" + BLANKS + HYPHENS + UNSEEN + COMPAT + WIDE_SIGNS + LATIN + "".join(LIGATURES) + (r"\p{M}" if composed else "") + r"\p{Cyrillic}\p{Greek}\p{Armenian}]"
     return f"""
     WITH s0 AS (SELECT {k}, {value} AS v FROM {source}),
-    s1 AS (SELECT {k}, v, coalesce(regexp_matches(v, {_quoted(suspicious)}) OR nfc_normalize(v) <> v, false) AS odd FROM s0),
+    s1 AS (SELECT {k}, v, coalesce(regexp_matches(v, {_quoted(suspicious)}){" OR nfc_normalize(v) <> v" if composed else ""}, false) AS odd FROM s0),
     s2 AS (SELECT {k}, v, nfc_normalize(regexp_replace(v,
         {_quoted(f"({PICTURE}[\\x{{FE0E}}\\x{{FE0F}}\\p{{Sk}}]*(?:\\x{{200D}}{PICTURE}[\\x{{FE0E}}\\x{{FE0F}}\\p{{Sk}}]*)*|{JOINED}[\\x{{200C}}\\x{{200D}}])|[{UNSEEN}]")},
         '\\1', 'g')) AS v1 FROM s1 WHERE odd),
