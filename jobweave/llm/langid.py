@@ -288,14 +288,16 @@ def labelled(net: Network, texts: list[str | None]) -> list[tuple[str | None, fl
     out = []
     for lines, f in zip(split, flags):
         runs, own = [], [need[x] for x, k in zip(lines, f) if k]
-        # The document's pooled probabilities stand beside each line's own.
+        # The pooled probabilities of the document's other lines stand beside each line's own.
         pool = (probs[own] * np.array([k for k in f if k])[:, None]).sum(0) / max(1, sum(f)) if own else np.zeros(len(LANGS))
         for i, (x, k) in enumerate(zip(lines, f), 1):
             if not k:
                 if runs:
                     runs[-1][1] = i
                 continue
-            p = probs[need[x]] * (pool + BESIDE)
+            rest = sum(f) - k
+            others = (pool * sum(f) - probs[need[x]] * k) / rest if rest > 0 else 0.0
+            p = probs[need[x]] * (others + BESIDE)
             p /= p.sum()
             lang = LANGS[int(p.argmax())]
             if not runs or runs[-1][2] != lang:
