@@ -571,6 +571,55 @@ def rq4_clusters_with_titles(spark, sf_dir):
     return cluster.top_titles(_t(spark, sf_dir, "jobs_clean").filter(F.col("source").isNotNull()), "source", TITLE)
 
 
+@query()
+def rq4_methods(spark, sf_dir):
+    e = _ok(spark, sf_dir).filter(F.col(SKILLS).isNotNull())
+    sample = agreement.hash_sample(e, "job_id", 500, "methods:")  # average linkage is quadratic: a sample, by the operator's own bound
+    words = [r[0] for r in _t(spark, sf_dir, "skills_taxonomy").select("canonical_name").orderBy("canonical_name").limit(1000).collect()]
+    return cluster.compare_methods(sample, "job_id", SKILLS, 6, TITLE, words)
+
+
+@query()
+def rq3_title_order(spark, sf_dir):
+    return cluster.title_order(rq3_title_similarity(spark, sf_dir))
+
+
+_SH = r"""x AS (SELECT job_id AS k, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1)::BIGINT + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM (SELECT job_id, list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(job_description, ''), '[^\p{L}\p{N}_]+', ' ', 'g')), ' '), lambda z: z <> '') AS w FROM jobs_clean) WHERE len(w) > 0),
+    r AS (SELECT s, min(k) AS k FROM (SELECT k, list_sort(s) AS s FROM x) GROUP BY 1)"""
+
+
+@query(f"WITH {_SH}, e AS (SELECT k, len(s) AS n, unnest(s) AS h FROM r), p AS (SELECT a.k AS a, b.k AS b, count(*) AS c, any_value(a.n) AS m, any_value(b.n) AS n FROM e a JOIN e b ON a.h = b.h AND a.k < b.k GROUP BY 1, 2) SELECT a, b, round(c / (m + n - c)::DOUBLE, 6) AS jaccard FROM p WHERE c / (m + n - c)::DOUBLE >= 0.8")
+def dup_shingle_pairs(spark, sf_dir):
+    return duplicates.shingle_pairs(_t(spark, sf_dir, "jobs_clean"), "job_id", "job_description").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"WITH {_SH} SELECT x.k AS job_id, r.k AS representative, len(x.s)::INT AS n_shingles FROM x JOIN r ON r.s = list_sort(x.s)")
+def dup_shingle_classes(spark, sf_dir):
+    return duplicates.shingle_classes(_t(spark, sf_dir, "jobs_clean"), "job_id", "job_description")
+
+
+@query()
+def dup_near_text_alone(spark, sf_dir):
+    return duplicates.near(_t(spark, sf_dir, "jobs_clean"), text_alone=True).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query()
+def gold_independence(spark, sf_dir):
+    gold = _t(spark, sf_dir, "gold_jobs").dropDuplicates(["job_id"])
+    return duplicates.not_independent(_t(spark, sf_dir, "jobs_clean"), gold, "job_id", "source_url", "source_job_id", "job_description")
+
+
+@query()
+def gold_candidates(spark, sf_dir):
+    known = _t(spark, sf_dir, "gold_jobs").select("job_id", "source_url", "job_description").dropDuplicates(["job_id"])
+    return agreement.gold_candidates(_t(spark, sf_dir, "jobs_clean"), known, r"(?iu)\b(data|analyst|analytics)\b").select("job_id", "raw_job_title")
+
+
+@query("WITH s AS (SELECT job_id FROM jobs_clean ORDER BY sha256('sample-v1:' || job_id), job_id LIMIT 300), r AS (SELECT job_id, row_number() OVER (ORDER BY sha256('order-sample-v1:' || job_id), job_id) AS r FROM s) SELECT job_id, CASE WHEN r <= 60 THEN 'K' ELSE 'B' || ceil((r - 60) / 48.0)::INT END AS batch FROM r")
+def role_batches(spark, sf_dir):
+    return agreement.batched_sample(_t(spark, sf_dir, "jobs_clean").select("job_id"), "job_id", 300, 60, 5, "sample-v1:")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -114,3 +114,40 @@ def hash_sample(df: DataFrame, key: str, n: int, salt: str) -> DataFrame:
     h = F.sha2(F.concat(F.lit(salt), F.col(key)), 256)
     top = df.withColumn("_h", h).orderBy("_h", key).limit(n)
     return top.withColumn("rank", F.row_number().over(Window.orderBy("_h", key))).drop("_h")
+
+
+def batched_sample(df: DataFrame, key: str, n: int, shared: int, batches: int, salt: str) -> DataFrame:
+    """The n rows of lowest hash, dealt anew by a second hash: the first `shared` as batch K, for all people, the others as B1 to B<batches>."""
+    top = hash_sample(df, key, n, salt).drop("rank")
+    h = F.sha2(F.concat(F.lit(f"order-{salt}"), F.col(key)), 256)
+    r = F.row_number().over(Window.orderBy(h, key))  # over the n rows of the sample
+    size = F.lit(max(1, -(-(n - shared) // batches)))
+    return top.withColumn("_r", r).withColumn("batch", F.when(F.col("_r") <= shared, "K").otherwise(F.concat(F.lit("B"), F.ceil((F.col("_r") - shared) / size).cast("string")))).drop("_r")
+
+
+def reviewed(labels: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(item, label, start, end) after review: labels (item, label, start, end) and decisions (item, label, action, new_label, start, end).
+
+    keep, or no decision, leaves a label; fix moves it; replace renames it; reject drops it; add puts one in. Of one label several times in
+    an item the first place counts.
+    """
+    d = decisions.select("item", "label", "action", "new_label", F.col("start").alias("d_start"), F.col("end").alias("d_end"))
+    old = labels.join(d.filter("action <> 'add'"), ["item", "label"], "left").filter("action IS NULL OR action <> 'reject'")
+    moved = F.coalesce(F.col("action").isin("fix", "replace"), F.lit(False))
+    kept = old.select("item", F.when(F.col("action") == "replace", F.col("new_label")).otherwise(F.col("label")).alias("label"), F.when(moved, F.coalesce("d_start", "start")).otherwise(F.col("start")).alias("start"), F.when(moved, F.coalesce("d_end", "end")).otherwise(F.col("end")).alias("end"))
+    added = d.filter("action = 'add'").select("item", "label", F.col("d_start").alias("start"), F.col("d_end").alias("end"))
+    return first_evidence(kept.unionByName(added), ["start", "end"])
+
+
+def gold_candidates(jobs: DataFrame, known: DataFrame, title: str, least_chars: int = 150, n: int = 50) -> DataFrame:
+    """The n shortest postings fit for labelling: title by the pattern, texts of some length, unlike known postings and each other by half of their shingles."""
+    from jobweave.operators.duplicates import greedy, shingle_classes, shingle_pairs
+
+    fit = jobs.filter(F.col("raw_job_title").rlike(title) & (F.length("job_description") >= least_chars))
+    fit = fit.join(known.select("job_id").distinct(), "job_id", "left_anti").join(known.select("source_url").filter("source_url IS NOT NULL").distinct(), "source_url", "left_anti")
+    # Known ones first, then by length and id: the order in which the greedy choice goes.
+    order = F.concat(F.lpad(F.length("job_description").cast("string"), 9, "0"), F.lit(":"), F.col("job_id"))
+    both = known.select(F.concat(F.lit("0:"), "job_id").alias("k"), "job_description").unionByName(fit.select(F.concat(F.lit("1:"), order).alias("k"), "job_description"))
+    repeated = greedy(shingle_pairs(both, "k", "job_description", 0.5).select("a", "b")).select(F.col("b").alias("k"))
+    copies = shingle_classes(both, "k", "job_description").filter("k <> representative").select("k")
+    return fit.withColumn("k", F.concat(F.lit("1:"), order)).join(repeated.unionByName(copies).distinct(), "k", "left_anti").orderBy("k").limit(n).drop("k")

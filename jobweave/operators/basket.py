@@ -38,7 +38,7 @@ def _pairs(a: Column) -> Column:
 def pairs(df: DataFrame, skills: str = "extracted_skills", least: int = PAIR_LEAST) -> DataFrame:
     """(skill_a, skill_b, joint), a < b: made within each row, summed with partial aggregation."""
     arr = F.array_sort(F.array_distinct(F.array_compact(skills)))
-    both = df.filter(F.size(skills) > 1).select(F.explode(_pairs(arr)).alias("p")).select("p.*")
+    both = df.filter(F.size(skills) > 1).select(F.explode(F.element_at(F.transform(F.array(arr), _pairs), 1)).alias("p")).select("p.*")
     return both.groupBy("skill_a", "skill_b").agg(F.count("*").alias("joint")).filter(F.col("joint") >= least)
 
 

@@ -23,7 +23,7 @@ def vectors(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def skill_vectors(df: DataFrame, key: str, skills: str, vocabulary: list[str]) -> DataFrame:
-    return df.select(F.col(key).alias("id"), array_to_vector(F.array(*[F.array_contains(skills, s).cast("double") for s in vocabulary])).alias("features"))
+    return df.select(F.col(key).alias("id"), array_to_vector(F.array(*[F.coalesce(F.array_contains(skills, s), F.lit(False)).cast("double") for s in vocabulary])).alias("features"))
 
 
 def fit(data: DataFrame, k: int, starts: int = 10, seed: int = 42) -> KMeansModel:
@@ -193,3 +193,32 @@ def coordinates(data: DataFrame) -> DataFrame:
     centred = StandardScaler(withMean=True, withStd=False, inputCol="features", outputCol="centred").fit(data).transform(data)
     got = PCA(k=2, inputCol="centred", outputCol="xy").fit(centred).transform(centred)
     return got.select("id", vector_to_array("xy").alias("xy")).select("id", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"))
+
+
+def compare_methods(df: DataFrame, key: str, skills: str, k: int, title: str, vocabulary: list[str]) -> DataFrame:
+    """(method, k, silhouette, davies_bouldin, largest_share, singletons, ari, nmi): k-means and average linkage, held against titles."""
+    from jobweave.operators.agreement import partition_agreement
+
+    data = skill_vectors(df, key, skills, vocabulary)
+    linked = hierarchical(df, key, skills, k).select(F.col(key).alias("id"), F.col("cluster").alias("prediction"))
+    rows = []
+    for name, labelled in (("kmeans", fit(data, k, 3).transform(data)), ("average_linkage", data.withColumn("id", F.col("id").cast("string")).join(linked, "id"))):
+        sizes = [r[0] for r in labelled.groupBy("prediction").count().select("count").collect()]
+        with_title = labelled.select(F.col("id").cast("string").alias("id"), "prediction").join(df.select(F.col(key).cast("string").alias("id"), title), "id")
+        like = partition_agreement(with_title, "prediction", title).first()
+        several = len(sizes) > 1
+        rows.append((name, len(sizes), round(silhouette(labelled), 4) if several else None, davies_bouldin(labelled) if several else None, round(max(sizes) / sum(sizes), 4), sum(s == 1 for s in sizes), like["ari"], like["nmi"]))
+    return df.sparkSession.createDataFrame(rows, "method string, k int, silhouette double, davies_bouldin double, largest_share double, singletons int, ari double, nmi double")
+
+
+def title_order(likeness: DataFrame) -> DataFrame:
+    """(title, position): titles in the order in which average linkage over 1 - cosine joins them; for charts, so of few titles."""
+    pairs = likeness.select("title_a", "title_b", "cosine").orderBy("title_a", "title_b").limit(500_000).collect()
+    names = sorted({t for r in pairs for t in r[:2]})
+    at = {t: i for i, t in enumerate(names)}
+    d = np.ones((len(names), len(names)))
+    for a, b, c in pairs:
+        d[at[a], at[b]] = d[at[b], at[a]] = 1 - c
+    groups = [upgma(d, k) for k in range(1, len(names) + 1)] if names else []
+    order = sorted(range(len(names)), key=lambda i: [g[i] for g in groups])
+    return likeness.sparkSession.createDataFrame([(names[i], p) for p, i in enumerate(order)], "title string, position int")

@@ -296,3 +296,62 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/1.json").write_text("\n".join(map(json.dumps, lines)))
     rounds.write(rounds.first_seen(rounds.read(spark, f"file://{tmp_path}/in")), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
     assert sorted(one(spark.read.parquet(f"file://{tmp_path}/out"), "source_url")) == ["https://a", "https://b"]
+
+
+def test_shingle_pairs(spark):
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    base = [list(r.choice(words, 40)) for _ in range(12)]
+    texts = [" ".join(b) for b in base]
+    for b in base[:8]:
+        c = list(b)
+        c[int(r.integers(40))] = "zzz"
+        texts += [" ".join(c), " ".join(b[:30])]
+    data = [(f"k{i:02d}", t) for i, t in enumerate(texts)] + [("x1", texts[0].upper()), ("x2", ""), ("x3", None), ("x4", "two words"), ("x5", "Two  words!")]
+    df = spark.createDataFrame(data, "k string, t string")
+    for least in (0.5, 0.8):
+        sets = {k: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in data if t for w in [t.lower().replace("!", "").split()]}
+        reps = {min(j for j in sets if sets[j] == s) for s in sets.values()}
+        want = {(a, b) for a, b in itertools.combinations(sorted(reps), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        assert set(one(duplicates.shingle_pairs(df, "k", "t", least), "a", "b")) == want and want
+    got = dict(one(duplicates.shingle_classes(df, "k", "t"), "k", "representative"))
+    assert got["x1"] == "k00" and got["x5"] == "x4" and "x2" not in got and "x3" not in got
+    assert duplicates.shingle_pairs(df.limit(0), "k", "t").count() == 0
+
+
+def test_independence_and_candidates(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"else{i}" for i in range(60))
+    schema = "job_id string, source_url string, source_job_id string, raw_job_title string, job_description string"
+    known = spark.createDataFrame([("g1", "u1", "s1", "t", long)], schema)
+    rows = [("a", "u1", "", "Data", other), ("b", "u2", None, "Data", long + " tail"), ("c", "u3", "s1", "Data", other + " more words"), ("d", "u4", None, "Data", " ".join(f"third{i}" for i in range(60))), ("e", "u5", None, "Cook", other)]
+    new = spark.createDataFrame(rows, schema)
+    got = set(one(duplicates.not_independent(new, known, "job_id", "source_url", "source_job_id", "job_description"), "job_id", "reason"))
+    assert got == {("a", "address"), ("b", "text"), ("c", "source id"), ("c", "text"), ("e", "text")}
+    assert one(agreement.gold_candidates(new, known, "(?i)data"), "job_id") == ["c", "d"]
+
+
+def test_text_alone(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([("1", "C", "Data", "X", long), ("2", "C", "Cook", "Y", long + " word1"), ("3", "D", "Data", "X", long), ("4", "C", "Data", "X", "wholly different words")], "job_id string, company string, normalized_job_title string, normalized_location string, job_description string")
+    assert one(duplicates.near(df), "a", "b") == []
+    assert one(duplicates.near(df, text_alone=True), "a", "b") == [("1", "2")]
+
+
+def test_review_and_batches(spark):
+    labels = spark.createDataFrame([("j", "A", 0, 1), ("j", "B", 2, 3), ("j", "C", 4, 5), ("j", "D", 6, 7)], "item string, label string, start int, end int")
+    d = spark.createDataFrame([("j", "A", "reject", None, None, None), ("j", "B", "replace", "X", 8, 9), ("j", "C", "fix", None, 3, 5), ("j", "D", "keep", None, None, None), ("j", "E", "add", None, 1, 2), ("j", "D", "add", None, 0, 1)], "item string, label string, action string, new_label string, start int, end int")
+    assert sorted(one(agreement.reviewed(labels, d), "label", "start", "end")) == [("C", 3, 5), ("D", 0, 1), ("E", 1, 2), ("X", 8, 9)]
+    ids = spark.createDataFrame([(f"{i}",) for i in range(100)], "job_id string")
+    got = {r["batch"]: r["count"] for r in agreement.batched_sample(ids, "job_id", 50, 10, 4, "s:").groupBy("batch").count().collect()}
+    assert got == {"K": 10, "B1": 10, "B2": 10, "B3": 10, "B4": 10}
+    assert set(one(agreement.batched_sample(ids.repartition(5), "job_id", 50, 10, 4, "s:"), "job_id", "batch")) == set(one(agreement.batched_sample(ids, "job_id", 50, 10, 4, "s:"), "job_id", "batch"))
+
+
+def test_methods(spark):
+    df = generate(spark, 200)
+    words = sorted({s for r in df.collect() for s in r["extracted_skills"]})
+    got = {r["method"]: r for r in cluster.compare_methods(df, "job_id", "extracted_skills", 4, "normalized_job_title", words).collect()}
+    assert got["kmeans"]["ari"] > 0.8 and got["average_linkage"]["k"] == 4
+    p = profile.profiles(df, "normalized_job_title", "extracted_skills")
+    assert sorted(one(cluster.title_order(profile.likeness(p)), "position")) == [0, 1, 2, 3]
