@@ -267,8 +267,9 @@ def clean_job_text(spark, sf_dir):
 @query()
 def clean_titles(spark, sf_dir):
     places = [r[0] for r in _t(spark, sf_dir, "canon_locations").select("normalized_location").orderBy("ref_id").limit(10_000).collect()]
+    tools = [r[0] for r in _t(spark, sf_dir, "skills_taxonomy").select("canonical_name").orderBy("canonical_name").limit(2000).collect()]
     distinct = _t(spark, sf_dir, "jobs_raw").select("raw_job_title").distinct()
-    title = cleaning.normal_title(F.col("raw_job_title"), places)
+    title = cleaning.normal_title(F.col("raw_job_title"), places, tools)
     return distinct.select("raw_job_title", title.alias("title")).withColumn("flags", F.array_join(cleaning.title_flags(F.col("title")), ","))
 
 

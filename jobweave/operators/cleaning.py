@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,13 +134,15 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(words, one), " ")
 
 
-def normal_title(raw: Column, places: list[str] | None = None) -> Column:
+def normal_title(raw: Column, places: list[str] | None = None, tools: list[str] | None = None) -> Column:
     """A title without recruitment noise, levels, bracketed asides, trailing place or tool segments, in title case; null for a blank one."""
     t = F.regexp_replace(squeeze(raw), NOISE, " ")
     t = F.regexp_replace(t, r"\s*[\[【(][^\])】]*[\])】]\s*", " ")
     t = F.regexp_replace(t, r"(?iu)\s+(tại|@)\s+.*$|\s+\|\s+.*$", "")
-    if places:
-        t = F.regexp_replace(t, r"(?iu)\s+[-–,]\s*(" + "|".join(places) + r")\s*$", "")
+    for names in (tools, places, tools):
+        if names:
+            quoted = "|".join(re.escape(x) for x in sorted(names, key=len, reverse=True))
+            t = F.regexp_replace(t, rf"(?iu)\s*[-–,]\s*(?:(?:{quoted})\s*[,/&]?\s*)+$", "")
     t = F.regexp_replace(F.regexp_replace(t, LEVEL, " "), r"^[\s\p{P}]+|[\s\-–|,:;/]+$", "")
     return blank_to_null(title_case(t))
 
