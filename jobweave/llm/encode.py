@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,19 +56,52 @@ def _pieces(text: str) -> list[str]:
     return splitter().findall(text)
 
 
-def joined(parts: list[tuple[str, list[int], int, int]], enc) -> list[int]:
-    """The ids of the concatenated texts of parts: (text, its ids, characters and ids of its last three pieces).
+_START = re.compile(r"(?<=\S) (?=[^\W\d_])")
+
+
+def _last_pieces(text: str) -> list[str]:
+    """The last three pieces of text. A piece always begins at a single blank before a letter, so the end alone is split where there is one."""
+    end = text[-240:]
+    if len(end) < len(text) and (m := _START.search(end)):
+        found = _pieces(end[m.start() :])
+        if len(found) > 3:
+            return found[-3:]
+    return _pieces(text)[-3:]
+
+
+class _Ids:
+    """Ids in parts, of which the last ones can be taken back."""
+
+    def __init__(self):
+        self.parts: list = []
+
+    def add(self, ids) -> None:
+        if len(ids):
+            self.parts.append(ids)
+
+    def drop(self, n: int) -> None:
+        while n:
+            last = self.parts.pop()
+            if len(last) > n:
+                self.parts.append(last[: len(last) - n])
+                return
+            n -= len(last)
+
+
+def joined(parts: list[tuple[str, list[int], int, int]], enc) -> list:
+    """The ids, in parts, of the concatenated texts of `parts`: (text, its ids, characters and ids of its last three pieces).
 
     Appending text can change no more than the last two pieces of what stands before it, so three are taken back;
     once a piece ends at the same place for both sides, all that follows is the same.
     """
-    ids: list[int] = []
+    ids = _Ids()
     tail, tail_n = "", 0
     for k, (text, own, tail_chars, own_tail_n) in enumerate(parts):
         if not k:
-            ids, tail, tail_n = list(own), text[len(text) - tail_chars :], own_tail_n
+            ids.add(own)
+            tail, tail_n = text[len(text) - tail_chars :], own_tail_n
             continue
-        n, sync, head = min(64, len(text)), None, 0
+        n, sync, head, found = min(64, len(text)), None, 0, []
         while True:
             whole = n == len(text)
             at, ends = -len(tail), set()
@@ -75,36 +109,32 @@ def joined(parts: list[tuple[str, list[int], int, int]], enc) -> list[int]:
             for p in found if whole else found[:-3]:
                 at += len(p)
                 ends.add(at)
-            at, head = 0, 0
-            right = _pieces(text[:n])
-            for p in ["", *(right if whole else right[:-3])]:
+            at, right = 0, _pieces(text[:n])
+            for i, p in enumerate(["", *(right if whole else right[:-3])]):
                 at += len(p)
-                head += len(enc.encode_ordinary(p)) if p else 0
                 if at in ends:
-                    sync = at
+                    sync, head = at, sum(len(enc.encode_ordinary(x)) for x in right[:i])
                     break
             if sync is not None or whole:
                 break
             n = min(len(text), 2 * n)
+        ids.drop(tail_n)
         if sync is None or sync > len(text) - tail_chars or tail_chars == len(text):  # too short to stand alone
             seen = _pieces(tail + text)
             each = [enc.encode_ordinary(p) for p in seen]
-            ids[len(ids) - tail_n :] = [x for e in each for x in e]
+            ids.add([x for e in each for x in e])
             tail, tail_n = "".join(seen[-3:]), sum(map(len, each[-3:]))
             continue
-        ids[len(ids) - tail_n :] = [x for p in _cover(tail + text[:n], len(tail) + sync) for x in enc.encode_ordinary(p)] + own[head:]
+        at, between = -len(tail), []
+        for p in found:
+            if at >= sync:
+                break
+            between += enc.encode_ordinary(p)
+            at += len(p)
+        ids.add(between)
+        ids.add(own[head:])
         tail, tail_n = text[len(text) - tail_chars :], own_tail_n
-    return ids
-
-
-def _cover(text: str, upto: int) -> list[str]:
-    out, at = [], 0
-    for p in _pieces(text):
-        if at >= upto:
-            break
-        out.append(p)
-        at += len(p)
-    return out
+    return ids.parts
 
 
 def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
@@ -147,31 +177,43 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer, folder)
+        kind = np.uint16 if enc.max_token_value < 1 << 16 else np.uint32
         for b in batches:
             texts = b.column(1).to_pylist()
-            found = [_pieces(t)[-3:] for t in texts]
+            found = [_last_pieces(t) for t in texts]
+            own = [np.array(enc.encode_ordinary(t), kind).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([enc.encode_ordinary(t) for t in texts], pa.list_(pa.int32())), pa.array([sum(map(len, f)) for f in found], pa.int32()), pa.array([sum(len(enc.encode_ordinary(p)) for p in f) for f in found], pa.int32())],
-                ["k", "body", "own", "tail_chars", "tail_n"],
+                [b.column(0), pa.array(own, pa.binary()), pa.array([sum(map(len, f)) for f in found], pa.int32()), pa.array([sum(len(enc.encode_ordinary(p)) for p in f) for f in found], pa.int32())],
+                ["k", "own", "tail_chars", "tail_n"],
             )
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer, folder)
+        kind = np.uint16 if enc.max_token_value < 1 << 16 else np.uint32
         for b in batches:
-            take, out = [], []
+            take, out, sizes = [], [], [0]
             for i, parts in enumerate(b.column(1).to_pylist()):
                 by: dict[int, list] = {}
                 for p in parts:
                     by.setdefault(p["seq"], []).append(p)
-                one = [] if -1 in by else joined([(p["body"], p["own"], p["tail_chars"], p["tail_n"]) for p in (by[s][0] for s in sorted(by))], enc)
+                ids: list = []
+                if -1 not in by:
+                    one = [by[s][0] for s in sorted(by)]
+                    own = [np.frombuffer(p["own"], kind) for p in one]
+                    # The chunks' texts are their ids' bytes, so they needn't be sent along.
+                    ids = own if len(own) == 1 else joined([(enc.decode_bytes(x.tolist()).decode(), x, p["tail_chars"], p["tail_n"]) for x, p in zip(own, one)], enc)
+                size = sum(map(len, ids))
                 for _ in by[min(by)]:  # as often as the row was there
                     take.append(i)
-                    out.append(one)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
+                    out += ids
+                    sizes.append(size)
+            flat = np.concatenate([np.asarray(x, np.int32) for x in out]) if out else np.zeros(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), lists], ["id", "ids"])
 
     where = spread(rows)
     refs = where.mapInArrow(lambda x: chunks(x, False), f"id {kind}, doc binary, seq int, k binary")
     bodies = where.mapInArrow(lambda x: chunks(x, True), "k binary, body string").groupBy("k").agg(F.first("body").alias("body"))
-    coded = bodies.mapInArrow(encode, "k binary, body string, own array<int>, tail_chars int, tail_n int")
-    parts = refs.join(coded, "k", "left").groupBy("id", "doc").agg(F.collect_list(F.struct("seq", "body", "own", "tail_chars", "tail_n")).alias("parts"))
+    coded = bodies.mapInArrow(encode, "k binary, own binary, tail_chars int, tail_n int")
+    parts = refs.join(coded, "k", "left").groupBy("id", "doc").agg(F.collect_list(F.struct("seq", "own", "tail_chars", "tail_n")).alias("parts"))
     return parts.select("id", "parts").mapInArrow(repair, f"id {kind}, ids array<int>").withColumnRenamed("id", key)

@@ -351,9 +351,16 @@ def test_joins_are_exact(parts):
     enc = tokenizer.encoding()
     known = []
     for t in parts:
-        last = encode._pieces(t)[-3:]
+        last = encode._last_pieces(t)
+        assert last == encode._pieces(t)[-3:]
         known.append((t, enc.encode_ordinary(t), sum(map(len, last)), sum(len(enc.encode_ordinary(p)) for p in last)))
-    assert encode.joined(known, enc) == enc.encode_ordinary("".join(parts))
+    assert [x for p in encode.joined(known, enc) for x in p] == enc.encode_ordinary("".join(parts))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(["'", "s", "l", " ", "\n", "a", "é", "漢", "1", "!", "\u00a0"]), min_size=200, max_size=400))
+def test_last_pieces(text):
+    assert encode._last_pieces(text) == encode._pieces(text)[-3:]
 
 
 def test_cuts():
