@@ -54,6 +54,33 @@ def words(text: str | None) -> list[tuple[str, int, int]]:
     return [(m.group().lower(), where[m.start()], where[m.end() - 1] + 1) for m in _WORD.finditer("".join(out))]
 
 
+def _marks() -> re.Pattern:
+    """Combining marks, but for the Japanese voicing marks, and unseen characters."""
+    gone = [c for c in [*range(0x80, 0x10000), *range(0xE0000, 0xE0200)] if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf") and c not in (0x3099, 0x309A)]
+    out, k = [], 0
+    while k < len(gone):
+        j = k
+        while j + 1 < len(gone) and gone[j + 1] == gone[j] + 1:
+            j += 1
+        out.append(f"{chr(gone[k])}-{chr(gone[j])}")
+        k = j + 1
+    return re.compile("[" + "".join(out) + "]+")
+
+
+_MARKS = _marks()
+_ODD = re.compile("[" + "".join(map(chr, _LIKE)) + "]")
+
+
+def plain_words(text: str) -> list[str]:
+    """The words of `words`, without their places, several times as fast."""
+    plain = _TAG.sub(lambda m: " " * len(m.group()), text)
+    if not plain.isascii():
+        plain = _MARKS.sub("", unicodedata.normalize("NFKD", plain)).replace("đ", "d").replace("Đ", "D")
+        if _ODD.search(plain):
+            plain = plain.translate(_LIKE)
+    return _WORD.findall(plain.lower())
+
+
 def align(a: np.ndarray, b: np.ndarray, miss: float = 2.0) -> tuple[int, int, int, int, int]:
     """The best local alignment: a match counts 1, a word changed, left out or put in -miss.
 
@@ -98,6 +125,7 @@ class Index:
             at.append(np.arange(len(g), dtype=np.int32))
             self.items.append((item, w))
         self.keys, self.of, self.at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, of, at))
+        self.need = np.array([max(min(2, len(a) - GRAM + 1), 1, int(CROWD * len(a))) for _, a in self.items], np.int64)
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.of, self.at = self.keys[order], self.of[order], self.at[order]
 
@@ -120,15 +148,17 @@ class Index:
         hit = np.flatnonzero(n)
         if not len(hit):
             return []
-        pos = np.repeat(hit, n[hit])
-        k = np.concatenate([np.arange(lo[i], hi[i]) for i in hit])
+        n = n[hit]
+        pos = np.repeat(hit, n)
+        k = np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hit], n)
         of, diagonal, out = self.of[k], pos - self.at[k], []
-        for o in np.unique(of):
+        # Items with fewer grams in the whole document than a diagonal needs are out at once.
+        for o in np.flatnonzero(np.bincount(of, minlength=len(self.items)) >= self.need):
             item, a = self.items[o]
             if len(a) < GRAM and len(a) > len(w):
                 continue
             d, mine = diagonal[of == o], pos[of == o]
-            slack, need = 3 + len(a) // 6, max(min(2, len(a) - GRAM + 1), 1, int(CROWD * len(a)))
+            slack, need = 3 + len(a) // 6, self.need[o]
             order = np.argsort(d, kind="stable")
             d, mine = d[order], mine[order]
             crowd = np.searchsorted(d, d + slack, "right") - np.arange(len(d))
@@ -176,8 +206,9 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id",
             for b in batches:
                 take, out = [], []
                 for r, t in enumerate(b.column(1).to_pylist()):
-                    spans = words(t)
-                    for item, j0, j1 in index.found(np.array([get(x, 0) for x, _, _ in spans], np.int64), share, same):
+                    hits = index.found(np.array([get(x, 0) for x in plain_words(t)], np.int64), share, same)
+                    spans = words(t) if hits else []
+                    for item, j0, j1 in hits:
                         take.append(r)
                         out.append((item, spans[j0][1], spans[j1 - 1][2]))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array([x for x, _, _ in out], pa.int64()), pa.array([x for _, x, _ in out], pa.int32()), pa.array([x for _, _, x in out], pa.int32())], ["d", "i", "first", "last"])
