@@ -464,7 +464,22 @@ def quality_changed_fields(spark, sf_dir):
     return quality.changed_fields(first, _t(spark, sf_dir, "jobs_clean"))
 
 
-@query()
+def _checks_sql() -> str:
+    length = f"length({_STRIP("concat_ws(' ', job_description, job_requirements)")})"
+    rows = [
+        ("QC1", "ids match", "0", 0.0, "<="),
+        ("QC2", "no null list", f"(SELECT count(*) FROM e WHERE {SKILLS} IS NULL)", 0.0, "<="),
+        ("QC3", "mean skills", f"(SELECT avg(len({SKILLS})) FROM e)", 3.0, ">="),
+        ("QC4", "share without skill", f"(SELECT avg((coalesce(len({SKILLS}), 0) < 1)::INT) FROM e)", 0.1, "<="),
+        ("QC5", "share of the top skill", f"(SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(list_distinct({SKILLS})) AS k FROM e) WHERE k IS NOT NULL GROUP BY k)) / (SELECT count(*) FROM e)::DOUBLE", 0.9, "<="),
+        ("QC6", "residual duplicates", "(SELECT residual_share FROM d)", 0.02, "<="),
+        ("QC7", "median text length", f"(SELECT quantile_cont({length}, 0.5) FROM e)", 300, ">="),
+        ("QC8", "missing titles", f"(SELECT count(*) FROM e WHERE {_MISS(TITLE)})", 0.0, "<="),
+    ]
+    return f"WITH {_OK}, d AS ({_SQL['dup_residual']}), v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", '{n}' AS name, ({v})::DOUBLE AS value, {float(t)}::DOUBLE AS threshold, {v} {way} {t} AS passed" for c, n, v, t, way in rows) + ") SELECT \"check\", name, round(value, 4) AS value, threshold, passed FROM v"
+
+
+@query(_checks_sql())
 def quality_checks(spark, sf_dir):
     return quality.checks(_t(spark, sf_dir, "jobs_clean"), _ok(spark, sf_dir).select("job_id", SKILLS))
 
@@ -496,12 +511,16 @@ def eda_status_language(spark, sf_dir):
     return explore.by_status_language(_frame(spark, sf_dir))
 
 
-@query()
+def _ladder_sql(c: str, steps: list[tuple[str, str]], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(coalesce({c}, ''), '(?i){p}') THEN '{n}'" for n, p in steps) + f" ELSE '{otherwise}' END"
+
+
+@query(f"WITH {_FRAME} SELECT status, {_ladder_sql('raw_job_title', T.TITLE_GROUPS, 'other')} AS title_group, count(*) AS n, quantile_cont(n_chars, 0.5)::DOUBLE AS median_chars, quantile_cont(skill_count, 0.5)::DOUBLE AS median_skills, round(avg(skill_count), 3) AS mean_skills FROM h GROUP BY 1, 2")
 def eda_title_groups(spark, sf_dir):
     return explore.by_group(_frame(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT {_ladder_sql('raw_job_title', T.SENIORITY, 'unspecified')} AS seniority, count(*) AS n FROM jobs_clean GROUP BY 1")
 def eda_seniority(spark, sf_dir):
     return explore.by_seniority(_frame(spark, sf_dir))
 

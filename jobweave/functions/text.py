@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\p{Z}]"
 # Letters that only accented Vietnamese has, for telling it from English.
 VIETNAMESE = "ăâđêôơưáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ"
-# Seniority words, the first that fits decides.
+# Seniority words and title groups; the first that fits decides. Patterns are for Java and RE2 alike.
+_FROM, _TO = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
 SENIORITY = [
-    ("intern", r"(?iu)\b(intern|internship|thực tập)"),
-    ("fresher", r"(?iu)\b(fresher|mới tốt nghiệp)"),
-    ("junior", r"(?iu)\b(junior|jr)\b"),
-    ("lead", r"(?iu)\b(lead|principal|head|manager|trưởng)\b"),
-    ("senior", r"(?iu)\b(senior|sr)\b"),
-    ("middle", r"(?iu)\b(middle|mid)\b"),
+    ("intern", _FROM + r"(intern|internship|thực tập)"),
+    ("fresher", _FROM + r"(fresher|mới tốt nghiệp)"),
+    ("junior", _FROM + r"(junior|jr)" + _TO),
+    ("lead", _FROM + r"(lead|principal|head|manager|trưởng)" + _TO),
+    ("senior", _FROM + r"(senior|sr)" + _TO),
+    ("middle", _FROM + r"(middle|mid)" + _TO),
 ]
-TITLE_GROUPS = [("data", r"(?iu)\b(data|dữ liệu|analytics|database)\b"), ("ai", r"(?iu)\b(machine learning|model|vision|ai|học máy|llm|speech)\b")]
+TITLE_GROUPS = [("data", _FROM + r"(data|dữ liệu|analytics|database)" + _TO), ("ai", _FROM + r"(machine learning|model|vision|ai|học máy|llm|speech)" + _TO)]
 
 
 def strip(c: Column) -> Column:
@@ -74,8 +75,8 @@ def slug(c: Column) -> Column:
 def language_of(c: Column) -> Column:
     """vi, mixed or en by the share of Vietnamese letters among all letters; null without letters."""
     low = F.lower(c)
-    letters = F.length(F.regexp_replace(low, r"[^\p{L}]", ""))
-    share = F.length(F.regexp_replace(low, f"[^{VIETNAMESE}]", "")) / letters
+    letters = F.length(F.regexp_replace(low, r"[^\p{L}]+", ""))
+    share = (F.length(low) - F.length(F.translate(low, VIETNAMESE, ""))) / letters
     return F.when(letters > 0, F.when(share >= 0.05, "vi").when(share >= 0.005, "mixed").otherwise("en"))
 
 
@@ -83,7 +84,7 @@ def ladder(c: Column, steps: list[tuple[str, str]], otherwise: str) -> Column:
     """The name of the first pattern that fits."""
     out = None
     for name, pattern in steps:
-        hit = c.rlike(pattern)
+        hit = c.rlike(f"(?iu){pattern}")
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(otherwise)
 

@@ -6,6 +6,7 @@ matches are then held against word bounds, case and context. Texts stay where th
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.plans.staging import even
+
 MOST_TERMS = 500_000
 # Names matched with their case; letters that must not follow C and R; what must stand somewhere in a text for an abbreviation.
 CASED = frozenset({"C", "R", "Go"})
@@ -57,18 +60,20 @@ class Matcher:
     def candidates(self, text: str) -> list[tuple[str, str, str, str, int, int]]:
         """(skill_id, canonical_name, kind, matched text, start, end) of every term that stands between word bounds."""
         whole = plain(text)
-        # One character of `low` for each of `whole` that isn't the rest of a run of blanks.
-        low, where = [], []
-        for m in re.finditer(r"\s+|\S", whole):
-            c = " " if m.group().isspace() else m.group().lower()
-            low.append(c if len(c) == 1 else m.group())
-            where.append(m.span())
-        joined = "".join(low)
+        low = whole.lower()
+        if len(low) != len(whole):  # a letter whose lower case is longer
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in whole)
+        # Runs of blanks count as one: where they end in the shortened text, and how much was cut out before.
+        ends, cut, removed = [], [], 0
+        for m in re.finditer(r"\s{2,}", low):
+            ends.append(m.start() - removed + 1)
+            removed += m.end() - m.start() - 1
+            cut.append(removed)
+        joined = re.sub(r"\s+", " ", low) if ends or re.search(r"[^\S ]", low) else low
+        at = lambda i: i + (cut[k - 1] if (k := bisect.bisect_right(ends, i)) else 0)
         out = []
         for end, (key, values) in self.auto.iter(joined):
-            a, b = where[end - len(key) + 1][0], where[end][1]
-            if (a and _word(whole[a - 1]) and _word(whole[a])) or (b < len(whole) and _word(whole[b]) and _word(whole[b - 1])):
-                continue
+            a, b = at(end - len(key) + 1), at(end) + 1
             if (a and _word(whole[a - 1])) or (b < len(whole) and _word(whole[b])):
                 continue
             found = whole[a:b]
@@ -114,7 +119,7 @@ def extract(df: DataFrame, key: str, text: str, taxonomy: DataFrame) -> DataFram
             found = [[dict(zip(names, x)) for x in m.matches(t)] if t else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, item)], ["k", "matches"])
 
-    return df.select(F.col(key).alias("k"), F.col(text).cast("string")).mapInArrow(read, f"k {kind}, matches array<{MATCH}>").withColumnRenamed("k", key)
+    return even(df.select(F.col(key).alias("k"), F.col(text).cast("string"))).mapInArrow(read, f"k {kind}, matches array<{MATCH}>").withColumnRenamed("k", key)
 
 
 def skill_lists(matches: DataFrame) -> DataFrame:

@@ -18,3 +18,11 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{at}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def even(df: DataFrame) -> DataFrame:
+    """Even partitions for Python work, where the input alone gives fewer than there are cores (as one small file does)."""
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() >= sc.defaultParallelism:
+        return df
+    return df.repartition(max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
