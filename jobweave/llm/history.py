@@ -28,8 +28,8 @@ COVERED = 0.68  # share of both texts, by bytes, that matches must cover
 TIERS = ((96, 6, 320, 1 << 40), (36, 2, 0, 500))
 SHARED = 0.10  # share of the sampled places, of the text with more, that a pair must have in common
 # The same for records at crowded places, where long stretches in common say little.
-FINE_TIERS = ((72, 6, 320, 1 << 40), (36, 2, 0, 500))
-FINE_SHARED = 0.18
+FINE_TIERS = ((64, 6, 320, 1 << 40), (36, 2, 0, 500))
+FINE_SHARED = 0.28
 FEW = 64  # records at one place that are all paired; of more, each is paired with the earliest, then looked at more finely
 SHARD_PAIRS = 3000
 SENT = 1_000_000  # ids up to which a list of rows, 8 bytes each, is broadcast to pick their texts before these are shuffled
