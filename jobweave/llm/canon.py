@@ -187,11 +187,11 @@ class Matcher:
 _LIKE_TITLE = str.maketrans(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)
 
 
-def map_to_canon(df: DataFrame, key: str, value: str, reference: DataFrame, ref_key: str, name: str, aliases: str | None = "aliases", several: bool = False, title: bool = False) -> DataFrame:
+def map_to_canon(df: DataFrame, key: str, value: str, reference: DataFrame, ref_key: str, name: str, aliases: str | None = "aliases", several: bool = False, title: bool = False, blanks: bool = False) -> DataFrame:
     """Rows (key, ref_key): the entries of `reference` that each non-blank value of df names; 0 where it names none.
 
     With `several` a value may name more than one entry, a row each; else the longest and nearest name decides. A name shared by
-    entries gives each of them. Null and blank values give no row; repeated rows repeat their result; an empty reference gives 0 throughout;
+    entries gives each of them. Null and blank values give no row, or 0 with `blanks`; repeated rows repeat their result; an empty reference gives 0 throughout;
     other columns are not read. Names beyond NAMES_AT_ONCE are taken in blocks of entries.
     """
     kind = dict(df.dtypes)[key]
@@ -204,7 +204,9 @@ def map_to_canon(df: DataFrame, key: str, value: str, reference: DataFrame, ref_
             size = 0
         blocks[-1].append((ref, names))
         size += len(names)
-    rows = df.filter(df[value].rlike(r"[^\s\p{Z}]")).select(df[key].alias("k"), df[value].alias("v"))
+    rows = df.select(df[key].alias("k"), F.coalesce(df[value], F.lit("")).alias("v"))
+    if not blanks:
+        rows = rows.filter(F.col("v").rlike(r"[^\s\p{Z}]"))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, done = Matcher(blocks[0]), {}

@@ -82,7 +82,7 @@ def p6_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "jobs_clean")
     places = map_to_canon(jobs.filter("normalized_location IS NULL"), "job_id", "raw_location", table(spark, sf_dir, "canon_locations"), "ref_id", "normalized_location", several=True)
-    titles = map_to_canon(jobs.filter("normalized_job_title IS NULL"), "job_id", "raw_job_title", table(spark, sf_dir, "canon_titles"), "ref_id", "normalized_job_title", title=True)
+    titles = map_to_canon(jobs.filter("normalized_job_title IS NULL"), "job_id", "raw_job_title", table(spark, sf_dir, "canon_titles"), "ref_id", "normalized_job_title", title=True, blanks=True)
     return places.select("job_id", F.lit("raw_location").alias("field"), "ref_id").unionByName(titles.select("job_id", F.lit("raw_job_title").alias("field"), "ref_id"))
 
 

@@ -317,6 +317,7 @@ def test_canon(spark, monkeypatch):
     df = spark.createDataFrame(values, "k string, r string")
     want = [("a", 1), ("a", 1), ("b", 1), ("b", 2), ("c", 0), ("f", 1), ("f", 2), ("g", 2), ("h", 0), ("z", 3)]
     assert rows(canon.map_to_canon(df, "k", "r", ref, "ref_id", "name", several=True), "k", "ref_id") == want
+    assert rows(canon.map_to_canon(df, "k", "r", ref, "ref_id", "name", several=True, blanks=True), "k", "ref_id") == sorted([*want, ("d", 0), ("e", 0)], key=str)
     monkeypatch.setattr(canon, "NAMES_AT_ONCE", 2)  # in blocks
     assert rows(canon.map_to_canon(df, "k", "r", ref, "ref_id", "name", several=True), "k", "ref_id") == want
     assert canon.map_to_canon(df.limit(0), "k", "r", ref, "ref_id", "name").count() == 0
