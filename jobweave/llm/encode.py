@@ -61,7 +61,7 @@ _START = re.compile(r"(?<=\S) (?=[^\W\d_])")
 
 def _last_pieces(text: str) -> list[str]:
     """The last three pieces of text. A piece always begins at a single blank before a letter, so the end alone is split where there is one."""
-    end = text[-240:]
+    end = text[-112:]
     if len(end) < len(text) and (m := _START.search(end)):
         found = _pieces(end[m.start() :])
         if len(found) > 3:
@@ -153,7 +153,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
             ids, docs, seqs, keys, texts = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 raw = (t or "").encode()
-                doc, last = xxhash.xxh3_128_digest(raw), 0
+                doc, last = xxhash.xxh3_64_intdigest(raw) - (1 << 63), 0
                 if bodies:
                     for e in cuts(raw):
                         keys.append(xxhash.xxh3_128_digest(raw[last:e]))
@@ -168,12 +168,12 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
                     keys.append(xxhash.xxh3_128_digest(raw[last:e]) if ends else xxhash.xxh3_128_digest(b"%d" % i))
                     last = e
                 if len(keys) > 200_000:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), pa.array(docs, pa.binary()), pa.array(seqs, pa.int32()), pa.array(keys, pa.binary())], ["id", "doc", "seq", "k"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), pa.array(docs, pa.int64()), pa.array(seqs, pa.int32()), pa.array(keys, pa.binary())], ["id", "doc", "seq", "k"])
                     ids, docs, seqs, keys = [], [], [], []
             if bodies:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["k", "body"])
             else:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(docs, pa.binary()), pa.array(seqs, pa.int32()), pa.array(keys, pa.binary())], ["id", "doc", "seq", "k"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(docs, pa.int64()), pa.array(seqs, pa.int32()), pa.array(keys, pa.binary())], ["id", "doc", "seq", "k"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer, folder)
@@ -212,7 +212,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), lists], ["id", "ids"])
 
     where = spread(rows)
-    refs = where.mapInArrow(lambda x: chunks(x, False), f"id {kind}, doc binary, seq int, k binary")
+    refs = where.mapInArrow(lambda x: chunks(x, False), f"id {kind}, doc long, seq int, k binary")
     bodies = where.mapInArrow(lambda x: chunks(x, True), "k binary, body string").groupBy("k").agg(F.first("body").alias("body"))
     coded = bodies.mapInArrow(encode, "k binary, own binary, tail_chars int, tail_n int")
     parts = refs.join(coded, "k", "left").groupBy("id", "doc").agg(F.collect_list(F.struct("seq", "own", "tail_chars", "tail_n")).alias("parts"))
