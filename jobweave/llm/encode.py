@@ -1,8 +1,8 @@
 """Token ids of a whole corpus; equal chunks of text are encoded once.
 
 1. Each text is cut where a rolling hash over its bytes says so, so that equal passages give equal chunks wherever
-   they stand. 2. Chunks are grouped by a 128-bit key (with partial aggregation) and every distinct one is encoded once.
-3. The ids come back to the documents by a join on the key; each join between two chunks is repaired by encoding again
+   they stand. 2. Chunks are grouped by a 128-bit key (with partial aggregation); where a distinct chunk meets the documents
+   that use it, it is encoded once. 3. The ids go back to the documents; each join between two chunks is repaired by encoding again
    from three pieces before it until the pieces of both sides agree. The result equals encoding the whole text.
 """
 
@@ -21,6 +21,7 @@ from jobweave.llm.tokenizer import FOLDER, encoding, splitter
 
 WINDOW = 16  # bytes under the rolling hash
 BITS = 9  # a cut about every 2**BITS bytes
+KEPT = 10_000  # chunks whose ids a task remembers
 LEAST, MOST = 64, 8192  # bytes of a chunk; the last of a text may be shorter
 _GEAR = np.random.default_rng(20250101).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -178,14 +179,18 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer, folder)
         kind = np.uint16 if enc.max_token_value < 1 << 16 else np.uint32
+        known: dict[bytes, tuple[bytes, int, int]] = {}
         for b in batches:
-            texts = b.column(1).to_pylist()
-            found = [_last_pieces(t) for t in texts]
-            own = [np.array(enc.encode_ordinary(t), kind).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(own, pa.binary()), pa.array([sum(map(len, f)) for f in found], pa.int32()), pa.array([sum(len(enc.encode_ordinary(p)) for p in f) for f in found], pa.int32())],
-                ["k", "own", "tail_chars", "tail_n"],
-            )
+            out = []
+            for k, t in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+                if k not in known:
+                    if len(known) >= KEPT:
+                        known.clear()
+                    last = _last_pieces(t or "")
+                    known[k] = np.array(enc.encode_ordinary(t or ""), kind).tobytes(), sum(map(len, last)), sum(len(enc.encode_ordinary(p)) for p in last)
+                out.append(known[k])
+            columns = list(zip(*out)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["id", "doc", "seq", "own", "tail_chars", "tail_n"])
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer, folder)
@@ -214,6 +219,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
     where = spread(rows)
     refs = where.mapInArrow(lambda x: chunks(x, False), f"id {kind}, doc long, seq int, k binary")
     bodies = where.mapInArrow(lambda x: chunks(x, True), "k binary, body string").groupBy("k").agg(F.first("body").alias("body"))
-    coded = bodies.mapInArrow(encode, "k binary, own binary, tail_chars int, tail_n int")
-    parts = refs.join(coded, "k", "left").groupBy("id", "doc").agg(F.collect_list(F.struct("seq", "own", "tail_chars", "tail_n")).alias("parts"))
+    # The join brings the uses of a chunk together in one task, one after the other, where it is encoded once for all of them.
+    coded = refs.join(bodies, "k", "left").select("id", "doc", "seq", "k", "body").mapInArrow(encode, f"id {kind}, doc long, seq int, own binary, tail_chars int, tail_n int")
+    parts = coded.groupBy("id", "doc").agg(F.collect_list(F.struct("seq", "own", "tail_chars", "tail_n")).alias("parts"))
     return parts.select("id", "parts").mapInArrow(repair, f"id {kind}, ids array<int>").withColumnRenamed("id", key)
