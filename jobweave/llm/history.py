@@ -11,11 +11,12 @@ Which rows are accepted follows from the links, in order of arrival, in rounds o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobweave.llm import lookalikes
@@ -219,11 +220,19 @@ class Repeats:
     blank addresses and ids and texts of fewer than LEAST_CHARS characters link nothing. Empty tables give empty results.
     """
 
-    def __init__(self, rows: DataFrame, batch: str = "batch_no", key: str = "raw_id", url: str = "source_url", source: str = "source", source_id: str = "source_job_id", text: str = "job_description"):
-        blank = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", ""), r"\s+", " "))
-        o = F.shiftleft(F.coalesce(rows[batch].cast("long"), F.lit(0)), 43).bitwiseOR(rows[key].cast("long"))
-        narrow = rows.filter(rows[key].isNotNull()).select(o.alias("o"), page(rows[url]).alias("u"), F.when((blank(rows[source_id]) != "") & (blank(rows[source]) != ""), F.concat_ws("\x1f", blank(rows[source]), blank(rows[source_id]))).alias("i"), F.when(F.length(rows[text]) >= LEAST_CHARS, rows[text]).alias("v"))
-        self.rows = cut(spread(narrow).mapInArrow(_prepared, "o long, u long, i long, c long, t string, n int, h array<long>"))
+    def __init__(self, rows: DataFrame, **columns: str):
+        self.rows = cut(prepared(rows, **columns))
+        self._link()
+
+    @staticmethod
+    def of(rows: DataFrame) -> Repeats:
+        """Of rows already prepared and written."""
+        r = Repeats.__new__(Repeats)
+        r.rows = rows
+        r._link()
+        return r
+
+    def _link(self) -> None:
         light = self.rows.select("o", "u", "i", "c")
         # A text that several rows share stands for all of them, under its first row.
         firsts = cut(light.filter("c IS NOT NULL").groupBy("c").agg(F.min("o").alias("first")))
@@ -370,6 +379,75 @@ def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(marks)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(marks))], ["o", "n", "h"])
 
 
+def prepared(rows: DataFrame, batch: str = "batch_no", key: str = "raw_id", url: str = "source_url", source: str = "source", source_id: str = "source_job_id", text: str = "job_description") -> DataFrame:
+    """(o, u, i, c, t, n, h): order, fingerprints of page, source id and text, the folded text, and its sampled places."""
+    blank = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", ""), r"\s+", " "))
+    o = F.shiftleft(F.coalesce(rows[batch].cast("long"), F.lit(0)), 43).bitwiseOR(rows[key].cast("long"))
+    narrow = rows.filter(rows[key].isNotNull()).select(o.alias("o"), page(rows[url]).alias("u"), F.when((blank(rows[source_id]) != "") & (blank(rows[source]) != ""), F.concat_ws("\x1f", blank(rows[source]), blank(rows[source_id]))).alias("i"), F.when(F.length(rows[text]) >= LEAST_CHARS, rows[text]).alias("v"))
+    return spread(narrow).mapInArrow(_prepared, "o long, u long, i long, c long, t string, n int, h array<long>")
+
+
+class Store:
+    """The accepted rows of all batches so far, prepared, as immutable segments of Parquet in a shared folder.
+
+    A batch is prepared once and compared with those accepted rows alone that share a page, an id, a text or a sampled place with it; the
+    others are passed over by semi-joins on their fingerprints. Each batch adds a segment; two of a level are merged into one of the next, so there
+    are few, and each row is rewritten a logarithmic number of times.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def segments(self) -> dict[int, list[str]]:
+        """Paths by level. A folder without its _SUCCESS mark is a write that failed, and is passed over."""
+        out: dict[int, list[str]] = {}
+        if self._fs.exists(self._at(self.path)):
+            for x in self._fs.listStatus(self._at(self.path)):
+                p = x.getPath().toString()
+                if self._fs.exists(self._at(f"{p}/_SUCCESS")):
+                    out.setdefault(int(p.rsplit("/", 1)[1].split("-")[0]), []).append(p)
+        return {k: sorted(v) for k, v in sorted(out.items())}
+
+    def accepted(self) -> DataFrame | None:
+        paths = [p for v in self.segments().values() for p in v]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def check(self, batch: DataFrame, **columns: str) -> Repeats:
+        """The batch's links to accepted rows and within itself. Batches come in the order of (batch, id); an earlier one is refused."""
+        new, old = cut(prepared(batch, **columns)), self.accepted()
+        if old is None:
+            return Repeats.of(new)
+        first, last = new.agg(F.min("o")).first()[0], old.agg(F.max("o")).first()[0]
+        if first is not None and first <= last:
+            raise ValueError("the batch holds rows that come before accepted ones")
+        hits = None
+        for k in ("u", "i", "c"):
+            hit = old.filter(F.col(k).isNotNull()).select("o", k).join(new.select(k).distinct(), k, "left_semi").select("o")
+            hits = hit if hits is None else hits.unionByName(hit)
+        places = old.select("o", F.explode("h").alias("h")).join(new.select(F.explode("h").alias("h")).distinct(), "h", "left_semi").select("o")
+        hits = hits.unionByName(places).distinct()
+        return Repeats.of(cut(old.join(hits, "o", "left_semi").unionByName(new)))
+
+    def add(self, checked: Repeats) -> None:
+        """The accepted rows of a checked batch as a new segment; then like segments are merged."""
+        old = self.accepted()
+        rows = checked.rows.join(checked.refused, "o", "left_anti")
+        if old is not None:
+            rows = rows.join(old.select("o"), "o", "left_anti")
+        self._write(rows, 0)
+        while full := next(((k, v) for k, v in self.segments().items() if len(v) > 1), None):
+            level, paths = full
+            self._write(self.spark.read.parquet(*paths), level + 1)
+            for p in paths:
+                self._fs.delete(self._at(p), True)
+
+    def _write(self, rows: DataFrame, level: int) -> None:
+        rows.write.parquet(f"{self.path}/{level}-{uuid.uuid4().hex}")
+
+
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import duckdb
     import xxhash

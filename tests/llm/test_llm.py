@@ -123,7 +123,7 @@ def brute(data):
     return out
 
 
-def test_repeats(spark):
+def test_repeats(spark, tmp_path):
     r = random.Random(11)
     boiler = " ".join(sentence(r) for _ in range(2))
     data = []
@@ -160,6 +160,17 @@ def test_repeats(spark):
     assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got)
     assert {b for _, b in got} == {b for _, b in want} or len({b for _, b in got} ^ {b for _, b in want}) <= 3
     assert history.Repeats(df.limit(0)).pairs().count() == 0
+    # Batch by batch against the kept segments, the result is the same.
+    store, step = history.Store(spark, f"file://{tmp_path}/store"), set()
+    for n in (None, 1, 2, 3):
+        part = df.filter("coalesce(batch_no, 0) = 0" if n is None else f"batch_no = {n}")
+        checked = store.check(part)
+        step |= {(x["a"], x["b"]) for x in checked.pairs().collect()}
+        store.add(checked)
+    assert step == got and {k: len(v) for k, v in store.segments().items()} == {2: 1}
+    assert store.accepted().count() == df.count() - len({b for _, b in got})
+    with pytest.raises(ValueError):
+        store.check(df.filter("batch_no = 1"))
 
 
 def test_segments():
