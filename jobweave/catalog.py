@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobweave.functions import text as T
 from jobweave.operators import agreement, basket, cleaning, cluster, concentration, duplicates, explore, graph, matcher, pages, profile, quality
+from jobweave.plans.staging import small
 
 TITLE, SKILLS = "normalized_job_title", "extracted_skills"
 S = r"[\s\p{Z}]"
@@ -202,7 +203,7 @@ def rq3_profile_matrix(spark, sf_dir):
 
 def _rules(spark, sf_dir) -> list[tuple[str, str]]:
     """Rules from the table of places: each name and alias as a pattern for its entry, in the table's order."""
-    rows = _t(spark, sf_dir, "canon_locations").orderBy("ref_id").limit(10_000).collect()
+    rows = small(_t(spark, sf_dir, "canon_locations").orderBy("ref_id"))
     plain = lambda s: "".join("\\" + c if c in r"\.[]{}()*+?^$|" else c for c in s.strip())
     return [("|".join(plain(x) for x in [r["normalized_location"], *(r["aliases"] or "").split(";")] if x.strip()), r["normalized_location"]) for r in rows]
 
@@ -266,8 +267,8 @@ def clean_job_text(spark, sf_dir):
 
 @query()
 def clean_titles(spark, sf_dir):
-    places = [r[0] for r in _t(spark, sf_dir, "canon_locations").select("normalized_location").orderBy("ref_id").limit(10_000).collect()]
-    tools = [r[0] for r in _t(spark, sf_dir, "skills_taxonomy").select("canonical_name").orderBy("canonical_name").limit(2000).collect()]
+    places = [r[0] for r in small(_t(spark, sf_dir, "canon_locations").orderBy("ref_id").select("normalized_location"))]
+    tools = [r[0] for r in small(_t(spark, sf_dir, "skills_taxonomy").select("canonical_name").orderBy("canonical_name"))]
     distinct = _t(spark, sf_dir, "jobs_raw").select("raw_job_title").distinct()
     title = cleaning.normal_title(F.col("raw_job_title"), places, tools)
     return distinct.select("raw_job_title", title.alias("title")).withColumn("flags", F.array_join(cleaning.title_flags(F.col("title")), ","))
@@ -343,7 +344,7 @@ def skills_recount(spark, sf_dir):
 
 @query()
 def skills_matrix(spark, sf_dir):
-    ids = [r[0] for r in _t(spark, sf_dir, "skills_taxonomy").select("skill_id").orderBy("skill_id").limit(1000).collect()]
+    ids = [r[0] for r in small(_t(spark, sf_dir, "skills_taxonomy").select("skill_id").orderBy("skill_id"))]
     return matcher.skill_matrix(_matches(spark, sf_dir), "job_id", ids)
 
 
@@ -595,7 +596,7 @@ def rq4_clusters_with_titles(spark, sf_dir):
 def rq4_methods(spark, sf_dir):
     e = _ok(spark, sf_dir).filter(F.col(SKILLS).isNotNull())
     sample = agreement.hash_sample(e, "job_id", 500, "methods:")  # average linkage is quadratic: a sample, by the operator's own bound
-    words = [r[0] for r in _t(spark, sf_dir, "skills_taxonomy").select("canonical_name").orderBy("canonical_name").limit(1000).collect()]
+    words = [r[0] for r in small(_t(spark, sf_dir, "skills_taxonomy").select("canonical_name").orderBy("canonical_name"))]
     return cluster.compare_methods(sample, "job_id", SKILLS, 6, TITLE, words)
 
 

@@ -13,6 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobweave.plans.staging import small
+
 # Rows from which clustering makes sense; slack in choosing k.
 LEAST_ROWS, SLACK = 300, 0.02
 STABILITY_ROWS = 20_000  # rows of the lowest hash that the stability rounds draw from: the bound on what each task holds
@@ -213,7 +215,7 @@ def compare_methods(df: DataFrame, key: str, skills: str, k: int, title: str, vo
 
 def title_order(likeness: DataFrame) -> DataFrame:
     """(title, position): titles in the order in which average linkage over 1 - cosine joins them; for charts, so of few titles."""
-    pairs = likeness.select("title_a", "title_b", "cosine").orderBy("title_a", "title_b").limit(500_000).collect()
+    pairs = small(likeness.select("title_a", "title_b", "cosine").orderBy("title_a", "title_b"), 500_000)
     names = sorted({t for r in pairs for t in r[:2]})
     at = {t: i for i, t in enumerate(names)}
     d = np.ones((len(names), len(names)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from jobweave.functions.text import document_text
 from jobweave.operators import agreement, basket, cleaning, cluster, concentration, duplicates, graph, matcher, profile, quality
 from jobweave.plans.runner import StageContext, write_csv, write_json
-from jobweave.plans.staging import settle
+from jobweave.plans.staging import settle, small
 from jobweave.sources import readers
 from jobweave.sources.schema import FIELDS, conform
 
@@ -49,7 +49,7 @@ def cleaned(raw: DataFrame, rules: list[tuple[str, str]], places: list[str], too
 def clean(ctx: StageContext) -> dict:
     rules = [(r["pattern"], r["label"]) for r in readers.location_rules(ctx.spark, _file(ctx.inputs["locations"])).orderBy("rule_idx").collect()] if "locations" in ctx.inputs else []
     taxonomy = readers.read_taxonomy(ctx.spark, _file(ctx.inputs["taxonomy"])) if "taxonomy" in ctx.inputs else None
-    tools = [r[0] for r in taxonomy.select("canonical_name").orderBy("canonical_name").limit(2000).collect()] if taxonomy is not None else []
+    tools = [r[0] for r in small(taxonomy.select("canonical_name").orderBy("canonical_name"))] if taxonomy is not None else []
     df = settle(cleaned(readers.read_jobs(ctx.spark, _file(ctx.inputs["raw"])), rules, sorted({r[1] for r in rules}), tools))
     gates = cleaning.gates(df)
     df.select(*FIELDS).write.parquet(_file(ctx.target / "clean.parquet"))
@@ -139,7 +139,7 @@ def _rq4(df: DataFrame, options: dict) -> dict[str, DataFrame] | str:
     n = df.count()
     if n < options.get("min_rows", cluster.LEAST_ROWS):
         return f"{n} postings, under {cluster.LEAST_ROWS}"
-    words = [r[0] for r in basket.at_least(basket.basket(df), 3).select("skill").distinct().orderBy("skill").limit(5000).collect()]
+    words = [r[0] for r in small(basket.at_least(basket.basket(df), 3).select("skill").distinct().orderBy("skill"))]
     data = settle(cluster.skill_vectors(df.fillna({}), "job_id", SKILLS, words))
     table, models = cluster.sweep(data, list(options.get("ks", range(2, 9))), starts=3, rounds=options.get("stability_iterations", 20))
     best = cluster.choose_k(table)

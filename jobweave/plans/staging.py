@@ -26,3 +26,11 @@ def even(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= sc.defaultParallelism:
         return df
     return df.repartition(max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def small(df: DataFrame, most: int = 20_000) -> list:
+    """All rows of a table that must be small (rules, vocabularies); refused, not cut, when it isn't."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows where a short list is expected")
+    return rows
