@@ -338,6 +338,16 @@ def test_text_alone(spark):
     assert one(duplicates.near(df, text_alone=True), "a", "b") == [("1", "2")]
 
 
+def test_text_alone_without_titles(spark):
+    long = " ".join(f"word{i}" for i in range(40))
+    rows = [("1", "C", "Data", "X", long), ("2", "C", None, "Y", long), ("3", "C", " ", "Z", long), ("4", "C", "Đỹ", "X", long), ("5", "C", None, "Y", long), ("6", " ", None, "Y", long), ("7", "C", None, "Y", None), ("8", "C", None, "Y", None)]
+    df = spark.createDataFrame(rows, "job_id string, company string, normalized_job_title string, normalized_location string, job_description string")
+    assert one(duplicates.near(df), "a", "b") == []
+    assert set(one(duplicates.near(df, text_alone=True), "a", "b")) == {("1", "2"), ("1", "3"), ("1", "4"), ("2", "3"), ("2", "4"), ("3", "4")}
+    member = dict(one(duplicates.near_classes(df, text_alone=True), "job_id", "representative"))
+    assert member == {"1": "1", "2": "2", "3": "3", "4": "4", "5": "2"}
+
+
 def test_review_and_batches(spark):
     labels = spark.createDataFrame([("j", "A", 0, 1), ("j", "B", 2, 3), ("j", "C", 4, 5), ("j", "D", 6, 7)], "item string, label string, start int, end int")
     d = spark.createDataFrame([("j", "A", "reject", None, None, None), ("j", "B", "replace", "X", 8, 9), ("j", "C", "fix", None, 3, 5), ("j", "D", "keep", None, None, None), ("j", "E", "add", None, 1, 2), ("j", "D", "add", None, 0, 1)], "item string, label string, action string, new_label string, start int, end int")
