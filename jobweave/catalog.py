@@ -556,19 +556,19 @@ def _vectors(spark, sf_dir) -> DataFrame:
 @query()
 def rq4_assignment(spark, sf_dir):
     data = _vectors(spark, sf_dir)
-    return cluster.fit(data, 8, starts=3).transform(data).select(F.col("id").alias("vec_id"), F.col("prediction").alias("cluster"))
+    return cluster.fit(data, 8).transform(data).select(F.col("id").alias("vec_id"), F.col("prediction").alias("cluster"))
 
 
 @query()
 def rq4_k_sweep(spark, sf_dir):
-    table, _ = cluster.sweep(_vectors(spark, sf_dir), [2, 4, 8], starts=1, rounds=4)
+    table, _ = cluster.sweep(_vectors(spark, sf_dir), list(cluster.KS))
     return spark.createDataFrame(table)
 
 
 @query()
 def rq4_exemplars(spark, sf_dir):
     data = _vectors(spark, sf_dir)
-    return cluster.exemplars(cluster.fit(data, 8, starts=1).transform(data))
+    return cluster.exemplars(cluster.fit(data, 8).transform(data))
 
 
 @query()

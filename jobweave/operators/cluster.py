@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,15 @@ from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from jobweave.plans.staging import small
 
-# Rows from which clustering makes sense; slack in choosing k.
+# Rows from which clustering makes sense; slack in choosing k; the numbers of clusters, starts and stability rounds of a whole sweep.
 LEAST_ROWS, SLACK = 300, 0.02
+KS, STARTS, ROUNDS = tuple(range(2, 16)), 10, 100
 STABILITY_ROWS = 20_000  # rows of the lowest hash that the stability rounds draw from: the bound on what each task holds
+AT_ONCE = 4  # fits that run side by side
 
 
 def vectors(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -28,11 +32,12 @@ def skill_vectors(df: DataFrame, key: str, skills: str, vocabulary: list[str]) -
     return df.select(F.col(key).alias("id"), array_to_vector(F.array(*[F.coalesce(F.array_contains(skills, s), F.lit(False)).cast("double") for s in vocabulary])).alias("features"))
 
 
-def fit(data: DataFrame, k: int, starts: int = 10, seed: int = 42) -> KMeansModel:
+def fit(data: DataFrame, k: int, starts: int = STARTS, seed: int = 42) -> KMeansModel:
     """The best of several starts by its cost."""
     data = data.persist()
     try:
-        models = [KMeans(k=k, seed=seed + i, maxIter=50).fit(data) for i in range(starts)]
+        with ThreadPool(AT_ONCE) as pool:
+            models = pool.map(inheritable_thread_target(lambda i: KMeans(k=k, seed=seed + i, maxIter=50).fit(data)), range(starts), 1)
     finally:
         data.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
@@ -55,21 +60,25 @@ def davies_bouldin(labelled: DataFrame, label: str = "prediction", features: str
     return float(np.mean([max((spread[a] + spread[b]) / max(float(np.linalg.norm(centre[a] - centre[b])), 1e-12) for b in centre if b != a) for a in centre]))
 
 
-def _lloyd(x: np.ndarray, k: int, r: np.random.Generator, starts: int = 5, rounds: int = 30) -> np.ndarray:
+def _lloyd(x: np.ndarray, k: int, r: np.random.Generator, starts: int = STARTS, rounds: int = 30) -> np.ndarray:
     """Labels of the best of several starts by the sum of squared distances."""
     return min((_once(x, k, r, rounds) for _ in range(starts)), key=lambda t: t[0])[1]
 
 
 def _once(x: np.ndarray, k: int, r: np.random.Generator, rounds: int) -> tuple[float, np.ndarray]:
     centre = x[[int(r.integers(len(x)))]]
+    d = ((x - centre[0]) ** 2).sum(1, dtype=np.float64)
     for _ in range(1, k):
-        d = ((x[:, None] - centre[None]) ** 2).sum(2).min(1) if len(x) * len(centre) * x.shape[1] < 5e7 else np.min([((x - c) ** 2).sum(1) for c in centre], 0)
         p = d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x))
         centre = np.vstack([centre, x[int(r.choice(len(x), p=p))]])
+        d = np.minimum(d, ((x - centre[-1]) ** 2).sum(1, dtype=np.float64))
+    own, each = (x * x).sum(1)[:, None], np.arange(k)
     for _ in range(rounds):
-        d = (x * x).sum(1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(1)
+        d = own - 2 * x @ centre.T + (centre * centre).sum(1)
         near = d.argmin(1)
-        new = np.array([x[near == c].mean(0) if (near == c).any() else centre[c] for c in range(k)])
+        one = (near[:, None] == each).astype(x.dtype)
+        n = one.sum(0)[:, None]
+        new = np.where(n > 0, one.T @ x / np.maximum(n, 1), centre)
         if np.allclose(new, centre):
             break
         centre = new
@@ -79,17 +88,21 @@ def _once(x: np.ndarray, k: int, r: np.random.Generator, rounds: int) -> tuple[f
 def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
     table = np.zeros((a.max() + 1, b.max() + 1))
     np.add.at(table, (a, b), 1)
+    return _rand_of(table)
+
+
+def _rand_of(table: np.ndarray) -> float:
     pairs = lambda x: float((x * (x - 1) / 2).sum())
-    s, p, q, n = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), len(a) * (len(a) - 1) / 2
+    s, p, q, n = pairs(table), pairs(table.sum(1)), pairs(table.sum(0)), pairs(table.sum(keepdims=True))
     top, base = (p + q) / 2, p * q / n
     return 1.0 if top == base else (s - base) / (top - base)
 
 
-def stability(data: DataFrame, ks: list[int], rounds: int = 100, share: float = 0.8, seed: int = 42) -> DataFrame:
+def stability(data: DataFrame, ks: list[int], rounds: int = ROUNDS, share: float = 0.8, starts: int = STARTS, seed: int = 42) -> DataFrame:
     """(k, stability): the mean agreement of two clusterings of random parts, on the rows that both have. The (k, round) grid is spread over the tasks."""
-    rows = data.select("id", vector_to_array("features").alias("v"), F.xxhash64(F.col("id").cast("string")).alias("h")).orderBy("h").limit(STABILITY_ROWS).select("v").collect()
-    x = np.array([r[0] for r in rows], np.float32)
     spark = data.sparkSession
+    rows = data.select(F.xxhash64(F.col("id").cast("string")).alias("h"), vector_to_array("features").cast("array<float>").alias("v")).orderBy("h").limit(STABILITY_ROWS).toPandas()
+    x = np.array(rows.sort_values("h", kind="stable").v.tolist(), np.float32)
     grid = spark.createDataFrame([(k, i) for k in ks for i in range(rounds)], "k int, i int").repartition(spark.sparkContext.defaultParallelism, "k", "i")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,16 +114,16 @@ def stability(data: DataFrame, ks: list[int], rounds: int = 100, share: float =
                 both = np.intersect1d(a, b)
                 if len(both) < max(k, 2):
                     continue
-                la, lb = _lloyd(x[a], k, r), _lloyd(x[b], k, r)
+                la, lb = _lloyd(x[a], k, r, starts), _lloyd(x[b], k, r, starts)
                 out.append((k, adjusted_rand(la[np.searchsorted(a, both)], lb[np.searchsorted(b, both)])))
             yield pd.DataFrame(out, columns=["k", "ari"])
 
     return grid.mapInPandas(run, "k int, ari double").groupBy("k").agg(F.round(F.avg("ari"), 4).alias("stability"))
 
 
-def sweep(data: DataFrame, ks: list[int], starts: int = 3, rounds: int = 10, seed: int = 42) -> tuple[pd.DataFrame, dict[int, KMeansModel]]:
+def sweep(data: DataFrame, ks: list[int], starts: int = STARTS, rounds: int = ROUNDS, seed: int = 42) -> tuple[pd.DataFrame, dict[int, KMeansModel]]:
     """A table (k, silhouette, davies_bouldin, stability) and the models."""
-    steady = {r["k"]: r["stability"] for r in stability(data, ks, rounds, seed=seed).collect()}
+    steady = {r["k"]: r["stability"] for r in stability(data, ks, rounds, starts=starts, seed=seed).collect()}
     out, models = [], {}
     for k in ks:
         models[k] = fit(data, k, starts, seed)

@@ -141,7 +141,7 @@ def _rq4(df: DataFrame, options: dict) -> dict[str, DataFrame] | str:
         return f"{n} postings, under {cluster.LEAST_ROWS}"
     words = [r[0] for r in small(basket.at_least(basket.basket(df), 3).select("skill").distinct().orderBy("skill"))]
     data = settle(cluster.skill_vectors(df.fillna({}), "job_id", SKILLS, words))
-    table, models = cluster.sweep(data, list(options.get("ks", range(2, 9))), starts=3, rounds=options.get("stability_iterations", 20))
+    table, models = cluster.sweep(data, list(options.get("ks", cluster.KS)), rounds=options.get("stability_iterations", cluster.ROUNDS))
     best = cluster.choose_k(table)
     labelled = settle(models[best].transform(data))
     # Titles come in only now that the labels are fixed.

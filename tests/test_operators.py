@@ -348,6 +348,33 @@ def test_text_alone_without_titles(spark):
     assert member == {"1": "1", "2": "2", "3": "3", "4": "4", "5": "2"}
 
 
+def test_whole_sweep_by_default(monkeypatch):
+    import inspect
+
+    from jobweave import catalog
+    from jobweave.plans import stages
+
+    assert (cluster.KS, cluster.STARTS, cluster.ROUNDS) == (tuple(range(2, 16)), 10, 100)
+    for f in (cluster.fit, cluster.sweep, cluster.stability, cluster._lloyd):
+        assert inspect.signature(f).parameters["starts"].default == 10, f
+    seen = []
+    monkeypatch.setattr(cluster, "sweep", lambda data, ks, starts=cluster.STARTS, rounds=cluster.ROUNDS: (seen.append((tuple(ks), starts, rounds)), 1 / 0))
+    monkeypatch.setattr(catalog, "_vectors", lambda *_: None)
+    for f in (lambda: catalog.queries()["rq4_k_sweep"](None, ""), lambda: stages._rq4(_Any(), {})):
+        monkeypatch.setattr(stages, "settle", lambda df: df)
+        for m, n in ((cluster, "skill_vectors"), (stages.basket, "basket"), (stages.basket, "at_least")):
+            monkeypatch.setattr(m, n, lambda *_: _Any())
+        monkeypatch.setattr(stages, "small", lambda *_: [])
+        with pytest.raises(ZeroDivisionError):
+            f()
+    assert seen == [(tuple(range(2, 16)), 10, 100)] * 2
+
+
+class _Any:
+    def __getattr__(self, name):
+        return lambda *_: 1000 if name == "count" else self
+
+
 def test_review_and_batches(spark):
     labels = spark.createDataFrame([("j", "A", 0, 1), ("j", "B", 2, 3), ("j", "C", 4, 5), ("j", "D", 6, 7)], "item string, label string, start int, end int")
     d = spark.createDataFrame([("j", "A", "reject", None, None, None), ("j", "B", "replace", "X", 8, 9), ("j", "C", "fix", None, 3, 5), ("j", "D", "keep", None, None, None), ("j", "E", "add", None, 1, 2), ("j", "D", "add", None, 0, 1)], "item string, label string, action string, new_label string, start int, end int")
