@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from jobweave.plans.staging import small
+from jobweave.plans.staging import settle, small
 
 # Rows from which clustering makes sense; slack in choosing k; the numbers of clusters, starts and stability rounds of a whole sweep.
 LEAST_ROWS, SLACK = 300, 0.02
 KS, STARTS, ROUNDS = tuple(range(2, 16)), 10, 100
-STABILITY_ROWS = 20_000  # rows of the lowest hash that the stability rounds draw from: the bound on what each task holds
+STABILITY_ROWS = 20_000  # rows that a task holds in the stability rounds; with more, each round is fitted over all executors
 AT_ONCE = 4  # fits that run side by side
 
 
@@ -99,9 +99,14 @@ def _rand_of(table: np.ndarray) -> float:
 
 
 def stability(data: DataFrame, ks: list[int], rounds: int = ROUNDS, share: float = 0.8, starts: int = STARTS, seed: int = 42) -> DataFrame:
-    """(k, stability): the mean agreement of two clusterings of random parts, on the rows that both have. The (k, round) grid is spread over the tasks."""
+    """(k, stability): the mean agreement of two clusterings of random parts of all rows, on the rows that both have.
+
+    Up to STABILITY_ROWS rows the (k, round) grid is spread over the tasks, each of which holds the rows; with more, the fits of a round are spread.
+    """
     spark = data.sparkSession
-    rows = data.select(F.xxhash64(F.col("id").cast("string")).alias("h"), vector_to_array("features").cast("array<float>").alias("v")).orderBy("h").limit(STABILITY_ROWS).toPandas()
+    rows = data.select(F.xxhash64(F.col("id").cast("string")).alias("h"), vector_to_array("features").cast("array<float>").alias("v")).limit(STABILITY_ROWS + 1).toPandas()
+    if len(rows) > STABILITY_ROWS:
+        return _stability_spread(data, ks, rounds, share, starts, seed)
     x = np.array(rows.sort_values("h", kind="stable").v.tolist(), np.float32)
     grid = spark.createDataFrame([(k, i) for k in ks for i in range(rounds)], "k int, i int").repartition(spark.sparkContext.defaultParallelism, "k", "i")
 
@@ -121,6 +126,25 @@ def stability(data: DataFrame, ks: list[int], rounds: int = ROUNDS, share: float
     return grid.mapInPandas(run, "k int, ari double").groupBy("k").agg(F.round(F.avg("ari"), 4).alias("stability"))
 
 
+def _stability_spread(data: DataFrame, ks: list[int], rounds: int, share: float, starts: int, seed: int) -> DataFrame:
+    """`stability` with distributed fits: the parts are drawn by hashes of id, k and round."""
+    data, out = settle(data), []
+    for k in ks:
+        got = []
+        for i in range(rounds):
+            drawn = [F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(f"{seed}:{k}:{i}:{part}")), F.lit(1 << 32)) < int(share * (1 << 32)) for part in "ab"]
+            a, b = (fit(data.filter(c), k, starts, seed + starts * (2 * i + n)) for n, c in enumerate(drawn))
+            both = b.setPredictionCol("b").transform(a.setPredictionCol("a").transform(data.filter(drawn[0] & drawn[1]))).groupBy("a", "b").count().collect()
+            table = np.zeros((k, k))
+            for r in both:
+                table[r["a"], r["b"]] = r["count"]
+            if table.sum() >= max(k, 2):
+                got.append(_rand_of(table))
+        if got:
+            out.append((k, round(float(np.mean(got)), 4)))
+    return data.sparkSession.createDataFrame(out, "k int, stability double")
+
+
 def sweep(data: DataFrame, ks: list[int], starts: int = STARTS, rounds: int = ROUNDS, seed: int = 42) -> tuple[pd.DataFrame, dict[int, KMeansModel]]:
     """A table (k, silhouette, davies_bouldin, stability) and the models."""
     steady = {r["k"]: r["stability"] for r in stability(data, ks, rounds, starts=starts, seed=seed).collect()}

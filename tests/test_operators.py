@@ -375,6 +375,16 @@ class _Any:
         return lambda *_: 1000 if name == "count" else self
 
 
+def test_stability_of_all_rows(spark, monkeypatch):
+    df = generate(spark, 120)
+    words = sorted({s for r in df.collect() for s in r["extracted_skills"]})
+    data = cluster.skill_vectors(df, "job_id", "extracted_skills", words)
+    monkeypatch.setattr(cluster, "STABILITY_ROWS", 3)  # of 3 rows no part has 4
+    got = dict(one(cluster.stability(data, [4], 2, starts=3), "k", "stability"))
+    monkeypatch.undo()
+    assert got[4] > 0.8 and got[4] == pytest.approx(dict(one(cluster.stability(data, [4], 4), "k", "stability"))[4], abs=0.2)
+
+
 def test_review_and_batches(spark):
     labels = spark.createDataFrame([("j", "A", 0, 1), ("j", "B", 2, 3), ("j", "C", 4, 5), ("j", "D", 6, 7)], "item string, label string, start int, end int")
     d = spark.createDataFrame([("j", "A", "reject", None, None, None), ("j", "B", "replace", "X", 8, 9), ("j", "C", "fix", None, 3, 5), ("j", "D", "keep", None, None, None), ("j", "E", "add", None, 1, 2), ("j", "D", "add", None, 0, 1)], "item string, label string, action string, new_label string, start int, end int")
