@@ -168,7 +168,7 @@ def rq3_skipped_titles(spark, sf_dir):
 def rq3_baseline(spark, sf_dir):
     e = _ok(spark, sf_dir)
     found = profile.dispersion(e, TITLE, "job_id", SKILLS)
-    return profile.with_baseline(found, profile.baseline(e, "job_id", SKILLS, found, rounds=200))
+    return profile.with_baseline(found, profile.baseline(e, "job_id", SKILLS, found))
 
 
 @query(f"WITH {_L} SELECT * FROM l")

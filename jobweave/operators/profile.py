@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobweave.plans.staging import small
+
 # Postings from which a title is looked at; random groups of the baseline; levels of likeness; share from which a skill is shared.
 TITLE_LEAST, ROUNDS, LEVELS, SHARED = 5, 1000, (0.9, 0.8, 0.7), 0.5
 BLOCK = 500
@@ -53,41 +55,56 @@ def skipped(df: DataFrame, title: str, skills: str, least: int = TITLE_LEAST) ->
     return df.filter(F.col(title).isNotNull() & F.col(skills).isNotNull()).groupBy(F.col(title).alias("title")).agg(F.count("*").alias("n_postings")).filter(F.col("n_postings") < least)
 
 
-def baseline(df: DataFrame, key: str, skills: str, sizes: DataFrame, rounds: int = ROUNDS, pool: int = 20_000, seed: int = 42) -> DataFrame:
+def baseline(df: DataFrame, key: str, skills: str, sizes: DataFrame, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
     """(n_postings, baseline_mean, baseline_p5, baseline_p95) of the dispersion of random groups of each size in `sizes`.
 
-    Groups are drawn without replacement from the pool: the postings of the lowest hash, all of them up to `pool`, which is the bound
-    on what each task holds. Groups over 200 are drawn as 200: their mean likeness has the same expectation and the smaller spread is corrected.
+    Groups of that very size are drawn without replacement from all postings. A task holds each distinct set of skills once, as bits, with the
+    number of its postings; the rounds of each size are spread over the tasks and their pairs are counted in blocks.
     """
-    rows = df.filter(F.col(skills).isNotNull()).select(F.xxhash64(key).alias("h"), key, F.array_distinct(F.array_compact(skills)).alias("s")).orderBy("h", key).limit(pool)
-    sample = [sorted(r[0]) for r in rows.select("s").collect()]
-    words = {w: i for i, w in enumerate(sorted({w for s in sample for w in s}))}
-    packed = np.zeros((len(sample), max(1, len(words))), np.uint8)
-    for i, s in enumerate(sample):
-        packed[i, [words[w] for w in s]] = 1
-    bits = np.packbits(packed, axis=1)
+    rows = df.filter(F.col(skills).isNotNull()).select(F.array_distinct(F.array_compact(skills)).alias("s"))
+    words = {r[0]: i for i, r in enumerate(small(rows.select(F.explode("s").alias("w")).distinct().orderBy("w")))}
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = np.zeros((len(pdf), max(1, len(words))), np.uint8)
+            for i, s in enumerate(pdf.s):
+                m[i, [words[w] for w in s]] = 1
+            yield pd.DataFrame({"b": [x.tobytes() for x in np.packbits(m, axis=1)]})
+
+    sets = rows.mapInPandas(pack, "b binary").groupBy("b").agg(F.count("*").alias("c")).toPandas()
+    sets = sets.assign(b=sets.b.map(bytes)).sort_values("b")
+    bits = np.frombuffer(b"".join(sets.b), np.uint8).reshape(len(sets), -1)
+    upto = np.cumsum(sets.c.to_numpy(np.int64))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = np.unpackbits(bits, axis=1).astype(np.float32)
         for pdf in batches:
             out = []
-            for n in pdf.n_postings:
-                r, k = np.random.default_rng(seed), int(min(n, 200, len(m)))
-                means = np.empty(rounds)
-                for i in range(rounds):
-                    x = m[r.choice(len(m), k, replace=False)]
-                    joint = x @ x.T
-                    size = x.sum(1)
-                    whole = size[:, None] + size[None, :] - joint
-                    like = np.divide(joint, whole, out=np.zeros_like(joint), where=whole > 0)
-                    means[i] = 1 - (like.sum() - np.trace(like)) / (k * (k - 1))
-                centre = means.mean()
-                around = (means - centre) * np.sqrt(k / min(n, len(m)))
-                out.append((int(n), round(centre, 4), round(centre + np.percentile(around, 5), 4), round(centre + np.percentile(around, 95), 4)))
-            yield pd.DataFrame(out, columns=["n_postings", "baseline_mean", "baseline_p5", "baseline_p95"])
-
-    distinct = sizes.select("n_postings").distinct()
-    return distinct.repartition(8, "n_postings").mapInPandas(draw, "n_postings long, baseline_mean double, baseline_p5 double, baseline_p95 double")
+            for n, i in pdf.itertuples(index=False):
+                k = int(min(n, upto[-1]))
+                drawn = np.random.default_rng([seed, int(n), int(i)]).choice(upto[-1], k, replace=False, shuffle=False)
+                m = np.unpackbits(bits[np.searchsorted(upto, drawn, "right")], axis=1).astype(np.float32)
+                out.append((n, 1 - _pair_sum(m) / (k * (k - 1) / 2)))
+            yield pd.DataFrame(out, columns=["n_postings", "d"])
+
+    grid = sizes.select("n_postings").distinct().crossJoin(sizes.sparkSession.range(rounds).withColumnRenamed("id", "i"))
+    tasks = max(sizes.sparkSession.sparkContext.defaultParallelism * 4, 1)
+    got = grid.repartition(tasks, F.xxhash64("n_postings", "i")).mapInPandas(draw, "n_postings long, d double").groupBy("n_postings")
+    return got.agg(F.round(F.avg("d"), 4).alias("baseline_mean"), *[F.round(F.percentile("d", F.lit(p / 100)), 4).alias(f"baseline_p{p}") for p in (5, 95)])
+
+
+def _pair_sum(m: np.ndarray) -> float:
+    """The sum of the Jaccard likeness of all pairs of rows of a 0/1 matrix, two empty rows being unlike."""
+    size, total = m.sum(1), 0.0
+    for i in range(0, len(m), BLOCK):
+        a = m[i : i + BLOCK]
+        for j in range(i, len(m), BLOCK):
+            joint = a @ m[j : j + BLOCK].T
+            whole = size[i : i + BLOCK, None] + size[None, j : j + BLOCK]
+            whole -= joint
+            np.maximum(whole, 1, out=whole)
+            joint /= whole
+            total += joint.sum(dtype=np.float64) if j > i else (joint.sum(dtype=np.float64) - np.trace(joint, dtype=np.float64)) / 2
+    return float(total)
 
 
 def with_baseline(found: DataFrame, base: DataFrame) -> DataFrame:

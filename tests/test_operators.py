@@ -162,6 +162,19 @@ def test_dispersion(spark):
     assert {b["n_postings"] for b in base} == {10, 30} and all(b["baseline_p5"] <= b["baseline_mean"] <= b["baseline_p95"] for b in base)
 
 
+def test_baseline_draws_whole_groups(spark):
+    r = np.random.default_rng(3)
+    rows = [(str(i), [s for s in "ABCDEFG" if r.random() < 0.4]) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, s array<string>")
+    sets = [set(s) for _, s in rows]
+    exact = 1 - np.mean([len(a & b) / len(a | b) if a | b else 0 for a, b in itertools.combinations(sets, 2)])
+    sizes = spark.createDataFrame([(300,), (290,), (20,)], "n_postings long")
+    got = {b["n_postings"]: b for b in profile.baseline(df, "k", "s", sizes, rounds=60).collect()}
+    # A group of all postings is always the same; one of nearly all hardly varies.
+    assert got[300]["baseline_p5"] == got[300]["baseline_p95"] == got[300]["baseline_mean"] == pytest.approx(exact, abs=1e-4)
+    assert got[290]["baseline_p95"] - got[290]["baseline_p5"] < 0.01 < got[20]["baseline_p95"] - got[20]["baseline_p5"]
+
+
 def test_titles_summary(spark):
     rows = [("Data Eng ", "DE", "X"), ("data eng", "DE", "Y"), ("BA", "BA", "X"), ("Cook", "DE", "Z"), ("DE", "Chef", "X")]
     df = spark.createDataFrame(rows, "raw_job_title string, normalized_job_title string, company string")
