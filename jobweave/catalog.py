@@ -367,14 +367,16 @@ _G = "g AS (SELECT DISTINCT job_id AS item, regexp_replace(lower(trim(annotated_
 
 
 def _long(spark, sf_dir) -> DataFrame:
+    """(item, person, label); a submission without labels has one row, its label null."""
     gold = _t(spark, sf_dir, "gold_jobs")
-    return gold.select(F.col("job_id").alias("item"), F.lower(T.strip(F.col("annotated_by"))).alias("person"), F.explode("annotations.skill_id").alias("label")).filter("label IS NOT NULL").distinct()
+    return gold.select(F.col("job_id").alias("item"), F.lower(T.strip(F.col("annotated_by"))).alias("person"), F.explode_outer("annotations.skill_id").alias("label")).distinct()
 
 
 @query(f"WITH {_G}, n AS (SELECT item, count(DISTINCT person) AS n FROM g GROUP BY 1), m AS (SELECT item, label FROM g JOIN n USING (item) GROUP BY 1, 2 HAVING count(*) * 2 > any_value(n)), p AS (SELECT item, label, person FROM g), o AS (SELECT coalesce(p.label, m.label) AS label, p.person IS NOT NULL AS y, m.item IS NOT NULL AS x FROM (SELECT item, label, min(person) AS person FROM p GROUP BY 1, 2) p FULL JOIN m ON m.item = p.item AND m.label = p.label) SELECT label, count(*) FILTER (x AND y) AS tp, count(*) FILTER (y AND NOT x) AS fp, count(*) FILTER (x AND NOT y) AS fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 4) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 4) AS f1 FROM o GROUP BY 1")
 def gold_scores_by_skill(spark, sf_dir):
     long = _long(spark, sf_dir)
     n = long.groupBy("item").agg(F.count_distinct("person").alias("n"))
+    long = long.filter("label IS NOT NULL")
     gold = long.groupBy("item", "label").agg(F.count("*").alias("c")).join(n, "item").filter("c * 2 > n")
     return agreement.per_label(agreement.compare_labels(gold.select(F.col("item").alias("id"), "label"), long.select(F.col("item").alias("id"), "label")))
 

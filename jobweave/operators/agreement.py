@@ -40,12 +40,13 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return n.crossJoin(F.broadcast(pe)).select("n", F.round("po", 6).alias("observed"), F.round(e, 6).alias("expected"), F.round(F.when(e >= 1, 1.0).otherwise((F.col("po") - e) / (1 - e)), 6).alias("kappa"))
 
 
-def pairwise_kappa(long: DataFrame) -> DataFrame:
+def pairwise_kappa(long: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """(a, b, n, kappa, positive_agreement) of all pairs of people, over the cells (item, label) that either of the pair could give.
 
     long: (item, person, label). The cells of a pair are those of the items both have, for every label anybody gave the item.
+    people: (item, person) of all who were asked, those who gave no label included; without it, those in long.
     """
-    people = long.select("item", "person").distinct()
+    people = (long if people is None else people).select("item", "person").distinct()
     cells = long.select("item", "label").filter("label IS NOT NULL").distinct().join(people, "item")
     said = long.filter("label IS NOT NULL").select("item", "person", "label").distinct().withColumn("y", F.lit(1))
     votes = cells.join(said, ["item", "person", "label"], "left").fillna(0, "y")
@@ -58,9 +59,9 @@ def pairwise_kappa(long: DataFrame) -> DataFrame:
 
 
 def merge_labels(long: DataFrame, n_people: DataFrame | None = None) -> DataFrame:
-    """(item, n_people, agreed, disputed): labels that all of the item's people gave, and those that some gave, sorted."""
+    """(item, n_people, agreed, disputed): labels that all of the item's people gave, and those that some gave, sorted; both empty where nobody gave any."""
     n = n_people if n_people is not None else long.groupBy("item").agg(F.count_distinct("person").alias("n_people"))
-    each = long.filter("label IS NOT NULL").groupBy("item", "label").agg(F.count_distinct("person").alias("c")).join(n, "item")
+    each = long.filter("label IS NOT NULL").groupBy("item", "label").agg(F.count_distinct("person").alias("c")).join(n, "item", "right")
     return each.groupBy("item", "n_people").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("c") == F.col("n_people"), F.col("label")))), "|").alias("agreed"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("c") < F.col("n_people"), F.col("label")))), "|").alias("disputed"))
 
 

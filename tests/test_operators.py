@@ -228,6 +228,21 @@ def test_agreement(spark):
     assert one(ids.select(agreement.split_by_hash(F.col("i")).alias("s")), "s") == ["holdout"]
 
 
+def test_submissions_without_labels(spark, tmp_path):
+    from jobweave import catalog
+
+    a = lambda *x: [(s,) for s in x]
+    rows = [("j", "p", a("A")), ("j", "q", a("A")), ("j", "r", []), ("j", "s", None), ("k", "p", a("A", "B")), ("k", "q", a("A", "B")), ("m", "p", [])]
+    spark.createDataFrame(rows, "job_id string, annotated_by string, annotations array<struct<skill_id: string>>").write.parquet(f"file://{tmp_path}/gold_jobs.parquet")
+    q = {n: catalog.queries()[n](spark, f"file://{tmp_path}") for n in ("gold_merged", "gold_kappa", "gold_scores_by_skill")}
+    assert sorted(one(q["gold_merged"], "item", "n_people", "agreed", "disputed")) == [("j", 4, "", "A"), ("k", 2, "A|B", ""), ("m", 1, "", "")]
+    assert {(a, b): n for a, b, n in one(q["gold_kappa"], "a", "b", "n")} == {("p", "q"): 3, ("p", "r"): 1, ("p", "s"): 1, ("q", "r"): 1, ("q", "s"): 1, ("r", "s"): 1}
+    assert sorted(one(q["gold_scores_by_skill"], "label", "tp", "fp")) == [("A", 1, 1), ("B", 1, 0)]
+    said = spark.createDataFrame([("j", "p", "A")], "item string, person string, label string")
+    people = spark.createDataFrame([("j", "p"), ("j", "q")], "item string, person string")
+    assert one(agreement.pairwise_kappa(said, people), "a", "b", "n") == [("p", "q", 1)]
+
+
 def test_clusters(spark):
     df = generate(spark, 400)
     words = sorted({s for r in df.collect() for s in r["extracted_skills"]})
