@@ -597,9 +597,8 @@ def rq4_clusters_with_titles(spark, sf_dir):
 @query()
 def rq4_methods(spark, sf_dir):
     e = _ok(spark, sf_dir).filter(F.col(SKILLS).isNotNull())
-    sample = agreement.hash_sample(e, "job_id", 500, "methods:")  # average linkage is quadratic: a sample, by the operator's own bound
     words = [r[0] for r in small(_t(spark, sf_dir, "skills_taxonomy").select("canonical_name").orderBy("canonical_name"))]
-    return cluster.compare_methods(sample, "job_id", SKILLS, 6, TITLE, words)
+    return cluster.compare_methods(e, "job_id", SKILLS, 6, TITLE, words)
 
 
 @query()

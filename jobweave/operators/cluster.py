@@ -21,6 +21,7 @@ from jobweave.plans.staging import settle, small
 LEAST_ROWS, SLACK = 300, 0.02
 KS, STARTS, ROUNDS = tuple(range(2, 16)), 10, 100
 STABILITY_ROWS = 20_000  # rows that a task holds in the stability rounds; with more, each round is fitted over all executors
+LINKED = 12_000  # distinct sets of skills of which a task holds all distances for average linkage (4 bytes each)
 AT_ONCE = 4  # fits that run side by side
 
 
@@ -212,19 +213,63 @@ def upgma(distance: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def hierarchical(df: DataFrame, key: str, skills: str, k: int, most: int = 3000) -> DataFrame:
-    """(key, cluster) of average linkage on Jaccard distance; quadratic by nature, so refused over `most` rows."""
-    rows = df.select(F.col(key).cast("string"), F.array_distinct(F.array_compact(skills))).orderBy(key).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows")
-    words = {w: i for i, w in enumerate(sorted({w for r in rows for w in r[1] or []}))}
-    m = np.zeros((len(rows), max(1, len(words))), np.float32)
-    for i, r in enumerate(rows):
-        m[i, [words[w] for w in r[1] or []]] = 1
-    joint = m @ m.T
-    whole = m.sum(1)[:, None] + m.sum(1)[None] - joint
-    label = upgma(1 - np.divide(joint, whole, out=np.zeros_like(joint), where=whole > 0), min(k, len(rows))) if rows else []
-    return df.sparkSession.createDataFrame([(r[0], int(c)) for r, c in zip(rows, label)], f"{key} string, cluster int")
+def average_linkage(d: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Labels 0 to k - 1 as `upgma` gives, of points that stand for `size` rows each, by chains of nearest neighbours; d is overwritten."""
+    n, size, merges, chain, at = len(d), [float(x) for x in size], [], [], list(range(len(d)))
+    np.fill_diagonal(d, np.inf)
+    alive = np.ones(n, bool)
+    while len(merges) < n - 1:
+        chain = chain or [int(alive.argmax())]
+        while True:
+            i = chain[-1]
+            j = int(d[i].argmin())
+            if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
+        merges.append((float(d[i, j]), i, j))
+        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i, i] = d[j] = d[:, j] = np.inf
+        size[i] += size[j]
+        alive[j] = False
+
+    def root(x: int) -> int:
+        while at[x] != x:
+            at[x] = at[at[x]]
+            x = at[x]
+        return x
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: n - k]:
+        a, b = root(i), root(j)
+        at[max(a, b)] = min(a, b)
+    return np.unique([root(x) for x in range(n)], return_inverse=True)[1]
+
+
+def hierarchical(df: DataFrame, key: str, skills: str, k: int, most: int = LINKED) -> DataFrame:
+    """(key, cluster) of average linkage on Jaccard distance, over distinct sets of skills that count as often as they occur.
+
+    Quadratic by nature, so refused over `most` distinct sets.
+    """
+    rows = df.select(F.col(key).cast("string"), F.array_sort(F.array_distinct(F.array_compact(F.coalesce(F.col(skills), F.array().cast("array<string>"))))).alias("s"))
+    sets = settle(rows.groupBy("s").agg(F.count("*").alias("n")))
+    if sets.count() > most:
+        raise ValueError(f"more than {most} distinct sets")
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat([pd.DataFrame({"s": [], "n": []}), *batches])
+        x = sorted(zip(map(list, pdf.s), pdf.n))
+        words = {w: i for i, w in enumerate(sorted({w for s, _ in x for w in s}))}
+        m = np.zeros((len(x), max(1, len(words))), np.float32)
+        for i, (s, _) in enumerate(x):
+            m[i, [words[w] for w in s]] = 1
+        size, d = m.sum(1), np.empty((len(x), len(x)), np.float32)
+        for i in range(0, len(x), 500):
+            joint = m[i : i + 500] @ m.T
+            d[i : i + 500] = 1 - joint / np.maximum(size[i : i + 500, None] + size[None] - joint, 1)
+        yield pd.DataFrame({"s": [s for s, _ in x], "cluster": average_linkage(d, np.array([n for _, n in x]), min(k, len(x))) if x else []})
+
+    return rows.join(settle(sets.repartition(1).mapInPandas(link, "s array<string>, cluster int")), "s").select(key, "cluster")
 
 
 def coordinates(data: DataFrame) -> DataFrame:
@@ -235,19 +280,27 @@ def coordinates(data: DataFrame) -> DataFrame:
 
 
 def compare_methods(df: DataFrame, key: str, skills: str, k: int, title: str, vocabulary: list[str]) -> DataFrame:
-    """(method, k, silhouette, davies_bouldin, largest_share, singletons, ari, nmi): k-means and average linkage, held against titles."""
-    from jobweave.operators.agreement import partition_agreement
+    """(method, n, k, silhouette, davies_bouldin, largest_share, singletons, ari, nmi, ari_between, nmi_between): k-means and average linkage, held against titles and each other.
 
-    data = skill_vectors(df, key, skills, vocabulary)
-    linked = hierarchical(df, key, skills, k).select(F.col(key).alias("id"), F.col("cluster").alias("prediction"))
+    n: the postings looked at. These are all, but average linkage takes the LINKED of lowest hash where there are more distinct sets of skills than that.
+    """
+    from jobweave.operators.agreement import hash_sample, partition_agreement
+
+    data = settle(skill_vectors(df, key, skills, vocabulary).withColumn("id", F.col("id").cast("string")))
+    some = df.withColumn(key, F.col(key).cast("string"))
+    if some.select(F.array_sort(F.array_distinct(F.array_compact(skills)))).distinct().count() > LINKED:
+        some = settle(hash_sample(some.select(key, skills), key, LINKED, "methods:"))
+    linked = settle(hierarchical(some, key, skills, k).select(F.col(key).alias("id"), F.col("cluster").alias("prediction")))
+    means = settle(fit(data, k).transform(data))
+    between = partition_agreement(means.select("id", "prediction").join(linked.withColumnRenamed("prediction", "linked"), "id"), "prediction", "linked").first()
     rows = []
-    for name, labelled in (("kmeans", fit(data, k, 3).transform(data)), ("average_linkage", data.withColumn("id", F.col("id").cast("string")).join(linked, "id"))):
+    for name, labelled in (("kmeans", means), ("average_linkage", settle(data.join(linked, "id")))):
         sizes = [r[0] for r in labelled.groupBy("prediction").count().select("count").collect()]
         with_title = labelled.select(F.col("id").cast("string").alias("id"), "prediction").join(df.select(F.col(key).cast("string").alias("id"), title), "id")
         like = partition_agreement(with_title, "prediction", title).first()
         several = len(sizes) > 1
-        rows.append((name, len(sizes), round(silhouette(labelled), 4) if several else None, davies_bouldin(labelled) if several else None, round(max(sizes) / sum(sizes), 4), sum(s == 1 for s in sizes), like["ari"], like["nmi"]))
-    return df.sparkSession.createDataFrame(rows, "method string, k int, silhouette double, davies_bouldin double, largest_share double, singletons int, ari double, nmi double")
+        rows.append((name, sum(sizes), len(sizes), round(silhouette(labelled), 4) if several else None, davies_bouldin(labelled) if several else None, round(max(sizes) / sum(sizes), 4), sum(s == 1 for s in sizes), like["ari"], like["nmi"], between["ari"], between["nmi"]))
+    return df.sparkSession.createDataFrame(rows, "method string, n long, k int, silhouette double, davies_bouldin double, largest_share double, singletons int, ari double, nmi double, ari_between double, nmi_between double")
 
 
 def title_order(likeness: DataFrame) -> DataFrame:

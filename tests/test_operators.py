@@ -430,3 +430,21 @@ def test_methods(spark):
     assert got["kmeans"]["ari"] > 0.8 and got["average_linkage"]["k"] == 4
     p = profile.profiles(df, "normalized_job_title", "extracted_skills")
     assert sorted(one(cluster.title_order(profile.likeness(p)), "position")) == [0, 1, 2, 3]
+
+
+def test_methods_of_all_postings(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    p, size = r.random((60, 3)), r.integers(1, 4, 60)
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    whole = np.repeat(np.arange(60), size)
+    for k in (1, 2, 5, 20):
+        assert np.array_equal(cluster.average_linkage(d.copy(), size, k)[whole], cluster.upgma(d[np.ix_(whole, whole)], k)), k
+    df = generate(spark, 200)
+    df = df.union(df.withColumn("job_id", F.concat("job_id", F.lit("-2"))))
+    words = sorted({s for x in df.collect() for s in x["extracted_skills"]})
+    of = lambda: {x["method"]: x for x in cluster.compare_methods(df, "job_id", "extracted_skills", 4, "normalized_job_title", words).collect()}
+    got = of()
+    assert {x["n"] for x in got.values()} == {400} and got["average_linkage"]["largest_share"] <= 1 and got["kmeans"]["ari_between"] is not None
+    monkeypatch.setattr(cluster, "LINKED", 50)
+    got = of()
+    assert (got["kmeans"]["n"], got["average_linkage"]["n"]) == (400, 50)
