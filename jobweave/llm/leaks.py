@@ -162,7 +162,7 @@ class Index:
             order = np.argsort(d, kind="stable")
             d, mine = d[order], mine[order]
             crowd = np.searchsorted(d, d + slack, "right") - np.arange(len(d))
-            best = None
+            places: list[tuple[int, int, int]] = []
             tried: list[int] = []
             for x in np.argsort(-crowd, kind="stable"):
                 if crowd[x] < need:
@@ -174,18 +174,22 @@ class Index:
                 left, right = max(0, int(d[x]) - slack), min(len(w), int(d[x]) + 2 * slack + len(a))
                 left, right = max(left, int(group.min()) - len(a) - slack), min(right, int(group.max()) + len(a) + slack)
                 i0, i1, j0, j1, n_same = align(a, w[left:right])
-                if i1 - i0 + EDGE * (i1 > i0) >= share * len(a) and n_same >= min(GRAM, len(a)) and n_same >= same * (i1 - i0) and (best is None or n_same > best[0]):
-                    best = (n_same, left + j0, left + j1)
-            if best:
-                out.append((item, best[1], best[2]))
+                if i1 - i0 + EDGE * (i1 > i0) >= share * len(a) and n_same >= min(GRAM, len(a)) and n_same >= same * (i1 - i0):
+                    places.append((n_same, left + j0, left + j1))
+            # Of places that overlap the one with most matches counts.
+            taken: list[tuple[int, int]] = []
+            for _, x, y in sorted(places, key=lambda p: -p[0]):
+                if all(y <= u or x >= v for u, v in taken):
+                    taken.append((x, y))
+                    out.append((item, x, y))
         return out
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", share: float = 0.5, same: float = 0.7) -> DataFrame:
-    """Rows (doc_key, item_key, first, last): the characters of the document's text that hold at least `share` of the item.
+    """Rows (doc_key, item_key, first, last): the characters of the document's text that hold at least `share` of the item; a row for each such place.
 
     A passage counts when `same` of its words are the item's, in order. Null, empty and blank texts hold nothing; an
-    item under four words is found by its whole; repeated items and documents give one row per pair of ids; other columns are not read.
+    item under four words is found by its whole; repeated items and documents give each place once; other columns are not read.
     Either table empty gives an empty result. Items beyond ITEMS_AT_ONCE are taken in blocks, one pass each.
     """
     kind, ikind = dict(documents.dtypes)[doc_key], dict(items.dtypes)[item_key]
@@ -215,7 +219,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id",
 
         part = at.mapInArrow(scan, schema)
         result = part if result is None else result.unionByName(part)
-    return result.groupBy("d", "i").agg(F.min(F.struct("first", "last")).alias("s")).select(F.col("d").alias(doc_key), F.col("i").alias(item_key), "s.first", "s.last")
+    return result.distinct().select(F.col("d").alias(doc_key), F.col("i").alias(item_key), "first", "last")
 
 
 def without_leaks(documents: DataFrame, leaks: DataFrame, doc_key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -91,7 +91,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_passages(spark, sf_dir).select("doc_id", "item_id")
+    return p9_passages(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
 def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -462,3 +462,13 @@ def test_normal_form_of_cases():
     for a, b in CASES:
         if b is not None:
             assert unicodedata.is_normalized("NFC", b)
+
+
+def test_leaks_of_a_passage_twice(spark):
+    words = lambda n, k: " ".join(f"w{n}x{i}" for i in range(k))
+    item = words(0, 40)
+    df = spark.createDataFrame([(1, f"{words(1, 60)} {item} {words(2, 60)} {item} {words(3, 60)}")], "doc_id long, text string")
+    it = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = leaks.find_leaks(df, it)
+    assert got.count() == 2
+    assert "w0x" not in leaks.without_leaks(df, got).first()["text"]
