@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from jobweave.plans.staging import even as spread
+from jobweave.plans.staging import settle as cut
+from jobweave.plans.staging import shared_dir, small
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["cut", "duck", "shared_dir", "small", "spread", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches: spark.checkpoint.dir, set here only where it is unset (local tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"file:///tmp/jobweave-shared-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def cut(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs neither recompute it nor depend on one executor.
-
-    keep: when given, the paths written are appended, so that a caller may remove them once its result is written.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if keep is not None:
-        keep.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def duck():
+    """A DuckDB in memory for one task. It has no folder to spill to, so batches handed to it must be sliced."""
+    import duckdb
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even partitions for Python work, where the input alone gives fewer than there are cores (as one small file does)."""
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() >= sc.defaultParallelism:
-        return df
-    return df.repartition(max(sc.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})

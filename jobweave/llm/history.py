@@ -1,45 +1,43 @@
 """New batches checked for repeats against everything accepted before.
 
-Rows are linked by the page their address leads to, by source and id, and by text. For the text, every record is
-sampled at content-chosen places (`anchors`); records that share long stretches there are routed into the same shard. Within a shard,
-each batch's records form a segment: their texts concatenated, with a sorted array of the suffixes at word starts. A
-batch's own suffixes are binary-searched in the segments before it and in its own, what they cover is summed per record,
-and segments of like size are merged, so that there are few of them. Segments never change once built.
-
-Which rows are accepted follows from the links, in order of arrival, in rounds over the rows that have any.
+The accepted rows of all batches so far are kept as immutable segments in a shared folder: a suffix array over their
+concatenated texts, and the fingerprints of their pages, source ids and texts in order. A new batch's own suffixes and fingerprints
+are binary-searched in the segments, and in suffix arrays of the batch itself; matches are extended and what they cover is summed for each
+pair of records. So of the history only the pages that the searches touch are read, and the texts of records that share enough with a new one.
+
+Which rows of the batch are accepted follows from the links, in order of arrival, in rounds over the rows that have any. Then
+the batch becomes a segment, and segments of one level are merged into one of the next, so that there are few.
+A manifest names the segments; it is replaced as a whole once new files are complete.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.llm import lookalikes
-from jobweave.llm.common import cut, spread
+from jobweave.llm.common import cut, duck, spread
+from jobweave.llm.suffixes import OFFSET, Array, Library, Texts, exactly, looked_up, mounted, new_name, sampled, search
+from jobweave.plans.staging import dropped, file_system, new_path
 
 LEAST_CHARS = 60  # shorter texts say nothing
-RUN = 32  # bytes a match must have to cover anything
 COVERED = 0.68  # share of both texts, by bytes, that matches must cover
-# Stretches by which records are routed: bytes, one in so many places, and the lengths of text for which it holds.
-TIERS = ((96, 6, 320, 1 << 40), (36, 2, 0, 500))
-SHARED = 0.10  # share of the sampled places, of the text with more, that a pair must have in common
-# The same for records at crowded places, where long stretches in common say little.
-FINE_TIERS = ((64, 6, 320, 1 << 40), (36, 2, 0, 500))
-FINE_SHARED = 0.28
-FEW = 64  # records at one place that are all paired; of more, each is paired with the earliest, then looked at more finely
-SHARD_PAIRS = 3000
-SENT = 1_000_000  # ids up to which a list of rows, 8 bytes each, is broadcast to pick their texts before these are shuffled
+LIKELY = 0.4  # the same for the matches around sampled suffixes, from which all are looked at
+TEXT_BYTES = 128 << 20  # of one text file
+RANGE = 4_000_000  # suffixes in one file of a merged array
+KEYS = ("u", "i", "c")
+KINDS = {"suffixes": "S32", "keys": "i8"}
+ROWS = "o long, u long, i long, c long, part long, file string, at long, size int"
 # Fixed value: query fields of an address that don't tell pages apart.
 INCIDENTAL = r"^(utm_\w+|trk|clk|ref|refid|src|fbclid|gclid|msclkid|mc_[ce]id|session\w*|sid|click_?id|tracking\w*|share\w*)$"
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-
 
 def page(url: Column) -> Column:
     """What tells the page of an address: host, path and query without incidental parts; null for a blank or missing one.
@@ -65,430 +63,444 @@ def plain_sql() -> str:
     FROM ({lookalikes.sql("batch", ["k"], "v", composed=False)})"""
 
 
-def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' bytes one after the other with a blank between, where each starts, and the places where words, or East Asian characters, start."""
-    raw = " ".join(texts).encode()
-    b = np.frombuffer(raw, np.uint8)
-    sizes = np.array([len(t.encode()) for t in texts], np.int64)
-    starts = np.cumsum(sizes + 1) - (sizes + 1)
-    head = np.ones(len(b), bool)
-    head[1:] = (b[:-1] == 32) | (b[1:] >= 0xE3)
-    return b, starts, np.flatnonzero(head & (b != 32) & ((b & 0xC0) != 0x80))
+@dataclass
+class Manifest:
+    """What the store holds. texts: text files by number; segments: per segment its level, and the files of its suffixes and keys with the least entry of each."""
 
-
-def anchors(texts: list[str], tiers: tuple = TIERS) -> list[np.ndarray]:
-    """For each text the fingerprints of its stretches at sampled places; equal stretches are sampled alike wherever they stand."""
-    if not texts:
-        return []
-    b, starts, at = _joined(texts)
-    sizes = np.diff(np.append(starts, len(b) + 1)) - 1
-    power = np.cumprod(np.full(len(b) + 1, _BASE, np.uint64))
-    total = np.append(np.uint64(0), np.cumsum(b * power[:-1], dtype=np.uint64))
-    back = np.cumprod(np.full(len(b) + 1, _BASE_INVERSE, np.uint64))
-    span = lambda i, n: _mixed((total[i + n] - total[i]) * back[i])
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    doc = np.searchsorted(starts, at, "right") - 1
-    for tier, (length, rate, low, high) in enumerate(tiers):
-        ok = (at + length <= starts[doc] + sizes[doc]) & (sizes[doc] >= low) & (sizes[doc] < high)
-        i, d = at[ok], doc[ok]
-        pick = span(i, 16) % np.uint64(rate) == 0 if length > 16 else np.ones(len(i), bool)
-        i, d = i[pick], d[pick]
-        h = _mixed(span(i, length) + np.uint64(tier + 1)).view(np.int64)
-        edges = np.searchsorted(d, np.arange(len(texts) + 1))
-        for k in range(len(texts)):
-            if edges[k] < edges[k + 1]:
-                out[k].append(h[edges[k] : edges[k + 1]])
-    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in out]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-class Segment:
-    """Records' texts, concatenated, and their suffixes at word starts in order; never changed once built."""
-
-    def __init__(self, ids: np.ndarray, suffixes: np.ndarray, records: np.ndarray, places: np.ndarray):
-        self.ids, self.suffixes, self.records, self.places = ids, suffixes, records, places
+    version: int = 0
+    last: int = -1
+    texts: dict[int, str] = field(default_factory=dict)
+    segments: list[dict] = field(default_factory=list)
+    decided: list[str] = field(default_factory=list)
 
     @staticmethod
-    def of(ids: list[int], texts: list[str]) -> Segment:
-        s, record, place = suffixes(texts)
-        order = np.argsort(s, kind="stable")
-        return Segment(np.array(ids, np.int64), s[order], record[order], place[order])
-
-    def merged(self, other: Segment) -> Segment:
-        """One segment of two, by merging the sorted arrays; texts need not be read again."""
-        at = np.searchsorted(self.suffixes, other.suffixes, "right") + np.arange(len(other.suffixes))
-        n = len(self.suffixes) + len(other.suffixes)
-        mine = np.ones(n, bool)
-        mine[at] = False
-        out = []
-        for x, y in ((self.suffixes, other.suffixes), (self.records, other.records + len(self.ids)), (self.places, other.places)):
-            z = np.empty(n, x.dtype)
-            z[mine], z[at] = x, y
-            out.append(z)
-        return Segment(np.append(self.ids, other.ids), *out)
+    def read(text: str) -> Manifest:
+        m = Manifest(**json.loads(text))
+        m.texts = {int(k): v for k, v in m.texts.items()}
+        return m
 
-    def hits(self, query: np.ndarray, doc: np.ndarray, linked: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in query, position in the segment) of all matches between a query's suffixes and the records their text is linked to.
 
-        doc: the text of each suffix; linked[text, record]: whether they are linked, record being number[id's place in ids], or -1.
-        """
-        lo, hi = np.searchsorted(self.suffixes, query, "left"), np.searchsorted(self.suffixes, query, "right")
-        n = hi - lo
-        q = np.repeat(np.arange(len(query)), n)
-        s = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        record = number[self.records[s]]
-        ok = (record >= 0) & linked[doc[q], record]
-        return q[ok], s[ok]
-
-
-def suffixes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first RUN bytes, text, place in it) of the suffixes of at least RUN bytes at word starts."""
-    b, starts, at = _joined(texts)
-    sizes = np.diff(np.append(starts, len(b) + 1)) - 1
-    doc = np.searchsorted(starts, at, "right") - 1
-    ok = at + RUN <= starts[doc] + sizes[doc]
-    at, doc = at[ok], doc[ok]
-    if not len(at):
-        return np.zeros(0, f"S{RUN}"), doc.astype(np.int32), at.astype(np.int32)
-    windows = np.lib.stride_tricks.sliding_window_view(b, RUN)[at]
-    return np.ascontiguousarray(windows).view(f"S{RUN}").ravel(), doc.astype(np.int32), (at - starts[doc]).astype(np.int32)
-
-
-def _covered(pair: np.ndarray, place: np.ndarray, n_pairs: int) -> np.ndarray:
-    """Bytes under the RUN-long intervals at the places, for each pair."""
-    order = np.lexsort((place, pair))
-    p, x = pair[order], place[order].astype(np.int64)
-    gap = np.full(len(x), RUN, np.int64)
-    same = p[1:] == p[:-1]
-    gap[:-1][same] = np.minimum(RUN, x[1:][same] - x[:-1][same])
-    return np.bincount(p, gap, n_pairs)
-
-
-def covering(batches: list[tuple[list[int], list[str]]], queries: dict[int, list[tuple[int, str, list[int]]]]) -> list[tuple[int, int, float]]:
-    """(earlier, later, covered) for the linked pairs of one shard.
-
-    batches: in order of arrival, the records (ids, texts) that others are linked to. queries: by batch, the later records (id, text,
-    ids of the earlier records). covered is the share of both texts' bytes that lies in matches.
-    """
-    segments: list[Segment] = []
-    size = {i: len(t.encode()) for ids, texts in batches for i, t in zip(ids, texts)}
-    out = []
-    for k in range(max(len(batches), max(queries, default=-1) + 1)):
-        if k < len(batches) and batches[k][0]:
-            segments.append(Segment.of(*batches[k]))
-        asked = queries.get(k, [])
-        for n in range(0, len(asked), 200):
-            some = asked[n : n + 200]
-            query, doc, place = suffixes([t for _, t, _ in some])
-            wanted = np.unique(np.concatenate([np.array(w, np.int64) for _, _, w in some]))
-            linked = np.zeros((len(some), len(wanted)), bool)
-            for d, (_, _, w) in enumerate(some):
-                linked[d, np.searchsorted(wanted, w)] = True
-            pairs, q_at, s_at = [], [], []
-            for g in segments:
-                number = np.searchsorted(wanted, g.ids)
-                number[(number == len(wanted)) | (wanted[np.minimum(number, len(wanted) - 1)] != g.ids)] = -1
-                q, s = g.hits(query, doc, linked, number)
-                pairs.append(np.stack([doc[q].astype(np.int64), g.ids[g.records[s]]]))
-                q_at.append(place[q])
-                s_at.append(g.places[s])
-            both = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
-            if not both.shape[1]:
-                continue
-            place_of = both[0] * len(wanted) + np.searchsorted(wanted, both[1])
-            kinds, number = np.unique(place_of, return_inverse=True)
-            of_q = _covered(number, np.concatenate(q_at), len(kinds))
-            of_s = _covered(number, np.concatenate(s_at), len(kinds))
-            for kind, x, y in zip(kinds.tolist(), of_q, of_s):
-                (later, text, _), a = some[kind // len(wanted)], int(wanted[kind % len(wanted)])
-                out.append((a, later, (x + y) / max(1, size[a] + len(text.encode()))))
-        while len(segments) > 1 and len(segments[-2].suffixes) <= 2 * len(segments[-1].suffixes):
-            last = segments.pop()
-            segments[-1] = segments[-1].merged(last)
-    return out
+@dataclass
+class Batch:
+    """A batch made ready: its rows (ROWS and `first`, the first row with the text), and the numbers of its text files."""
+
+    rows: DataFrame
+    texts: dict[int, str]
 
 
-class Repeats:
-    """Links between rows that repeat each other, and which rows are accepted.
+class Store:
+    """The accepted rows of all batches so far, in a folder that all executors share.
 
-    Columns read: batch, id, url, source, source_id, text (by the names given); others are not, whatever their names.
+    Columns read of a batch: batch, id, url, source, source_id, text (by the names given); others are not, whatever their names.
     Rows arrive by (batch, id), a missing batch first; a row without id is left out; ids are unique and lie in 0 to 2**43, batches in 0 to 2**19. Missing or
     blank addresses and ids and texts of fewer than LEAST_CHARS characters link nothing. Empty tables give empty results.
     """
 
-    def __init__(self, rows: DataFrame, **columns: str):
-        self.rows = cut(prepared(rows, **columns))
-        self._link()
-
-    @staticmethod
-    def of(rows: DataFrame) -> Repeats:
-        """Of rows already prepared and written."""
-        r = Repeats.__new__(Repeats)
-        r.rows = rows
-        r._link()
-        return r
-
-    def _link(self) -> None:
-        light = self.rows.select("o", "u", "i", "c")
-        # A text that several rows share stands for all of them, under its first row.
-        firsts = cut(light.filter("c IS NOT NULL").groupBy("c").agg(F.min("o").alias("first")))
-        marks = cut(self.rows.filter(F.size("h") > 0).select("o", "n", "h").join(firsts.select(F.col("first").alias("o")), "o", "left_semi"))
-        self.edges = cut(self._similar(self._routed(marks.select("o", "n", F.explode("h").alias("h")))))
-        self._resolve(light, firsts)
-
-    def _routed(self, places: DataFrame) -> DataFrame:
-        """(a, b), a < b: first rows of texts to be compared, from (o, n, h), the sampled places h of n of the text at o."""
-        crowd = places.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
-        shared = cut(places.join(crowd, "h"))
-        crowded = shared.filter(F.col("m") > FEW)
-        crowded = crowded.join(crowded.groupBy("h").agg(F.min(F.struct("o", "n")).alias("first")), "h")
-        crowded = cut(_rarest(crowded, SHARED))
-        self.crowded = crowded.filter("NOT left_out")
-        few = shared.filter(F.col("m") <= FEW).groupBy("h").agg(F.array_sort(F.collect_list(F.struct("o", "n"))).alias("x"))
-        pair = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 2, F.size("x")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-        pairs = few.select(F.explode(pair).alias("p")).select("p.*")
-        star = self.crowded.filter(F.col("o") != F.col("first.o")).select(F.col("first").alias("a"), F.struct("o", "n").alias("b"))
-        return _enough(pairs.unionByName(star), crowded, SHARED)
-
-    def _finer(self, accepted: DataFrame) -> DataFrame:
-        """(a, b): texts at crowded places to be compared, one of them at least among the accepted.
-
-        The texts are sampled anew, at shorter stretches, of which a pair must share more. What is crowded with accepted texts even then is paired.
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self._fs, self._at = file_system(spark, path)
+        self.path = self._fs.makeQualified(self._at(path.rstrip("/"))).toString()
+        self._fs.mkdirs(self._at(self.path))
+        self._next = 0
+
+    # ---- the manifest
+
+    def _versions(self) -> list[int]:
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._at(self.path))]
+        return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+
+    def manifest(self) -> Manifest:
+        """The newest manifest; one is complete once it has its name."""
+        found = self._versions()
+        if not found:
+            return Manifest()
+        stream = self._fs.open(self._at(f"{self.path}/manifest-{found[-1]}.json"))
+        try:
+            return Manifest.read(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _publish(self, m: Manifest) -> None:
+        m.version += 1
+        temporary = self._at(f"{new_name(self.path, 'temporary')}")
+        stream = self._fs.create(temporary)
+        stream.write(bytearray(json.dumps(asdict(m)).encode()))
+        stream.close()
+        if not self._fs.rename(temporary, self._at(f"{self.path}/manifest-{m.version}.json")):
+            raise OSError(f"manifest {m.version} of {self.path} is there already: another writer?")
+
+    def sweep(self, texts: bool = False) -> None:
+        """Removes what the manifest doesn't name: files of writes that failed, and of segments that were merged.
+
+        Not while a batch is being checked; with `texts` also text files, when no batch made ready is still to be checked.
         """
-        if self.fine is None:
-            ids = cut(self.crowded.select("o").distinct())
-            texts = self._texts(ids, ids.count()).join(ids, "o", "left_semi")
-            places = spread(texts).mapInArrow(_finely, "o long, n int, h long")
-            shared = places.join(places.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "h")
-            self.fine = cut(_rarest(shared, FINE_SHARED))
-        kept = self.fine.filter("NOT left_out")
-        held = kept.join(accepted, "o", "left_semi").select("h", F.struct("o", "n").alias("y"))
-        met = held.join(kept.select("h", F.struct("o", "n").alias("x")), "h").filter("x.o <> y.o")
-        turned = F.col("x.o") < F.col("y.o")
-        both = met.select(F.when(turned, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("b"), "h").distinct()
-        return _enough(both.select("a", "b"), self.fine, FINE_SHARED)
-
-    def _similar(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs whose texts cover each other; each shard holds few pairs, however many one record has."""
-        pairs = cut(pairs)
-        n_pairs = pairs.count()
-        n = max(1, -(-n_pairs // SHARD_PAIRS))
-        heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SHARD_PAIRS)).alias("parts"))
-        dealt = pairs.join(heavy, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")), F.lit(n)).alias("shard"))
-        texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("o")).distinct(), 2 * n_pairs)
-        none = F.array().cast("array<long>")
-        earlier = dealt.select("shard", F.col("a").alias("o")).distinct().join(texts, "o").select("shard", "o", "t", none.alias("w"))
-        later = dealt.groupBy("shard", F.col("b").alias("o")).agg(F.collect_list("a").alias("w")).join(texts, "o").select("shard", "o", "t", "w")
-        return earlier.unionByName(later).groupBy("shard").applyInArrow(_compared, "a long, b long, covered double").filter(F.col("covered") >= COVERED).select("a", "b")
-
-    def _texts(self, ids: DataFrame, at_most: int) -> DataFrame:
-        """(o, t) of at least the given rows: of them alone where the list is small enough to send, else of all."""
-        texts = self.rows.filter("c IS NOT NULL").select("o", "t")
-        return texts.join(F.broadcast(ids), "o", "left_semi") if at_most <= SENT else texts
-
-    def _resolve(self, light: DataFrame, firsts: DataFrame) -> None:
-        """Which rows are accepted. Every link is a group of rows of which each repeats the others; rows without any are accepted."""
-        while True:
-            self._rounds(light, firsts)
-            # At crowded places each text met the earliest only; now those not refused meet the others, too.
-            if self.crowded.isEmpty():
-                return
-            met = self._finer(self.accepted_texts(firsts)).join(self.edges, ["a", "b"], "left_anti")
-            if self.met is not None:
-                met = met.join(self.met, ["a", "b"], "left_anti")
-            met = cut(met)
-            if met.isEmpty():
-                return
-            new = cut(self._similar(met))
-            if new.isEmpty():
-                return
-            self.met = met if self.met is None else cut(self.met.unionByName(met))
-            self.edges = cut(self.edges.unionByName(new))
-
-    fine: DataFrame | None = None
-    met: DataFrame | None = None
-
-    def accepted_texts(self, firsts: DataFrame) -> DataFrame:
-        """First rows o of the texts of which some row is accepted."""
-        return self.rows.select("o", "c").filter("c IS NOT NULL").join(self.refused, "o", "left_anti").select("c").distinct().join(firsts, "c").select(F.col("first").alias("o"))
-
-    def _rounds(self, light: DataFrame, firsts: DataFrame) -> None:
-        linked = self.edges.select(F.col("a").alias("first"), F.xxhash64("a", "b").alias("g")).unionByName(self.edges.select(F.col("b").alias("first"), F.xxhash64("a", "b").alias("g")))
-        by_text = light.filter("c IS NOT NULL").select("o", "c")
-        of_edges = by_text.join(firsts.join(linked, "first").select("c", "g"), "c").select("o", "g")
-        keys = [light.filter(f"{k} IS NOT NULL").select("o", F.xxhash64(F.lit(k), k).alias("g")) for k in ("u", "i", "c")]
-        groups = of_edges
-        for k in keys:
-            groups = groups.unionByName(k)
-        crowd = groups.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
-        self.groups = cut(groups.join(crowd, "g").select("o", "g"))
-        # state: null open, 1 accepted, 0 refused. Groups whose rows are all settled take no part in later rounds.
-        alive, state = self.groups, self.groups.select("o").distinct().withColumn("s", F.lit(None).cast("int"))
-        while True:
-            s = alive.join(state, "o")
+        m = self.manifest()
+        named = {f"manifest-{m.version}.json", *(p.rsplit("/", 1)[1] for p in [*m.texts.values(), *m.decided])}
+        named |= {f["path"].rsplit("/", 1)[1] for s in m.segments for f in s["suffixes"] + s["keys"]}
+        for x in self._fs.listStatus(self._at(self.path)):
+            name = x.getPath().getName()
+            if name not in named and name.rsplit(".", 1)[0] not in named and (texts or not name.startswith("texts-")):
+                self._fs.delete(x.getPath(), True)
+
+    def segments(self) -> dict[int, list[dict]]:
+        """Segments by level."""
+        out: dict[int, list[dict]] = {}
+        for s in self.manifest().segments:
+            out.setdefault(s["level"], []).append(s)
+        return dict(sorted(out.items()))
+
+    def accepted(self) -> DataFrame | None:
+        """(o) of all accepted rows."""
+        paths = self.manifest().decided
+        return self.spark.read.schema("o long, a long").parquet(*paths).filter("a IS NULL").select("o") if paths else None
+
+    # ---- a batch
+
+    def prepare(self, rows: DataFrame, by_batch: bool = False, **columns: str) -> Batch | dict[int, Batch]:
+        """The rows folded and fingerprinted, their texts in text files of the store. With by_batch for each of several batches, by number."""
+        base = self._next = max(self._next, max(self.manifest().texts, default=-1) + 1)
+        folded = cut(_narrow(rows, **columns).mapInArrow(_folded(self.path, base), ROWS).withColumn("batch", F.shiftright("o", 43)))
+        texts = folded.filter("c IS NOT NULL")
+        firsts = texts.groupBy("batch", "c").agg(F.min("o").alias("first"))
+        path = new_path(self.spark)
+        done = texts.join(firsts, ["batch", "c"]).unionByName(folded.filter("c IS NULL").withColumn("first", F.lit(None).cast("long")))
+        done.write.partitionBy("batch").parquet(path)
+        files: dict[int, dict[int, str]] = {}
+        for batch, part, file in folded.select("batch", "part", "file").distinct().collect():  # a few for each task
+            files.setdefault(batch, {}).update({} if file is None else {part: file})
+        self._next = max([base, *(n + 1 for x in files.values() for n in x)])
+        dropped(folded)
+        read = lambda at: self.spark.read.schema(f"{ROWS}, first long").parquet(at)
+        if by_batch:
+            return {b: Batch(read(f"{path}/batch={b}"), files[b]) for b in sorted(files)}
+        return Batch(read(path), {k: v for x in files.values() for k, v in x.items()})
+
+    def check(self, batch: DataFrame | Batch, **columns: str) -> Checked:
+        """The batch's links to accepted rows and within itself, and which of its rows are accepted. An earlier batch than the last is refused."""
+        b = batch if isinstance(batch, Batch) else self.prepare(batch, **columns)
+        return Checked(self, b)
+
+    def add(self, checked: Checked) -> None:
+        """The accepted rows of a checked batch as a new segment, merged with those of its level; the manifest changes at the end, at once."""
+        m = self.manifest()
+        if m.version != checked.version:
+            raise ValueError("the batch was checked against an older state of the store")
+        if checked.last is None:
+            return
+        level, inputs = 0, []
+        while same := [s for s in m.segments if s["level"] == level]:
+            inputs += same
+            m.segments = [s for s in m.segments if s["level"] != level]
+            level += 1
+        m.segments.append({"level": level} | self._merge(inputs, checked, m.texts))
+        m.texts |= checked.batch.texts
+        m.decided.append(checked.path)
+        m.last = checked.last
+        self._publish(m)
+        self.sweep()
+
+    def _merge(self, inputs: list[dict], checked: Checked, texts: dict[int, str]) -> dict:
+        """The files of the merged segment; each task writes one range of the suffixes or of the keys."""
+        ranges, old, new = [], {}, {}
+        for what, kind in KINDS.items():
+            old[what], new[what] = [f["path"] for s in inputs for f in s[what]], [f["path"] for f in checked.runs[what]]
+            n = sum(f["n"] for s in inputs for f in s[what]) + sum(f["n"] for f in checked.runs[what])
+            bounds = _bounds(old[what] + new[what], kind, -(-n // RANGE))
+            ranges += [(what, low, high) for low, high in zip([None, *bounds], [*bounds, None])]
+        tasks = self.spark.range(len(ranges), numPartitions=len(ranges))
+        made = tasks.mapInArrow(_merging(ranges, old, new, texts | checked.batch.texts, checked.path, self.path), "what string, path string, least string, n long").collect()
+        return {what: sorted(({k: r[k] for k in ("path", "least", "n")} for r in made if r["what"] == what), key=lambda r: _key(r["least"], kind)) for what, kind in KINDS.items()}
+
+
+def _key(least: str, kind: str):
+    return bytes.fromhex(least) if kind == "S32" else int(least)
+
+
+def _bounds(paths: list[str], kind: str, n: int) -> list:
+    """n - 1 entries that part the arrays evenly, from evenly spaced entries of each: a few thousand, whatever their size."""
+    if n < 2:
+        return []
+    some = []
+    for p in paths:
+        h = Array.open(p, kind).heads
+        some.append(np.asarray(h[:: max(1, len(h) // (64 * n))]))
+    every = np.sort(np.concatenate(some))
+    return np.unique(every[np.linspace(0, len(every), n + 1).astype(int)[1:-1]]).tolist()
+
+
+def _merging(ranges: list, old: dict, new: dict, texts: dict[int, str], decided: str, folder: str):
+    """Merges one range of the arrays; of the batch's own ones only what belongs to accepted rows stays."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library, ids = Library(texts), _accepted(decided)
+
+        def stays(what: str, places: np.ndarray) -> np.ndarray:
+            if what == "keys":
+                return np.isin(places, ids)
+            out = np.zeros(len(places), bool)
+            number = places >> OFFSET
+            for no in np.unique(number).tolist():
+                t, here = library[no], np.flatnonzero(number == no)
+                rec = np.searchsorted(t.starts, places[here] & ((1 << OFFSET) - 1), "right") - 1
+                out[here] = np.isin(t.ids, ids)[rec]
+            return out
+
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                what, *bounds = ranges[i]
+                kind = KINDS[what]
+                low, high = (np.array(x, kind) if x is not None else None for x in bounds)
+                parts = [Array.open(p, kind).between(low, high) for p in old[what]]
+                for p in new[what]:
+                    h, q = Array.open(p, kind).between(low, high)
+                    m = stays(what, q)
+                    parts.append((h[m], q[m]))
+                done = Array.of(*(np.concatenate(x) for x in zip(*parts)))
+                if not len(done):
+                    continue
+                path = new_name(folder, what)
+                done.write(path)
+                least = bytes(done.heads[0]).hex() if what == "suffixes" else str(done.heads[0])
+                yield pa.RecordBatch.from_pylist([{"what": what, "path": path, "least": least, "n": len(done)}])
+
+    return f
+
+
+def _accepted(path: str) -> np.ndarray:
+    """The accepted rows of the batch, 8 bytes each."""
+    import pyarrow.dataset as ds
+
+    return np.sort(ds.dataset(mounted(path) or path, format="parquet").to_table(columns=["o"], filter=ds.field("a").is_null()).column("o").to_numpy())
+
+
+class Checked:
+    """A batch's links, and which of its rows are accepted."""
+
+    def __init__(self, store: Store, batch: Batch):
+        self.store, self.batch = store, batch
+        m = store.manifest()
+        self.version = m.version
+        rows = batch.rows
+        self.runs, ends = self._own_arrays(rows)
+        self.last = max((x for _, x in ends), default=None)
+        if self.last is not None and min(x for x, _ in ends) <= m.last:
+            raise ValueError("the batch holds rows that come before accepted ones")
+        self._link(rows, m)
+
+    def _own_arrays(self, rows: DataFrame) -> tuple[dict, list]:
+        """Each task's suffixes and keys in order, in files of the store."""
+        schema = "what string, path string, n long, low long, high long"
+        made = rows.mapInArrow(_run(self.store.path, self.batch.texts), schema).collect()  # two rows for each task
+        runs = {w: [{"path": r["path"], "n": r["n"]} for r in made if r["what"] == w] for w in ("suffixes", "keys")}
+        return runs, [(r["low"], r["high"]) for r in made if r["what"] == "keys"]
+
+    def _link(self, rows: DataFrame, m: Manifest) -> None:
+        find = _find(m.segments, [f["path"] for f in self.runs["suffixes"]], m.texts | self.batch.texts, m.last)
+        found = rows.mapInArrow(find, "k long, whole boolean, g long, a long")
+        # What holds for a text holds for every row with it.
+        of = rows.select(F.col("o").alias("k"), F.lit(False).alias("whole"), "o").unionByName(rows.filter("first IS NOT NULL").select(F.col("first").alias("k"), F.lit(True).alias("whole"), "o"))
+        # The rows of one page, source id or text are a group, of which each repeats the others; so are those with either of two like texts.
+        keys = rows.select("o", F.explode(F.array(*[F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(k), k)) for k in KEYS])).alias("g")).filter("g IS NOT NULL")
+        crowd = keys.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
+        links = found.join(of, ["k", "whole"]).select("o", "g", "a").unionByName(keys.join(crowd, "g").select("o", "g", F.lit(None).cast("long").alias("a")))
+        self.links = cut(links)
+        groups = self.links.filter("g IS NOT NULL").select("o", "g")
+
+        def step(state: DataFrame) -> DataFrame:
+            """Open rows that come first in all of their groups are accepted, those after an accepted one refused."""
+            s = groups.join(state, "o")
             lead = s.groupBy("g").agg(F.min(F.when(F.col("s") == 1, F.col("o"))).alias("yes"), F.min(F.when(F.col("s").isNull(), F.col("o"))).alias("open")).filter("open IS NOT NULL")
-            alive = cut(s.join(lead, "g"))
-            seen = alive.filter("s IS NULL").groupBy("o").agg(F.max(F.coalesce(F.col("yes") < F.col("o"), F.lit(False))).alias("no"), F.min(F.col("open") == F.col("o")).alias("leads"))
-            fresh = seen.select("o", F.when(F.col("no"), 0).when(F.col("leads"), 1).alias("s2"))
-            state = cut(state.join(fresh, "o", "left").select("o", F.coalesce("s", "s2").alias("s")))
-            if state.filter("s IS NULL").isEmpty():
-                break
-            alive = alive.select("o", "g")
-        self.refused = state.filter("s = 0").select("o")
-        self.state = state
+            met = s.filter("s IS NULL").join(lead, "g").groupBy("o").agg(F.max(F.coalesce(F.col("yes") < F.col("o"), F.lit(False))).alias("no"), F.min(F.col("open") == F.col("o")).alias("leads"))
+            fresh = met.select("o", F.when(F.col("no"), 0).when(F.col("leads"), 1).alias("s2"))
+            return state.join(fresh, "o", "left").select("o", F.coalesce("s", "s2").alias("s"))
+
+        # s: null open, 1 accepted, 0 refused.
+        state = self.links.groupBy("o").agg(F.when(F.max(F.col("a").isNotNull()), 0).alias("s"))
+        self.state = cut(step(step(state)))
+        while not self.state.filter("s IS NULL").isEmpty():
+            before, self.state = self.state, cut(step(step(self.state)))
+            dropped(before)
+        s = groups.join(self.state, "o")
+        inside = s.filter("s = 0").select("g", "o").join(s.filter("s = 1").select("g", F.col("o").alias("a")), "g").filter("a < o").select("o", "a")
+        repeated = self.links.filter("a IS NOT NULL").select("o", "a").unionByName(inside).distinct()
+        accepted = rows.select("o").join(self.state.filter("s = 0"), "o", "left_anti").select("o", F.lit(None).cast("long").alias("a"))
+        self.path = new_name(self.store.path, "decided")
+        accepted.unionByName(repeated).write.parquet(self.path)
+        self.decided = self.store.spark.read.schema("o long, a long").parquet(self.path)
+
+    def drop(self) -> None:
+        """Removes the written tables that nothing needs once the batch is added."""
+        dropped(self.links, self.state, self.batch.rows)
 
     def pairs(self) -> DataFrame:
         """(a, b): row b, not accepted, repeats the accepted row a, by any link; ids as given."""
-        s = self.groups.join(self.state, "o")
-        yes = s.filter("s = 1").select("g", F.col("o").alias("a"))
-        no = s.filter("s = 0").select("g", F.col("o").alias("b"))
         mask = F.lit((1 << 43) - 1)
-        return no.join(yes, "g").filter("a < b").select(F.col("a").bitwiseAND(mask).alias("a"), F.col("b").bitwiseAND(mask).alias("b")).distinct()
-
-
-def _rarest(places: DataFrame, share: float) -> DataFrame:
-    """places (o, n, h, m) with left_out: whether the text can do without the place.
-
-    A pair must share `share` of the places of the text with more. So each may leave out that many of its most crowded places, less one: of
-    those that a pair shares, the rarest is left out by neither.
-    """
-    spared = F.greatest(F.ceil(F.col("n") * share) - 1, F.lit(0))
-    return places.withColumn("left_out", F.row_number().over(Window.partitionBy("o").orderBy(F.desc("m"), "h")) <= spared)
-
-
-def _enough(pairs: DataFrame, places: DataFrame, share: float) -> DataFrame:
-    """(a, b) of the pairs (structs of o and n) that share enough of the places not left out."""
-    together = pairs.groupBy(F.col("a.o").alias("a"), F.col("b.o").alias("b")).agg(F.count("*").alias("k"), F.first("a.n").alias("n_a"), F.first("b.n").alias("n_b"))
-    together = together.filter(F.col("k") >= share / 2 * F.least("n_a", "n_b"))  # before the joins: no more than half can be left out
-    lost = places.filter("left_out").groupBy("o").agg(F.count("*").alias("lost"))
-    for end in ("a", "b"):
-        together = together.join(lost.select(F.col("o").alias(end), F.col("lost").alias(f"lost_{end}")), end, "left")
-    left = [F.col(f"n_{x}") - F.coalesce(f"lost_{x}", F.lit(0)) for x in ("a", "b")]
-    return together.filter(F.col("k") >= share * F.greatest(*left)).select("a", "b")
-
-
-def _finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in (whole.slice(k, 2000) for k in range(0, whole.num_rows, 2000)):
-            marks = anchors(b.column(1).to_pylist(), FINE_TIERS)
-            sizes = np.array([len(m) for m in marks], np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(marks)), sizes))), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(marks))], ["o", "n", "h"])
+        return self.decided.filter("a IS NOT NULL").select(F.col("a").bitwiseAND(mask).alias("a"), F.col("o").bitwiseAND(mask).alias("b"))
+
+
+def repeats(rows: DataFrame, store: Store | None = None, **columns: str) -> DataFrame:
+    """(a, b) of all the batches in rows, taken one after the other, each against the store of what was accepted before."""
+    spark = rows.sparkSession
+    store = store or Store(spark, new_path(spark))
+    out = spark.createDataFrame([], "a long, b long")
+    for batch in store.prepare(rows, by_batch=True, **columns).values():
+        checked = store.check(batch)
+        store.add(checked)
+        checked.drop()
+        out = out.unionByName(checked.pairs())
+    return out
 
 
-def prepared(rows: DataFrame, batch: str = "batch_no", key: str = "raw_id", url: str = "source_url", source: str = "source", source_id: str = "source_job_id", text: str = "job_description") -> DataFrame:
-    """(o, u, i, c, t, n, h): order, fingerprints of page, source id and text, the folded text, and its sampled places."""
+def _narrow(rows: DataFrame, batch: str = "batch_no", key: str = "raw_id", url: str = "source_url", source: str = "source", source_id: str = "source_job_id", text: str = "job_description") -> DataFrame:
+    """(o, u, i, v): order, page, source id and text."""
     blank = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", ""), r"\s+", " "))
     o = F.shiftleft(F.coalesce(rows[batch].cast("long"), F.lit(0)), 43).bitwiseOR(rows[key].cast("long"))
-    narrow = rows.filter(rows[key].isNotNull()).select(o.alias("o"), page(rows[url]).alias("u"), F.when((blank(rows[source_id]) != "") & (blank(rows[source]) != ""), F.concat_ws("\x1f", blank(rows[source]), blank(rows[source_id]))).alias("i"), F.when(F.length(rows[text]) >= LEAST_CHARS, rows[text]).alias("v"))
-    return spread(narrow).mapInArrow(_prepared, "o long, u long, i long, c long, t string, n int, h array<long>")
-
-
-class Store:
-    """The accepted rows of all batches so far, prepared, as immutable segments of Parquet in a shared folder.
-
-    A batch is prepared once and compared with those accepted rows alone that share a page, an id, a text or a sampled place with it; the
-    others are passed over by semi-joins on their fingerprints. Each batch adds a segment; two of a level are merged into one of the next, so there
-    are few, and each row is rewritten a logarithmic number of times.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def segments(self) -> dict[int, list[str]]:
-        """Paths by level. A folder without its _SUCCESS mark is a write that failed, and is passed over."""
-        out: dict[int, list[str]] = {}
-        if self._fs.exists(self._at(self.path)):
-            for x in self._fs.listStatus(self._at(self.path)):
-                p = x.getPath().toString()
-                if self._fs.exists(self._at(f"{p}/_SUCCESS")):
-                    out.setdefault(int(p.rsplit("/", 1)[1].split("-")[0]), []).append(p)
-        return {k: sorted(v) for k, v in sorted(out.items())}
-
-    def accepted(self) -> DataFrame | None:
-        paths = [p for v in self.segments().values() for p in v]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def check(self, batch: DataFrame, **columns: str) -> Repeats:
-        """The batch's links to accepted rows and within itself. Batches come in the order of (batch, id); an earlier one is refused."""
-        new, old = cut(prepared(batch, **columns)), self.accepted()
-        if old is None:
-            return Repeats.of(new)
-        first, last = new.agg(F.min("o")).first()[0], old.agg(F.max("o")).first()[0]
-        if first is not None and first <= last:
-            raise ValueError("the batch holds rows that come before accepted ones")
-        hits = None
-        for k in ("u", "i", "c"):
-            hit = old.filter(F.col(k).isNotNull()).select("o", k).join(new.select(k).distinct(), k, "left_semi").select("o")
-            hits = hit if hits is None else hits.unionByName(hit)
-        places = old.select("o", F.explode("h").alias("h")).join(new.select(F.explode("h").alias("h")).distinct(), "h", "left_semi").select("o")
-        hits = hits.unionByName(places).distinct()
-        return Repeats.of(cut(old.join(hits, "o", "left_semi").unionByName(new)))
-
-    def add(self, checked: Repeats) -> None:
-        """The accepted rows of a checked batch as a new segment; then like segments are merged."""
-        old = self.accepted()
-        rows = checked.rows.join(checked.refused, "o", "left_anti")
-        if old is not None:
-            rows = rows.join(old.select("o"), "o", "left_anti")
-        self._write(rows, 0)
-        while full := next(((k, v) for k, v in self.segments().items() if len(v) > 1), None):
-            level, paths = full
-            self._write(self.spark.read.parquet(*paths), level + 1)
-            for p in paths:
-                self._fs.delete(self._at(p), True)
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        rows.write.parquet(f"{self.path}/{level}-{uuid.uuid4().hex}")
-
-
-def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import duckdb
-    import xxhash
-
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-    statement = plain_sql()
-    short = lambda s: None if s is None else xxhash.xxh3_64_intdigest(s) - (1 << 63)
-    for whole in batches:
-        for b in (whole.slice(k, 2000) for k in range(0, whole.num_rows, 2000)):
-            batch = pa.table({"k": pa.array(np.arange(b.num_rows)), "v": b.column(3)})
-            con.register("batch", batch)
-            got = con.sql(statement).to_arrow_table().to_pydict()
-            con.unregister("batch")
-            texts = [""] * b.num_rows
-            for k, v in zip(got["k"], got["v"]):
-                texts[k] = v
-            said = [v is not None and t != "" for v, t in zip(b.column(3).to_pylist(), texts)]
-            marks = anchors(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    *[pa.array([short(x) for x in b.column(i).to_pylist()], pa.int64()) for i in (1, 2)],
-                    pa.array([short(t) if s else None for t, s in zip(texts, said)], pa.int64()),
-                    pa.array([t if s else None for t, s in zip(texts, said)], pa.string()),
-                    pa.array([len(m) for m in marks], pa.int32()),
-                    pa.array([m if s else m[:0] for m, s in zip(marks, said)], pa.list_(pa.int64())),
-                ],
-                ["o", "u", "i", "c", "t", "n", "h"],
-            )
-
-
-def _compared(shard: pa.Table) -> pa.Table:
-    records: dict[int, tuple[list[int], list[str]]] = {}
-    asked: dict[int, list[tuple[int, str, list[int]]]] = {}
-    for o, t, w in zip(*(shard.column(c).to_pylist() for c in ("o", "t", "w"))):
-        if w:
-            asked.setdefault(o >> 43, []).append((o, t, w))
-        else:
-            ids, texts = records.setdefault(o >> 43, ([], []))
-            ids.append(o)
-            texts.append(t)
-    order = sorted(records.keys() | asked.keys())
-    got = covering([records.get(k, ([], [])) for k in order], {i: asked[k] for i, k in enumerate(order) if k in asked})
-    return pa.table({"a": pa.array([x[0] for x in got], pa.int64()), "b": pa.array([x[1] for x in got], pa.int64()), "covered": pa.array([x[2] for x in got], pa.float64())})
+    return spread(rows.filter(rows[key].isNotNull()).select(o.alias("o"), page(rows[url]).alias("u"), F.when((blank(rows[source_id]) != "") & (blank(rows[source]) != ""), F.concat_ws("\x1f", blank(rows[source]), blank(rows[source_id]))).alias("i"), F.when(F.length(rows[text]) >= LEAST_CHARS, rows[text]).alias("v")))
+
+
+def _folded(folder: str, base: int):
+    """(o, u, i, v) to ROWS; the folded texts go to text files, whose number, name and place stand in the rows."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        con, statement = duck(), plain_sql()
+        short = lambda s: None if s is None else xxhash.xxh3_64_intdigest(s) - (1 << 63)
+        number = base + (TaskContext.get().partitionId() << 6)  # 64 files for a task: 8 GB of text
+        ids, texts, used, path = [], [], 0, new_name(folder, "texts")
+        for whole in batches:
+            for b in (whole.slice(k, 2000) for k in range(0, whole.num_rows, 2000)):
+                con.register("batch", pa.table({"k": pa.array(np.arange(b.num_rows)), "v": b.column(3)}))
+                got = con.sql(statement).to_arrow_table().to_pydict()
+                con.unregister("batch")
+                said = [None] * b.num_rows
+                for k, v in zip(got["k"], got["v"]):
+                    said[k] = v
+                o = b.column(0).to_pylist()
+                out = []
+                for k, v in enumerate(b.column(3).to_pylist()):
+                    t = (said[k] or "").encode() if v is not None else b""
+                    if not t:
+                        out.append((None, None, None, None, None))
+                        continue
+                    if used > TEXT_BYTES:
+                        Texts.of(ids, texts).write(path)
+                        number, path, ids, texts, used = number + 1, new_name(folder, "texts"), [], [], 0
+                    out.append((short(t), number, path, used, len(t)))
+                    ids.append(o[k])
+                    texts.append(t)
+                    used += len(t) + 1
+                c, part, file, at, size = zip(*out) if out else ((),) * 5
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), *[pa.array([short(x) for x in b.column(i).to_pylist()], pa.int64()) for i in (1, 2)], pa.array(c, pa.int64()), pa.array(part, pa.int64()), pa.array(file, pa.string()), pa.array(at, pa.int64()), pa.array(size, pa.int32())],
+                    ["o", "u", "i", "c", "part", "file", "at", "size"],
+                )
+        if ids:
+            Texts.of(ids, texts).write(path)
+
+    return f
+
+
+def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names if n != "file"}
+
+
+def _asked(b: pa.RecordBatch, library: Library, picked: np.ndarray) -> tuple[Texts, np.ndarray]:
+    """The picked rows' texts, and where these lie in the text files."""
+    part, at, size = (b.column(n).take(pa.array(picked)).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("part", "at", "size"))
+    o = b.column("o").to_numpy()[picked]
+    places = (part << OFFSET) | at
+    return Texts.of(o, library.read(places, size)), places
+
+
+def _firsts(b: pa.RecordBatch) -> np.ndarray:
+    """The rows that are the first of their batch with their text."""
+    import pyarrow.compute as pc
+
+    return np.flatnonzero(pc.fill_null(pc.equal(b.column("o"), b.column("first")), False).to_numpy(zero_copy_only=False))
+
+
+def _keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the pages, source ids and texts."""
+    keys, row = [], []
+    for n, k in enumerate(KEYS):
+        c = b.column(k)
+        has = np.flatnonzero(np.asarray(c.is_valid()))
+        v = c.take(pa.array(has)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        keys.append(((v ^ np.uint64(n + 1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+        row.append(has)
+    return np.concatenate(keys), np.concatenate(row)
+
+
+def _run(folder: str, texts: dict[int, str]):
+    """(what, path, n, low, high): a task's suffixes and keys, each in order in one file, and its least and last row."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library, key, owner, head, place, low, high = Library(texts), [], [], [], [], [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            o = b.column("o").to_numpy()
+            low.append(o.min())
+            high.append(o.max())
+            k, row = _keys(b)
+            key.append(k)
+            owner.append(o[row])
+            picked = _firsts(b)
+            for n in range(0, len(picked), 2000):
+                t, at_file = _asked(b, library, picked[n : n + 2000])
+                at, doc, h = sampled(t)
+                head.append(h)
+                place.append(at_file[doc] + at - t.starts[doc])
+        if not low:
+            return
+        none = (np.zeros(0, "S32"), np.zeros(0, np.int64))
+        out = []
+        for what, a in (("suffixes", Array.of(np.concatenate([none[0], *head]), np.concatenate([none[1], *place]))), ("keys", Array.of(np.concatenate(key), np.concatenate(owner)))):
+            path = new_name(folder, what)
+            a.write(path)
+            out.append({"what": what, "path": path, "n": len(a), "low": int(min(low)), "high": int(max(high))})
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("what", pa.string()), ("path", pa.string()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
+
+    return f
+
+
+def _find(segments: list[dict], own: list[str], texts: dict[int, str], last: int):
+    """Rows (k, whole, g, a): row k, or with `whole` every row with its text, repeats the accepted row a, or belongs to the group g of rows of the batch that repeat each other."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = Library(texts)
+        keys = [Array.open(x["path"], "i8") for s in segments for x in s["keys"]]
+        arrays = [Array.open(p) for p in [*(x["path"] for s in segments for x in s["suffixes"]), *own]]
+        schema = pa.schema([("k", pa.int64()), ("whole", pa.bool_()), ("g", pa.int64()), ("a", pa.int64())])
+        for whole in batches:
+            for b in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
+                o = b.column("o").to_numpy()
+                k, row = _keys(b)
+                of_text = np.arange(len(k)) >= len(k) - (b.num_rows - b.column("c").null_count)
+                kinds, of = np.unique(k, return_inverse=True)
+                same_text = np.zeros(len(o), bool)
+                out = []
+                for a in keys:
+                    x = looked_up(a, kinds)
+                    hit = np.flatnonzero(x.n[of])
+                    same_text[row[hit[of_text[hit]]]] = True
+                    for j in hit.tolist():
+                        at = int(x.low[of[j]])
+                        out += [(int(o[row[j]]), False, None, int(p)) for p in x.places[at : at + int(x.n[of[j]])]]
+                # A text that an accepted row has is like no other accepted one, or that row would not be accepted.
+                picked = _firsts(b)
+                t, _ = _asked(b, library, picked[~same_text[picked]])
+                where = {x: i for i, x in enumerate(t.ids.tolist())}
+                got = search(t, arrays, library, LIKELY)
+                for x, y, p in zip(got.asked, got.other, got.places):
+                    i = where[x]
+                    if exactly(t.raw[t.starts[i] : t.starts[i + 1] - 1].tobytes(), library.text_at(p)) >= COVERED:
+                        if y <= last:
+                            out.append((x, True, None, y))
+                        else:
+                            g = hash((y, x)) & ((1 << 63) - 1)
+                            out += [(x, True, g, None), (y, True, g, None)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out) if out else [()] * 4, schema.types)], schema=schema)
+
+    return f

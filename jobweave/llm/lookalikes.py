@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from jobweave.llm.common import duck
+
+SLICE = 2000  # rows handed to DuckDB at once
 # The characters of Unicode that stand in for ordinary ones.
 # Blanks other than U+0020 that are drawn as one.
 BLANKS = "               　"
@@ -116,14 +119,13 @@ def unify(df: DataFrame, key: str, columns: list[str], only_changed: bool = Fals
     statement = "SELECT k, CASE field " + " ".join(f"WHEN '{n}' THEN {_quoted(c)}" for n, c in zip(names, columns)) + " END AS field, unified FROM (" + sql("(SELECT k, unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS field, unnest([" + ", ".join(names) + "]) AS value FROM batch)", ["k", "field"], "value") + ")" + (" WHERE unified <> value" if only_changed else "")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
-
-        con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        con = duck()
         out = pa.schema([("k", pa.string()), ("field", pa.string()), ("unified", pa.string())])
-        for b in batches:
-            con.register("batch", pa.Table.from_batches([b]))
-            got = con.sql(statement).to_arrow_table().cast(out)
-            con.unregister("batch")
-            yield from got.to_batches()
+        for whole in batches:
+            for b in (whole.slice(k, SLICE) for k in range(0, whole.num_rows, SLICE)):
+                con.register("batch", pa.Table.from_batches([b]))
+                got = con.sql(statement).to_arrow_table().cast(out)
+                con.unregister("batch")
+                yield from got.to_batches()
 
     return narrow.mapInArrow(rewrite, "k string, field string, unified string").withColumnRenamed("k", key)

@@ -12,7 +12,7 @@ from jobweave.llm.common import table
 from jobweave.llm.consensus import Consensus
 from jobweave.llm.cooccur import associations
 from jobweave.llm.encode import encode_corpus
-from jobweave.llm.history import Repeats
+from jobweave.llm.history import repeats
 from jobweave.llm.langid import fitted, languages, mislabelled
 from jobweave.llm.leaks import find_leaks
 from jobweave.llm.lookalikes import unify
@@ -48,7 +48,7 @@ def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Repeats(table(spark, sf_dir, "jobs_raw")).pairs().select(F.col("a").alias("raw_id_a"), F.col("b").alias("raw_id_b"))
+    return repeats(table(spark, sf_dir, "jobs_raw")).select(F.col("a").alias("raw_id_a"), F.col("b").alias("raw_id_b"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
