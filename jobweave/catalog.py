@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.functions import text as T
-from jobweave.operators import agreement, basket, cleaning, cluster, concentration, duplicates, explore, graph, matcher, pages, profile, quality
+from jobweave.operators import agreement, basket, cleaning, cluster, concentration, duplicates, explore, graph, matcher, pages, profile, quality, titles
 from jobweave.plans.staging import small
+from jobweave.sources import readers
 
 TITLE, SKILLS = "normalized_job_title", "extracted_skills"
 S = r"[\s\p{Z}]"
@@ -25,6 +26,51 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _q(s: str | None) -> str:
+    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+# Raw titles, the title each must become, and the flags.
+TITLE_PLACES = [("hà nội|ha noi", "Hà Nội"), ("hồ chí minh|hcm", "Hồ Chí Minh"), ("đà nẵng", "Đà Nẵng")]
+TITLE_TOOLS = ["python", "spark", "pyspark", "snowflake", "sql", "power bi", "bi", "etl", "data warehouse", "kafka", "airflow", "r", "tableau"]
+TITLE_CASES = [
+    ("DATA STEWARD", "Data Steward", ""),
+    ("bi developer", "BI Developer", ""),
+    ("Data Engineer Python/Spark", "Data Engineer", "TECH_SUFFIX_REMOVED"),
+    ("Data Engineer PySpark, Snowflake", "Data Engineer", "TECH_SUFFIX_REMOVED"),
+    ("Data Analyst [Azure, SQL & Power BI]", "Data Analyst", "TECH_SUFFIX_REMOVED"),
+    ("Analytics Engineer | Airflow; Kafka", "Analytics Engineer", "TECH_SUFFIX_REMOVED"),
+    ("Data Analyst (Python, Pricing)", "Data Analyst (Python, Pricing)", ""),
+    ("Python (SQL)", "Python (SQL)", ""),
+    ("Senior Data Analyst (CRM & Loyalty)", "Data Analyst (CRM & Loyalty)", "SENIORITY_REMOVED"),
+    ("Machine Learning Engineer - Computer Vision", "Machine Learning Engineer - Computer Vision", ""),
+    ("Sr. data mgr", "Data Manager", "SENIORITY_REMOVED"),
+    ("Junior/Middle QA Engineer", "QA Engineer", "SENIORITY_REMOVED"),
+    ("Senior/Lead Data Engineer", "Lead Data Engineer", "SENIORITY_REMOVED"),
+    ("Data Engineer (Junior - Middle)", "Data Engineer", "SENIORITY_REMOVED"),
+    ("Data Engineer Fresher", "Data Engineer", "SENIORITY_REMOVED"),
+    ("Data Engineer (Senior/Leader)", "Data Engineer (Senior/Leader)", ""),
+    ("AI Engineer - Thu Nhập Upto 40M - Tại Hà Nội", "AI Engineer", "RECRUITMENT_NOISE_REMOVED"),
+    ("Data Lead (Lương 35 Triệu)", "Data Lead", "RECRUITMENT_NOISE_REMOVED"),
+    ("Chuyên viên dữ liệu [Đà Nẵng/HCM]", "Chuyên Viên Dữ Liệu", "RECRUITMENT_NOISE_REMOVED"),
+    ("Senior Tester (ONSITE BANK)", "Tester", "RECRUITMENT_NOISE_REMOVED,SENIORITY_REMOVED"),
+    ("Data Analyst (Fraud, Risk), Retail", "Data Analyst (Fraud, Risk), Retail", ""),
+    ("Risk Specialist (A (b), c), Hà Nội", "Risk Specialist (A (B), C)", "RECRUITMENT_NOISE_REMOVED"),
+    ("Data Analyst Up to 75M", "Data Analyst", ""),
+    ("Data Analyst $2000", "Data Analyst", ""),
+    ("Data Engineer (Japanese N2)", "Data Engineer", ""),
+    ("1. Data   Analyst /", "Data Analyst", ""),
+    ("Data Engineer / Data Analyst", "Data Engineer / Data Analyst", "AMBIGUOUS_TITLE"),
+    ("C++ dev", "C++ Developer", ""),
+    ("Head of DATA and insight", "Head of DATA and Insight", ""),
+    ("QC Engineer AI-Powered Testing", "QC Engineer AI-Powered Testing", ""),
+    ("AI", "AI", "TITLE_TOO_SHORT"),
+    ("Data Analyst " + "Customer Growth Team " * 5, "Data Analyst " + " ".join(["Customer Growth Team"] * 5), "TITLE_TOO_LONG"),
+    ("  ", None, "MISSING_JOB_TITLE"),
+    (None, None, "MISSING_JOB_TITLE"),
+]
+
+
 def query(sql: str | None = None):
     def keep(f):
         _QUERIES[f.__name__] = f
@@ -265,13 +311,23 @@ def clean_job_text(spark, sf_dir):
     return _t(spark, sf_dir, "jobs_raw").select("raw_id", T.job_text(F.col("job_description"), F.col("job_requirements")).alias("job_text"))
 
 
+def _tools(spark, sf_dir) -> list[str]:
+    return [r[0] for r in small(readers.tech_terms(_t(spark, sf_dir, "skills_taxonomy"), titles.MORE_TOOLS, titles.DOMAIN_GROUPS, titles.DOMAIN_SKILLS).orderBy("term"))]
+
+
 @query()
 def clean_titles(spark, sf_dir):
-    places = [r[0] for r in small(_t(spark, sf_dir, "canon_locations").orderBy("ref_id").select("normalized_location"))]
-    tools = [r[0] for r in small(_t(spark, sf_dir, "skills_taxonomy").select("canonical_name").orderBy("canonical_name"))]
     distinct = _t(spark, sf_dir, "jobs_raw").select("raw_job_title").distinct()
-    title = cleaning.normal_title(F.col("raw_job_title"), places, tools)
-    return distinct.select("raw_job_title", title.alias("title")).withColumn("flags", F.array_join(cleaning.title_flags(F.col("title")), ","))
+    title = titles.normal_title(F.col("raw_job_title"), [p for p, _ in _rules(spark, sf_dir)], _tools(spark, sf_dir))
+    return distinct.select("raw_job_title", title.alias("t")).select("raw_job_title", F.col("t.title").alias("title"), F.array_join("t.flags", ",").alias("flags"))
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS n, {_q(r)} AS raw_job_title, {_q(t)}::VARCHAR AS title, {_q(f)} AS flags" for i, (r, t, f) in enumerate(TITLE_CASES)))
+def clean_title_cases(spark, sf_dir):
+    """Known titles and what they must come out as."""
+    df = spark.createDataFrame([(i, r) for i, (r, _, _) in enumerate(TITLE_CASES)], "n int, raw_job_title string")
+    title = titles.normal_title(F.col("raw_job_title"), [p for p, _ in TITLE_PLACES], [*TITLE_TOOLS])
+    return df.select("n", "raw_job_title", title.alias("t")).select("n", "raw_job_title", F.col("t.title").alias("title"), F.array_join("t.flags", ",").alias("flags"))
 
 
 # ---- duplicates -----------------------------------------------------------------------------------------------------
@@ -287,26 +343,40 @@ def dup_combined_rounds(spark, sf_dir):
     return duplicates.combine(_t(spark, sf_dir, "jobs_raw").select("raw_id", "source_url", "crawl_timestamp"), "2025-03-01", "2025-04-30").select("source_url", "raw_id")
 
 
-@query(
-    f"""WITH c AS (SELECT job_id, lower({_STRIP('company')}) AS co, normalized_location AS pl, lower({_STRIP(TITLE)}) AS ti, job_description AS te FROM jobs_clean),
-    d AS (SELECT co, pl, ti, te, min(job_id) AS job_id FROM c WHERE co <> '' AND ti <> '' GROUP BY 1, 2, 3, 4), e AS (SELECT *, list_distinct(regexp_extract_all(ti, '[a-z0-9]+')) AS tt FROM d),
-    m AS (SELECT x.job_id AS a, y.job_id AS b FROM e x JOIN e y ON x.co = y.co AND x.job_id < y.job_id AND x.pl IS NOT DISTINCT FROM y.pl WHERE len(x.tt) > 0 AND len(list_intersect(x.tt, y.tt)) >= 0.6 * (len(x.tt) + len(y.tt) - len(list_intersect(x.tt, y.tt)))),
+def _near_sql(alone: bool) -> str:
+    """o (a, b, cosine, alone): by the rule as it is said, over all pairs of a company; r (job_id, k): the first of the rows that are the same in all respects."""
+    common = "len(list_intersect(x.tt, y.tt))"
+    standard = f"x.ti <> '' AND y.ti <> '' AND x.pl IS NOT DISTINCT FROM y.pl AND (len(x.tt) + len(y.tt) = 0 OR {common} >= 0.6 * (len(x.tt) + len(y.tt) - {common}))"
+    return f"""c AS (SELECT job_id, lower({_STRIP('company')}) AS co, normalized_location AS pl, lower({_STRIP(f"coalesce({TITLE}, '')")}) AS ti, job_description AS te, regexp_matches(lower(coalesce(job_description, '')), '[a-z0-9]') AS has FROM jobs_clean),
+    r AS (SELECT job_id, min(job_id) OVER (PARTITION BY co, pl, ti, te) AS k FROM c WHERE co <> '' AND has {"" if alone else "AND ti <> ''"}),
+    e AS (SELECT job_id, co, pl, ti, list_distinct(regexp_extract_all(ti, '[a-z0-9]+')) AS tt FROM c WHERE job_id IN (SELECT k FROM r)),
+    m AS (SELECT x.job_id AS a, y.job_id AS b, {standard} AS standard, list_sort(list_filter(x.tt, lambda w: list_contains({list(duplicates.LEVELS)}, w))) <> list_sort(list_filter(y.tt, lambda w: list_contains({list(duplicates.LEVELS)}, w))) AS differs FROM e x JOIN e y ON x.co = y.co AND x.job_id < y.job_id {"" if alone else f"WHERE {standard}"}),
     k AS (SELECT job_id, token, count(*) AS c FROM (SELECT job_id, unnest(regexp_extract_all(lower(coalesce(job_description, '')), '[a-z0-9]+')) AS token FROM jobs_clean) GROUP BY 1, 2),
     i AS (SELECT token, ln(((SELECT count(*) FROM jobs_clean) + 1) / (count(*) + 1)::DOUBLE) + 1 AS idf FROM k GROUP BY 1), w AS (SELECT job_id, token, c * idf AS w FROM k JOIN i USING (token)), z AS (SELECT job_id, sqrt(sum(w * w)) AS z FROM w GROUP BY 1),
-    o AS (SELECT a, b, sum(p.w * q.w) / (any_value(u.z) * any_value(v.z)) AS cosine FROM m JOIN w p ON p.job_id = a JOIN w q ON q.job_id = b AND q.token = p.token JOIN z u ON u.job_id = a JOIN z v ON v.job_id = b GROUP BY 1, 2) SELECT a, b, round(cosine, 6) AS cosine FROM o WHERE cosine >= 0.8"""
-)
+    d AS (SELECT a, b, any_value(standard) AS standard, any_value(differs) AS differs, sum(p.w * q.w) / (any_value(u.z) * any_value(v.z)) AS cosine FROM m JOIN w p ON p.job_id = a JOIN w q ON q.job_id = b AND q.token = p.token JOIN z u ON u.job_id = a JOIN z v ON v.job_id = b GROUP BY 1, 2),
+    o AS (SELECT a, b, cosine, differs, NOT (standard AND cosine >= 0.8) AS alone FROM d WHERE standard AND cosine >= 0.8 OR cosine >= 0.95)"""
+
+
+@query(f"WITH {_near_sql(False)} SELECT a, b, round(cosine, 6) AS cosine FROM o")
 def dup_near(spark, sf_dir):
     return duplicates.near(_t(spark, sf_dir, "jobs_clean")).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query(f"WITH c AS (SELECT job_id, lower({_STRIP('company')}) AS co, normalized_location AS pl, lower({_STRIP(TITLE)}) AS ti, job_description AS te FROM jobs_clean) SELECT job_id, min(job_id) OVER (PARTITION BY co, pl, ti, te) AS representative FROM c WHERE co <> '' AND ti <> ''")
+@query(f"WITH {_near_sql(False)} SELECT job_id, k AS representative FROM r")
 def dup_near_classes(spark, sf_dir):
     return duplicates.near_classes(_t(spark, sf_dir, "jobs_clean"))
 
 
-@query()
+# Row after row: one that is like an earlier row that is not gone is gone, and belongs to the first such.
+@query(
+    f"""WITH {_near_sql(False)}, g AS (SELECT y.job_id AS b, x.job_id AS a, coalesce(o.differs, false) AS differs FROM r x JOIN r y ON x.job_id < y.job_id LEFT JOIN o ON o.a = least(x.k, y.k) AND o.b = greatest(x.k, y.k) WHERE x.k = y.k OR o.a IS NOT NULL),
+    n AS (SELECT b, list(a) AS n FROM g GROUP BY 1), f AS (SELECT list_reduce(list(struct_pack(k := b, n := n, gone := []::VARCHAR[]) ORDER BY b), lambda x, y: struct_pack(k := y.k, n := y.n, gone := CASE WHEN len(list_filter(y.n, lambda z: NOT list_contains(x.gone, z))) > 0 THEN list_append(x.gone, y.k) ELSE x.gone END), struct_pack(k := '', n := []::VARCHAR[], gone := []::VARCHAR[])) AS s FROM n),
+    h AS (SELECT unnest(s.gone) AS b FROM f), t AS (SELECT g.b, min(a) AS a FROM g JOIN h USING (b) WHERE a NOT IN (SELECT b FROM h) GROUP BY 1)
+    SELECT t.b AS job_id, t.a AS duplicate_group_id, CASE WHEN differs THEN 'DUPLICATE_NEAR,SENIORITY_VARIANT' ELSE 'DUPLICATE_NEAR' END AS flags FROM t JOIN g ON g.a = t.a AND g.b = t.b"""
+)
 def dup_near_greedy(spark, sf_dir):
-    return duplicates.greedy(duplicates.near(_t(spark, sf_dir, "jobs_clean"))).select(F.col("b").alias("job_id"), F.col("a").alias("duplicate_group_id"))
+    found = duplicates.repeats(_t(spark, sf_dir, "jobs_clean"))
+    return found.select("job_id", F.col("near_of").alias("duplicate_group_id"), F.array_join("near_flags", ",").alias("flags"))
 
 
 @query(rf"WITH {_OK}, x AS (SELECT lower({_STRIP("coalesce(company, '')")}) AS a, lower({_STRIP(f"coalesce({TITLE}, '')")}) AS b, lower(regexp_replace({_STRIP("concat_ws(' ', job_description, job_requirements)")}, '\s+', ' ', 'g')) AS c FROM e) SELECT count(*) AS n, count(DISTINCT (a, b, c)) AS distinct_postings, round(1 - count(DISTINCT (a, b, c)) / count(*)::DOUBLE, 4) AS residual_share FROM x")
@@ -363,7 +433,8 @@ def skills_group_coverage(spark, sf_dir):
 
 # ---- labels ---------------------------------------------------------------------------------------------------------
 
-_G = "g AS (SELECT DISTINCT job_id AS item, regexp_replace(lower(trim(annotated_by)), '^\\s+|\\s+$', '', 'g') AS person, u.t.skill_id AS label FROM gold_jobs, unnest(annotations) AS u(t) WHERE u.t.skill_id IS NOT NULL)"
+# w: who was asked about an item, those who gave no label included.
+_G = f"w AS (SELECT DISTINCT job_id AS item, lower({_STRIP('annotated_by')}) AS person FROM gold_jobs), g AS (SELECT DISTINCT job_id AS item, lower({_STRIP('annotated_by')}) AS person, u.t.skill_id AS label FROM gold_jobs, unnest(annotations) AS u(t) WHERE u.t.skill_id IS NOT NULL)"
 
 
 def _long(spark, sf_dir) -> DataFrame:
@@ -372,7 +443,7 @@ def _long(spark, sf_dir) -> DataFrame:
     return gold.select(F.col("job_id").alias("item"), F.lower(T.strip(F.col("annotated_by"))).alias("person"), F.explode_outer("annotations.skill_id").alias("label")).distinct()
 
 
-@query(f"WITH {_G}, n AS (SELECT item, count(DISTINCT person) AS n FROM g GROUP BY 1), m AS (SELECT item, label FROM g JOIN n USING (item) GROUP BY 1, 2 HAVING count(*) * 2 > any_value(n)), p AS (SELECT item, label, person FROM g), o AS (SELECT coalesce(p.label, m.label) AS label, p.person IS NOT NULL AS y, m.item IS NOT NULL AS x FROM (SELECT item, label, min(person) AS person FROM p GROUP BY 1, 2) p FULL JOIN m ON m.item = p.item AND m.label = p.label) SELECT label, count(*) FILTER (x AND y) AS tp, count(*) FILTER (y AND NOT x) AS fp, count(*) FILTER (x AND NOT y) AS fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 4) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 4) AS f1 FROM o GROUP BY 1")
+@query(f"WITH {_G}, n AS (SELECT item, count(DISTINCT person) AS n FROM w GROUP BY 1), m AS (SELECT item, label FROM g JOIN n USING (item) GROUP BY 1, 2 HAVING count(*) * 2 > any_value(n)), p AS (SELECT item, label, person FROM g), o AS (SELECT coalesce(p.label, m.label) AS label, p.person IS NOT NULL AS y, m.item IS NOT NULL AS x FROM (SELECT item, label, min(person) AS person FROM p GROUP BY 1, 2) p FULL JOIN m ON m.item = p.item AND m.label = p.label) SELECT label, count(*) FILTER (x AND y) AS tp, count(*) FILTER (y AND NOT x) AS fp, count(*) FILTER (x AND NOT y) AS fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 4) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 4) AS f1 FROM o GROUP BY 1")
 def gold_scores_by_skill(spark, sf_dir):
     long = _long(spark, sf_dir)
     n = long.groupBy("item").agg(F.count_distinct("person").alias("n"))
@@ -382,7 +453,7 @@ def gold_scores_by_skill(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_G}, p AS (SELECT DISTINCT item, person FROM g), c AS (SELECT l.item, l.label, p.person, (g.label IS NOT NULL)::INT AS y FROM (SELECT DISTINCT item, label FROM g) l JOIN p ON p.item = l.item LEFT JOIN g ON g.item = l.item AND g.label = l.label AND g.person = p.person),
+    f"""WITH {_G}, p AS (FROM w), c AS (SELECT l.item, l.label, p.person, (g.label IS NOT NULL)::INT AS y FROM (SELECT DISTINCT item, label FROM g) l JOIN p ON p.item = l.item LEFT JOIN g ON g.item = l.item AND g.label = l.label AND g.person = p.person),
     q AS (SELECT x.person AS a, y.person AS b, count(*)::DOUBLE AS n, sum(x.y * y.y) AS tp, sum(x.y) AS pa, sum(y.y) AS pb, count(*) FILTER (x.y = y.y) AS same FROM c x JOIN c y ON x.item = y.item AND x.label = y.label AND x.person < y.person GROUP BY 1, 2), r AS (SELECT *, (pa * pb + (n - pa) * (n - pb)) / (n * n) AS pe FROM q)
     SELECT a, b, n::BIGINT AS n, round(CASE WHEN pe >= 1 THEN 1 ELSE (same / n - pe) / (1 - pe) END, 4) AS kappa, round(CASE WHEN pa + pb > 0 THEN 2 * tp / (pa + pb)::DOUBLE ELSE 0 END, 4) AS positive_agreement FROM r"""
 )
@@ -390,7 +461,7 @@ def gold_kappa(spark, sf_dir):
     return agreement.pairwise_kappa(_long(spark, sf_dir))
 
 
-@query(f"WITH {_G}, n AS (SELECT item, count(DISTINCT person) AS n_people FROM g GROUP BY 1), c AS (SELECT item, label, count(*) AS c FROM g GROUP BY 1, 2) SELECT item, n_people, coalesce(string_agg(label, '|' ORDER BY label) FILTER (c = n_people), '') AS agreed, coalesce(string_agg(label, '|' ORDER BY label) FILTER (c < n_people), '') AS disputed FROM c JOIN n USING (item) GROUP BY 1, 2")
+@query(f"WITH {_G}, n AS (SELECT item, count(DISTINCT person) AS n_people FROM w GROUP BY 1), c AS (SELECT item, label, count(DISTINCT person) AS c FROM g GROUP BY 1, 2) SELECT item, n_people, coalesce(string_agg(label, '|' ORDER BY label) FILTER (c = n_people), '') AS agreed, coalesce(string_agg(label, '|' ORDER BY label) FILTER (c < n_people), '') AS disputed FROM n LEFT JOIN c USING (item) GROUP BY 1, 2")
 def gold_merged(spark, sf_dir):
     return agreement.merge_labels(_long(spark, sf_dir))
 
@@ -620,9 +691,9 @@ def dup_shingle_classes(spark, sf_dir):
     return duplicates.shingle_classes(_t(spark, sf_dir, "jobs_clean"), "job_id", "job_description")
 
 
-@query()
+@query(f"WITH {_near_sql(True)} SELECT a, b, round(cosine, 6) AS cosine, alone FROM o")
 def dup_near_text_alone(spark, sf_dir):
-    return duplicates.near(_t(spark, sf_dir, "jobs_clean"), text_alone=True).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return duplicates.near(_t(spark, sf_dir, "jobs_clean"), text_alone=True).select("a", "b", F.round("cosine", 6).alias("cosine"), "alone")
 
 
 @query()

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.functions.text import blank_to_null, flags, is_missing, job_text, merge_flags, squeeze, strip
+from jobweave.functions.text import flags, is_missing, job_text, merge_flags, strip
 from jobweave.sources.schema import ContractError
 
 # Lengths and shares from which the checks speak.
@@ -109,44 +107,3 @@ def missing_by_field(df: DataFrame, fields: list[str]) -> DataFrame:
     one = df.agg(F.count("*").alias("n"), *[F.count_if(gone(c)).alias(f"m_{c}") for c in fields])
     cells = [F.struct(F.lit(c).alias("field"), F.col(f"m_{c}").alias("missing"), F.round(F.col(f"m_{c}") / F.col("n"), 4).alias("share")) for c in fields]
     return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
-
-
-# Words of titles with a spelling of their own, and abbreviations spelled out.
-KEEP_CASE = {w.lower(): w for w in "AI ML BI QA IT UI UX API SQL ETL ELT NLP LLM GIS CRM ERP DBA MLOps DevOps C++ C# .NET PyTorch JavaScript iOS".split()}
-SMALL_WORDS = frozenset("and of for in on at to the a an with và của cho tại".split())
-ABBREVIATIONS = {"sr": "Senior", "jr": "Junior", "mgr": "Manager", "eng": "Engineer", "dev": "Developer", "dir": "Director", "assoc": "Associate"}
-LEVEL = r"(?iu)(?<![\p{L}\p{N}])(mid/senior|junior/senior|fresher/junior|senior|sr|junior|jr|middle|mid|fresher|intern(?:ship)?)\.?(?![\p{L}\p{N}])"
-NOISE = r"(?iu)[\[【(]\s*(gấp|urgent|hot|new|up to[^\])】]*|lương[^\])】]*|\$[^\])】]*)\s*[\])】]|^\s*(hot!|🔥|tuyển( dụng| gấp)?|cần tuyển)\s+|\s+-\s+(lương|up to|thu nhập)\b.*$|\s+x\s*\d+\s*$"
-
-
-def title_case(c: Column) -> Column:
-    """Words with a capital each; acronyms and names as they are spelled, small words inside in lower case."""
-    words = F.filter(F.split(squeeze(c), " "), lambda w: w != "")
-    known = F.create_map(*[F.lit(x) for kv in KEEP_CASE.items() for x in kv])
-    short = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k, v)])
-    shouting = c == F.upper(c)
-
-    def one(w: Column, i: Column) -> Column:
-        low = F.lower(w)
-        inner = w.rlike(r"^.+\p{Lu}") & ~shouting
-        return F.coalesce(F.try_element_at(known, low), F.try_element_at(short, F.regexp_replace(low, r"\.$", "")), F.when((i > 0) & low.isin(*SMALL_WORDS), low).when(inner, w).otherwise(F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1 << 20))))
-
-    return F.array_join(F.transform(words, one), " ")
-
-
-def normal_title(raw: Column, places: list[str] | None = None, tools: list[str] | None = None) -> Column:
-    """A title without recruitment noise, levels, bracketed asides, trailing place or tool segments, in title case; null for a blank one."""
-    t = F.regexp_replace(squeeze(raw), NOISE, " ")
-    t = F.regexp_replace(t, r"\s*[\[【(][^\])】]*[\])】]\s*", " ")
-    t = F.regexp_replace(t, r"(?iu)\s+(tại|@)\s+.*$|\s+\|\s+.*$", "")
-    for names in (tools, places, tools):
-        if names:
-            quoted = "|".join(re.escape(x) for x in sorted(names, key=len, reverse=True))
-            t = F.regexp_replace(t, rf"(?iu)\s*[-–,]\s*(?:(?:{quoted})\s*[,/&]?\s*)+$", "")
-    t = F.regexp_replace(F.regexp_replace(t, LEVEL, " "), r"^[\s\p{P}]+|[\s\-–|,:;/]+$", "")
-    return blank_to_null(title_case(t))
-
-
-def title_flags(normal: Column) -> Column:
-    """TITLE_TOO_SHORT, TITLE_TOO_LONG and AMBIGUOUS_TITLE (two roles in one)."""
-    return flags(("TITLE_TOO_SHORT", F.length(F.coalesce(normal, F.lit(""))) < 3), ("TITLE_TOO_LONG", F.length(normal) > 100), ("AMBIGUOUS_TITLE", normal.rlike(r"(?iu)(engineer|analyst|scientist|developer)\s*(/|&|and|or|và|hoặc)\s*\S*\s*(engineer|analyst|scientist|developer)")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.functions.text import document_text
-from jobweave.operators import agreement, basket, cleaning, cluster, concentration, duplicates, graph, matcher, profile, quality
+from jobweave.operators import agreement, basket, cleaning, cluster, concentration, duplicates, graph, matcher, profile, quality, titles as title_rules
 from jobweave.plans.runner import StageContext, write_csv, write_json
 from jobweave.plans.staging import settle, small
 from jobweave.sources import readers
@@ -25,32 +25,33 @@ def _done(ctx: StageContext, *names: str) -> dict:
     return {"status": "completed", "reason": None, "artifacts": list(names)}
 
 
-def cleaned(raw: DataFrame, rules: list[tuple[str, str]], places: list[str], tools: list[str]) -> DataFrame:
+def cleaned(raw: DataFrame, rules: list[tuple[str, str]], tools: list[str], text_alone: bool = False) -> DataFrame:
     """The postings with normalised places and titles, duplicates and quality flags marked; no row is dropped, no given field changed.
 
     A row with a fatal fault is not relevant, with SCRAPE_ERROR as its reason; which others are relevant is the user's rule and taken as given (true where null).
+    Where duplicates are equal otherwise, the one read first stays. text_alone: also mark postings of one company whose texts alone are alike.
     """
     df = conform(raw, ("quality_flags",))
-    df = cleaning.flagged(df.withColumn(TITLE, cleaning.normal_title(F.col("raw_job_title"), places, tools)), rules)
+    title = title_rules.normal_title(F.col("raw_job_title"), [p for p, _ in rules], tools)
+    df = cleaning.flagged(df.withColumn("_title", title), rules)
     fatal = cleaning.fatal(F.col("raw_job_title"), F.col("source"), F.col("source_url")).isNotNull()
-    df = df.withColumns({"relevance_flag": F.when(fatal, False).otherwise(F.coalesce("relevance_flag", F.lit(True))), "exclusion_reason": F.when(fatal, "SCRAPE_ERROR").otherwise(F.col("exclusion_reason"))})
-    df = settle(df)
-    same = duplicates.exact(df).select("job_id", F.col("canonical").alias("exact_of"))
-    rest = df.join(same, "job_id", "left_anti")
-    near = duplicates.greedy(duplicates.near(rest)).select(F.col("b").alias("job_id"), F.col("a").alias("near_of"))
-    copies = duplicates.near_classes(rest).filter("job_id <> representative").select("job_id", "representative")
-    near = copies.join(near.select(F.col("job_id").alias("representative"), "near_of"), "representative", "left").select("job_id", F.coalesce("near_of", "representative").alias("near_of")).unionByName(near.join(copies, "job_id", "left_anti"))
-    both = df.join(same, "job_id", "left").join(near, "job_id", "left")
-    mark = F.when(F.col("exact_of").isNotNull(), F.array(F.lit("DUPLICATE_EXACT"))).when(F.col("near_of").isNotNull(), F.array(F.lit("DUPLICATE_NEAR"))).otherwise(F.array().cast("array<string>"))
-    both = both.withColumns({"duplicate_group_id": F.coalesce("exact_of", "near_of"), "duplicate_flag": F.coalesce("exact_of", "near_of").isNotNull(), "quality_flags": F.array_distinct(F.concat("quality_flags", mark, cleaning.title_flags(F.col(TITLE))))})
-    return both.select(*FIELDS, "quality_flags")
+    df = df.withColumns({TITLE: F.col("_title.title"), "relevance_flag": F.when(fatal, False).otherwise(F.coalesce("relevance_flag", F.lit(True))), "exclusion_reason": F.when(fatal, "SCRAPE_ERROR").otherwise(F.col("exclusion_reason"))})
+    df = settle(df.withColumn("_ord", F.monotonically_increasing_id()))
+    same = settle(duplicates.exact(df, key="_ord").select("_ord", F.col("canonical").alias("exact_of")))
+    near = duplicates.repeats(df, "_ord", text_alone=text_alone, without=same)
+    ids = df.select(F.col("_ord").alias("_of"), F.col("job_id").alias("duplicate_group_id"))
+    both = df.drop("duplicate_group_id").join(same, "_ord", "left").join(near, "_ord", "left").withColumn("_of", F.coalesce("exact_of", "near_of")).join(ids, "_of", "left")
+    none = F.array().cast("array<string>")
+    mark = F.when(F.col("exact_of").isNotNull(), F.array(F.lit("DUPLICATE_EXACT"))).otherwise(F.coalesce("near_flags", none))
+    both = both.withColumns({"duplicate_flag": F.col("_of").isNotNull(), "quality_flags": F.array_distinct(F.concat("quality_flags", F.coalesce("_title.flags", none), mark))})
+    return both.orderBy("_ord").select(*FIELDS, "quality_flags")
 
 
 def clean(ctx: StageContext) -> dict:
-    rules = [(r["pattern"], r["label"]) for r in readers.location_rules(ctx.spark, _file(ctx.inputs["locations"])).orderBy("rule_idx").collect()] if "locations" in ctx.inputs else []
+    rules = [(r["pattern"], r["label"]) for r in small(readers.location_rules(ctx.spark, _file(ctx.inputs["locations"])).orderBy("rule_idx"))] if "locations" in ctx.inputs else []
     taxonomy = readers.read_taxonomy(ctx.spark, _file(ctx.inputs["taxonomy"])) if "taxonomy" in ctx.inputs else None
-    tools = [r[0] for r in small(taxonomy.select("canonical_name").orderBy("canonical_name"))] if taxonomy is not None else []
-    df = settle(cleaned(readers.read_jobs(ctx.spark, _file(ctx.inputs["raw"])), rules, sorted({r[1] for r in rules}), tools))
+    tools = [r[0] for r in small(readers.tech_terms(taxonomy, title_rules.MORE_TOOLS, title_rules.DOMAIN_GROUPS, title_rules.DOMAIN_SKILLS).orderBy("term"))] if taxonomy is not None else list(title_rules.MORE_TOOLS)
+    df = settle(cleaned(readers.read_jobs(ctx.spark, _file(ctx.inputs["raw"])), rules, tools, ctx.options.get("allow_jd_only", False)))
     gates = cleaning.gates(df)
     df.select(*FIELDS).write.parquet(_file(ctx.target / "clean.parquet"))
     df.select("job_id", "quality_flags").write.json(_file(ctx.target / "quality_flags.jsonl"))

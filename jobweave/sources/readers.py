@@ -57,9 +57,9 @@ def code_names(spark: SparkSession, path: str) -> DataFrame:
     return df.select(strip(pick("skill_id", "id", "code")).alias("code"), strip(pick("canonical_name", "name", "skill")).alias("name")).dropna()
 
 
-def tech_terms(taxonomy: DataFrame, extra: tuple[str, ...] = (), without_groups: tuple[str, ...] = ()) -> DataFrame:
-    """(term) in lower case: names, abbreviations and aliases of the taxonomy outside some groups, and extra terms."""
-    t = taxonomy.filter(~F.col("skill_group").isin(*without_groups)) if without_groups else taxonomy
+def tech_terms(taxonomy: DataFrame, extra: tuple[str, ...] = (), without_groups: tuple[str, ...] = (), without_names: tuple[str, ...] = ()) -> DataFrame:
+    """(term) in lower case: names, abbreviations and aliases of the taxonomy outside some groups and but for some names, and extra terms."""
+    t = taxonomy.filter(~F.coalesce(F.col("skill_group"), F.lit("")).isin(*without_groups, "\0") & ~F.col("canonical_name").isin(*without_names, "\0"))
     parts = F.array_union(F.array("canonical_name", "abbreviation"), F.split(F.coalesce("aliases", F.lit("")), ";"))
     found = t.select(F.explode(parts).alias("term"))
     if extra:

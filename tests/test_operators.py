@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from jobweave import catalog
 from jobweave.functions import text as T
-from jobweave.operators import agreement, basket, cleaning, cluster, concentration, duplicates, graph, matcher, pages, profile, quality
+from jobweave.operators import agreement, basket, cleaning, cluster, concentration, duplicates, graph, matcher, pages, profile, quality, titles
 from jobweave.plans import runner
 from jobweave.sources import readers
 from jobweave.sources.schema import FIELDS, POSTING, ContractError, conform, require_columns
@@ -103,13 +104,24 @@ def test_locations_and_gates(spark):
     assert cleaning.clean_counts(full).first()["out_of_scope"] == 10
 
 
-@pytest.mark.parametrize(
-    ("raw", "title"),
-    [("[GẤP] Senior data engineer (Middle)", "Data Engineer"), ("Sr. ML Engineer | Spark", "ML Engineer"), ("DATA ENGINEER - lương tới 40tr", "Data Engineer"), ("Kỹ sư dữ liệu tại Hà Nội", "Kỹ Sư Dữ Liệu"), ("C++ dev", "C++ Developer"), ("  ", None), (None, None)],
-)
-def test_titles(spark, raw, title):
-    df = spark.createDataFrame([(raw,)], "t string")
-    assert one(df.select(cleaning.normal_title(F.col("t")).alias("x")), "x") == [title]
+def test_titles(spark):
+    cases = catalog.TITLE_CASES
+    df = spark.createDataFrame([(i, r) for i, (r, _, _) in enumerate(cases)], "n int, t string")
+    got = {r["n"]: r["x"] for r in df.select("n", titles.normal_title(F.col("t"), [p for p, _ in catalog.TITLE_PLACES], catalog.TITLE_TOOLS).alias("x")).collect()}
+    assert [(got[i]["title"], ",".join(got[i]["flags"])) for i in range(len(cases))] == [(t, f) for _, t, f in cases]
+
+
+def test_titles_without_lists(spark):
+    df = spark.createDataFrame([("Data Engineer - Spark, Hà Nội",)], "t string")
+    assert one(df.select(titles.normal_title(F.col("t")).alias("x")), "x") == [("Data Engineer - Spark, Hà Nội", [])]
+    assert df.limit(0).select(titles.normal_title(F.col("t"))).count() == 0
+
+
+def test_segments(spark):
+    texts = ["a - b, c", "a (b, c), d", "a (b (c), d) | e", "a) - b", "(a - b", "", "x,y-z"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [[x["text"] for x in r["s"]] for r in df.select("i", titles.segments(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == [["a", "b", "c"], ["a (b, c)", "d"], ["a (b (c), d)", "e"], ["a) - b"], ["(a - b"], [""], ["x,y-z"]]
 
 
 def test_exact_and_combined(spark):
@@ -126,10 +138,28 @@ def test_near_and_greedy(spark):
     rows = [("1", "C", "Data Engineer", None, long), ("2", " c ", "Data Engineer", None, long + " extra"), ("3", "C", "Data Engineer", "X", long), ("4", "D", "Data Engineer", None, long), ("5", "C", "Cook", None, long), ("6", "C", None, None, long), ("7", "C", "Data Engineer", None, "wholly other words here")]
     df = spark.createDataFrame(rows, "job_id string, company string, normalized_job_title string, normalized_location string, job_description string")
     assert one(duplicates.near(df), "a", "b") == [("1", "2")]
+    assert duplicates.near(df.limit(0)).count() == duplicates.repeats(df.limit(0)).count() == 0
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
     assert sorted(one(duplicates.greedy(e), "b", "a")) == [(2, 1), (4, 3)]
 
 
+def test_near_flags(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    rows = [
+        ("1", "C", "Data Engineer", None, long), ("2", "C", "Senior Data Engineer", None, long), ("3", "C", "Cook", "X", long), ("4", "C", None, None, long), ("5", "C", "Data Engineer", None, long),
+        ("6", "E", "Data Engineer", None, None), ("7", "E", "Data Engineer", None, None), ("8", "E", "Data Engineer", None, "!"), ("9", "E", "Data Engineer", None, "!"),
+        ("a", "F", "データ", "P", long), ("b", "F", "分析", "P", long), ("c", None, "Data Engineer", None, long), ("d", " ", "Data Engineer", None, long),
+    ]
+    df = spark.createDataFrame(rows, "job_id string, company string, normalized_job_title string, normalized_location string, job_description string").withColumn("k", F.lit("clash")).withColumn("a", F.lit("clash"))
+    got = {r[0]: (r[1], list(r[2])) for r in duplicates.repeats(df).collect()}
+    # Texts without tokens are like none; titles without tokens are like each other; a blank company is none.
+    assert got == {"2": ("1", ["DUPLICATE_NEAR", "SENIORITY_VARIANT"]), "5": ("1", ["DUPLICATE_NEAR"]), "b": ("a", ["DUPLICATE_NEAR"])}
+    alone = {r[0]: (r[1], list(r[2])) for r in duplicates.repeats(df, text_alone=True).collect()}
+    assert alone == got | {"3": ("1", ["DUPLICATE_NEAR", "HIGH_CONF_JD_ONLY"]), "4": ("1", ["DUPLICATE_NEAR", "HIGH_CONF_JD_ONLY"])}
+    # Rows that are out already take no part, but count for the tokens' weights.
+    assert {r[0]: r[1] for r in duplicates.repeats(df, without=df.filter("job_id = '1'").select("job_id")).collect()} == {"5": "2", "b": "a"}
+
+
 def test_association(spark):
     df = spark.createDataFrame([(str(i), ["A", "B", "A", None]) for i in range(6)], "job_id string, extracted_skills array<string>")
     assert one(basket.association(df), "joint", "npmi", "lift", "jaccard") == [(6, 1.0, 1.0, 1.0)]
