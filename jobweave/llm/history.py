@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm import lookalikes
-from jobweave.llm.common import cut, duck, spread
+from jobweave.llm.common import cut, spread
+from jobweave.llm.folding import plain
 from jobweave.llm.suffixes import OFFSET, Array, Library, Texts, exactly, looked_up, mounted, new_name, sampled, search
 from jobweave.plans.staging import dropped, file_system, new_path
 
@@ -57,12 +57,6 @@ def page(url: Column) -> Column:
     return F.when(rest != "", F.concat(kind, host, path, F.lit("?"), F.array_join(F.array_sort(fields), "&")))
 
 
-def plain_sql() -> str:
-    """DuckDB: table batch (k, v) to (k, v) with v in words: no mark-up, accents, case, look-alikes or punctuation."""
-    return rf"""SELECT k, trim(regexp_replace(lower(replace(replace(strip_accents(regexp_replace(coalesce(unified, ''), '<[^<>]{{1,120}}>|&[a-zA-Z]{{2,8}};|&#[0-9]{{1,6}};', ' ', 'g')), 'đ', 'd'), 'Đ', 'd')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS v
-    FROM ({lookalikes.sql("batch", ["k"], "v", composed=False)})"""
-
-
 @dataclass
 class Manifest:
     """What the store holds. texts: text files by number; segments: per segment its level, and the files of its suffixes and keys with the least entry of each."""
@@ -163,7 +157,7 @@ class Store:
         texts = folded.filter("c IS NOT NULL")
         firsts = texts.groupBy("batch", "c").agg(F.min("o").alias("first"))
         path = new_path(self.spark)
-        done = texts.join(firsts, ["batch", "c"]).unionByName(folded.filter("c IS NULL").withColumn("first", F.lit(None).cast("long")))
+        done = texts.join(firsts.hint("shuffle_hash"), ["batch", "c"]).unionByName(folded.filter("c IS NULL").withColumn("first", F.lit(None).cast("long")))
         done.write.partitionBy("batch").parquet(path)
         files: dict[int, dict[int, str]] = {}
         for batch, part, file in folded.select("batch", "part", "file").distinct().collect():  # a few for each task
@@ -302,17 +296,18 @@ class Checked:
         # The rows of one page, source id or text are a group, of which each repeats the others; so are those with either of two like texts.
         keys = rows.select("o", F.explode(F.array(*[F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(k), k)) for k in KEYS])).alias("g")).filter("g IS NOT NULL")
         crowd = keys.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
-        links = found.join(of, ["k", "whole"]).select("o", "g", "a").unionByName(keys.join(crowd, "g").select("o", "g", F.lit(None).cast("long").alias("a")))
+        # Joins by shuffling: a broadcast would pass through the driver, for each of many small joins.
+        links = of.join(found.hint("merge"), ["k", "whole"]).select("o", "g", "a").unionByName(keys.join(crowd.hint("shuffle_hash"), "g").select("o", "g", F.lit(None).cast("long").alias("a")))
         self.links = cut(links)
         groups = self.links.filter("g IS NOT NULL").select("o", "g")
 
         def step(state: DataFrame) -> DataFrame:
             """Open rows that come first in all of their groups are accepted, those after an accepted one refused."""
-            s = groups.join(state, "o")
+            s = groups.join(state.hint("shuffle_hash"), "o")
             lead = s.groupBy("g").agg(F.min(F.when(F.col("s") == 1, F.col("o"))).alias("yes"), F.min(F.when(F.col("s").isNull(), F.col("o"))).alias("open")).filter("open IS NOT NULL")
-            met = s.filter("s IS NULL").join(lead, "g").groupBy("o").agg(F.max(F.coalesce(F.col("yes") < F.col("o"), F.lit(False))).alias("no"), F.min(F.col("open") == F.col("o")).alias("leads"))
+            met = s.filter("s IS NULL").join(lead.hint("shuffle_hash"), "g").groupBy("o").agg(F.max(F.coalesce(F.col("yes") < F.col("o"), F.lit(False))).alias("no"), F.min(F.col("open") == F.col("o")).alias("leads"))
             fresh = met.select("o", F.when(F.col("no"), 0).when(F.col("leads"), 1).alias("s2"))
-            return state.join(fresh, "o", "left").select("o", F.coalesce("s", "s2").alias("s"))
+            return state.join(fresh.hint("shuffle_hash"), "o", "left").select("o", F.coalesce("s", "s2").alias("s"))
 
         # s: null open, 1 accepted, 0 refused.
         state = self.links.groupBy("o").agg(F.when(F.max(F.col("a").isNotNull()), 0).alias("s"))
@@ -320,10 +315,10 @@ class Checked:
         while not self.state.filter("s IS NULL").isEmpty():
             before, self.state = self.state, cut(step(step(self.state)))
             dropped(before)
-        s = groups.join(self.state, "o")
-        inside = s.filter("s = 0").select("g", "o").join(s.filter("s = 1").select("g", F.col("o").alias("a")), "g").filter("a < o").select("o", "a")
+        s = groups.join(self.state.hint("shuffle_hash"), "o")
+        inside = s.filter("s = 0").select("g", "o").join(s.filter("s = 1").select("g", F.col("o").alias("a")).hint("shuffle_hash"), "g").filter("a < o").select("o", "a")
         repeated = self.links.filter("a IS NOT NULL").select("o", "a").unionByName(inside).distinct()
-        accepted = rows.select("o").join(self.state.filter("s = 0"), "o", "left_anti").select("o", F.lit(None).cast("long").alias("a"))
+        accepted = rows.select("o").join(self.state.filter("s = 0").hint("shuffle_hash"), "o", "left_anti").select("o", F.lit(None).cast("long").alias("a"))
         self.path = new_name(self.store.path, "decided")
         accepted.unionByName(repeated).write.parquet(self.path)
         self.decided = self.store.spark.read.schema("o long, a long").parquet(self.path)
@@ -364,47 +359,35 @@ def _folded(folder: str, base: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        con, statement = duck(), plain_sql()
         short = lambda s: None if s is None else xxhash.xxh3_64_intdigest(s) - (1 << 63)
         number = base + (TaskContext.get().partitionId() << 6)  # 64 files for a task: 8 GB of text
         ids, texts, used, path = [], [], 0, new_name(folder, "texts")
-        for whole in batches:
-            for b in (whole.slice(k, 2000) for k in range(0, whole.num_rows, 2000)):
-                con.register("batch", pa.table({"k": pa.array(np.arange(b.num_rows)), "v": b.column(3)}))
-                got = con.sql(statement).to_arrow_table().to_pydict()
-                con.unregister("batch")
-                said = [None] * b.num_rows
-                for k, v in zip(got["k"], got["v"]):
-                    said[k] = v
-                o = b.column(0).to_pylist()
-                out = []
-                for k, v in enumerate(b.column(3).to_pylist()):
-                    t = (said[k] or "").encode() if v is not None else b""
-                    if not t:
-                        out.append((None, None, None, None, None))
-                        continue
-                    if used > TEXT_BYTES:
-                        Texts.of(ids, texts).write(path)
-                        number, path, ids, texts, used = number + 1, new_name(folder, "texts"), [], [], 0
-                    out.append((short(t), number, path, used, len(t)))
-                    ids.append(o[k])
+        for b in batches:
+            c, part, file, at, size = [], [], [], [], []
+            for o, v in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                t = plain(v) if v is not None else b""
+                if used > TEXT_BYTES:
+                    Texts.of(ids, texts).write(path)
+                    number, path, ids, texts, used = number + 1, new_name(folder, "texts"), [], [], 0
+                c.append(short(t) if t else None)
+                part.append(number if t else None)
+                file.append(path if t else None)
+                at.append(used if t else None)
+                size.append(len(t) if t else None)
+                if t:
+                    ids.append(o)
                     texts.append(t)
                     used += len(t) + 1
-                c, part, file, at, size = zip(*out) if out else ((),) * 5
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *[pa.array([short(x) for x in b.column(i).to_pylist()], pa.int64()) for i in (1, 2)], pa.array(c, pa.int64()), pa.array(part, pa.int64()), pa.array(file, pa.string()), pa.array(at, pa.int64()), pa.array(size, pa.int32())],
-                    ["o", "u", "i", "c", "part", "file", "at", "size"],
-                )
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *[pa.array([short(x) for x in b.column(i).to_pylist()], pa.int64()) for i in (1, 2)], pa.array(c, pa.int64()), pa.array(part, pa.int64()), pa.array(file, pa.string()), pa.array(at, pa.int64()), pa.array(size, pa.int32())],
+                ["o", "u", "i", "c", "part", "file", "at", "size"],
+            )
         if ids:
             Texts.of(ids, texts).write(path)
 
     return f
 
 
-def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names if n != "file"}
-
-
 def _asked(b: pa.RecordBatch, library: Library, picked: np.ndarray) -> tuple[Texts, np.ndarray]:
     """The picked rows' texts, and where these lie in the text files."""
     part, at, size = (b.column(n).take(pa.array(picked)).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("part", "at", "size"))

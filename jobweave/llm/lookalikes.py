@@ -64,7 +64,7 @@ def _quoted(s: str) -> str:
 def sql(source: str, keys: list[str], value: str, composed: bool = True) -> str:
     """The statement: source's keys, value, and `unified`, the value in its one form (null for null).
 
-    * Suspicious values only go through the rewriting; every other value is passed on as it is.
+    * Suspicious values only go through the rewriting; every other value, so all of plain ASCII, is passed on as it is.
     * Joiners and variation selectors stay in emoji and in scripts that write with them.
     * A word with a Latin letter has its look-alikes mapped. A word wholly of look-alikes is mapped unless a
       neighbouring word is truly of another script; a word with any letter of its own stays as it is.
@@ -85,7 +85,7 @@ def sql(source: str, keys: list[str], value: str, composed: bool = True) -> str:
     suspicious = "[" + BLANKS + HYPHENS + UNSEEN + COMPAT + WIDE_SIGNS + LATIN + "".join(LIGATURES) + (r"\p{M}" if composed else "") + r"\p{Cyrillic}\p{Greek}\p{Armenian}]"
     return f"""
     WITH s0 AS (SELECT {k}, {value} AS v FROM {source}),
-    s1 AS (SELECT {k}, v, coalesce(regexp_matches(v, {_quoted(suspicious)}){" OR nfc_normalize(v) <> v" if composed else ""}, false) AS odd FROM s0),
+    s1 AS (SELECT {k}, v, CASE WHEN strlen(v) > length(v) THEN regexp_matches(v, {_quoted(suspicious)}){" OR nfc_normalize(v) <> v" if composed else ""} ELSE false END AS odd FROM s0),
     s2 AS (SELECT {k}, v, nfc_normalize(regexp_replace(v,
         {_quoted(f"({PICTURE}[\\x{{FE0E}}\\x{{FE0F}}\\p{{Sk}}]*(?:\\x{{200D}}{PICTURE}[\\x{{FE0E}}\\x{{FE0F}}\\p{{Sk}}]*)*|{JOINED}[\\x{{200C}}\\x{{200D}}])|[{UNSEEN}]")},
         '\\1', 'g')) AS v1 FROM s1 WHERE odd),
