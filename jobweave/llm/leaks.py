@@ -1,227 +1,297 @@
 """Documents that hold passages of held-out evaluation items.
 
-The items' normalised word n-grams are packed into one sorted array, whose size is checked, and reach every task in
-the closure. Every document's token windows are looked up in it; places where several grams of an item lie along one
-diagonal are verified by a local alignment of the words. No shuffle: documents stay where they were read.
+The items' normalised word n-grams are a hash set that is broadcast, once its size is checked. Every document's token windows are
+looked up in it; places where several grams of an item lie along one diagonal are verified by a local alignment of the words. Spans so
+found can be cut out in the same pass. No shuffle: documents stay where they were read.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.llm import folding
 from jobweave.llm.common import spread
-from jobweave.llm.lookalikes import ARMENIAN, ARMENIAN_AS, CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
 
-GRAM = 4
-CROWD = 0.15  # grams along one diagonal, as a share of the item's words, from which a place is verified
+GRAM = 3  # words; where every fourth word is changed, three between them still stand
+UNDER = 0.25  # the item's words under grams along a diagonal, as a share, from which a place is verified: half the item with every fourth word changed has 0.37
 EDGE = 2  # words changed at a passage's ends that the alignment cannot see
-ITEMS_AT_ONCE = 20_000  # items under one index, some 60 MB; more are taken in blocks
-_LIKE = str.maketrans(CYRILLIC + GREEK + ARMENIAN + "đĐðÐłŁøØß", CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + "dDdDlLoOs")
-_TAG = re.compile(r"<[^<>\n]{1,120}>|&(?:[a-z]{2,8}|#\d{1,6});")
-_EAST = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
-_WORD = re.compile(rf"[{_EAST}]|[^\W_{_EAST}]+")
-_CUT = re.compile(r"(?<=\w)[-‐‑]\n\s*(?=\w)")
+BROADCAST_CHARS = 32 << 20  # of items under one broadcast, which has some eight times as many bytes; more are taken in parts
 
 
 def words(text: str | None) -> list[tuple[str, int, int]]:
-    """(word, start, end) without case, accents, mark-up and unseen characters; East Asian characters are words each.
-
-    start and end are places in the text as it is.
-    """
+    """(word, start, end): the words of `folding.words` with their places in the text as it is."""
     if not text:
         return []
-    plain = _TAG.sub(lambda m: " " * len(m.group()), text)
-    if plain.isascii():
-        return [(m.group().lower(), *m.span()) for m in _WORD.finditer(plain)]
+    plain = folding.blanked(text)
     out, where = [], []
     for i, c in enumerate(plain):
         if c < "\x80":
             out.append(c)
             where.append(i)
             continue
-        for d in unicodedata.normalize("NFKD", c).translate(_LIKE):
-            kind = unicodedata.category(d)
-            if kind not in ("Mn", "Me", "Cf") or "゙" <= d <= "゚":
+        for d in unicodedata.normalize("NFKD", c).translate(folding.LIKE):
+            if not folding.unseen(d):
                 out.append(d)
                 where.append(i)
-    return [(m.group().lower(), where[m.start()], where[m.end() - 1] + 1) for m in _WORD.finditer("".join(out))]
-
-
-def _marks() -> re.Pattern:
-    """Combining marks, but for the Japanese voicing marks, and unseen characters."""
-    gone = [c for c in [*range(0x80, 0x10000), *range(0xE0000, 0xE0200)] if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf") and c not in (0x3099, 0x309A)]
-    out, k = [], 0
-    while k < len(gone):
-        j = k
-        while j + 1 < len(gone) and gone[j + 1] == gone[j] + 1:
-            j += 1
-        out.append(f"{chr(gone[k])}-{chr(gone[j])}")
-        k = j + 1
-    return re.compile("[" + "".join(out) + "]+")
-
-
-_MARKS = _marks()
-_ODD = re.compile("[" + "".join(map(chr, _LIKE)) + "]")
-
-
-def plain_words(text: str) -> list[str]:
-    """The words of `words`, without their places, several times as fast."""
-    plain = _TAG.sub(lambda m: " " * len(m.group()), text)
-    if not plain.isascii():
-        plain = _MARKS.sub("", unicodedata.normalize("NFKD", plain)).replace("đ", "d").replace("Đ", "D")
-        if _ODD.search(plain):
-            plain = plain.translate(_LIKE)
-    return _WORD.findall(plain.lower())
+    low = "".join(c if len(c.lower()) != 1 else c.lower() for c in out)
+    return [(m.group().lower(), where[m.start()], where[m.end() - 1] + 1) for m in folding.WORD.finditer(low)]
 
 
-def align(a: np.ndarray, b: np.ndarray, miss: float = 2.0) -> tuple[int, int, int, int, int]:
+def align(a: np.ndarray, b: np.ndarray, miss: int = 2) -> tuple[int, int, int, int, int]:
     """The best local alignment: a match counts 1, a word changed, left out or put in -miss.
 
     Gives the first and last place (exclusive) in a and in b, and the number of matches.
     """
     n, m = len(a), len(b)
-    h = np.zeros((n + 1, m + 1))
-    step = miss * np.arange(m + 1)
-    for i in range(1, n + 1):
-        t = np.zeros(m + 1)
-        t[1:] = np.maximum(h[i - 1, :-1] + np.where(b == a[i - 1], 1.0, -miss), h[i - 1, 1:] - miss)
-        np.maximum(t, 0, out=t)
-        h[i] = np.maximum.accumulate(t + step) - step
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    end_a, end_b, same = int(i), int(j), 0
-    while h[i, j] > 1e-9:
-        s = 1.0 if i and j and a[i - 1] == b[j - 1] else -miss
-        if i and j and abs(h[i, j] - h[i - 1, j - 1] - s) < 1e-9:
-            same += s > 0
+    pair = np.where(a[:, None] == b, np.int32(1), np.int32(-miss))
+    h = np.zeros((n + 1, m + 1), np.int32)
+    step, gap = miss * np.arange(m + 1, dtype=np.int32), np.empty(m, np.int32)
+    for before, row, one in zip(h, h[1:], pair):
+        inner = row[1:]
+        np.add(before[:-1], one, out=inner)
+        np.subtract(before[1:], miss, out=gap)
+        np.maximum(inner, gap, out=inner)
+        np.maximum(row, 0, out=row)
+        row += step
+        np.maximum.accumulate(row, out=row)
+        row -= step
+    i, j = map(int, np.unravel_index(int(h.argmax()), h.shape))
+    end_a, end_b, same = i, j, 0
+    while h[i, j] > 0:
+        if i and j and h[i, j] == h[i - 1, j - 1] + pair[i - 1, j - 1]:
+            same += int(pair[i - 1, j - 1] > 0)
             i, j = i - 1, j - 1
-        elif i and abs(h[i, j] - h[i - 1, j] + miss) < 1e-9:
+        elif i and h[i, j] == h[i - 1, j] - miss:
             i -= 1
         else:
             j -= 1
-    return int(i), end_a, int(j), end_b, same
+    return i, end_a, j, end_b, same
+
+
+def _window(w: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the windows of n words at the places; those of different lengths differ."""
+    g = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        g = (g * np.uint64(0x9E3779B97F4A7C15)) ^ (w[at + k].astype(np.uint64) + np.uint64(1))
+        g ^= g >> np.uint64(29)
+    return g.view(np.int64)
+
+
+def grams(w: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of GRAM words; of a shorter text one of all."""
+    return _window(w, np.arange(max(1, len(w) - GRAM + 1)), min(GRAM, len(w)))
+
+
+def _dense(a: np.ndarray, w: np.ndarray, first: int, width: int, share: float, same: float) -> bool:
+    """Whether some stretch of a, as long as a passage must be, has `same` of its words near their diagonals in w: first to first + width."""
+    j = np.arange(len(a))[:, None] + np.arange(first, first + width + 1)
+    inside = (j >= 0) & (j < len(w))
+    near = ((w[np.clip(j, 0, len(w) - 1)] == a[:, None]) & inside).any(1)
+    n = max(1, int(np.ceil(share * len(a))) - EDGE)
+    upto = np.append(0, np.cumsum(near))
+    return int((upto[n:] - upto[:-n]).max()) >= same * n - 1
 
 
 class Index:
-    """The items' words as numbers and their n-grams in one sorted array."""
+    """The items' words as numbers, and a hash set of their n-grams: slots by a gram's lowest bits, in each the gram and where its places begin."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.number: dict[str, int] = {}
+        self.number: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
-        keys, of, at = [], [], []
+        keys, of, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
-            w = np.array([self.number.setdefault(x, len(self.number) + 1) for x, _, _ in words(text)], np.int64)
+            w = np.array([self.number.setdefault(x, len(self.number) + 1) for x in folding.words(text or "")], np.int64)
             if not len(w):
                 continue
-            g = self.grams(w)
+            g = grams(w)
             keys.append(g)
             of.append(np.full(len(g), len(self.items), np.int32))
             at.append(np.arange(len(g), dtype=np.int32))
             self.items.append((item, w))
-        self.keys, self.of, self.at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, of, at))
-        self.need = np.array([max(min(2, len(a) - GRAM + 1), 1, int(CROWD * len(a))) for _, a in self.items], np.int64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.of, self.at = self.keys[order], self.of[order], self.at[order]
-
-    @staticmethod
-    def grams(w: np.ndarray) -> np.ndarray:
-        n = max(1, len(w) - GRAM + 1)
-        g = np.zeros(n, np.uint64)
-        for k in range(min(GRAM, len(w))):
-            g = (g * np.uint64(0x9E3779B97F4A7C15)) ^ (w[k : k + n].astype(np.uint64) + np.uint64(1))
-            g ^= g >> np.uint64(29)
-        return g.view(np.int64)
-
-    def found(self, w: np.ndarray, share: float, same: float) -> list[tuple[int, int, int]]:
-        """(item, first word, last word exclusive) of the passages in the document's words w, a number each, 0 for one that no item has."""
-        if not len(w) or not len(self.keys):
-            return []
-        g = self.grams(w)
-        lo, hi = np.searchsorted(self.keys, g, "left"), np.searchsorted(self.keys, g, "right")
-        n = hi - lo
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        self.of, self.at = np.concatenate(of)[order], np.concatenate(at)[order]
+        kinds, first, n = np.unique(key[order], return_index=True, return_counts=True)
+        self.slots = 1 << max(4, int(4 * len(kinds)).bit_length())
+        self.key, self.first, self.n = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
+        left = np.arange(len(kinds))
+        step = 0
+        while len(left):  # linear probing, all that are left at once
+            slot = (kinds[left] + step) & (self.slots - 1)
+            free = np.flatnonzero(self.n[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.key[slot[put]], self.first[slot[put]], self.n[slot[put]] = kinds[left[put]], first[left[put]], n[left[put]]
+            left = np.delete(left, put)
+            step += 1
+        self.steps = step
+        size = np.array([len(a) for _, a in self.items], np.int64)
+        self.slack, self.short = 3 + size // 6, bool((size < GRAM).any())
+        self.under = np.where(size < GRAM, 1, UNDER * size)
+
+    def looked_up(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the places of each gram begin, how many there are)."""
+        first, n, open_ = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64), np.arange(len(g))
+        for step in range(self.steps):
+            slot = (g[open_] + step) & (self.slots - 1)
+            used = self.n[slot] > 0
+            open_, slot = open_[used], slot[used]
+            hit = self.key[slot] == g[open_]
+            first[open_[hit]], n[open_[hit]] = self.first[slot[hit]], self.n[slot[hit]]
+            open_ = open_[~hit]
+            if not len(open_):
+                break
+        return first, n
+
+    def found(self, documents: list[np.ndarray], share: float, same: float) -> list[list[tuple[int, int, int]]]:
+        """For each document (item, first word, last word exclusive) of the passages in its words, a number each, 0 for one that no item has."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in documents]
+        if not documents or not self.items:
+            return out
+        # All documents one after the other, so far apart that no window spans two.
+        size = np.array([len(d) for d in documents], np.int64)
+        begin = np.cumsum(size + GRAM) - (size + GRAM)
+        w = np.zeros(int((size + GRAM).sum()), np.int64)
+        for d, at in zip(documents, begin.tolist()):
+            w[at : at + len(d)] = d
+        g = grams(w)
+        known = w > 0
+        for k in range(1, GRAM):
+            known[: len(g)] &= w[k : k + len(g)] > 0
+        at = np.flatnonzero(known[: len(g)])  # windows of words that stand in some item
+        key = g[at]
+        if self.short:  # items under GRAM words are windows of their own
+            for n in range(1, GRAM):
+                some = np.flatnonzero(w[: len(w) - n + 1] > 0)
+                at, key = np.append(at, some), np.append(key, _window(w, some, n))
+        lo, n = self.looked_up(key)
         hit = np.flatnonzero(n)
         if not len(hit):
-            return []
+            return out
         n = n[hit]
-        pos = np.repeat(hit, n)
+        pos = np.repeat(at[hit], n)
         k = np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hit], n)
-        of, diagonal, out = self.of[k], pos - self.at[k], []
-        # Items with fewer grams in the whole document than a diagonal needs are out at once.
-        for o in np.flatnonzero(np.bincount(of, minlength=len(self.items)) >= self.need):
-            item, a = self.items[o]
-            if len(a) < GRAM and len(a) > len(w):
+        of, word, diagonal = self.of[k].astype(np.int64), self.at[k], pos - self.at[k]
+        # Diagonals in strips as wide as the slack of a passage, which so lies within two of them. Two that cover too few words are out at once.
+        doc = np.searchsorted(begin, pos, "right") - 1
+        strip = (diagonal - begin[doc]) // self.slack[of]
+        low = int(strip.min())
+        wide = int(strip.max()) - low + 4
+        key = (doc * len(self.items) + of) * wide + (strip - low)
+        order = np.lexsort((word, key))
+        key, word = key[order], word[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        gap = np.full(len(key), GRAM)
+        gap[1:] = np.where(new[1:], GRAM, np.minimum(word[1:] - word[:-1], GRAM))
+        under, key = np.add.reduceat(gap, np.flatnonzero(new)), key[new]
+        upto = np.append(0, np.cumsum(under))
+        both = upto[np.searchsorted(key, key + 1, "right")] - upto[:-1]
+        owner, at_strip = key // wide, key % wide + low
+        item = owner % len(self.items)
+        good = np.flatnonzero(both >= self.under[item])
+        tried: dict[int, list[int]] = {}
+        places: dict[int, list[tuple[int, int, int]]] = {}
+        for x in good[np.argsort(-both[good], kind="stable")].tolist():
+            o, s = int(owner[x]), int(at_strip[x])
+            if any(abs(s - t) <= 1 for t in tried.get(o, ())):
+                continue
+            tried.setdefault(o, []).append(s)
+            a, text, slack = self.items[int(item[x])][1], documents[o // len(self.items)], int(self.slack[item[x]])
+            if not _dense(a, text, s * slack, 2 * slack, share, same):
                 continue
-            d, mine = diagonal[of == o], pos[of == o]
-            slack, need = 3 + len(a) // 6, self.need[o]
-            order = np.argsort(d, kind="stable")
-            d, mine = d[order], mine[order]
-            crowd = np.searchsorted(d, d + slack, "right") - np.arange(len(d))
-            places: list[tuple[int, int, int]] = []
-            tried: list[int] = []
-            for x in np.argsort(-crowd, kind="stable"):
-                if crowd[x] < need:
-                    break
-                if any(abs(int(d[x]) - t) <= slack for t in tried):
-                    continue
-                tried.append(int(d[x]))
-                group = mine[x : x + crowd[x]]
-                left, right = max(0, int(d[x]) - slack), min(len(w), int(d[x]) + 2 * slack + len(a))
-                left, right = max(left, int(group.min()) - len(a) - slack), min(right, int(group.max()) + len(a) + slack)
-                i0, i1, j0, j1, n_same = align(a, w[left:right])
-                if i1 - i0 + EDGE * (i1 > i0) >= share * len(a) and n_same >= min(GRAM, len(a)) and n_same >= same * (i1 - i0):
-                    places.append((n_same, left + j0, left + j1))
+            left, right = max(0, s * slack), min(len(text), (s + 2) * slack + len(a))
+            i0, i1, j0, j1, n_same = align(a, text[left:right])
+            if i1 - i0 + EDGE * (i1 > i0) >= share * len(a) and n_same >= min(GRAM, len(a)) and n_same >= same * (i1 - i0):
+                places.setdefault(o, []).append((n_same, left + j0, left + j1))
+        for o, those in places.items():
             # Of places that overlap the one with most matches counts.
             taken: list[tuple[int, int]] = []
-            for _, x, y in sorted(places, key=lambda p: -p[0]):
+            for _, x, y in sorted(those, key=lambda p: -p[0]):
                 if all(y <= u or x >= v for u, v in taken):
                     taken.append((x, y))
-                    out.append((item, x, y))
+                    out[o // len(self.items)].append((self.items[o % len(self.items)][0], x, y))
         return out
 
 
+def _scanned(documents: DataFrame, items: DataFrame, text: str, item_key: str, share: float, same: float) -> Iterator[Callable]:
+    """For each part of the items a function that gives the passages of each of several texts: (item, first, last)."""
+    sc = documents.sparkSession.sparkContext
+    rows = items.select(items[item_key].cast("long").alias("i"), items[text].cast("string").alias("t")).dropna().distinct()
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    parts = -(-chars // BROADCAST_CHARS)
+    for part in range(parts):
+        some = rows.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == part) if parts > 1 else rows
+        index = sc.broadcast(Index([tuple(r) for r in some.orderBy("i", "t").collect()]))  # BROADCAST_CHARS at most, or little more
+
+        def passages(texts: list[str | None], index=index) -> Iterator[list[tuple[int, int, int]]]:
+            x = index.value
+            get = x.number.get
+            for k in range(0, len(texts), 256):
+                some = texts[k : k + 256]
+                for t, hits in zip(some, x.found([np.array([get(w, 0) for w in folding.words(t)] if t else [], np.int64) for t in some], share, same)):
+                    at = words(t) if hits else []
+                    yield [(item, at[a][1], at[b - 1][2]) for item, a, b in hits]
+
+        yield passages
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", share: float = 0.5, same: float = 0.7) -> DataFrame:
     """Rows (doc_key, item_key, first, last): the characters of the document's text that hold at least `share` of the item; a row for each such place.
 
     A passage counts when `same` of its words are the item's, in order. Null, empty and blank texts hold nothing; an
-    item under four words is found by its whole; repeated items and documents give each place once; other columns are not read.
-    Either table empty gives an empty result. Items beyond ITEMS_AT_ONCE are taken in blocks, one pass each.
+    item under GRAM words is found by its whole; repeated items and documents give each place once; other columns are not read.
+    Either table empty gives an empty result. Items of more than BROADCAST_CHARS are taken in parts, a pass over the documents each.
     """
-    kind, ikind = dict(documents.dtypes)[doc_key], dict(items.dtypes)[item_key]
-    pairs = items.select(item_key, F.col(text).cast("string")).dropna().dropDuplicates().orderBy(item_key)
-    schema = f"d {kind}, i {ikind}, first int, last int"
-    at = spread(documents.filter(F.length(text) > 0).select(documents[doc_key].alias("d"), F.col(text).cast("string").alias("t")))
-    result, block, blocks = None, [], []
-    for row in pairs.toLocalIterator():
-        block.append(tuple(row))
-        if len(block) == ITEMS_AT_ONCE:
-            blocks.append(block)
-            block = []
-    for some in [*blocks, block]:
-
-        def scan(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            index = Index(some)
-            get = index.number.get
+    kind = dict(documents.dtypes)[doc_key]
+    schema = f"d {kind}, i long, first int, last int"
+    at = spread(documents.filter(F.length(documents[text]) > 0).select(documents[doc_key].alias("d"), documents[text].cast("string").alias("t")))
+    result = documents.sparkSession.createDataFrame([], schema)
+    for passages in _scanned(documents, items, text, item_key, share, same):
+
+        def scan(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                take, out = [], []
-                for r, t in enumerate(b.column(1).to_pylist()):
-                    hits = index.found(np.array([get(x, 0) for x in plain_words(t)], np.int64), share, same)
-                    spans = words(t) if hits else []
-                    for item, j0, j1 in hits:
-                        take.append(r)
-                        out.append((item, spans[j0][1], spans[j1 - 1][2]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array([x for x, _, _ in out], pa.int64()), pa.array([x for _, x, _ in out], pa.int32()), pa.array([x for _, _, x in out], pa.int32())], ["d", "i", "first", "last"])
-
-        part = at.mapInArrow(scan, schema)
-        result = part if result is None else result.unionByName(part)
+                out = [(r, *x) for r, found in enumerate(passages(b.column(1).to_pylist())) for x in found]
+                row, item, first, last = zip(*out) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["d", "i", "first", "last"])
+
+        result = result.unionByName(at.mapInArrow(scan, schema))
     return result.distinct().select(F.col("d").alias(doc_key), F.col("i").alias(item_key), "first", "last")
 
 
+def removed(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", share: float = 0.5, same: float = 0.7) -> DataFrame:
+    """(doc_key, text, spans): every document, with all leaked passages cut out of its text, and how many stretches that were.
+
+    Rows come out as often as they went in; a null text stays null. Scanned and cut in one pass, without a join.
+    """
+    kind = dict(documents.dtypes)[doc_key]
+    result = spread(documents.select(documents[doc_key].alias("d"), documents[text].cast("string").alias("t"), F.lit(0).alias("spans")))
+    for passages in _scanned(documents, items, text, item_key, share, same):
+
+        def scan(batches: Iterator[pa.RecordBatch], passages=passages) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts, spans = b.column(1).to_pylist(), b.column(2).to_pylist()
+                for r, found in enumerate(passages(b.column(1).to_pylist())):
+                    out, upto = [], 0
+                    for first, last in sorted((a, z) for _, a, z in found):
+                        if first >= upto:
+                            out.append(texts[r][upto:first])
+                            spans[r] += 1
+                        upto = max(upto, last)
+                    if upto:
+                        texts[r] = "".join([*out, texts[r][upto:]])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(spans, pa.int32())], ["d", "t", "spans"])
+
+        result = result.mapInArrow(scan, f"d {kind}, t string, spans int")
+    return result.select(F.col("d").alias(doc_key), F.col("t").alias(text), "spans")
+
+
 def without_leaks(documents: DataFrame, leaks: DataFrame, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with the leaked spans cut out of their text, in the original columns; documents without leaks as they are."""
     spans = leaks.groupBy(doc_key).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans"))

@@ -14,7 +14,7 @@ from jobweave.llm.cooccur import associations
 from jobweave.llm.encode import encode_corpus
 from jobweave.llm.history import repeats
 from jobweave.llm.langid import fitted, languages, mislabelled
-from jobweave.llm.leaks import find_leaks
+from jobweave.llm.leaks import find_leaks, removed
 from jobweave.llm.lookalikes import unify
 from jobweave.llm.pieces import split_oversized
 from jobweave.llm.stable_sample import stable_sample
@@ -98,6 +98,10 @@ def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_pieces(spark, sf_dir).select("doc_id").distinct()
 

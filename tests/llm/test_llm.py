@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from jobweave.llm import canon, consensus, cooccur, encode, history, langid, leaks, lookalikes, pieces, stable_sample, tokenizer
+from jobweave.llm import canon, consensus, cooccur, encode, folding, history, langid, leaks, lookalikes, pieces, stable_sample, suffixes, tokenizer
 
 
 def rows(df, *columns):
@@ -105,11 +105,11 @@ def brute(data):
         total = 0
         for x, y in ((a, b), (b, a)):
             x, y = x.encode(), y.encode()
-            have = {y[i : i + history.RUN] for i in range(len(y)) if not i or y[i - 1] == 32}
+            have = {y[i : i + suffixes.HEAD] for i in range(len(y)) if not i or y[i - 1] == 32}
             m = np.zeros(len(x), bool)
-            for i in range(len(x) - history.RUN + 1):
-                if (not i or x[i - 1] == 32) and x[i : i + history.RUN] in have:
-                    m[i : i + history.RUN] = True
+            for i in range(len(x) - suffixes.HEAD + 1):
+                if (not i or x[i - 1] == 32) and x[i : i + suffixes.HEAD] in have:
+                    m[i : i + suffixes.HEAD] = True
             total += m.sum()
         return total / (len(a.encode()) + len(b.encode()))
 
@@ -153,14 +153,14 @@ def test_repeats(spark, tmp_path):
     data += [(1, 900, "", "S", " ", "short"), (2, 901, None, None, None, None), (3, 902, None, "S", None, ""), (None, 903, None, None, None, data[0][5])]
     schema = "batch_no int, raw_id long, source_url string, source string, source_job_id string, job_description string"
     df = spark.createDataFrame(data, schema).withColumn("o", F.lit(1)).withColumn("t", F.lit("x"))
-    got = {(x["a"], x["b"]) for x in history.Repeats(df).pairs().collect()}
+    got = {(x["a"], x["b"]) for x in history.repeats(df).collect()}
     want = brute([(d[0] if d[0] is not None else 0, *d[1:]) for d in data])
     hot_pairs = {p for p in want if p[0] >= 260 and p[1] >= 260}
     assert len(hot_pairs) > 60
     assert len(got & want) >= 0.98 * len(want) and len(got & want) >= 0.98 * len(got)
     assert {b for _, b in got} == {b for _, b in want} or len({b for _, b in got} ^ {b for _, b in want}) <= 3
-    assert history.Repeats(df.limit(0)).pairs().count() == 0
-    # Batch by batch against the kept segments, the result is the same.
+    assert history.repeats(df.limit(0)).count() == 0
+    # Each batch made ready by itself, the result is the same.
     store, step = history.Store(spark, f"file://{tmp_path}/store"), set()
     for n in (None, 1, 2, 3):
         part = df.filter("coalesce(batch_no, 0) = 0" if n is None else f"batch_no = {n}")
@@ -173,13 +173,90 @@ def test_repeats(spark, tmp_path):
         store.check(df.filter("batch_no = 1"))
 
 
-def test_segments():
+def test_store_survives_a_crash(spark, tmp_path, monkeypatch):
+    r = random.Random(2)
+    data = [(b, b * 10 + i, f"https://a.example/{b}/{i}", "S", None, " ".join(sentence(r) for _ in range(8))) for b in range(3) for i in range(6)]
+    data += [(2, 90, "https://a.example/0/1/", "S", None, None), (2, 91, None, None, None, data[3][5])]
+    df = spark.createDataFrame(data, "batch_no int, raw_id long, source_url string, source string, source_job_id string, job_description string")
+    store = history.Store(spark, f"file://{tmp_path}/store")
+    store.add(store.check(df.filter("batch_no = 0")))
+    # After new files are written, but before the manifest names them: nothing has changed.
+    checked = store.check(df.filter("batch_no = 1"))
+    monkeypatch.setattr(history.Store, "_publish", lambda self, m: (_ for _ in ()).throw(OSError("down")))
+    with pytest.raises(OSError):
+        store.add(checked)
+    monkeypatch.undo()
+    again = history.Store(spark, f"file://{tmp_path}/store")
+    again.sweep(texts=True)
+    assert again.accepted().count() == 6
+    # After the manifest is replaced, but before old files are removed: both stand there, only the new ones count.
+    monkeypatch.setattr(history.Store, "sweep", lambda self, texts=False: (_ for _ in ()).throw(OSError("down")))
+    with pytest.raises(OSError):
+        again.add(again.check(df.filter("batch_no = 1")))
+    monkeypatch.undo()
+    store = history.Store(spark, f"file://{tmp_path}/store")
+    assert store.accepted().count() == 12 and {k: len(v) for k, v in store.segments().items()} == {1: 1}
+    store.sweep(texts=True)
+    last = store.check(df.filter("batch_no = 2"))
+    assert {(x["a"], x["b"]) for x in last.pairs().collect()} == {(1, 90), (3, 91)}
+    with pytest.raises(ValueError):  # of an older state
+        store.add(checked)
+
+
+def test_history_reads_what_it_needs(spark, tmp_path):
+    """What a batch reads grows with the batch: of the segments only the pages its searches touch."""
+    r = random.Random(7)
+    texts = suffixes.Texts.of(range(3000), [" ".join(r.choice(WORDS) for _ in range(60)).encode() for _ in range(3000)])
+    at, doc, head = suffixes.sampled(texts)
+    whole = suffixes.Array.of(head, at)
+    asked = suffixes.Texts.of([5000], [texts.raw[texts.starts[7] : texts.starts[8] - 1].tobytes()])
+    library = suffixes.Library({})
+    library.held[0] = texts
+    looked = suffixes.looked_up(whole, np.unique(suffixes.sampled(asked)[2]))
+    touched = int(looked.n.sum())
+    assert touched <= 3 * len(suffixes.sampled(asked)[0]) < len(whole) / 100
+    got = suffixes.search(asked, [whole], library, 0.4)
+    assert got.other == [7] and got.covered[0] > 0.9
+
+
+def test_suffix_arrays(tmp_path):
     r = random.Random(3)
-    texts = [" ".join(r.choice(WORDS) for _ in range(40)) for _ in range(6)]
-    whole = history.Segment.of(list(range(6)), texts)
-    merged = history.Segment.of([0, 1], texts[:2]).merged(history.Segment.of([2, 3, 4, 5], texts[2:]))
-    assert (whole.suffixes == merged.suffixes).all() and (np.sort(whole.suffixes) == whole.suffixes).all()
-    assert sorted(zip(whole.ids[whole.records], whole.places)) == sorted(zip(merged.ids[merged.records], merged.places))
+    texts = [" ".join(r.choice(WORDS) for _ in range(40)).encode() for _ in range(6)]
+    t = suffixes.Texts.of(range(6), texts)
+    at, doc, head = suffixes.sampled(t)
+    assert (np.bincount(doc) >= suffixes.LEAST).all() and (np.sort(head) == suffixes.Array.of(head, at).between(None, None)[0]).all()
+    array = suffixes.Array.of(head, at)
+    array.write(f"{tmp_path}/a")
+    middle = array.heads[len(array.heads) // 2]
+    parts = [suffixes.Array.open(f"{tmp_path}/a").between(*b) for b in ((None, middle), (middle, None))]
+    merged = suffixes.Array.of(*(np.concatenate(x) for x in zip(*parts)))
+    assert (merged.heads == array.heads).all() and (merged.places == array.places).all() and (merged.ends == array.ends).all()
+    none = suffixes.Array.of(np.zeros(0, "S32"), np.zeros(0, np.int64))
+    none.write(f"{tmp_path}/none")
+    assert len(suffixes.Array.open(f"{tmp_path}/none").between(None, None)[1]) == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["alpha", "beta", "gamma delta", "x", "epsilon zeta eta theta iota kappa"]), min_size=8, max_size=40), st.lists(st.sampled_from(["alpha", "beta", "gamma delta", "y", "epsilon zeta eta theta iota kappa"]), min_size=8, max_size=40))
+def test_extended_matches(a, b):
+    """Longest matches cover what brute force covers with runs of HEAD bytes at all places, and a byte-wise match is as long as it can be."""
+    one, two = (suffixes.Texts.of([0], [" ".join(x).encode()]) for x in (a, b))
+    (x, _), (y, _) = suffixes.word_starts(one), suffixes.word_starts(two)
+    p, q = suffixes.heads(one.raw, x), suffixes.heads(two.raw, y)
+    i, j = np.nonzero(p[:, None] == q[None, :])
+    n = len(i)
+    ends = [np.full(n, v) for v in (0, len(one.raw) - 1, 0, len(two.raw) - 1)]
+    pair, u, length, v = suffixes.extended(one.raw, two.raw, np.zeros(n, np.int64), x[i], y[j], *ends)
+    s, t = one.raw[:-1].tobytes(), two.raw[:-1].tobytes()
+    for k, m, o in zip(u.tolist(), length.tolist(), v.tolist()):
+        assert s[k : k + m] == t[o : o + m] and (k == 0 or o == 0 or s[k - 1] != t[o - 1]) and (k + m == len(s) or o + m == len(t) or s[k + m] != t[o + m])
+    held = np.zeros(len(s), bool)
+    for k in x[np.unique(i)].tolist():
+        held[k : k + suffixes.HEAD] = True
+    under = np.zeros(len(s), bool)
+    for k, m in zip(u.tolist(), length.tolist()):
+        under[k : k + m] = True
+    assert not (held & ~under).any() and suffixes.union(pair, u, length, 1)[0] == under.sum()
 
 
 # ---- 4 pairs
@@ -419,10 +496,43 @@ def test_leaks(spark):
     assert items[0][1] not in cut[103] and cut[100] is None and cut[5] == docs[5][1]
     assert leaks.find_leaks(spark.createDataFrame([x for x in cut.items()], "doc_id long, text string"), it).count() == 0
     assert leaks.find_leaks(df.limit(0), it).count() == 0 and leaks.find_leaks(df, it.limit(0)).count() == 0
+    cleaned = {(x["doc_id"], x["text"]) for x in leaks.removed(df, it).collect()}
+    assert cleaned == {(k, v) for k, v in cut.items()} and leaks.removed(df.limit(0), it).count() == 0
+    assert leaks.removed(df, it.limit(0)).filter("spans > 0").count() == 0
     folded = leaks.words("Kỹ Sư​ dữ <b>liệu</b> Dаta")
     assert [w for w, _, _ in folded] == ["ky", "su", "du", "lieu", "data"]
 
 
+def test_leaks_by_their_definition():
+    """Every passage that the definition accepts is found, with every k-th word changed or any words at random."""
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randrange(45, 170)))) for i in range(120)]
+    index = leaks.Index(items)
+    numbers = lambda w: np.array([index.number.get(x.encode(), 0) for x in w], np.int64)
+    found = due = 0
+    for change in [3, 4, 5, 6, 0.15, 0.3]:
+        for i, text in items:
+            w = text.split()
+            n = r.randrange(len(w) // 2, len(w) + 1)
+            at = r.randrange(len(w) - n + 1)
+            passage = [f"z{k}" if (k % change == 0 if change >= 1 else r.random() < change) else x for k, x in enumerate(w[at : at + n])]
+            doc = numbers([r.choice(vocabulary) for _ in range(60)] + passage + [r.choice(vocabulary) for _ in range(60)])
+            a0, a1, _, _, same = leaks.align(numbers(w), doc)
+            if a1 - a0 + leaks.EDGE >= 0.5 * len(w) and same >= 0.7 * (a1 - a0):
+                due += 1
+                found += any(x[0] == i for x in index.found([doc], 0.5, 0.7)[0])
+    assert due > 300 and found >= 0.99 * due
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aé ộđĐ–•<b>漢かが\u200b._1𝖣аﬁ&;"), max_size=12), max_size=5))
+def test_words_and_their_places_agree(parts):
+    text = " ".join(parts)
+    assert [w.decode() for w in folding.words(text)] == [w for w, _, _ in leaks.words(text)]
+    assert folding.plain(text).decode() == " ".join(folding.plain(text).decode().split())
+
+
 def test_alignment():
     a, b = np.array([1, 2, 3, 4, 5, 6, 7, 8]), np.array([9, 1, 2, 3, 0, 5, 6, 7, 8, 9])
     assert leaks.align(a, b) == (0, 8, 1, 9, 7)
