@@ -223,3 +223,15 @@ def encode_corpus(df: DataFrame, key: str, text: str, tokenizer: str = "byte_bpe
     coded = refs.join(bodies, "k", "left").select("id", "doc", "seq", "k", "body").mapInArrow(encode, f"id {kind}, doc long, seq int, own binary, tail_chars int, tail_n int")
     parts = coded.groupBy("id", "doc").agg(F.collect_list(F.struct("seq", "own", "tail_chars", "tail_n")).alias("parts"))
     return parts.select("id", "parts").mapInArrow(repair, f"id {kind}, ids array<int>").withColumnRenamed("id", key)
+
+
+def decoded(df: DataFrame, key: str, ids: str, tokenizer: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
+    """(key, decoded): the texts that the ids stand for; an empty text for an empty or null list."""
+    kind = dict(df.dtypes)[key]
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(tokenizer, folder)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["k", "decoded"])
+
+    return df.select(df[key].alias("k"), df[ids]).mapInArrow(back, f"k {kind}, decoded string").withColumnRenamed("k", key)

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.llm.canon import map_to_canon
-from jobweave.llm.common import table
+from jobweave.llm.common import shared_dir, table
 from jobweave.llm.consensus import Consensus
 from jobweave.llm.cooccur import associations
-from jobweave.llm.encode import encode_corpus
+from jobweave.llm.encode import decoded, encode_corpus
 from jobweave.llm.history import repeats
 from jobweave.llm.langid import fitted, languages, mislabelled
 from jobweave.llm.leaks import find_leaks, removed
 from jobweave.llm.lookalikes import unify
 from jobweave.llm.pieces import split_oversized
-from jobweave.llm.stable_sample import stable_sample
+from jobweave.llm.stable_sample import Registry, evenness
+from jobweave.plans.staging import new_path
 
 TEXTS = ["raw_job_title", "company", "job_description"]
 
@@ -71,12 +72,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("job_id", F.explode("runs").alias("r")).select("job_id", "r.line_from", "r.lang").distinct()
 
 
+def _registry(spark: SparkSession, name: str) -> Registry:
+    """The numbers given so far, beside the folders of single runs, so that later runs find them."""
+    return Registry(spark, f"{shared_dir(spark).rsplit('/', 1)[0]}/jobweave-registry/{name}", "job_id")
+
+
 def p6_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stable_sample(table(spark, sf_dir, "gold_jobs"), "job_id", 0.2).select("job_id")
+    return _registry(spark, "gold").sample(table(spark, sf_dir, "gold_jobs"), "job_id", 0.2, order="crawl_timestamp").select("job_id")
 
 
 def p6_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stable_sample(table(spark, sf_dir, "role_sample"), "job_id", 0.25, stratum="stratum")
+    return _registry(spark, "roles").sample(table(spark, sf_dir, "role_sample"), "job_id", 0.25, stratum="stratum", order="batch")
+
+
+def p6_evenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the first n numbered postings are selected, at every power of two: never more than a few off the share."""
+    jobs = table(spark, sf_dir, "jobs_clean").select("job_id", "crawl_timestamp")
+    numbers = Registry(spark, new_path(spark), "job_id").numbered(jobs, "job_id", order="crawl_timestamp")
+    even = evenness(numbers, 0.2, [2**k for k in range(5, 31)])
+    return even.agg(F.count("*").alias("sizes"), F.count_if(F.abs(F.col("selected") - F.col("expected")) > 4).alias("uneven"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +124,32 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+# ---- what must hold of every result; the SQL says how many cases there are, and no fault
+
+
+def p7_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values asked for, and those that have no answer or both entries and 'none'."""
+    a = p7_found(spark, sf_dir).groupBy("job_id", "field").agg(F.min("ref_id").alias("low"), F.max("ref_id").alias("high"))
+    return a.groupBy("field").agg(F.count("*").alias("n"), F.count_if("low = 0 AND high > 0").alias("faults"))
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and those whose ids don't decode to their text."""
+    docs, ids = table(spark, sf_dir, "documents").select("doc_id", "text"), p8_ids(spark, sf_dir)
+    back = decoded(ids, "doc_id", "ids")
+    return docs.join(back, "doc_id", "left").agg(F.count("*").alias("n"), F.count_if(~F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded"))).alias("faults"))
+
+
+def p10_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces over the limit or without overlap, and documents whose pieces don't make up their text: none."""
+    pieces = p10_pieces(spark, sf_dir)
+    bad = F.count_if((F.col("n_tokens") > 2048) | ((F.col("piece") > 0) & (F.col("shared") <= 0)))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "shared", "body"))), lambda p: F.substring(p["body"], p["shared"] + 1, F.length(p["body"]))), "")
+    per = pieces.groupBy("doc_id").agg(bad.alias("bad"), whole.alias("whole"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return per.join(docs, "doc_id").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_pieces"), F.count_if(F.col("whole") != F.col("text")).alias("bad_texts"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
@@ -130,6 +170,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"SELECT DISTINCT job_id, field FROM ({unified}) WHERE unified <> value",
         "p1_unified": f"SELECT job_id, field, unified FROM ({unified})",
+        "p6_evenness": "WITH n AS (SELECT count(DISTINCT job_id) AS n FROM jobs_clean), s AS (SELECT unnest(range(5, 31)) AS k) SELECT count(*) FILTER (pow(2, k) <= n) AS sizes, 0 AS uneven FROM n, s",
+        "p7_answers": r"SELECT field, count(*) AS n, 0 AS faults FROM (SELECT job_id, 'raw_job_title' AS field FROM jobs_clean WHERE normalized_job_title IS NULL UNION ALL SELECT job_id, 'raw_location' AS field FROM jobs_clean WHERE normalized_location IS NULL AND regexp_matches(raw_location, '[^\s\p{Z}]')) GROUP BY 1",
+        "p8_round_trip": "SELECT count(*) AS n, 0 AS faults FROM documents",
+        "p10_faults": "SELECT 0 AS bad_pieces, 0 AS bad_texts",
         "p4_found": pairs + " SELECT skill_a, skill_b FROM p WHERE joint >= 5 AND joint < n AND npmi >= 0.3",
         "p4_associations": pairs + " SELECT skill_a, skill_b, joint, round(lift, 6) AS lift, round(npmi, 6) AS npmi, round(jaccard, 6) AS jaccard FROM p",
     }

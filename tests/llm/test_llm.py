@@ -373,6 +373,28 @@ def test_sample(spark):
     assert first <= set(rows(stable_sample.stable_sample(grown, "job_id", 0.1, "s", "number"), "job_id", "stratum"))
 
 
+def test_registry(spark, tmp_path):
+    r = random.Random(8)
+    ids = [f"{r.getrandbits(64):016x}" for _ in range(1500)]
+    rows_ = [(i, r.choice(["kept", " Kept", "out", None]), f"2025-01-{1 + k // 100:02d}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame([*rows_, (None, "kept", "2025-01-01"), (" ", "kept", None), rows_[3]], "job_id string, s string, at string").withColumn("number", F.lit(-5))
+    first = df.filter("at < '2025-01-09'")
+    kept = stable_sample.Registry(spark, f"file://{tmp_path}/kept", "job_id")
+    pick = lambda g, d: set(rows(g.sample(d, "job_id", 0.2, "s", "at"), "job_id", "stratum"))
+    a = pick(kept, first)
+    odd = first.select(F.concat(F.lit(" "), F.upper("job_id"), F.lit("\u200b")).alias("job_id"), F.upper("s").alias("s"), "at", "number").repartition(7)
+    assert a == pick(kept, odd) == pick(kept, first.unionByName(first)) and a <= (b := pick(kept, df)) and a == pick(kept, first)
+    assert 0.18 * 1500 < len(b) < 0.22 * 1500
+    # Without what was kept, postings that arrived later change nothing either.
+    assert a == pick(stable_sample.Registry(spark, f"file://{tmp_path}/other", "job_id"), first.repartition(5)) and b == pick(stable_sample.Registry(spark, f"file://{tmp_path}/whole", "job_id"), df.repartition(3))
+    per = kept.numbers().groupBy("stratum").agg(F.count("*").alias("n"), F.count_distinct("number").alias("d"), F.max("number").alias("m"), F.min("number").alias("l")).collect()
+    assert len(per) == 3 and all(x["n"] == x["d"] == x["m"] + 1 and x["l"] == 0 for x in per)
+    even = stable_sample.evenness(kept.numbers(), 0.2, [2**k for k in range(12)]).collect()
+    assert len(even) > 20 and all(abs(x["selected"] - x["expected"]) <= 4 for x in even)
+    empty = stable_sample.Registry(spark, f"file://{tmp_path}/empty", "job_id")
+    assert empty.sample(df.limit(0), "job_id", 0.2, "s").count() == 0
+
+
 # ---- 7 canonical list
 
 
