@@ -205,9 +205,10 @@ def rq3_title_dispersion(spark, sf_dir):
     return profile.dispersion(_ok(spark, sf_dir), TITLE, "job_id", SKILLS)
 
 
-@query(f"WITH {_T} SELECT title, n_postings FROM g WHERE n_postings < 5")
+@query(f"WITH {_OK}, g AS (SELECT lower({_SQUEEZE('raw_job_title')}) AS title, count(*) AS n_postings FROM e WHERE {SKILLS} IS NOT NULL GROUP BY 1) SELECT * FROM g WHERE n_postings < 5 AND title <> ''")
 def rq3_skipped_titles(spark, sf_dir):
-    return profile.skipped(_ok(spark, sf_dir), TITLE, SKILLS)
+    """Of the titles as they were written, as many of those are rare."""
+    return profile.skipped(_ok(spark, sf_dir).withColumn("raw_title", T.title_key(F.col("raw_job_title"))), "raw_title", SKILLS)
 
 
 @query()
@@ -238,10 +239,13 @@ def rq3_title_profiles(spark, sf_dir):
     return profile.top_skills(profile.profiles(_ok(spark, sf_dir), TITLE, SKILLS))
 
 
-@query()
+@query(f"WITH {_P}, {_B.split(', ', 1)[1]}, top AS (SELECT skill FROM f ORDER BY c DESC, skill LIMIT 15) SELECT t.title, top.skill, coalesce(round(q.share, 4), 0) AS share FROM (SELECT DISTINCT title FROM q) t CROSS JOIN top LEFT JOIN q ON q.title = t.title AND q.skill = top.skill".replace(", p AS (SELECT job_id, extracted_skills AS s", ", p2 AS (SELECT job_id, extracted_skills AS s").replace("unnest(s) AS k FROM p)", "unnest(s) AS k FROM p2)").replace("count(*) AS n FROM p)", "count(*) AS n FROM p2)"))
 def rq3_profile_matrix(spark, sf_dir):
-    top = [r[0] for r in rq2_skill_frequency(spark, sf_dir).orderBy(F.desc("n_postings"), "skill").limit(15).collect()]
-    return profile.profile_matrix(profile.profiles(_ok(spark, sf_dir), TITLE, SKILLS), top)
+    """The heat map's cells: each title's share of the 15 most frequent skills."""
+    top = rq2_skill_frequency(spark, sf_dir).orderBy(F.desc("n_postings"), "skill").limit(15).select("skill")
+    shape = profile.profiles(_ok(spark, sf_dir), TITLE, SKILLS)
+    cells = shape.select("title").distinct().crossJoin(F.broadcast(top))
+    return cells.join(shape.select("title", "skill", F.round("share", 4).alias("share")), ["title", "skill"], "left").fillna(0.0, "share")
 
 
 # ---- cleaning -------------------------------------------------------------------------------------------------------
@@ -293,9 +297,9 @@ def clean_gates(spark, sf_dir):
     return cleaning.gate_table(_t(spark, sf_dir, "jobs_clean"))
 
 
-@query("WITH x AS (SELECT coalesce(relevance_flag, false) AS r, coalesce(duplicate_flag, false) AS d FROM jobs_clean) SELECT count(*) AS n_rows, count(*) FILTER (r AND NOT d) AS valid, count(*) FILTER (d) AS duplicates, count(*) FILTER (NOT r) AS out_of_scope, count(*) FILTER (d AND NOT r) AS both FROM x")
+@query(f"WITH x AS (SELECT *, coalesce(relevance_flag, false) AS r, coalesce(duplicate_flag, false) AS d, {_MISS('raw_job_title')} OR {_MISS('source')} OR {_MISS('source_url')} OR NOT regexp_matches({_STRIP('source_url')}, '(?i)^https?') AS bad FROM jobs_clean) SELECT (SELECT count(*) FROM jobs_raw) AS n_input, count(*) AS n_output, count(*) FILTER (bad) AS n_scrape_error, count(*) FILTER (d) AS n_duplicates, count(*) FILTER (NOT r) AS n_out_of_scope, count(*) FILTER (NOT r AND d) AS n_out_of_scope_and_duplicate, count(*) FILTER (r AND NOT d) AS n_valid, count(DISTINCT lower({_SQUEEZE('raw_job_title')})) AS unique_raw_titles, count(DISTINCT {TITLE}) AS unique_normalized_titles, count(DISTINCT normalized_location) AS unique_normalized_locations FROM x")
 def clean_counts(spark, sf_dir):
-    return cleaning.clean_counts(_t(spark, sf_dir, "jobs_clean"))
+    return cleaning.clean_counts(_t(spark, sf_dir, "jobs_clean"), _t(spark, sf_dir, "jobs_raw"))
 
 
 _FIELDS = ["raw_job_title", "company", "raw_location", "posted_date", "raw_experience", "job_description", "job_requirements", "source_job_id"]
@@ -418,11 +422,9 @@ def skills_matrix(spark, sf_dir):
     return matcher.skill_matrix(_matches(spark, sf_dir), "job_id", ids)
 
 
-@query(f"WITH {_B}, g AS (SELECT skill_group FROM skills_taxonomy GROUP BY 1 ORDER BY 1 LIMIT 4) SELECT job_id, count(*) AS n_skills, round(avg((coalesce(skill_group, '') IN (FROM g))::INT), 4) AS core_share FROM b LEFT JOIN skills_taxonomy ON canonical_name = skill GROUP BY 1")
+@query(f"WITH {_B}, g AS (SELECT unnest({list(matcher.CORE_GROUPS)}) AS skill_group) SELECT job_id, count(*) AS n_skills, round(avg((coalesce(skill_group, '') IN (FROM g))::INT), 4) AS core_share FROM b LEFT JOIN skills_taxonomy ON canonical_name = skill GROUP BY 1")
 def skills_core_share(spark, sf_dir):
-    t = _t(spark, sf_dir, "skills_taxonomy")
-    core = [r[0] for r in t.select("skill_group").distinct().orderBy("skill_group").limit(4).collect()]
-    return matcher.group_shares(basket.basket(_ok(spark, sf_dir)), t, core)
+    return matcher.group_shares(basket.basket(_ok(spark, sf_dir)), _t(spark, sf_dir, "skills_taxonomy"), list(matcher.CORE_GROUPS))
 
 
 @query(f"WITH {_B} SELECT skill_group, count(DISTINCT job_id) AS n_postings, round(count(DISTINCT job_id) / any_value(n)::DOUBLE, 4) AS share FROM b JOIN skills_taxonomy ON canonical_name = skill, n GROUP BY 1")
@@ -531,37 +533,39 @@ def quality_violations(spark, sf_dir):
 _IMM = quality.IMMUTABLE
 
 
-@query("WITH r AS (SELECT * FROM jobs_raw QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY raw_id) = 1) " + " UNION ALL ".join(f"SELECT job_id, '{f}' AS field FROM r JOIN jobs_clean c USING (job_id) WHERE r.{f} IS DISTINCT FROM c.{f}" for f in _IMM) + " UNION ALL SELECT job_id, 'missing' AS field FROM r WHERE job_id NOT IN (SELECT job_id FROM jobs_clean) UNION ALL SELECT job_id, 'extra' AS field FROM jobs_clean WHERE job_id NOT IN (SELECT job_id FROM r)")
+@query("WITH r AS (SELECT * FROM jobs_raw QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY raw_id DESC) = 1) " + " UNION ALL ".join(f"SELECT job_id, '{f}' AS field FROM r JOIN jobs_clean c USING (job_id) WHERE r.{f} IS DISTINCT FROM c.{f}" for f in _IMM) + " UNION ALL SELECT job_id, 'missing' AS field FROM r WHERE job_id NOT IN (SELECT job_id FROM jobs_clean) UNION ALL SELECT job_id, 'extra' AS field FROM jobs_clean WHERE job_id NOT IN (SELECT job_id FROM r)")
 def quality_changed_fields(spark, sf_dir):
     raw = _t(spark, sf_dir, "jobs_raw")
-    first = raw.groupBy("job_id").agg(F.min_by(F.struct(*_IMM), "raw_id").alias("x")).select("job_id", "x.*")
-    return quality.changed_fields(first, _t(spark, sf_dir, "jobs_clean"))
+    last = raw.groupBy("job_id").agg(F.max_by(F.struct(*_IMM), "raw_id").alias("x")).select("job_id", "x.*")
+    return quality.changed_fields(last, _t(spark, sf_dir, "jobs_clean"))
 
 
 def _checks_sql() -> str:
     length = f"length({_STRIP("concat_ws(' ', job_description, job_requirements)")})"
     rows = [
-        ("QC1", "ids match", "0", 0.0, "<="),
-        ("QC2", "no null list", f"(SELECT count(*) FROM e WHERE {SKILLS} IS NULL)", 0.0, "<="),
-        ("QC3", "mean skills", f"(SELECT avg(len({SKILLS})) FROM e)", 3.0, ">="),
-        ("QC4", "share without skill", f"(SELECT avg((coalesce(len({SKILLS}), 0) < 1)::INT) FROM e)", 0.1, "<="),
-        ("QC5", "share of the top skill", f"(SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(list_distinct({SKILLS})) AS k FROM e) WHERE k IS NOT NULL GROUP BY k)) / (SELECT count(*) FROM e)::DOUBLE", 0.9, "<="),
+        ("QC1", "ids match", "(SELECT count(*) FROM k WHERE job_id NOT IN (SELECT job_id FROM e)) + (SELECT count(*) FROM e WHERE job_id NOT IN (SELECT job_id FROM k))", 0.0, "<="),
+        ("QC2", "no null list", f"(SELECT count(*) FROM k WHERE {SKILLS} IS NULL)", 0.0, "<="),
+        ("QC3", "mean skills", f"(SELECT avg(len({SKILLS})) FROM k)", 3.0, ">="),
+        ("QC4", "share without skill", f"(SELECT avg((coalesce(len({SKILLS}), 0) < 1)::INT) FROM k)", 0.1, "<="),
+        ("QC5", "share of the top skill", f"(SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT unnest(list_distinct({SKILLS})) AS s FROM k) WHERE s IS NOT NULL GROUP BY s)) / (SELECT count(*) FROM k)::DOUBLE", 0.9, "<="),
         ("QC6", "residual duplicates", "(SELECT residual_share FROM d)", 0.02, "<="),
         ("QC7", "median text length", f"(SELECT quantile_cont({length}, 0.5) FROM e)", 300, ">="),
         ("QC8", "missing titles", f"(SELECT count(*) FROM e WHERE {_MISS(TITLE)})", 0.0, "<="),
     ]
-    return f"WITH {_OK}, d AS ({_SQL['dup_residual']}), v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", '{n}' AS name, ({v})::DOUBLE AS value, {float(t)}::DOUBLE AS threshold, {v} {way} {t} AS passed" for c, n, v, t, way in rows) + ") SELECT \"check\", name, round(value, 4) AS value, threshold, passed FROM v"
+    return f"WITH {_OK}, k AS (SELECT job_id, {SKILLS} FROM jobs_clean WHERE relevance_flag), d AS ({_SQL['dup_residual']}), v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"check\", '{n}' AS name, ({v})::DOUBLE AS value, {float(t)}::DOUBLE AS threshold, {v} {way} {t} AS passed" for c, n, v, t, way in rows) + ") SELECT \"check\", name, round(value, 4) AS value, threshold, passed FROM v"
 
 
 @query(_checks_sql())
 def quality_checks(spark, sf_dir):
-    return quality.checks(_t(spark, sf_dir, "jobs_clean"), _ok(spark, sf_dir).select("job_id", SKILLS))
+    """The skills are those of an earlier stage, which had not yet left out duplicates; QC1 counts them."""
+    jobs = _t(spark, sf_dir, "jobs_clean")
+    return quality.checks(jobs, jobs.filter("relevance_flag").select("job_id", SKILLS))
 
 
-@query(f"WITH {_OK} SELECT job_id, 'repeated_skill' AS fault FROM e WHERE len(list_distinct({SKILLS})) + (len({SKILLS}) > len(list_filter({SKILLS}, lambda x: x IS NOT NULL)))::INT <> len({SKILLS}) UNION ALL SELECT job_id, 'count_differs' AS fault FROM e WHERE len({SKILLS}) <> skill_count UNION ALL SELECT DISTINCT job_id, 'unknown_skill' AS fault FROM (SELECT job_id, unnest({SKILLS}) AS k FROM e) WHERE k IS NULL OR k NOT IN (SELECT canonical_name FROM skills_taxonomy)")
+@query(f"WITH {_OK} SELECT job_id, 'missing' AS fault FROM jobs_clean WHERE relevance_flag AND job_id NOT IN (SELECT job_id FROM e) UNION ALL SELECT job_id, 'repeated_skill' AS fault FROM e WHERE len(list_distinct({SKILLS})) + (len({SKILLS}) > len(list_filter({SKILLS}, lambda x: x IS NOT NULL)))::INT <> len({SKILLS}) UNION ALL SELECT job_id, 'count_differs' AS fault FROM e WHERE len({SKILLS}) <> skill_count UNION ALL SELECT DISTINCT job_id, 'unknown_skill' AS fault FROM (SELECT job_id, unnest({SKILLS}) AS k FROM e) WHERE k IS NULL OR k NOT IN (SELECT canonical_name FROM skills_taxonomy)")
 def quality_feature_faults(spark, sf_dir):
-    e = _ok(spark, sf_dir)
-    return quality.feature_faults(e, e, _t(spark, sf_dir, "skills_taxonomy").select(F.col("canonical_name").alias("skill")))
+    e, relevant = _ok(spark, sf_dir), _t(spark, sf_dir, "jobs_clean").filter("relevance_flag")
+    return quality.feature_faults(e, relevant, _t(spark, sf_dir, "skills_taxonomy").select(F.col("canonical_name").alias("skill")))
 
 
 # ---- description ----------------------------------------------------------------------------------------------------
@@ -589,12 +593,12 @@ def _ladder_sql(c: str, steps: list[tuple[str, str]], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(coalesce({c}, ''), '(?i){p}') THEN '{n}'" for n, p in steps) + f" ELSE '{otherwise}' END"
 
 
-@query(f"WITH {_FRAME} SELECT status, {_ladder_sql('raw_job_title', T.TITLE_GROUPS, 'other')} AS title_group, count(*) AS n, quantile_cont(n_chars, 0.5)::DOUBLE AS median_chars, quantile_cont(skill_count, 0.5)::DOUBLE AS median_skills, round(avg(skill_count), 3) AS mean_skills FROM h GROUP BY 1, 2")
+@query(f"WITH {_FRAME} SELECT status, {_ladder_sql('raw_job_title', T.TITLE_GROUPS, T.NO_GROUP)} AS title_group, count(*) AS n, quantile_cont(n_chars, 0.5)::DOUBLE AS median_chars, quantile_cont(skill_count, 0.5)::DOUBLE AS median_skills, round(avg(skill_count), 3) AS mean_skills FROM h GROUP BY 1, 2")
 def eda_title_groups(spark, sf_dir):
     return explore.by_group(_frame(spark, sf_dir))
 
 
-@query(f"SELECT {_ladder_sql('raw_job_title', T.SENIORITY, 'unspecified')} AS seniority, count(*) AS n FROM jobs_clean GROUP BY 1")
+@query(f"SELECT {_ladder_sql('raw_job_title', T.SENIORITY, T.NO_LEVEL)} AS seniority, count(*) AS n FROM jobs_clean GROUP BY 1")
 def eda_seniority(spark, sf_dir):
     return explore.by_seniority(_frame(spark, sf_dir))
 
@@ -696,16 +700,40 @@ def dup_near_text_alone(spark, sf_dir):
     return duplicates.near(_t(spark, sf_dir, "jobs_clean"), text_alone=True).select("a", "b", F.round("cosine", 6).alias("cosine"), "alone")
 
 
-@query()
+_RUNS = r"list_distinct(list_transform(range(1, greatest(len(w) - 4, 1)::BIGINT + 1), lambda i: array_to_string(w[i:i+4], ' ')))"
+_WORDS = r"list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(t, ''), '[^\p{L}\p{N}_]+', ' ', 'g')), ' '), lambda z: z <> '')"
+
+
+def _like_sql(texts: str, least: float) -> str:
+    """j (a, b): texts of the table texts (k, t), a < b, whose runs of five words are `least` alike."""
+    return f"""x AS (SELECT k, {_RUNS} AS s FROM (SELECT k, {_WORDS} AS w FROM {texts}) WHERE len(w) > 0), h AS (SELECT k, len(s) AS n, unnest(s) AS h FROM x),
+    j AS (SELECT a.k AS a, b.k AS b FROM h a JOIN h b ON a.h = b.h AND a.k < b.k GROUP BY 1, 2, a.n, b.n HAVING count(*) >= {least} * (a.n + b.n - count(*)))"""
+
+
+_KNOWN = "known AS (SELECT job_id, source_url, source_job_id, job_description FROM gold_jobs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY crawl_timestamp, annotated_by) = 1)"
+
+
+@query(
+    f"""WITH {_KNOWN}, y AS (SELECT '0:' || job_id AS k, job_description AS t FROM known UNION ALL SELECT '1:' || job_id AS k, job_description AS t FROM jobs_clean), {_like_sql("y", 0.5)}
+    SELECT job_id, 'id' AS reason FROM jobs_clean WHERE NOT {_MISS("job_id")} AND job_id IN (SELECT job_id FROM known)
+    UNION ALL SELECT job_id, 'address' AS reason FROM jobs_clean WHERE NOT {_MISS("source_url")} AND source_url IN (SELECT source_url FROM known)
+    UNION ALL SELECT job_id, 'source id' AS reason FROM jobs_clean WHERE NOT {_MISS("source_job_id")} AND source_job_id IN (SELECT source_job_id FROM known)
+    UNION ALL SELECT DISTINCT substr(b, 3) AS job_id, 'text' AS reason FROM j WHERE b LIKE '1:%'"""
+)
 def gold_independence(spark, sf_dir):
     gold = _t(spark, sf_dir, "gold_jobs").dropDuplicates(["job_id"])
     return duplicates.not_independent(_t(spark, sf_dir, "jobs_clean"), gold, "job_id", "source_url", "source_job_id", "job_description")
 
 
-@query()
+@query(
+    f"""WITH {_KNOWN}, fit AS (SELECT *, '1:' || lpad(length(job_description)::VARCHAR, 9, '0') || ':' || job_id AS k FROM jobs_clean WHERE regexp_matches(raw_job_title, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(data|analyst|analytics)($|[^\\p{{L}}\\p{{N}}_])') AND length(job_description) >= 150 AND job_id NOT IN (SELECT job_id FROM known) AND (source_url IS NULL OR source_url NOT IN (SELECT source_url FROM known WHERE source_url IS NOT NULL))),
+    y AS (SELECT '0:' || job_id AS k, job_description AS t FROM known UNION ALL SELECT k, job_description AS t FROM fit), {_like_sql("y", 0.5)},
+    n AS (SELECT b, list(a) AS n FROM j GROUP BY 1), f AS (SELECT list_reduce(list(struct_pack(k := b, n := n, gone := []::VARCHAR[]) ORDER BY b), lambda x, y: struct_pack(k := y.k, n := y.n, gone := CASE WHEN len(list_filter(y.n, lambda z: NOT list_contains(x.gone, z))) > 0 THEN list_append(x.gone, y.k) ELSE x.gone END), struct_pack(k := '', n := []::VARCHAR[], gone := []::VARCHAR[])) AS s FROM n)
+    SELECT job_id, raw_job_title FROM fit WHERE k NOT IN (SELECT unnest(s.gone) FROM f) ORDER BY k LIMIT 50"""
+)
 def gold_candidates(spark, sf_dir):
     known = _t(spark, sf_dir, "gold_jobs").select("job_id", "source_url", "job_description").dropDuplicates(["job_id"])
-    return agreement.gold_candidates(_t(spark, sf_dir, "jobs_clean"), known, r"(?iu)\b(data|analyst|analytics)\b").select("job_id", "raw_job_title")
+    return agreement.gold_candidates(_t(spark, sf_dir, "jobs_clean"), known, r"(?iuU)\b(data|analyst|analytics)\b").select("job_id", "raw_job_title")
 
 
 @query("WITH s AS (SELECT job_id FROM jobs_clean ORDER BY sha256('sample-v1:' || job_id), job_id LIMIT 300), r AS (SELECT job_id, row_number() OVER (ORDER BY sha256('order-sample-v1:' || job_id), job_id) AS r FROM s) SELECT job_id, CASE WHEN r <= 60 THEN 'K' ELSE 'B' || ceil((r - 60) / 48.0)::INT END AS batch FROM r")

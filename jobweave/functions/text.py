@@ -9,17 +9,28 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\p{Z}]"
 # Letters that only accented Vietnamese has, for telling it from English.
 VIETNAMESE = "ăâđêôơưáàảãạắằẳẵặấầẩẫậéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ"
-# Seniority words and title groups; the first that fits decides. Patterns are for Java and RE2 alike.
-_FROM, _TO = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
-SENIORITY = [
-    ("intern", _FROM + r"(intern|internship|thực tập)"),
-    ("fresher", _FROM + r"(fresher|mới tốt nghiệp)"),
-    ("junior", _FROM + r"(junior|jr)" + _TO),
-    ("lead", _FROM + r"(lead|principal|head|manager|trưởng)" + _TO),
-    ("senior", _FROM + r"(senior|sr)" + _TO),
-    ("middle", _FROM + r"(middle|mid)" + _TO),
+# Levels and groups of titles with their words; the first that fits decides. < and > stand for a word's bounds.
+_LEVELS = [
+    ("Intern / Thực tập", "<intern(ship)?>|thực tập"),
+    ("Fresher / Junior", "<fresher>|<junior>|<jr>|<entry>"),
+    ("Middle", "<mid(dle)?>"),
+    ("Senior", "<senior>|<sr>"),
+    ("Lead / Principal", "<lead>|<principal>|<staff>|<trưởng nhóm>"),
+    ("Manager / Head", "<manager>|<head>|<director>|<chief>|<cto>|<trưởng phòng>|<giám đốc>"),
 ]
-TITLE_GROUPS = [("data", _FROM + r"(data|dữ liệu|analytics|database)" + _TO), ("ai", _FROM + r"(machine learning|model|vision|ai|học máy|llm|speech)" + _TO)]
+_GROUPS = [
+    ("Chức danh Data/AI", r"data|dữ liệu|<ai>|a\.i\.|<ml>|machine learning|học máy|mlops|llm|genai|generative|<bi>|business intelligence|analytics|scientist|<nlp>|computer vision|deep learning|trí tuệ nhân tạo|big data|thống kê|statistic"),
+    ("Business Analyst", "business analyst|<ba>|phân tích nghiệp vụ|nghiệp vụ"),
+]
+NO_LEVEL, NO_GROUP = "Không ghi cấp bậc", "IT chung và khác"
+
+
+def _bounded(steps: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The patterns with Unicode word bounds that Java and RE2 both read."""
+    return [(n, p.replace("<", r"(?:^|[^\p{L}\p{N}_])").replace(">", r"(?:$|[^\p{L}\p{N}_])")) for n, p in steps]
+
+
+SENIORITY, TITLE_GROUPS = _bounded(_LEVELS), _bounded(_GROUPS)
 
 
 def strip(c: Column) -> Column:
@@ -90,11 +101,11 @@ def ladder(c: Column, steps: list[tuple[str, str]], otherwise: str) -> Column:
 
 
 def seniority_of(c: Column) -> Column:
-    return ladder(F.coalesce(c, F.lit("")), SENIORITY, "unspecified")
+    return ladder(F.coalesce(c, F.lit("")), SENIORITY, NO_LEVEL)
 
 
 def title_group_of(c: Column) -> Column:
-    return ladder(F.coalesce(c, F.lit("")), TITLE_GROUPS, "other")
+    return ladder(F.coalesce(c, F.lit("")), TITLE_GROUPS, NO_GROUP)
 
 
 def merge_flags(*flags: Column) -> Column:

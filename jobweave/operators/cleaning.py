@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.functions.text import flags, is_missing, job_text, merge_flags, strip
+from jobweave.functions.text import flags, is_missing, job_text, merge_flags, squeeze, strip
 from jobweave.sources.schema import ContractError
 
 # Lengths and shares from which the checks speak.
@@ -95,10 +95,26 @@ def gate_table(df: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
-def clean_counts(df: DataFrame) -> DataFrame:
-    """One row: rows, valid, duplicates, out of scope and both; rows = valid + duplicates + out of scope - both."""
+def clean_counts(df: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """One row of a cleaned table's figures; n_output = n_valid + n_duplicates + n_out_of_scope - n_out_of_scope_and_duplicate. raw: the table it came from, if not of the same rows."""
     rel, dup = F.coalesce("relevance_flag", F.lit(False)), F.coalesce("duplicate_flag", F.lit(False))
-    return df.agg(F.count("*").alias("n_rows"), F.count_if(rel & ~dup).alias("valid"), F.count_if(dup).alias("duplicates"), F.count_if(~rel).alias("out_of_scope"), F.count_if(dup & ~rel).alias("both"))
+    one = df.agg(
+        F.count("*").alias("n_output"),
+        F.count_if(fatal(F.col("raw_job_title"), F.col("source"), F.col("source_url")).isNotNull()).alias("n_scrape_error"),
+        F.count_if(dup).alias("n_duplicates"),
+        F.count_if(~rel).alias("n_out_of_scope"),
+        F.count_if(dup & ~rel).alias("n_out_of_scope_and_duplicate"),
+        F.count_if(rel & ~dup).alias("n_valid"),
+        F.count_distinct(F.lower(squeeze(F.col("raw_job_title")))).alias("unique_raw_titles"),
+        F.count_distinct("normalized_job_title").alias("unique_normalized_titles"),
+        F.count_distinct("normalized_location").alias("unique_normalized_locations"),
+    )
+    return (raw if raw is not None else df).agg(F.count("*").alias("n_input")).crossJoin(F.broadcast(one))  # one row each
+
+
+def fatal_ids(df: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, fault) of the unusable records."""
+    return df.select(key, fatal(F.col("raw_job_title"), F.col("source"), F.col("source_url")).alias("fault")).filter("fault IS NOT NULL")
 
 
 def missing_by_field(df: DataFrame, fields: list[str]) -> DataFrame:

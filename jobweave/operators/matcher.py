@@ -22,6 +22,11 @@ MOST_TERMS = 500_000
 CASED = frozenset({"C", "R", "Go"})
 NOT_AFTER = {"C": "#+", "R": "&"}
 CONTEXT = {"CV": ("computer vision", "opencv", "image processing", "image recognition", "object detection", "video processing", "vision model", "visual recognition")}
+#: Groups of skills at the core of data and AI; the others are software, infrastructure, security and general tools.
+CORE_GROUPS = (
+    "Data Analysis & BI", "Data Engineering & Architecture", "Machine Learning, Statistics & Optimization", "Generative AI & Agentic Systems",
+    "NLP, Vision & Multimodal AI", "Distributed, Streaming & Big Data", "Data Quality, Testing & Observability", "Applied Analytics & Business Platforms",
+)
 KINDS = {"canonical": 1, "alias": 2, "abbreviation": 3}
 
 
@@ -82,7 +87,7 @@ class Matcher:
                     continue
                 if found in NOT_AFTER and whole[b : b + 1] and whole[b] in NOT_AFTER[found]:
                     continue
-                if kind == "abbreviation" and term in CONTEXT and not any(c in joined for c in CONTEXT[term]):
+                if kind == "abbreviation" and term in CONTEXT and not any(_stands(c, joined) for c in CONTEXT[term]):
                     continue
                 out.append((skill, name, kind, found, a, b))
         return out
@@ -99,6 +104,17 @@ class Matcher:
         return sorted(first.values(), key=lambda c: self.order[c[0]])
 
 
+def _stands(phrase: str, text: str) -> bool:
+    """Whether the phrase stands in the text between word bounds."""
+    at = text.find(phrase)
+    while at >= 0:
+        end = at + len(phrase)
+        if not (at and _word(text[at - 1])) and not (end < len(text) and _word(text[end])):
+            return True
+        at = text.find(phrase, at + 1)
+    return False
+
+
 def _word(c: str) -> bool:
     return c.isalnum() or c == "_"
 
@@ -107,8 +123,8 @@ MATCH = "struct<skill_id: string, canonical_name: string, kind: string, term: st
 
 
 def extract(df: DataFrame, key: str, text: str, taxonomy: DataFrame) -> DataFrame:
-    """(key, matches): the skills of each text with their places; none for null and empty texts."""
-    rows = [r.asDict() for r in taxonomy.select("skill_id", "canonical_name", "abbreviation", "aliases").orderBy("skill_id").limit(MOST_TERMS + 1).collect()]
+    """(key, matches): the skills of each text with their places, in the order of the taxonomy's file; none for null and empty texts."""
+    rows = [r.asDict() for r in taxonomy.select("skill_id", "canonical_name", "abbreviation", "aliases").limit(MOST_TERMS + 1).collect()]
     kind = dict(df.dtypes)[key]
     names = ("skill_id", "canonical_name", "kind", "term", "start", "end")
     item = pa.list_(pa.struct([*[(n, pa.string()) for n in names[:4]], ("start", pa.int32()), ("end", pa.int32())]))

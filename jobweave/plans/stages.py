@@ -56,7 +56,8 @@ def clean(ctx: StageContext) -> dict:
     df.select(*FIELDS).write.parquet(_file(ctx.target / "clean.parquet"))
     df.select("job_id", "quality_flags").write.json(_file(ctx.target / "quality_flags.jsonl"))
     write_json(ctx.target / "gates.json", gates | cleaning.clean_counts(df).first().asDict())
-    return _done(ctx, "clean.parquet", "quality_flags.jsonl", "gates.json")
+    write_csv(cleaning.fatal_ids(df), ctx.target / "scrape_errors.csv")
+    return _done(ctx, "clean.parquet", "quality_flags.jsonl", "gates.json", "scrape_errors.csv")
 
 
 def _clean(ctx: StageContext) -> DataFrame:

@@ -101,7 +101,7 @@ def test_locations_and_gates(spark):
     assert cleaning.flagged(full, rules).count() == 10
     with pytest.raises(ContractError):
         cleaning.gates(spark.createDataFrame([posting(), posting(job_description=None, job_requirements=" ")], POSTING))
-    assert cleaning.clean_counts(full).first()["out_of_scope"] == 10
+    assert cleaning.clean_counts(full).first()["n_out_of_scope"] == 10
 
 
 def test_titles(spark):
