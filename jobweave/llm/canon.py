@@ -195,21 +195,19 @@ def map_to_canon(df: DataFrame, key: str, value: str, reference: DataFrame, ref_
     other columns are not read. Names beyond NAMES_AT_ONCE are taken in blocks of entries.
     """
     kind = dict(df.dtypes)[key]
-    entries = reference.select(F.col(ref_key).cast("long"), F.col(name), F.col(aliases) if aliases else F.lit(None)).orderBy(ref_key)
-    blocks, size = [[]], 0
-    for ref, n, more in entries.toLocalIterator():
-        names = [x for x in [n, *(more or "").split(";")] if x and x.strip()]
-        if size + len(names) > NAMES_AT_ONCE and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((ref, names))
-        size += len(names)
+    spread_names = F.filter(F.concat(F.array(F.col(name)), F.split(F.coalesce(F.col(aliases), F.lit("")), ";") if aliases else F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    entries = reference.select(F.col(ref_key).cast("long").alias("r"), spread_names.alias("n"))
+    # The size is checked first; each block is a broadcast of its own, fetched by the tasks that need it.
+    n_blocks = max(1, -(-int(entries.agg(F.sum(F.size("n"))).first()[0] or 0) // NAMES_AT_ONCE))
+    part = lambda i: entries if n_blocks == 1 else entries.filter(F.pmod(F.xxhash64("r"), F.lit(n_blocks)) == i)
+    sc = df.sparkSession.sparkContext
+    blocks = [sc.broadcast([(r["r"], list(r["n"])) for r in part(i).orderBy("r").collect()]) for i in range(n_blocks)]
     rows = df.select(df[key].alias("k"), F.coalesce(df[value], F.lit("")).alias("v"))
     if not blanks:
         rows = rows.filter(F.col("v").rlike(r"[^\s\p{Z}]"))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, done = Matcher(blocks[0]), {}
+        matcher, done = Matcher(blocks[0].value), {}
         for b in batches:
             take, refs = [], []
             for i, v in enumerate(b.column(1).to_pylist()):
@@ -228,7 +226,7 @@ def map_to_canon(df: DataFrame, key: str, value: str, reference: DataFrame, ref_
     for some in blocks:
 
         def part(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(some)
+            matcher = Matcher(some.value)
             for b in batches:
                 got = [(v, *x, r) for v in b.column(0).to_pylist() for x in matcher.stretches(v, title) for r in sorted(matcher.of[x[4]])]
                 yield pa.RecordBatch.from_pylist([dict(zip(("v", "score", "i", "j", "d", "n", "r"), x)) for x in got], pa.schema([("v", pa.string()), ("score", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("d", pa.int32()), ("n", pa.string()), ("r", pa.int64())]))

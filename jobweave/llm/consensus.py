@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from jobweave.llm.common import cut
 from jobweave.llm.stable_sample import plain_id
+from jobweave.plans.staging import dropped
 
 #: Where the types start: the chance to give a label that is due, and one that isn't.
 TYPES = ((0.95, 0.02), (0.8, 0.1), (0.95, 0.5), (0.5, 0.1), (0.5, 0.4))
-ROUNDS = 6
+#: Updates end when no expected number of labels changes by more than this share of all; MOST updates without that are an error.
+SETTLED, MOST = 1e-4, 500
 PULL = 10.0  # labels' worth of a type's matrix in each annotator's own
 
 
@@ -38,13 +40,14 @@ def plain_name(c: Column) -> Column:
 class Consensus:
     """The fitted model: `items` (posting, label, p, votes, given), `annotators`, `agreement`."""
 
-    def __init__(self, df: DataFrame, item: str, annotator: str, labels: Column, rounds: int = ROUNDS, types: tuple = TYPES, pull: float = PULL, unnamed: bool = False):
+    def __init__(self, df: DataFrame, item: str, annotator: str, labels: Column, settled: float = SETTLED, types: tuple = TYPES, pull: float = PULL, unnamed: bool = False):
         """df: a row per submission, `labels` the array of labels given in it.
 
         A submission without item or annotator is left out; a null array gives no label but withholds all; null labels and repeats
         count not at all; an annotator who submits twice gives what stands in either. Labels are those that anybody gives;
         each that an item was given by anybody is a question to all of its annotators; with `unnamed`, so is every other label, which
         suits false labels given at random rather than for something in the item. An empty table gives empty results.
+        Updates go on until they are settled; `rounds` tells how many that took.
         """
         one = df.select(plain_id(df[item]).alias("j"), plain_name(df[annotator]).alias("a"), F.filter(F.coalesce(labels, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("s")).dropna()
         one = one.groupBy("j", "a").agg(F.array_distinct(F.flatten(F.collect_set("s"))).alias("s"))
@@ -64,14 +67,24 @@ class Consensus:
         # Types' matrices as numbers of labels: [type, 0: due or 1: not due, 0: given or 1: withheld].
         start = 50 * np.array([[[g, 1 - g], [b, 1 - b]] for g, b in types])
         strength, mix = start, np.log(np.full(len(types), 1 / len(types)))
-        for _ in range(rounds):
-            stats = cut(self._stats(prior, params))
+        before, self.rounds, written = None, 0, []
+        while True:
+            if self.rounds == MOST:
+                raise RuntimeError(f"not settled after {MOST} updates")
+            self.rounds += 1
+            written.append(stats := cut(self._stats(prior, params)))
             part = stats.mapInPandas(_summed(strength, mix), ", ".join(f"s{i} double" for i in range(5 * len(types) + 2)))
             sums = np.array([x or 0.0 for x in part.agg(*[F.sum(c).alias(c) for c in part.columns]).first()])
             prior = float(np.log(sums[-2] + 1) - np.log(sums[-1] + 1))
             held = sums[: len(types)] + 1
             strength, mix = start + sums[len(types) : -2].reshape(-1, 2, 2), digamma(held) - digamma(held.sum(keepdims=True))
             params = stats.filter("a <> ''").mapInPandas(_own(strength, mix, pull), "a string, type int, gives_due double, withholds_undue double, g1 double, h1 double, g0 double, h0 double")
+            if len(written) > 1:  # the one before is not read any more
+                dropped(written.pop(0))
+            labels_ = sums[len(types) : -2].sum()
+            if before is not None and np.abs(sums - before).max() <= settled * max(1.0, labels_):
+                break
+            before = sums
         self.prior, self.params = prior, params
 
     def _scored(self, prior: float, params: DataFrame | None) -> DataFrame:

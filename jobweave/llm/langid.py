@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -314,7 +315,10 @@ def labelled(net: Network, texts: list[str | None]) -> list[tuple[str | None, fl
 
 def meanings(labels: DataFrame, label: str) -> DataFrame:
     """(label, declared) of the distinct labels."""
-    return labels.select(label).distinct().withColumn("declared", F.udf(declared, "string")(F.col(label)))
+    def said(s: pd.Series) -> pd.Series:
+        return s.map(declared, na_action=None)
+
+    return labels.select(label).distinct().withColumn("declared", F.pandas_udf(said, "string")(F.col(label)))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_language: int = PER_LANGUAGE) -> bytes:

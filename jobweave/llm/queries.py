@@ -130,7 +130,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values asked for, and those that have no answer or both entries and 'none'."""
     a = p7_found(spark, sf_dir).groupBy("job_id", "field").agg(F.min("ref_id").alias("low"), F.max("ref_id").alias("high"))
-    return a.groupBy("field").agg(F.count("*").alias("n"), F.count_if("low = 0 AND high > 0").alias("faults"))
+    return a.groupBy("field").agg(F.count("*").alias("n"), F.count_if((F.col("low") == 0) & (F.col("high") > 0)).alias("faults"))
 
 
 def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
