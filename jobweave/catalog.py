@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobweave.functions import text as T
 from jobweave.operators import agreement, basket, cleaning, cluster, concentration, duplicates, explore, graph, matcher, pages, profile, quality, titles
-from jobweave.plans.staging import small
+from jobweave.plans.staging import settle, small
 from jobweave.sources import readers
 
 TITLE, SKILLS = "normalized_job_title", "extracted_skills"
@@ -422,6 +422,16 @@ def skills_matrix(spark, sf_dir):
     return matcher.skill_matrix(_matches(spark, sf_dir), "job_id", ids)
 
 
+@query()
+def skills_evidence(spark, sf_dir):
+    return matcher.evidence(_matches(spark, sf_dir), "job_id")
+
+
+@query()
+def skills_recount_differs(spark, sf_dir):
+    return matcher.recount_differs(matcher.recount(_matches(spark, sf_dir)), _t(spark, sf_dir, "skills_taxonomy"))
+
+
 @query(f"WITH {_B}, g AS (SELECT unnest({list(matcher.CORE_GROUPS)}) AS skill_group) SELECT job_id, count(*) AS n_skills, round(avg((coalesce(skill_group, '') IN (FROM g))::INT), 4) AS core_share FROM b LEFT JOIN skills_taxonomy ON canonical_name = skill GROUP BY 1")
 def skills_core_share(spark, sf_dir):
     return matcher.group_shares(basket.basket(_ok(spark, sf_dir)), _t(spark, sf_dir, "skills_taxonomy"), list(matcher.CORE_GROUPS))
@@ -468,6 +478,59 @@ def gold_merged(spark, sf_dir):
     return agreement.merge_labels(_long(spark, sf_dir))
 
 
+# v (item, label): labels that more than half of the item's people gave; o: everybody's labels against them.
+_MAJORITY = _G + ", n AS (SELECT item, count(DISTINCT person) AS n FROM w GROUP BY 1), v AS (SELECT item, label FROM g JOIN n USING (item) GROUP BY 1, 2 HAVING count(*) * 2 > any_value(n)), s AS (SELECT DISTINCT item, label FROM g), o AS (SELECT coalesce(s.item, v.item) AS item, coalesce(s.label, v.label) AS label, CASE WHEN v.item IS NULL THEN 'fp' WHEN s.item IS NULL THEN 'fn' ELSE 'tp' END AS outcome FROM s FULL JOIN v ON v.item = s.item AND v.label = s.label)"
+_SPLIT = "CASE WHEN ('0x' || substr(sha256('gold-split-v1:' || item), 1, 8))::BIGINT % 2 = 0 THEN 'holdout' ELSE 'tune' END"
+
+
+def _evaluation(spark, sf_dir) -> dict[str, DataFrame]:
+    """The labels that anybody gave, against those of the majority."""
+    long = _long(spark, sf_dir)
+    n = long.groupBy("item").agg(F.count_distinct("person").alias("n"))
+    given = long.filter("label IS NOT NULL")
+    gold = given.groupBy("item", "label").agg(F.count("*").alias("c")).join(n, "item").filter("c * 2 > n")
+    return agreement.evaluation(gold.select(F.col("item").alias("id"), "label"), given.select(F.col("item").alias("id"), "label"), long.select(F.col("item").alias("id")))
+
+
+@query(
+    f"WITH {_MAJORITY}, p AS (SELECT item, 'all' AS subset FROM n UNION ALL SELECT item, {_SPLIT} AS subset FROM n), c AS (SELECT subset, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn, count(DISTINCT item) FILTER (outcome <> 'tp') AS n_errors FROM p LEFT JOIN o USING (item) GROUP BY 1), k AS (SELECT subset, count(*) AS n_items FROM p GROUP BY 1)"
+    " SELECT subset, n_items, n_errors, tp, fp, fn, round(tp / (tp + fp)::DOUBLE, 4) AS precision, round(tp / (tp + fn)::DOUBLE, 4) AS recall, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 4) AS f1 FROM c JOIN k USING (subset)"
+)
+def gold_metrics(spark, sf_dir):
+    return _evaluation(spark, sf_dir)["metrics"]
+
+
+@query(f"WITH {_MAJORITY} SELECT item AS id, coalesce(string_agg(label, '|' ORDER BY label) FILTER (outcome = 'fp'), '') AS false_positives, coalesce(string_agg(label, '|' ORDER BY label) FILTER (outcome = 'fn'), '') AS false_negatives FROM o WHERE outcome <> 'tp' GROUP BY 1")
+def gold_errors(spark, sf_dir):
+    return _evaluation(spark, sf_dir)["errors"]
+
+
+def _choices(spark, sf_dir) -> DataFrame:
+    """(item, person, label): the group of skills that each person named most often in a posting."""
+    gold = _t(spark, sf_dir, "gold_jobs").select(F.col("job_id").alias("item"), F.lower(T.strip(F.col("annotated_by"))).alias("person"), F.explode("annotations.skill_id").alias("skill_id"))
+    groups = _t(spark, sf_dir, "skills_taxonomy").select("skill_id", "skill_group")
+    n = gold.distinct().join(groups, "skill_id").groupBy("item", "person", "skill_group").agg(F.count("*").alias("c"))
+    return n.groupBy("item", "person").agg(F.min(F.struct(-F.col("c"), "skill_group")).alias("x")).select("item", "person", F.col("x.skill_group").alias("label"))
+
+
+_CHOICE = f"{_G}, q AS (SELECT item, person, skill_group, count(*) AS c FROM g JOIN skills_taxonomy t ON t.skill_id = g.label WHERE person IS NOT NULL GROUP BY 1, 2, 3), c AS (SELECT item, person, skill_group AS label FROM q QUALIFY row_number() OVER (PARTITION BY item, person ORDER BY c DESC, skill_group) = 1)"
+
+
+@query(f"WITH {_CHOICE} SELECT item, CASE WHEN count(DISTINCT label) = 1 THEN min(label) END AS label, CASE WHEN count(DISTINCT label) > 1 THEN 'conflict' WHEN count(*) = 1 THEN 'single' ELSE 'agreed' END AS status, count(*) AS n_people, string_agg(person, ';' ORDER BY person) AS people, CASE WHEN count(DISTINCT label) > 1 THEN string_agg(person || ': ' || label, ' | ' ORDER BY person) END AS choices FROM c GROUP BY 1")
+def role_merged(spark, sf_dir):
+    return agreement.merge_choices(_choices(spark, sf_dir))
+
+
+@query(f"WITH {_CHOICE}, b AS (SELECT x.person AS a, y.person AS b, x.label AS la, y.label AS lb FROM c x JOIN c y ON x.item = y.item AND x.person < y.person), n AS (SELECT a, b, count(*) AS shared, avg((la = lb)::INT) AS po FROM b GROUP BY 1, 2), l AS (SELECT a, b, la AS l, count(*) AS p FROM b GROUP BY 1, 2, 3), r AS (SELECT a, b, lb AS l, count(*) AS q FROM b GROUP BY 1, 2, 3), e AS (SELECT a, b, sum(p * q) AS s FROM l JOIN r USING (a, b, l) GROUP BY 1, 2), z AS (SELECT a, b, shared, po, coalesce(s, 0) / (shared * shared)::DOUBLE AS pe FROM n LEFT JOIN e USING (a, b)) SELECT a, b, shared, round(po, 4) AS agreement, round(CASE WHEN pe >= 1 THEN 1 ELSE (po - pe) / (1 - pe) END, 4) AS kappa FROM z")
+def role_kappa(spark, sf_dir):
+    return agreement.choice_kappa(_choices(spark, sf_dir))
+
+
+@query(f"WITH {_CHOICE} SELECT least(x.label, y.label) AS label_a, greatest(x.label, y.label) AS label_b, count(*) AS n FROM c x JOIN c y ON x.item = y.item AND x.person < y.person AND x.label <> y.label GROUP BY 1, 2 ORDER BY n DESC, label_a, label_b LIMIT 10")
+def role_confused(spark, sf_dir):
+    return agreement.confused(_choices(spark, sf_dir))
+
+
 @query("WITH a AS (SELECT job_id, text AS t, u.x AS x FROM gold_jobs, unnest(annotations) AS u(x)), b AS (SELECT job_id, x.skill_id AS skill_id, CASE WHEN x.start < 0 OR x.end > length(t) OR x.end <= x.start THEN 'outside' WHEN array_to_string(list_slice(string_split(t, ''), x.start + 1, x.end), '') <> x.evidence THEN 'differs' END AS fault FROM a) SELECT * FROM b WHERE fault IS NOT NULL")
 def gold_span_faults(spark, sf_dir):
     return agreement.span_faults(_t(spark, sf_dir, "gold_jobs"), "job_id", "text", "annotations")
@@ -627,13 +690,23 @@ def pages_rendered(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
-    return cluster.vectors(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    """The 0/1 vectors of the eligible postings over the skills that stand in three of them at least."""
+    e = _ok(spark, sf_dir).filter(F.col(SKILLS).isNotNull()).select("job_id", SKILLS)
+    words = [r[0] for r in small(basket.at_least(basket.basket(e), 3).select("skill").distinct().orderBy("skill"))]
+    return settle(cluster.skill_vectors(e, "job_id", SKILLS, words))
 
 
 @query()
 def rq4_assignment(spark, sf_dir):
     data = _vectors(spark, sf_dir)
-    return cluster.fit(data, 8).transform(data).select(F.col("id").alias("vec_id"), F.col("prediction").alias("cluster"))
+    return cluster.fit(data, 8).transform(data).select(F.col("id").alias("job_id"), F.col("prediction").alias("cluster"))
+
+
+@query()
+def rq4_title_crosstab(spark, sf_dir):
+    """Titles against clusters, which were made without them."""
+    rows = rq4_assignment(spark, sf_dir).join(_ok(spark, sf_dir).select("job_id", TITLE), "job_id")
+    return explore.crosstab(rows, "cluster", TITLE)
 
 
 @query()

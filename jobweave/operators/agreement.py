@@ -30,6 +30,68 @@ def per_label(outcomes: DataFrame) -> DataFrame:
     return scores(outcomes.groupBy("label").agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("tp", "fp", "fn")]))
 
 
+def errors(outcomes: DataFrame) -> DataFrame:
+    """(id, false_positives, false_negatives) of the items with any, sorted labels joined by '|'."""
+    some = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("outcome") == kind, F.col("label")))), "|")
+    return outcomes.filter("outcome <> 'tp'").groupBy("id").agg(some("fp").alias("false_positives"), some("fn").alias("false_negatives"))
+
+
+def evaluation(gold: DataFrame, predicted: DataFrame, ids: DataFrame, salt: str = "gold-split-v1:") -> dict[str, DataFrame]:
+    """Everything about predicted labels against gold ones, long tables (id, label), of the items in ids (id).
+
+    metrics: a row for all items, one for each part of `split_by_hash`, with n_items, n_errors and the scores; per_label; errors; predictions (id, labels).
+    Labels of other items are an error: both sides must be about the same items.
+    """
+    ids = ids.select("id").distinct()
+    for name, side in (("gold", gold), ("predicted", predicted)):
+        if not side.select("id").distinct().join(ids, "id", "left_anti").isEmpty():
+            raise ValueError(f"{name} has labels of other items")
+    outcomes = compare_labels(gold, predicted)
+    wrong = errors(outcomes)
+    parts = ids.select("id", F.explode(F.array(F.lit("all"), split_by_hash(F.col("id"), salt))).alias("subset"))
+    n = parts.join(wrong.select("id", F.lit(1).alias("e")), "id", "left").groupBy("subset").agg(F.count("*").alias("n_items"), F.count("e").alias("n_errors"))
+    counts = parts.join(outcomes, "id").groupBy("subset").agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("tp", "fp", "fn")])
+    metrics = scores(n.join(counts, "subset", "left").fillna(0, ["tp", "fp", "fn"]))
+    listed = ids.join(predicted.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("label")), "|").alias("labels")), "id", "left").fillna("", "labels")
+    return {"metrics": metrics, "per_label": per_label(outcomes), "errors": wrong, "predictions": listed}
+
+
+def merge_choices(long: DataFrame, adjudicated: DataFrame | None = None) -> DataFrame:
+    """(item, label, status, n_people, people, choices) of people's single choices (item, person, label).
+
+    status: adjudicated where a table (item, label) decides, else agreed, single (one person) or conflict, which has no label. A person who chose twice counts with
+    the last label by code point. choices lists what each said, for conflicts.
+    """
+    one = long.filter("label IS NOT NULL AND person IS NOT NULL").groupBy("item", "person").agg(F.max("label").alias("label"))
+    per = one.groupBy("item").agg(F.count("*").alias("n_people"), F.count_distinct("label").alias("n_labels"), F.min("label").alias("only"), F.array_sort(F.collect_list(F.struct("person", "label"))).alias("said"))
+    decided = adjudicated.select("item", F.col("label").alias("decided")) if adjudicated is not None else per.select("item", F.lit(None).cast("string").alias("decided")).limit(0)
+    per = per.join(decided, "item", "left")
+    status = F.when(F.col("decided").isNotNull(), "adjudicated").when(F.col("n_labels") > 1, "conflict").when(F.col("n_people") == 1, "single").otherwise("agreed")
+    choices = F.when(status == "conflict", F.array_join(F.transform("said", lambda x: F.concat(x["person"], F.lit(": "), x["label"])), " | "))
+    return per.select("item", F.coalesce("decided", F.when(F.col("n_labels") == 1, F.col("only"))).alias("label"), status.alias("status"), "n_people", F.array_join(F.transform("said", lambda x: x["person"]), ";").alias("people"), choices.alias("choices"))
+
+
+def choice_kappa(long: DataFrame) -> DataFrame:
+    """(a, b, shared, agreement, kappa) of all pairs of people, over the items that both chose a label for."""
+    one = long.filter("label IS NOT NULL AND person IS NOT NULL").groupBy("item", "person").agg(F.max("label").alias("label"))
+    x, y = (one.select("item", F.col("person").alias(p), F.col("label").alias(f"l{p}")) for p in ("a", "b"))
+    both = x.join(y, "item").filter("a < b")
+    base = both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.avg((F.col("la") == F.col("lb")).cast("double")).alias("po"))
+    left = both.groupBy("a", "b", F.col("la").alias("l")).agg(F.count("*").alias("p"))
+    right = both.groupBy("a", "b", F.col("lb").alias("l")).agg(F.count("*").alias("q"))
+    chance = left.join(right, ["a", "b", "l"]).groupBy("a", "b").agg(F.sum(F.col("p").cast("double") * F.col("q")).alias("s"))
+    pe = F.coalesce("s", F.lit(0.0)) / (F.col("shared").cast("double") * F.col("shared"))
+    return base.join(chance, ["a", "b"], "left").select("a", "b", "shared", F.round("po", 4).alias("agreement"), F.round(F.when(pe >= 1, 1.0).otherwise((F.col("po") - pe) / (1 - pe)), 4).alias("kappa"))
+
+
+def confused(long: DataFrame, n: int = 10) -> DataFrame:
+    """(label_a, label_b, n): pairs of different labels that two people chose for one item, the n most frequent."""
+    one = long.filter("label IS NOT NULL AND person IS NOT NULL").groupBy("item", "person").agg(F.max("label").alias("label"))
+    x, y = (one.select("item", F.col("person").alias(f"p{p}"), F.col("label").alias(p)) for p in ("a", "b"))
+    both = x.join(y, "item").filter("pa < pb AND a <> b").groupBy(F.least("a", "b").alias("label_a"), F.greatest("a", "b").alias("label_b")).agg(F.count("*").alias("n"))
+    return both.orderBy(F.desc("n"), "label_a", "label_b").limit(n)
+
+
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, observed, expected, kappa) of two people's labels of the same items; 1 where chance alone agrees wholly."""
     both = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Postings from which a pair counts; from which a lack of pairs does; rows of a ranking.
 PAIR_LEAST, EXPECTED_LEAST, TOP = 5, 5.0, 30
+VOCABULARY = 20_000  # skills that are paired with each other for lack of pairs
 
 
 def basket(df: DataFrame, key: str = "job_id", skills: str = "extracted_skills") -> DataFrame:
@@ -74,8 +75,10 @@ def negative(df: DataFrame, skills: str = "extracted_skills", expected_least: fl
     top = single.agg(F.max("c")).first()[0] or 0
     # The partner of the rarest skill that can qualify is at best as frequent as the most frequent one.
     often = single.filter(F.col("c") * F.lit(top) >= expected_least * n)
+    if often.count() > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} skills are frequent enough: raise expected_least")
     a, b = often.select(F.col("s").alias("skill_a"), F.col("c").alias("c_a")), often.select(F.col("s").alias("skill_b"), F.col("c").alias("c_b"))
-    both = a.join(b, (F.col("skill_a") < F.col("skill_b")) & (F.col("c_a") * F.col("c_b") >= expected_least * n))
+    both = a.join(F.broadcast(b), (F.col("skill_a") < F.col("skill_b")) & (F.col("c_a") * F.col("c_b") >= expected_least * n))
     met = both.join(pairs(some, skills, 1), ["skill_a", "skill_b"], "left").withColumn("joint", F.coalesce("joint", F.lit(0).cast("long")))
     expected = F.col("c_a").cast("double") * F.col("c_b") / F.lit(n)
     rows = met.select("skill_a", "skill_b", "joint", F.round(expected, 2).alias("expected"), F.round(F.col("joint") / expected, 3).alias("lift")).filter("lift < 1")

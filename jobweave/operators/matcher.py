@@ -154,6 +154,17 @@ def recount(matches: DataFrame) -> DataFrame:
     return matches.select(F.explode("matches").alias("m")).groupBy("m.skill_id").agg(F.count("*").alias("n_documents"))
 
 
+def evidence(matches: DataFrame, key: str) -> DataFrame:
+    """(skill_id, canonical_name, key, kind, term, start, end): a row for each skill of each text, with the place where it was found."""
+    return matches.select(key, F.explode("matches").alias("m")).select("m.skill_id", "m.canonical_name", key, "m.kind", "m.term", "m.start", "m.end")
+
+
+def recount_differs(counts: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """(skill_id, observed, counted) of the skills whose number in the taxonomy isn't what was counted."""
+    both = taxonomy.select("skill_id", F.col("observed_count").try_cast("long").alias("observed")).join(counts, "skill_id", "left")
+    return both.select("skill_id", "observed", F.coalesce("n_documents", F.lit(0).cast("long")).alias("counted")).filter(~F.col("observed").eqNullSafe(F.col("counted")))
+
+
 def group_shares(basket: DataFrame, taxonomy: DataFrame, core: list[str], key: str = "job_id") -> DataFrame:
     """(key, n_skills, core_share): the share of each posting's skills that lies in the core groups."""
     t = F.broadcast(taxonomy.select(F.col("canonical_name").alias("skill"), "skill_group"))

@@ -19,20 +19,23 @@ BLOCK = 500
 def dispersion(df: DataFrame, title: str, key: str, skills: str, least: int = TITLE_LEAST) -> DataFrame:
     """(title, n_postings, dispersion): 1 less the mean Jaccard likeness of all pairs of the title's postings, two without skills being unlike.
 
-    Postings are packed in blocks; each pair of blocks is one row, multiplied in one task, so that a title of any size spreads over all
-    tasks and no pair of postings becomes a row. Titles of fewer than `least` postings and null titles are left out.
+    Equal sets of skills of a title are one, with the number of its postings. Sets are packed in blocks; each pair of blocks is one row, multiplied in
+    one task and dealt by title and both blocks, so that a title of any size spreads over all tasks and no pair of postings becomes a row. Titles
+    of fewer than `least` postings and null titles are left out.
     """
-    rows = df.filter(F.col(title).isNotNull() & F.col(skills).isNotNull()).select(F.col(title).alias("g"), F.col(key).alias("k"), F.array_distinct(F.array_compact(skills)).alias("s"))
-    size = rows.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    dealt = rows.join(size, "g").withColumn("b", F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / BLOCK)))
-    blocks = dealt.groupBy("g", "b", "n").agg(F.collect_list("s").alias("x"))
-    other = blocks.select("g", F.col("b").alias("b2"), F.col("x").alias("y"))
-    both = blocks.join(other, "g").filter("b <= b2").select("g", "n", (F.col("b") == F.col("b2")).alias("same"), "x", "y")
+    rows = df.filter(F.col(title).isNotNull() & F.col(skills).isNotNull()).select(F.col(title).alias("g"), F.array_sort(F.array_distinct(F.array_compact(skills))).alias("s"))
+    sets = rows.groupBy("g", "s").agg(F.count("*").alias("c"))
+    size = sets.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("sets")).filter(F.col("n") >= least)
+    dealt = sets.join(size, "g").withColumn("b", F.pmod(F.xxhash64("s"), F.ceil(F.col("sets") / BLOCK)))
+    blocks = dealt.groupBy("g", "b", "n").agg(F.collect_list("s").alias("x"), F.collect_list("c").alias("cx"))
+    other = blocks.select("g", F.col("b").alias("b2"), F.col("x").alias("y"), F.col("cx").alias("cy"))
+    both = blocks.join(other, "g").filter("b <= b2").select("g", "n", (F.col("b") == F.col("b2")).alias("same"), "x", "y", "cx", "cy", "b", "b2")
+    both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "b", "b2").drop("b", "b2")
 
     def likeness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for g, n, same, x, y in pdf.itertuples(index=False):
+            for g, n, same, x, y, cx, cy in pdf.itertuples(index=False):
                 words = {w: i for i, w in enumerate(sorted({w for s in x for w in s} | {w for s in y for w in s}))}
                 a, b = np.zeros((len(x), max(1, len(words))), np.float32), np.zeros((len(y), max(1, len(words))), np.float32)
                 for m, rows_ in ((a, x), (b, y)):
@@ -41,9 +44,11 @@ def dispersion(df: DataFrame, title: str, key: str, skills: str, least: int = TI
                 joint = a @ b.T
                 whole = a.sum(1)[:, None] + b.sum(1)[None, :] - joint
                 like = np.divide(joint, whole, out=np.zeros_like(joint), where=whole > 0).astype(np.float64)
-                if same:
-                    like = np.triu(like, 1)
-                out.append((g, n, like.sum()))
+                p, q = np.asarray(cx, np.float64), np.asarray(cy, np.float64)
+                total = p @ like @ q
+                if same:  # each pair once, none of a posting with itself
+                    total = (total - p @ np.diag(like)) / 2
+                out.append((g, n, total))
             yield pd.DataFrame(out, columns=["g", "n", "t"])
 
     got = both.mapInPandas(likeness, "g string, n long, t double").groupBy("g", "n").agg(F.sum("t").alias("t"))

@@ -10,8 +10,10 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from importlib import import_module
+from itertools import islice
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from jobweave.sources.schema import FIELDS, ContractError
@@ -114,9 +116,13 @@ def write_together(tables: dict[str, DataFrame], folder: Path) -> None:
 
 
 def write_csv(df: DataFrame, path: Path) -> None:
-    """A small table as one CSV file with a byte-order mark."""
+    """A table as one CSV file with a byte-order mark. Rows pass through the driver a part at a time, never all at once."""
     path.parent.mkdir(parents=True, exist_ok=True)
-    df.toPandas().to_csv(path, index=False, encoding="utf-8-sig")
+    rows = df.toLocalIterator(prefetchPartitions=True)
+    with path.open("w", encoding="utf-8-sig", newline="") as f:
+        pd.DataFrame(columns=df.columns).to_csv(f, index=False)
+        while some := list(islice(rows, 10_000)):
+            pd.DataFrame(some, columns=df.columns).to_csv(f, index=False, header=False)
 
 
 def write_clean(df: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.functions.text import document_text
-from jobweave.operators import agreement, basket, cleaning, cluster, concentration, duplicates, graph, matcher, profile, quality, titles as title_rules
+from jobweave.operators import agreement, basket, cleaning, cluster, concentration, duplicates, explore, graph, matcher, profile, quality, titles as title_rules
 from jobweave.plans.runner import StageContext, write_csv, write_json
 from jobweave.plans.staging import settle, small
 from jobweave.sources import readers
@@ -154,6 +154,7 @@ def _rq4(df: DataFrame, options: dict) -> dict[str, DataFrame] | str:
         "rq4_cluster_profiles": cluster.profiles(with_rows, "cluster", SKILLS),
         "rq4_cluster_examples": cluster.exemplars(labelled),
         "rq4_clusters_with_titles": cluster.top_titles(with_rows, "cluster", TITLE),
+        "rq4_cluster_title_crosstab": explore.crosstab(with_rows, "cluster", TITLE),
         "rq4_agreement": agreement.partition_agreement(with_rows, "cluster", TITLE),
         "rq4_pca_coordinates": cluster.coordinates(data),
     }

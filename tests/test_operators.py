@@ -478,3 +478,76 @@ def test_methods_of_all_postings(spark, monkeypatch):
     monkeypatch.setattr(cluster, "LINKED", 50)
     got = of()
     assert (got["kmeans"]["n"], got["average_linkage"]["n"]) == (400, 50)
+
+
+def test_evaluation(spark):
+    gold = spark.createDataFrame([("a", "Python"), ("a", "SQL"), ("c", "R"), ("c", None)], "id string, label string").dropna()
+    predicted = spark.createDataFrame([("a", "Python"), ("a", "Docker"), ("a", "Python")], "id string, label string")
+    ids = spark.createDataFrame([("a",), ("b",), ("c",)], "id string").withColumn("label", F.lit("clash"))
+    got = agreement.evaluation(gold, predicted, ids)
+    whole = got["metrics"].filter("subset = 'all'").first()
+    assert (whole["n_items"], whole["n_errors"], whole["tp"], whole["fp"], whole["fn"]) == (3, 2, 1, 1, 2) and whole["precision"] == 0.5
+    assert sum(r["n_items"] for r in got["metrics"].filter("subset <> 'all'").collect()) == 3
+    assert sorted(one(got["errors"], "id", "false_positives", "false_negatives")) == [("a", "Docker", "SQL"), ("c", "", "R")]
+    assert sorted(one(got["predictions"], "id", "labels")) == [("a", "Docker|Python"), ("b", ""), ("c", "")]
+    with pytest.raises(ValueError):
+        agreement.evaluation(gold, predicted, ids.filter("id <> 'c'"))
+    assert agreement.evaluation(gold.limit(0), predicted.limit(0), ids.limit(0))["metrics"].count() == 0
+
+
+def test_choices(spark):
+    rows = [("j1", "x", "DE"), ("j1", "y", "DE"), ("j2", "x", "DE"), ("j2", "y", "DA"), ("j3", "x", "DA"), ("j4", None, "DE"), ("j4", "x", None), ("j1", "x", "DE")]
+    long = spark.createDataFrame(rows, "item string, person string, label string")
+    got = {r["item"]: r for r in agreement.merge_choices(long).collect()}
+    assert {k: (r["label"], r["status"], r["n_people"], r["people"]) for k, r in got.items()} == {"j1": ("DE", "agreed", 2, "x;y"), "j2": (None, "conflict", 2, "x;y"), "j3": ("DA", "single", 1, "x")}
+    assert got["j2"]["choices"] == "x: DE | y: DA" and got["j1"]["choices"] is None
+    decided = agreement.merge_choices(long, spark.createDataFrame([("j2", "DA")], "item string, label string")).filter("item = 'j2'").first()
+    assert (decided["label"], decided["status"]) == ("DA", "adjudicated")
+    assert one(agreement.choice_kappa(long), "a", "b", "shared", "agreement", "kappa") == [("x", "y", 2, 0.5, 0.0)]
+    assert one(agreement.confused(long), "label_a", "label_b", "n") == [("DA", "DE", 1)]
+    assert agreement.merge_choices(long.limit(0)).count() == agreement.choice_kappa(long.limit(0)).count() == 0
+
+
+def test_dispersion_of_equal_sets(spark, monkeypatch):
+    monkeypatch.setattr(profile, "BLOCK", 3)
+    sets = [["A", "B"]] * 40 + [["A"]] * 7 + [[]] * 3 + [["B", "C", None, "C"]] * 5 + [[f"s{i}"] for i in range(10)]
+    df = spark.createDataFrame([("t", str(i), s) for i, s in enumerate(sets)], "g string, k string, s array<string>")
+    plain = [{x for x in s if x} for s in sets]
+    like = [len(a & b) / len(a | b) if a | b else 0 for a, b in itertools.combinations(plain, 2)]
+    assert one(profile.dispersion(df, "g", "k", "s"), "title", "n_postings", "dispersion") == [("t", len(sets), pytest.approx(1 - sum(like) / len(like), abs=1e-4))]
+
+
+def test_contexts_are_whole_words(spark):
+    tax = spark.createDataFrame([("2", "Computer Vision", "CV", None), ("1", "Python", None, None)], "skill_id string, canonical_name string, abbreviation string, aliases string")
+    df = spark.createDataFrame([("a", "CV in vision modeling, Python"), ("b", "CV with image processing and python"), ("c", None)], "k string, t string")
+    got = {r["k"]: [m["skill_id"] for m in r["matches"]] for r in matcher.extract(df, "k", "t", tax.coalesce(1)).collect()}
+    assert got == {"a": ["1"], "b": ["2", "1"], "c": []}  # in the order of the taxonomy
+    counts = matcher.recount(matcher.extract(df, "k", "t", tax))
+    checked = spark.createDataFrame([("1", "2"), ("2", "4"), ("3", None)], "skill_id string, observed_count string")
+    assert sorted(one(matcher.recount_differs(counts, checked), "skill_id", "observed", "counted")) == [("2", 4, 1), ("3", None, 0)]
+
+
+def test_csv_in_parts(spark, tmp_path):
+    df = spark.range(25_000).select("id", F.concat(F.lit('ô"'), "id").alias("s"))
+    runner.write_csv(df, tmp_path / "x.csv")
+    lines = (tmp_path / "x.csv").read_text(encoding="utf-8-sig").split("\n")
+    assert lines[0] == "id,s" and lines[1] == '0,"ô""0"' and len(lines) == 25_002
+    runner.write_csv(df.limit(0), tmp_path / "y.csv")
+    assert (tmp_path / "y.csv").read_bytes() == b"\xef\xbb\xbfid,s\n"
+
+
+def test_shared_folder(spark, monkeypatch):
+    from jobweave.plans import staging
+
+    df = staging.settle(spark.range(3))
+    assert df.count() == 3 and df.inputFiles()[0].startswith(staging.shared_dir(spark).replace("///", "/").replace("file:/", "file:///"))
+    staging.dropped(df)
+    with pytest.raises(Exception):
+        df.count()
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(ValueError):
+        staging.shared_dir(Elsewhere)
