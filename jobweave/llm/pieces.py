@@ -82,9 +82,7 @@ def split(text: str, limit: int, overlap: int, enc) -> list[tuple[int, int, int,
         lo, hi = out[k]
         start = lo
         if k:
-            start = int(any_at[max(0, np.searchsorted(any_at, lo, "right") - 1)])
-            want = tok_of[lo] - overlap
-            start = int(any_at[max(0, np.searchsorted(tok_of[any_at], want, "right") - 1)])
+            start = _start(text, lo, max(0, int(np.searchsorted(tok_of[any_at], tok_of[lo] - overlap, "right")) - 1), any_at, overlap, enc)
             start = max(start, out[k - 1][0] if k == 1 else pieces[-1][0])
         n = len(enc.encode_ordinary(text[start:hi]))
         while n > limit and start < lo and k:  # cut off from their context, tokens may fall apart; the overlap gives way first
@@ -100,6 +98,22 @@ def split(text: str, limit: int, overlap: int, enc) -> list[tuple[int, int, int,
     return pieces
 
 
+def _start(text: str, lo: int, near: int, free: np.ndarray, overlap: int, enc) -> int:
+    """Where the overlap before lo begins: of the places around the one with `overlap` tokens in the whole text, the first that leaves as many on its own.
+
+    On its own a stretch may have a token less or more at either end. Where no place close by has just as many, the nearest count decides.
+    """
+    best = None
+    for d in (0, -1, 1, -2, 2, -3, 3, -4, 4):
+        if 0 <= near + d < len(free) and free[near + d] < lo:
+            off = abs(len(enc.encode_ordinary(text[free[near + d] : lo])) - overlap)
+            if best is None or off < best[0]:
+                best = (off, int(free[near + d]))
+            if not off:
+                break
+    return best[1] if best else int(free[near])
+
+
 def _cut(at: np.ndarray, rank: np.ndarray, tok_of: np.ndarray, lo: int, hi: int, mid: float, near: float) -> int | None:
     """The strongest boundary within `near` tokens of mid, of equal ones the nearest; else the nearest boundary at all."""
     a, b = np.searchsorted(at, lo, "right"), np.searchsorted(at, hi, "left")
