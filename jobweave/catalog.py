@@ -577,6 +577,14 @@ def _violations_sql() -> str:
         ("blank_id", _MISS("job_id")),
         ("missing_source", _MISS("source")),
         ("missing_url", _MISS("source_url")),
+        ("missing_time", _MISS("crawl_timestamp")),
+        ("missing_version", _MISS("parser_version")),
+        ("missing_title", _MISS("raw_job_title")),
+        ("undecided", "relevance_flag IS NULL OR duplicate_flag IS NULL"),
+        ("blank_skill", f"len(list_filter({SKILLS}, lambda x: {_MISS('x')})) > 0"),
+        ("eligible_without_title", f"relevance_flag AND NOT coalesce(duplicate_flag, false) AND {_MISS(TITLE)}"),
+        ("eligible_without_job_text", f"relevance_flag AND NOT coalesce(duplicate_flag, false) AND {_MISS('job_text')}"),
+        ("no_text_without_reason", f"{_MISS('job_description')} AND {_MISS('job_requirements')} AND NOT (coalesce(NOT relevance_flag, false) AND coalesce(exclusion_reason IN ('INSUFFICIENT_TEXT', 'SCRAPE_ERROR'), false))"),
         ("bad_date", r"posted_date IS NOT NULL AND (try_cast(posted_date AS DATE) IS NULL OR NOT regexp_matches(posted_date, '^\d{4}-\d{2}-\d{2}$'))"),
         ("bad_time", r"crawl_timestamp IS NOT NULL AND NOT regexp_matches(crawl_timestamp, '^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}')"),
         ("negative_count", "skill_count < 0"),
@@ -631,6 +639,11 @@ def quality_feature_faults(spark, sf_dir):
     return quality.feature_faults(e, relevant, _t(spark, sf_dir, "skills_taxonomy").select(F.col("canonical_name").alias("skill")))
 
 
+@query(f"WITH {_OK}, g AS (SELECT {TITLE} AS t, count(*) AS c FROM e GROUP BY 1) SELECT count(*) FILTER (t IS NOT NULL AND c >= 5) > 0 AS ok, count(*) FILTER (t IS NOT NULL AND c >= 5) AS qualifying, coalesce(sum(c) FILTER (t IS NULL), 0)::BIGINT AS untitled, coalesce(max(c) FILTER (t IS NOT NULL), 0)::BIGINT AS largest FROM g")
+def quality_titles(spark, sf_dir):
+    return quality.title_check(_ok(spark, sf_dir))
+
+
 # ---- description ----------------------------------------------------------------------------------------------------
 
 _TEXT = "coalesce(job_description, '') || chr(10) || coalesce(job_requirements, '')"
@@ -686,6 +699,28 @@ def pages_rendered(spark, sf_dir):
     return _t(spark, sf_dir, "jobs_raw").select("raw_id", pages.rendered(F.col("job_description")).alias("text"))
 
 
+def _pages(spark, sf_dir) -> DataFrame:
+    """Pages made of the postings, as they might have been fetched: some refused, some broken off, some without a title."""
+    raw, esc = _t(spark, sf_dir, "jobs_raw"), lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    ld = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.struct("company").withField("name", F.col("company")).dropFields("company").alias("hiringOrganization")))
+    ld = F.replace(ld, F.lit("<"), F.lit("\\u003c"))
+    html = F.concat(F.lit('<html><head><script type="application/ld+json">'), ld, F.lit("</script></head><body><h1>"), esc(F.col("raw_job_title")), F.lit("</h1></body></html>"))
+    code = F.when(F.col("raw_id") % 11 == 0, 404).when(F.col("raw_id") % 13 == 0, 403).otherwise(200)
+    return raw.select("raw_id", F.concat(F.lit("https://pages.example/"), F.col("raw_id")).alias("url"), html.alias("html"), code.alias("code"))
+
+
+@query("WITH x AS (SELECT raw_id, trim(regexp_replace(coalesce(raw_job_title, ''), '[\\s\\p{Z}\\x1c-\\x1f\\x0b\\x{85}]+', ' ', 'g')) AS t FROM jobs_raw) SELECT 'https://pages.example/' || raw_id AS source_url, CASE WHEN raw_id % 11 = 0 THEN 'HTTP_ERROR' WHEN raw_id % 13 = 0 THEN 'ACCESS_BLOCKED' WHEN t = '' THEN 'VALIDATION_ERROR' ELSE 'SUCCESS' END AS status, CASE WHEN raw_id % 11 = 0 THEN 404 WHEN raw_id % 13 = 0 THEN 403 ELSE 200 END AS http_status FROM x")
+def pages_log(spark, sf_dir):
+    """The crawl log of such pages."""
+    return pages.crawl_log(pages.details(_pages(spark, sf_dir), code="code")).select("source_url", "status", "http_status")
+
+
+@query("SELECT 'https://pages.example/' || raw_id AS source_url, company FROM jobs_raw WHERE raw_id % 11 <> 0 AND raw_id % 13 <> 0")
+def pages_details(spark, sf_dir):
+    """What is read from their JSON-LD."""
+    return pages.details(_pages(spark, sf_dir), code="code").filter("status IN ('SUCCESS', 'VALIDATION_ERROR')").select("source_url", "company")
+
+
 # ---- clustering -----------------------------------------------------------------------------------------------------
 
 

@@ -179,22 +179,74 @@ def detail(url: str, html: str | None, source: str, at: str | None, version: str
 RAW = [f for f in FIELDS if f not in ("relevance_flag", "duplicate_flag", "extracted_skills", "skill_count")]
 
 
-def details(pages: DataFrame, url: str = "url", html: str = "html", source: str = "web", version: str = "v1") -> DataFrame:
-    """The pages' records; a page that can't be read, or has no title, gives status PARSE_ERROR or VALIDATION_ERROR instead."""
+def details(pages: DataFrame, url: str = "url", html: str = "html", source: str = "web", version: str = "v1", code: str | None = None, at: str | None = None) -> DataFrame:
+    """The pages' records with status, http_status and error: SUCCESS, or HTTP_ERROR by the response's code, ACCESS_BLOCKED for a refusal, PARSE_ERROR for a page
+    that can't be read, VALIDATION_ERROR for one without a title. code and at name the columns of the response's code and time, if there are any."""
+    number = pages[code].cast("int") if code else F.lit(None).cast("int")
+    refused = blocked(number, pages[html])
+    rows = pages.select(pages[url].alias("u"), pages[html].alias("h"), number.alias("c"), refused.alias("b"), (pages[at].cast("string") if at else F.lit(None).cast("string")).alias("t"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for u, h, c, b, t in pdf.itertuples(index=False):
+                c = None if pd.isna(c) else int(c)
+                row, error = dict.fromkeys(FIELDS) | {"source": source, "source_url": u, "crawl_timestamp": t, "parser_version": version}, None
+                if b:
+                    status = "ACCESS_BLOCKED"
+                elif c is not None and c >= 400:
+                    status = "HTTP_ERROR"
+                else:
+                    try:
+                        row = detail(u, h, source, t, version)
+                        status = "SUCCESS" if row["raw_job_title"] else "VALIDATION_ERROR"
+                    except Exception as e:  # a page may hold anything
+                        status, error = "PARSE_ERROR", f"{type(e).__name__}: {e}"
+                out.append([row[f] for f in RAW] + [status, c, error])
+            yield pd.DataFrame(out, columns=[*RAW, "status", "http_status", "error"]).astype({"http_status": "Int32"})
+
+    return rows.mapInPandas(read, ", ".join(f"{f} string" for f in [*RAW, "status"]) + ", http_status int, error string")
+
+
+def crawl_log(found: DataFrame) -> DataFrame:
+    """The log of a crawl, a row for each page: (source, source_url, crawl_timestamp, status, http_status, error_type, error_message, parser_version)."""
+    message = F.coalesce("error", F.when(F.col("status") == "HTTP_ERROR", F.concat(F.lit("HTTP "), F.col("http_status"))))
+    kind = F.when(F.col("status") != "SUCCESS", F.coalesce(F.regexp_extract("error", r"^(\w+):", 1), F.col("status")))
+    return found.select("source", "source_url", "crawl_timestamp", "status", "http_status", kind.alias("error_type"), message.alias("error_message"), "parser_version")
+
+
+def hints(pages: DataFrame, patterns: dict[str, str], url: str = "url", html: str = "html", most: int = 12, longest: int = 140) -> DataFrame:
+    """(page, kind, rank, text, path): short texts of a page that fit one of the patterns, with the tags they stand in; for whoever mends a parser.
+
+    The first `most` for each kind, each text once at its place; texts over `longest` characters are no hints.
+    """
+
+    def where(n: Node | None, depth: int) -> str:
+        out = []
+        while n is not None and n.tag not in ("", "html", "body") and len(out) < depth:
+            name = n.tag + ("#" + n.attrs["id"] if n.attrs.get("id") else "")
+            name += "".join("." + c for c in n.attrs.get("class", "").split()[:3])
+            data = [k for k in n.attrs if k.startswith("data-")][:2]
+            out.append(name + (f"[{','.join(data)}]" if data else ""))
+            n = n.parent
+        return " < ".join(out)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled = {k: re.compile(p, re.I) for k, p in patterns.items()}
         for pdf in batches:
             out = []
             for u, h in pdf.itertuples(index=False):
-                try:
-                    row = detail(u, h, source, None, version)
-                    status = "SUCCESS" if row["raw_job_title"] else "VALIDATION_ERROR"
-                except Exception:  # a page may hold anything
-                    row, status = dict.fromkeys(FIELDS) | {"source_url": u}, "PARSE_ERROR"
-                out.append([row[f] for f in RAW] + [status])
-            yield pd.DataFrame(out, columns=[*RAW, "status"])
-
-    return pages.select(url, html).mapInPandas(read, ", ".join(f"{f} string" for f in [*RAW, "status"]))
+                seen: dict[tuple, int] = {}
+                for n in parse(h).walk():
+                    for t in () if n.tag in SILENT else (" ".join(c.split()) for c in n.children if isinstance(c, str)):
+                        for kind, p in compiled.items():
+                            key = (kind, t, where(n, 2))
+                            if t and len(t) <= longest and key not in seen and sum(k[0] == kind for k in seen) < most and p.search(t):
+                                seen[key] = sum(k[0] == kind for k in seen) + 1
+                                out.append((u, kind, seen[key], t, where(n, 4)))
+            yield pd.DataFrame(out, columns=["page", "kind", "rank", "text", "path"])
+
+    return pages.select(url, html).mapInPandas(read, "page string, kind string, rank int, text string, path string")
 
 
 def listing(html: str | None, base: str) -> tuple[list[tuple[str, str]], str | None]:

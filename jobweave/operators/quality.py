@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from jobweave.functions.text import is_missing, strip
 from jobweave.operators.duplicates import residual
+from jobweave.plans.staging import small
 from jobweave.sources.schema import IMMUTABLE
 
 # Thresholds of the checks.
+NO_TEXT_REASONS = ("INSUFFICIENT_TEXT", "SCRAPE_ERROR")  # why a posting without any text may stand in a cleaned table
 MEAN_SKILLS, NO_SKILL, TOP_SKILL, RESIDUAL, MEDIAN_TEXT = 3.0, 0.10, 0.90, 0.02, 300
 
 
@@ -22,10 +24,19 @@ def violations(df: DataFrame, key: str = "job_id") -> DataFrame:
     """(key, violation) of each rule of the record that a row breaks."""
     no_text = is_missing(F.col("job_description")) & is_missing(F.col("job_requirements"))
     date = F.col("posted_date").isNotNull() & F.col("posted_date").try_cast("date").isNull()
+    relevant, repeated = F.coalesce("relevance_flag", F.lit(False)), F.coalesce("duplicate_flag", F.lit(False))
     rules = [
         ("blank_id", is_missing(F.col(key))),
         ("missing_source", is_missing(F.col("source"))),
         ("missing_url", is_missing(F.col("source_url"))),
+        ("missing_time", is_missing(F.col("crawl_timestamp"))),
+        ("missing_version", is_missing(F.col("parser_version"))),
+        ("missing_title", is_missing(F.col("raw_job_title"))),
+        ("undecided", F.col("relevance_flag").isNull() | F.col("duplicate_flag").isNull()),
+        ("blank_skill", F.exists("extracted_skills", lambda x: is_missing(x))),
+        ("eligible_without_title", relevant & ~repeated & is_missing(F.col("normalized_job_title"))),
+        ("eligible_without_job_text", relevant & ~repeated & is_missing(F.col("job_text"))),
+        ("no_text_without_reason", no_text & ~(F.coalesce(~F.col("relevance_flag"), F.lit(False)) & F.coalesce(F.col("exclusion_reason").isin(*NO_TEXT_REASONS), F.lit(False)))),
         ("bad_date", date | (F.col("posted_date").isNotNull() & ~F.col("posted_date").rlike(r"^\d{4}-\d{2}-\d{2}$"))),
         ("bad_time", F.col("crawl_timestamp").isNotNull() & ~F.col("crawl_timestamp").rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")),
         ("negative_count", F.col("skill_count") < 0),
@@ -80,6 +91,32 @@ def checks(clean: DataFrame, skills: DataFrame, key: str = "job_id") -> DataFram
     return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
+def matrix_faults(matrix: DataFrame, features: DataFrame, names: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, fault) of a 0/1 matrix with a column for each skill id, against lists of skills; names: (skill_id, canonical_name).
+
+    'cell' where a cell is neither 0 nor 1, 'differs' where the row's skills aren't those of its list, 'missing' and 'extra' rows. Columns that are no skill id are an error.
+    """
+    ids = [c for c in matrix.columns if c != key]
+    known = {r[0]: r[1] for r in small(names.select("skill_id", "canonical_name"))}
+    if alien := [c for c in ids if c not in known]:
+        raise ValueError(f"columns that are no skill: {alien[:5]}")
+    empty = F.array().cast("array<string>")
+    cell = F.array(*[~F.coalesce(F.col(f"`{c}`").cast("double").isin(0.0, 1.0), F.lit(False)) for c in ids]) if ids else F.array(F.lit(False))
+    held = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"`{c}`") == 1, F.lit(known[c])) for c in ids]))) if ids else empty
+    rows = matrix.select(key, F.exists(cell, lambda x: x).alias("_bad"), held.alias("_held"))
+    both = rows.join(features.select(key, F.array_sort(F.array_distinct(F.array_compact(F.coalesce("extracted_skills", empty)))).alias("_said"), F.lit(True).alias("_in")), key, "full")
+    fault = F.when(F.col("_bad").isNull(), "missing").when(F.col("_in").isNull(), "extra").when(F.col("_bad"), "cell").when(F.col("_held") != F.col("_said"), "differs")
+    return both.select(key, fault.alias("fault")).filter("fault IS NOT NULL")
+
+
+def title_check(df: DataFrame, title: str = "normalized_job_title", least: int = 5) -> DataFrame:
+    """One row (ok, qualifying, untitled, largest): whether some title has enough postings to be compared."""
+    n = df.groupBy(title).agg(F.count("*").alias("c"))
+    named = F.col(title).isNotNull()
+    one = n.agg(F.count_if(named & (F.col("c") >= least)).alias("qualifying"), F.coalesce(F.sum(F.when(~named, F.col("c"))), F.lit(0)).alias("untitled"), F.coalesce(F.max(F.when(named, F.col("c"))), F.lit(0)).alias("largest"))
+    return one.select((F.col("qualifying") > 0).alias("ok"), "qualifying", "untitled", "largest")
+
+
 def matrix_warnings(basket: DataFrame, n: int) -> list[str]:
     """What makes a basket of n postings a poor matrix."""
     k = basket.groupBy("job_id").count()

@@ -551,3 +551,29 @@ def test_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         staging.shared_dir(Elsewhere)
+
+
+def test_page_log_and_hints(spark):
+    rows = [("u1", HTML, 200, "2025-01-01"), ("u2", "gone", 404, None), ("u3", "<title>Just a moment...</title>", 200, None), ("u4", "<p>no title</p>", 200, None), ("u5", None, None, None)]
+    df = spark.createDataFrame(rows, "url string, html string, code int, at string").withColumn("status", F.lit("clash"))
+    found = pages.details(df, code="code", at="at")
+    assert dict(one(found, "source_url", "status")) == {"u1": "SUCCESS", "u2": "HTTP_ERROR", "u3": "ACCESS_BLOCKED", "u4": "VALIDATION_ERROR", "u5": "VALIDATION_ERROR"}
+    log = {r["source_url"]: r for r in pages.crawl_log(found).collect()}
+    assert (log["u1"]["error_type"], log["u1"]["crawl_timestamp"], log["u1"]["http_status"]) == (None, "2025-01-01", 200)
+    assert (log["u2"]["error_type"], log["u2"]["error_message"]) == ("HTTP_ERROR", "HTTP 404")
+    html = '<div id="a" class="x y"><p data-k="1">2 years</p><p>2 years</p><script>3 years</script></div>' + "<b>5 years</b>" * 20 + "<i>" + "9 years " * 40 + "</i>"
+    got = one(pages.hints(spark.createDataFrame([("u", html)], "url string, html string"), {"experience": r"\d+ years"}).orderBy("rank"), "text", "path")
+    assert got == [("2 years", "p[data-k] < div#a.x.y"), ("2 years", "p < div#a.x.y"), ("5 years", "b")]
+    assert pages.details(df.limit(0)).count() == pages.hints(df.limit(0), {"x": "x"}).count() == 0
+
+
+def test_matrix_against_lists(spark):
+    names = spark.createDataFrame([("S1", "A"), ("S2", "B")], "skill_id string, canonical_name string")
+    matrix = spark.createDataFrame([("a", 1, 0), ("b", 1, 1), ("c", 2, 0), ("d", 0, None), ("x", 0, 0)], "job_id string, S1 int, S2 int")
+    lists = spark.createDataFrame([("a", ["A"]), ("b", ["A"]), ("c", ["A"]), ("d", None), ("y", [])], "job_id string, extracted_skills array<string>")
+    assert sorted(one(quality.matrix_faults(matrix, lists, names), "job_id", "fault")) == [("b", "differs"), ("c", "cell"), ("d", "cell"), ("x", "extra"), ("y", "missing")]
+    with pytest.raises(ValueError):
+        quality.matrix_faults(matrix.withColumn("S9", F.lit(0)), lists, names)
+    assert quality.matrix_faults(matrix.limit(0), lists.limit(0), names).count() == 0
+    df = spark.createDataFrame([("t",)] * 5 + [(None,)], "normalized_job_title string")
+    assert tuple(quality.title_check(df).first()) == (True, 1, 1, 5) and tuple(quality.title_check(df.limit(0)).first()) == (False, 0, 0, 0)
