@@ -306,7 +306,7 @@ def test_pages(spark):
 
 
 def test_quality(spark):
-    rows = [posting(job_id=f"j{i}", relevance_flag=True, duplicate_flag=False, normalized_job_title="DE", extracted_skills=["A", "B", "C"], skill_count=3, job_description=f"{i} " * 100) for i in range(40)]
+    rows = [posting(job_id=f"j{i}", relevance_flag=True, duplicate_flag=False, normalized_job_title="DE", extracted_skills=["A", "B", "C"], skill_count=3, job_description=f"{i} " * 100, job_text=f"{i} " * 100) for i in range(40)]
     df = spark.createDataFrame(rows, POSTING)
     got = dict(one(quality.checks(df, df.select("job_id", "extracted_skills")), "check", "passed"))
     assert got == {"QC1": True, "QC2": True, "QC3": True, "QC4": True, "QC5": False, "QC6": True, "QC7": True, "QC8": True}
