@@ -312,7 +312,7 @@ def test_quality(spark):
     assert got == {"QC1": True, "QC2": True, "QC3": True, "QC4": True, "QC5": False, "QC6": True, "QC7": True, "QC8": True}
     assert quality.violations(df).count() == 0
     bad = spark.createDataFrame([posting(job_id=" ", posted_date="01/02/2025", skill_count=-1, relevance_flag=False)], POSTING)
-    assert sorted(one(quality.violations(bad), "violation")) == ["bad_date", "blank_id", "exclusion_without_reason", "negative_count"]
+    assert sorted(one(quality.violations(bad), "violation")) == ["bad_date", "blank_id", "exclusion_without_reason", "negative_count", "undecided"]
     other = df.withColumn("company", F.when(F.col("job_id") == "j1", "X").otherwise(F.col("company"))).filter("job_id <> 'j2'")
     assert sorted(one(quality.changed_fields(df, other), "job_id", "field")) == [("j1", "company"), ("j2", "missing")]
 
