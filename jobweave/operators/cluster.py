@@ -62,28 +62,29 @@ def davies_bouldin(labelled: DataFrame, label: str = "prediction", features: str
 
 
 def _lloyd(x: np.ndarray, k: int, r: np.random.Generator, starts: int = STARTS, rounds: int = 30) -> np.ndarray:
-    """Labels of the best of several starts by the sum of squared distances."""
-    return min((_once(x, k, r, rounds) for _ in range(starts)), key=lambda t: t[0])[1]
-
-
-def _once(x: np.ndarray, k: int, r: np.random.Generator, rounds: int) -> tuple[float, np.ndarray]:
-    centre = x[[int(r.integers(len(x)))]]
-    d = ((x - centre[0]) ** 2).sum(1, dtype=np.float64)
-    for _ in range(1, k):
-        p = d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x))
-        centre = np.vstack([centre, x[int(r.choice(len(x), p=p))]])
-        d = np.minimum(d, ((x - centre[-1]) ** 2).sum(1, dtype=np.float64))
-    own, each = (x * x).sum(1)[:, None], np.arange(k)
+    """Labels of the best of several starts by the sum of squared distances; all starts go through the same products of matrices."""
+    own, every = (x * x).sum(1), np.arange(len(x))[:, None]
+    far = lambda c: np.maximum(own[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
+    chosen = [x[r.integers(len(x), size=starts)]]
+    d = far(chosen[0])
+    for _ in range(1, k):  # each next centre by the squared distance from those before it
+        upto = np.cumsum(d, 0, dtype=np.float64)
+        at = np.minimum((upto < r.random(starts) * upto[-1]).sum(0), len(x) - 1)
+        chosen.append(x[at])
+        d = np.minimum(d, far(chosen[-1]))
+    centre = np.stack(chosen, 1).reshape(starts * k, -1)
+    first = np.arange(starts) * k
     for _ in range(rounds):
-        d = own - 2 * x @ centre.T + (centre * centre).sum(1)
-        near = d.argmin(1)
-        one = (near[:, None] == each).astype(x.dtype)
+        d = far(centre).reshape(len(x), starts, k)
+        near = d.argmin(2)
+        one = np.zeros((len(x), starts * k), x.dtype)
+        one[every, near + first] = 1
         n = one.sum(0)[:, None]
         new = np.where(n > 0, one.T @ x / np.maximum(n, 1), centre)
-        if np.allclose(new, centre):
+        if np.allclose(new, centre, atol=1e-5):
             break
         centre = new
-    return float(d.min(1).sum()), near
+    return near[:, int(d.min(2).sum(0, dtype=np.float64).argmin())]
 
 
 def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
