@@ -204,13 +204,13 @@ def reviewed(labels: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def gold_candidates(jobs: DataFrame, known: DataFrame, title: str, least_chars: int = 150, n: int = 50) -> DataFrame:
     """The n shortest postings fit for labelling: title by the pattern, texts of some length, unlike known postings and each other by half of their shingles."""
-    from jobweave.operators.duplicates import greedy, shingle_classes, shingle_pairs
+    from jobweave.operators.duplicates import greedy, shingle_likes
 
     fit = jobs.filter(F.col("raw_job_title").rlike(title) & (F.length("job_description") >= least_chars))
     fit = fit.join(known.select("job_id").distinct(), "job_id", "left_anti").join(known.select("source_url").filter("source_url IS NOT NULL").distinct(), "source_url", "left_anti")
     # Known ones first, then by length and id: the order in which the greedy choice goes.
     order = F.concat(F.lpad(F.length("job_description").cast("string"), 9, "0"), F.lit(":"), F.col("job_id"))
     both = known.select(F.concat(F.lit("0:"), "job_id").alias("k"), "job_description").unionByName(fit.select(F.concat(F.lit("1:"), order).alias("k"), "job_description"))
-    repeated = greedy(shingle_pairs(both, "k", "job_description", 0.5).select("a", "b")).select(F.col("b").alias("k"))
-    copies = shingle_classes(both, "k", "job_description").filter("k <> representative").select("k")
+    like, classes = shingle_likes(both, "k", "job_description", 0.5)
+    repeated, copies = greedy(like.select("a", "b")).select(F.col("b").alias("k")), classes.filter("k <> representative").select("k")
     return fit.withColumn("k", F.concat(F.lit("1:"), order)).join(repeated.unionByName(copies).distinct(), "k", "left_anti").orderBy("k").limit(n).drop("k")

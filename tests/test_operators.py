@@ -577,3 +577,25 @@ def test_matrix_against_lists(spark):
     assert quality.matrix_faults(matrix.limit(0), lists.limit(0), names).count() == 0
     df = spark.createDataFrame([("t",)] * 5 + [(None,)], "normalized_job_title string")
     assert tuple(quality.title_check(df).first()) == (True, 1, 1, 5) and tuple(quality.title_check(df.limit(0)).first()) == (False, 0, 0, 0)
+
+
+def test_like_sets_of_many_common_phrases(spark, monkeypatch):
+    from jobweave.operators import alike
+
+    r = np.random.default_rng(7)
+    phrases = [[f"p{i}w{j}" for j in range(9)] for i in range(12)]
+    texts = [[w for p in r.choice(12, 5, replace=False) for w in phrases[p]] + [f"own{i}x{j}" for j in range(int(r.integers(0, 12)))] for i in range(120)]
+    texts += [t[: int(r.integers(1, len(t)))] for t in texts[:40]] + [t + ["ü", "Ω1"] for t in texts[:20]]
+    data = [(f"k{i:03d}", " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "k string, t string")
+    sets = {k: {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, t in data for w in [t.lower().split()]}
+    reps = sorted({min(j for j in sets if sets[j] == s) for s in sets.values()})
+    for least, local in ((0.5, True), (0.8, True), (0.5, False)):
+        if not local:
+            monkeypatch.setattr(alike, "_local", lambda _: None)
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(reps, 2)}
+        want = {p: j for p, j in want.items() if j >= least}
+        found = duplicates.shingle_pairs(df, "k", "t", least)
+        assert {(a, b): j for a, b, j in one(found, "a", "b", "jaccard")} == want and want
+        # The pairs are written before they are read; no plan over exploded runs of words is handed on.
+        assert "Generate" not in found._jdf.queryExecution().toString() and "SortMergeJoin" not in found._jdf.queryExecution().toString()
