@@ -599,3 +599,18 @@ def test_like_sets_of_many_common_phrases(spark, monkeypatch):
         assert {(a, b): j for a, b, j in one(found, "a", "b", "jaccard")} == want and want
         # The pairs are written before they are read; no plan over exploded runs of words is handed on.
         assert "Generate" not in found._jdf.queryExecution().toString() and "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_like_weights_of_blocks(spark, monkeypatch):
+    from jobweave.operators import alike
+
+    monkeypatch.setattr(alike, "BLOCK", 7)
+    r = np.random.default_rng(3)
+    base = [dict(zip(r.choice(60, 12, replace=False).tolist(), r.random(12) + 0.1)) for _ in range(20)]
+    texts = base + [b | {99: 0.2 * i} for i, b in enumerate(base)]
+    unit = [{t: v / sum(x * x for x in b.values()) ** 0.5 for t, v in b.items()} for b in texts]
+    w = spark.createDataFrame([(f"k{i:02d}", f"t{t}", float(v)) for i, b in enumerate(unit) for t, v in b.items()], "k string, token string, w double")
+    rows = spark.createDataFrame([(f"k{i:02d}", "C" if i != 3 else "D") for i in range(40)], "k string, co string")
+    found = one(alike.like_weights(w, rows, 0.95), "a", "b")
+    want = {(f"k{i:02d}", f"k{j:02d}") for i, j in itertools.combinations(range(40), 2) if 3 not in (i, j) and sum(v * unit[j].get(t, 0) for t, v in unit[i].items()) >= 0.95}
+    assert want <= set(found) and len(found) == len(set(found)) and len(found) < 2 * len(want) + 20
