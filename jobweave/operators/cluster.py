@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from multiprocessing.pool import ThreadPool
 
@@ -20,7 +21,8 @@ from jobweave.plans.staging import settle, small
 # Rows from which clustering makes sense; slack in choosing k; the numbers of clusters, starts and stability rounds of a whole sweep.
 LEAST_ROWS, SLACK = 300, 0.02
 KS, STARTS, ROUNDS = tuple(range(2, 16)), 10, 100
-STABILITY_ROWS = 20_000  # rows that a task holds in the stability rounds; with more, each round is fitted over all executors
+STABILITY_ROWS = 400_000  # distinct vectors of up to 128 values that a task holds in a sweep (some 200 MB); with more, each fit is spread over all executors
+BLOCK = 512  # rows of a product of matrices
 LINKED = 12_000  # distinct sets of skills of which a task holds all distances for average linkage (4 bytes each)
 AT_ONCE = 4  # fits that run side by side
 
@@ -61,30 +63,107 @@ def davies_bouldin(labelled: DataFrame, label: str = "prediction", features: str
     return float(np.mean([max((spread[a] + spread[b]) / max(float(np.linalg.norm(centre[a] - centre[b])), 1e-12) for b in centre if b != a) for a in centre]))
 
 
-def _lloyd(x: np.ndarray, k: int, r: np.random.Generator, starts: int = STARTS, rounds: int = 30) -> np.ndarray:
-    """Labels of the best of several starts by the sum of squared distances; all starts go through the same products of matrices."""
-    own, every = (x * x).sum(1), np.arange(len(x))[:, None]
-    far = lambda c: np.maximum(own[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
-    chosen = [x[r.integers(len(x), size=starts)]]
-    d = far(chosen[0])
-    for _ in range(1, k):  # each next centre by the squared distance from those before it
-        upto = np.cumsum(d, 0, dtype=np.float64)
-        at = np.minimum((upto < r.random(starts) * upto[-1]).sum(0), len(x) - 1)
-        chosen.append(x[at])
-        d = np.minimum(d, far(chosen[-1]))
-    centre = np.stack(chosen, 1).reshape(starts * k, -1)
-    first = np.arange(starts) * k
-    for _ in range(rounds):
-        d = far(centre).reshape(len(x), starts, k)
-        near = d.argmin(2)
-        one = np.zeros((len(x), starts * k), x.dtype)
-        one[every, near + first] = 1
-        n = one.sum(0)[:, None]
-        new = np.where(n > 0, one.T @ x / np.maximum(n, 1), centre)
-        if np.allclose(new, centre, atol=1e-5):
+class _Vectors:
+    """Distinct vectors with the number of rows that have each: dense with a column of ones, and their values other than zero one row after the other."""
+
+    def __init__(self, packed: list[bytes], rows: np.ndarray, dims: int):
+        self.rows, self.dims = rows.astype(np.float64), dims
+        size = np.array([len(p) // 8 for p in packed], np.int64)
+        both = [np.frombuffer(p, np.uint32).reshape(2, -1) for p in packed]
+        self.at = np.concatenate([x[0] for x in both]).astype(np.int64) if both else np.zeros(0, np.int64)
+        self.value = np.concatenate([x[1].view(np.float32) for x in both]) if both else np.zeros(0, np.float32)
+        self.size, self.first = size, np.cumsum(size) - size
+
+    def dense(self) -> np.ndarray:
+        x = np.zeros((len(self.size), self.dims + 1), np.float32)
+        x[np.repeat(np.arange(len(x)), self.size), self.at] = self.value
+        x[:, -1] = 1
+        return x
+
+    def sums(self, of: np.ndarray, label: np.ndarray, weight: np.ndarray, k: int, before: np.ndarray | None = None) -> np.ndarray:
+        """Sums by label of the vectors of these numbers, times their weights, less those by the labels before: whole numbers, and so exact, for vectors of 0 and 1."""
+        n = self.size[of]
+        place = np.repeat(self.first[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at, value = self.at[place], np.repeat(weight, n) * self.value[place]
+        got = np.bincount(np.repeat(label * self.dims, n) + at, value, k * self.dims)
+        if before is not None:
+            got = got - np.bincount(np.repeat(before * self.dims, n) + at, value, k * self.dims)
+        return got.reshape(k, -1)
+
+
+def _packed(data: DataFrame) -> DataFrame:
+    """(v, n): the distinct vectors, as the places of their values other than zero and these, and the number of rows with each."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.array(pdf.v.tolist(), np.float32)
+                row, at = np.nonzero(x)
+                cut, value = np.searchsorted(row, np.arange(len(x) + 1)).tolist(), x[row, at].view(np.uint32)
+                yield pd.DataFrame({"v": [np.concatenate([at[i:j].astype(np.uint32), value[i:j]]).tobytes() for i, j in zip(cut[:-1], cut[1:])]})
+
+    return data.select(vector_to_array("features").cast("array<float>").alias("v")).mapInPandas(pack, "v binary").groupBy("v").agg(F.count("*").alias("n"))
+
+
+def _held(data: DataFrame) -> _Vectors | None:
+    """The rows as distinct vectors, or nothing where these are more than a task holds."""
+    row = data.select(F.size(vector_to_array("features")).alias("d")).first()
+    dims = row["d"] if row else 0
+    most = STABILITY_ROWS * 128 // max(dims, 128)
+    got = _packed(data).limit(most + 1).toPandas()
+    if len(got) > most:
+        return None
+    got = got.sort_values("v")  # whatever the order of the rows
+    return _Vectors(got.v.tolist(), got.n.to_numpy(np.int64), dims)
+
+
+def _lloyd(v: _Vectors, x: np.ndarray, weight: np.ndarray, k: int, r: np.random.Generator, starts: int = STARTS, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, centres) for each row of weights of the vectors: of the best of several starts by the sum of squared distances.
+
+    x: the vectors, dense. All starts that still move go through the same products of matrices, a block of vectors at a time; the centres are
+    means of sums to which only the vectors that changed are added. Labels of vectors of weight 0 mean nothing.
+    """
+    n, dims, every = len(x), v.dims, len(weight) * starts
+    of = np.arange(every) // starts  # the row of weights of each start
+    own, light, drawn = np.einsum("ij,ij->i", x[:, :-1], x[:, :-1]), weight.astype(np.float32), weight > 0
+    pick = lambda upto: min(int(np.searchsorted(upto, r.random() * upto[-1], "right")), n - 1)
+    centre, near, upto = np.empty((every, k, dims), np.float32), None, np.cumsum(weight, 1)
+    for j in range(k):  # each next centre by the squared distance from those before it
+        at = [pick(upto[of[s]] if near is None else np.cumsum(near[s] * weight[of[s]])) for s in range(every)]
+        centre[:, j] = c = x[at, :-1]
+        d = np.concatenate([-2 * c, (c * c).sum(1)[:, None]], 1) @ x.T
+        d += own
+        near = np.maximum(d, 0, out=d) if near is None else np.minimum(near, np.maximum(d, 0, out=d), out=near)
+    small = np.min_scalar_type(k)
+    codes = np.arange(k, 0, -1).astype(small)[:, None]  # the first of equal centres has the highest
+    label, live, sums = np.full((every, n), k, small), np.arange(every), np.zeros((every, k, dims + 1))
+    for step in range(rounds):
+        c = centre[live].reshape(-1, dims)
+        c, now = np.concatenate([-c, (c * c).sum(1)[:, None] / 2], 1), np.empty((len(live), n), small)
+        for i in range(0, n, BLOCK):
+            b = x[i : i + BLOCK]
+            d = (c @ b.T).reshape(len(live), k, -1)
+            now[:, i : i + BLOCK] = k - ((d == d.min(1)[:, None]).view(np.uint8) * codes).max(1)
+            if not step:
+                one = (now[:, None, i : i + BLOCK] == np.arange(k, dtype=small)[:, None]) * light[of, None, i : i + BLOCK]
+                sums += (one.reshape(every * k, -1) @ b).reshape(sums.shape)
+        moved = np.zeros(len(live), bool)
+        for i, s in enumerate(live):
+            if step:
+                some = np.flatnonzero((now[i] != label[s]) & drawn[of[s]])
+                new, old, w = now[i, some].astype(np.int64), label[s, some].astype(np.int64), weight[of[s], some]
+                sums[s, :, :-1] += v.sums(some, new, w, k, old)
+                sums[s, :, -1] += np.bincount(new, w, k) - np.bincount(old, w, k)
+            label[s], moved[i] = now[i], not step or len(some)
+            if step < rounds - 1:
+                centre[s] = np.where(sums[s, :, -1:] > 0, sums[s, :, :-1] / np.maximum(sums[s, :, -1:], 1), centre[s])
+        live = live[moved]
+        if not len(live):
             break
-        centre = new
-    return near[:, int(d.min(2).sum(0, dtype=np.float64).argmin())]
+    # Squared distances from the means, but for what all starts have in common.
+    cost = -((sums[..., :-1] ** 2).sum(2) / np.maximum(sums[..., -1], 1)).sum(1).reshape(-1, starts)
+    best = cost.argmin(1) + np.arange(len(weight)) * starts
+    return label[best].astype(np.int64), centre[best].astype(np.float64)
 
 
 def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
@@ -103,29 +182,83 @@ def _rand_of(table: np.ndarray) -> float:
 def stability(data: DataFrame, ks: list[int], rounds: int = ROUNDS, share: float = 0.8, starts: int = STARTS, seed: int = 42) -> DataFrame:
     """(k, stability): the mean agreement of two clusterings of random parts of all rows, on the rows that both have.
 
-    Up to STABILITY_ROWS rows the (k, round) grid is spread over the tasks, each of which holds the rows; with more, the fits of a round are spread.
+    Up to STABILITY_ROWS distinct vectors the (k, round) grid is spread over the tasks, each of which holds them; with more, the fits of a round are spread.
     """
-    spark = data.sparkSession
-    rows = data.select(F.xxhash64(F.col("id").cast("string")).alias("h"), vector_to_array("features").cast("array<float>").alias("v")).limit(STABILITY_ROWS + 1).toPandas()
-    if len(rows) > STABILITY_ROWS:
+    held = _held(data)
+    if held is None:
         return _stability_spread(data, ks, rounds, share, starts, seed)
-    x = np.array(rows.sort_values("h", kind="stable").v.tolist(), np.float32)
-    grid = spark.createDataFrame([(k, i) for k in ks for i in range(rounds)], "k int, i int").repartition(spark.sparkContext.defaultParallelism, "k", "i")
+    return _grid(data, held, [(k, i) for k in ks for i in range(rounds)], share, starts, seed).groupBy("k").agg(F.round(F.avg("ari"), 4).alias("stability"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, i in pdf.itertuples(index=False):
-                r = np.random.default_rng([seed, k, i])
-                a, b = (np.sort(r.choice(len(x), int(share * len(x)), replace=False)) for _ in (0, 1))
-                both = np.intersect1d(a, b)
-                if len(both) < max(k, 2):
-                    continue
-                la, lb = _lloyd(x[a], k, r, starts), _lloyd(x[b], k, r, starts)
-                out.append((k, adjusted_rand(la[np.searchsorted(a, both)], lb[np.searchsorted(b, both)])))
-            yield pd.DataFrame(out, columns=["k", "ari"])
 
-    return grid.mapInPandas(run, "k int, ari double").groupBy("k").agg(F.round(F.avg("ari"), 4).alias("stability"))
+def _grid(data: DataFrame, held: _Vectors, grid: list[tuple[int, int]], share: float, starts: int, seed: int) -> DataFrame:
+    """(k, ari, silhouette, davies_bouldin, centres): the agreement of each round i of k; for i = -1 the figures of a fit to all rows."""
+    sc = data.sparkSession.sparkContext
+    every = sc.broadcast(held)
+    tasks = max(1, min(len(grid), 16 * sc.defaultParallelism))
+    order = sorted(grid, key=lambda g: (g[1] >= 0, -g[0], g[1]))  # the longest first, dealt over the tasks
+    dealt = data.sparkSession.createDataFrame(sc.parallelize([g for t in range(tasks) for g in order[t::tasks]], tasks), "k int, i int")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, out = every.value, []
+        x, owner = v.dense(), np.repeat(np.arange(len(v.rows)), v.rows.astype(np.int64))
+        for k, i in (g for pdf in batches for g in pdf.itertuples(index=False)):
+            r = np.random.default_rng([seed, k, i + 1])
+            if i < 0:
+                label, centre = _lloyd(v, x, v.rows[None], k, r, starts, 50)
+                out.append((k, None, *_figures(v, x, label[0], k), centre[0].ravel().tolist()))
+                continue
+            part = np.zeros((2, len(owner)), bool)
+            for p in part:
+                p[r.choice(len(p), int(share * len(p)), replace=False)] = True
+            both = np.bincount(owner[part[0] & part[1]], minlength=len(x))
+            if both.sum() < max(k, 2):
+                continue
+            label, _ = _lloyd(v, x, np.array([np.bincount(owner[p], minlength=len(x)) for p in part], np.float64), k, r, starts)
+            out.append((k, _rand_of(np.bincount(label[0] * k + label[1], both, k * k).reshape(k, k)), None, None, None))
+        yield pd.DataFrame(out, columns=["k", "ari", "silhouette", "davies_bouldin", "centres"])
+
+    return dealt.mapInPandas(run, "k int, ari double, silhouette double, davies_bouldin double, centres array<double>")
+
+
+def _figures(v: _Vectors, x: np.ndarray, label: np.ndarray, k: int) -> tuple[float | None, float | None]:
+    """(silhouette by cosine, Davies-Bouldin) of all rows. A vector of zeros is at distance 1 from all others; a row alone in its cluster counts 0."""
+    every, size = np.arange(len(x)), np.bincount(label, v.rows, k)
+    own = np.einsum("ij,ij->i", x[:, :-1], x[:, :-1]).astype(np.float64)
+    some = size > 0
+    if some.sum() < 2:
+        return None, None
+    mean = v.sums(every, label, v.rows, k) / np.maximum(size, 1)[:, None]
+    turn = v.sums(every, label, v.rows / np.sqrt(np.where(own > 0, own, 1)), k)
+    value, far = np.zeros(len(x)), np.zeros(len(x))
+    for i in range(0, len(x), BLOCK):
+        b = x[i : i + BLOCK, :-1].astype(np.float64)
+        l, at = label[i : i + BLOCK], np.arange(len(b))
+        far[i : i + BLOCK] = np.sqrt(((b - mean[l]) ** 2).sum(1))
+        unit = b / np.sqrt(np.where(own[i : i + BLOCK] > 0, own[i : i + BLOCK], 1))[:, None]
+        whole = size - unit @ turn.T  # summed distances to each cluster's rows
+        inner = (whole[at, l] - (own[i : i + BLOCK] == 0)) / np.maximum(size[l] - 1, 1)
+        outer = np.where(some, whole / np.maximum(size, 1), np.inf)
+        outer[at, l] = np.inf
+        outer = outer.min(1)
+        most = np.maximum(inner, outer)
+        value[i : i + BLOCK] = np.where((size[l] > 1) & (most > 1e-12), (outer - inner) / np.where(most > 1e-12, most, 1), 0)
+    mean, spread = mean[some], (np.bincount(label, far * v.rows, k) / np.maximum(size, 1))[some]
+    apart = np.sqrt(((mean[:, None] - mean[None]) ** 2).sum(2))
+    worst = (spread[:, None] + spread[None]) / np.maximum(apart, 1e-12)
+    np.fill_diagonal(worst, -np.inf)
+    return float((value * v.rows).sum() / v.rows.sum()), float(worst.max(1).mean())
+
+
+def _model(data: DataFrame, centres: np.ndarray) -> KMeansModel:
+    """Spark's model of these centres."""
+    jvm, gateway = data.sparkSession._jvm, data.sparkSession.sparkContext._gateway
+    points = gateway.new_array(jvm.org.apache.spark.mllib.linalg.Vector, len(centres))
+    for i, c in enumerate(centres.tolist()):
+        point = gateway.new_array(jvm.double, len(c))
+        for j, y in enumerate(c):
+            point[j] = y
+        points[i] = jvm.org.apache.spark.mllib.linalg.DenseVector(point)
+    return KMeansModel(jvm.org.apache.spark.ml.clustering.KMeansModel(f"KMeans_{uuid.uuid4().hex[:12]}", jvm.org.apache.spark.mllib.clustering.KMeansModel(points)))
 
 
 def _stability_spread(data: DataFrame, ks: list[int], rounds: int, share: float, starts: int, seed: int) -> DataFrame:
@@ -149,7 +282,19 @@ def _stability_spread(data: DataFrame, ks: list[int], rounds: int, share: float,
 
 def sweep(data: DataFrame, ks: list[int], starts: int = STARTS, rounds: int = ROUNDS, seed: int = 42) -> tuple[pd.DataFrame, dict[int, KMeansModel]]:
     """A table (k, silhouette, davies_bouldin, stability) and the models."""
-    steady = {r["k"]: r["stability"] for r in stability(data, ks, rounds, starts=starts, seed=seed).collect()}
+    held = _held(data)
+    if held is None:
+        return _sweep_spread(data, ks, starts, rounds, seed)
+    got = _grid(data, held, [(k, i) for k in ks for i in range(-1, rounds)], 0.8, starts, seed).toPandas()
+    steady = got[got.ari.notna()].groupby("k").ari.mean().round(4)
+    whole = {r.k: r for r in got[got.centres.notna()].itertuples()}
+    out = [(k, round(whole[k].silhouette, 4), whole[k].davies_bouldin, steady.get(k)) for k in ks]
+    return pd.DataFrame(out, columns=["k", "silhouette", "davies_bouldin", "stability"]), {k: _model(data, np.array(whole[k].centres).reshape(k, -1)) for k in ks}
+
+
+def _sweep_spread(data: DataFrame, ks: list[int], starts: int, rounds: int, seed: int) -> tuple[pd.DataFrame, dict[int, KMeansModel]]:
+    """`sweep` with distributed fits."""
+    steady = {r["k"]: r["stability"] for r in _stability_spread(data, ks, rounds, 0.8, starts, seed).collect()}
     out, models = [], {}
     for k in ks:
         models[k] = fit(data, k, starts, seed)

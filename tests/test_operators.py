@@ -443,6 +443,42 @@ def test_stability_of_all_rows(spark, monkeypatch):
     assert got[4] > 0.8 and got[4] == pytest.approx(dict(one(cluster.stability(data, [4], 4), "k", "stability"))[4], abs=0.2)
 
 
+def test_sweep_holds_many_rows_in_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(cluster, "_stability_spread", lambda *_: 1 / 0)  # a fit of Spark's for each start of each round
+    monkeypatch.setattr(cluster, "fit", lambda *_: 1 / 0)
+    bits = [F.when(F.col("id") % 3 == i // 3, F.col("id") % 7 != i).otherwise(F.xxhash64("id", F.lit(i)) % 50 == 0).cast("double") for i in range(9)]
+    data = cluster.vectors(spark.range(21_000).select("id", F.array(*bits).alias("v")), "id", "v")
+    table, models = cluster.sweep(data, [2, 3], starts=3, rounds=2)
+    for k, s, db, steady in table.itertuples(index=False):
+        labelled = models[k].transform(data)
+        assert s == pytest.approx(cluster.silhouette(labelled), abs=1e-4) and db == pytest.approx(cluster.davies_bouldin(labelled), rel=1e-6)
+    assert table.stability[1] > 0.99 and table.silhouette[1] > table.silhouette[0]
+
+
+def test_fit_and_figures_over_distinct_vectors():
+    r = np.random.default_rng(7)
+    x = (r.random((70, 12)) < 0.25).astype(np.float32)
+    x[3] = 0
+    x = np.unique(x, axis=0)
+    n = r.integers(1, 4, len(x))
+    held = cluster._Vectors([np.concatenate([np.flatnonzero(y).astype(np.uint32), y[y != 0].view(np.uint32)]).tobytes() for y in x], n, 12)
+    assert (held.dense()[:, :-1] == x).all()
+    (label,), (centre,) = cluster._lloyd(held, held.dense(), held.rows[None], 4, r, 5, 50)
+    whole, of = np.repeat(x, n, axis=0).astype(float), np.repeat(label, n)
+    assert (((x[:, None] - centre[None]) ** 2).sum(2).argmin(1) == label).all()  # the nearest centre, each the mean of its rows
+    assert np.allclose([whole[of == c].mean(0) for c in range(4)], centre)
+    unit = whole / np.maximum(np.linalg.norm(whole, axis=1), 1e-12)[:, None]
+    d = 1 - unit @ unit.T
+    np.fill_diagonal(d, 0)
+    want = []
+    for i, c in enumerate(of):
+        inner, outer = d[i, of == c].sum() / max((of == c).sum() - 1, 1), min(d[i, of == e].mean() for e in range(4) if e != c)
+        want.append((outer - inner) / max(outer, inner) if (of == c).sum() > 1 else 0)
+    assert cluster._figures(held, held.dense(), label, 4)[0] == pytest.approx(np.mean(want))
+
+
 def test_review_and_batches(spark):
     labels = spark.createDataFrame([("j", "A", 0, 1), ("j", "B", 2, 3), ("j", "C", 4, 5), ("j", "D", 6, 7)], "item string, label string, start int, end int")
     d = spark.createDataFrame([("j", "A", "reject", None, None, None), ("j", "B", "replace", "X", 8, 9), ("j", "C", "fix", None, 3, 5), ("j", "D", "keep", None, None, None), ("j", "E", "add", None, 1, 2), ("j", "D", "add", None, 0, 1)], "item string, label string, action string, new_label string, start int, end int")
